@@ -13,6 +13,7 @@ from rivulet.plans.fixpoint import cut
 from rivulet.plans.intervals import interval_join
 from rivulet.plans.nearest import nearest
 from rivulet.plans.quantiles import exact_quantiles
+from rivulet.plans.ranks import value_counts_below
 from rivulet.plans.runs import find_runs
 from rivulet.plans.timechunks import DAY, HOUR, STEP, from_micros, micros, over_time
 
@@ -241,17 +242,10 @@ def monthly_rain(grid: DataFrame, keys: Sequence[str] = SERIES, ts: str = "ts",
 
 
 def exceedance_curve(df: DataFrame, keys: Sequence[str] = SERIES, value: str = "value") -> DataFrame:
-    """Descending rank over n in percent, one row per distinct value with its first and last rank.
-
-    Equal readings collapse before the window, so it orders the distinct gauge values of a series.
-    """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n_equal"))
-    w = Window.partitionBy(*keys)
-    upto = F.sum("n_equal").over(w.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("n_equal").over(w)
-    return counts.withColumn("last_rank", upto).withColumn("_n", total).select(
-        *keys, value, "n_equal", (F.col("last_rank") - F.col("n_equal") + 1).alias("first_rank"), "last_rank",
-        (F.col("last_rank") / F.col("_n") * 100).alias("exceedance_pct"))
+    """Descending rank over n in percent, one row per distinct value with its first and last rank."""
+    c = value_counts_below(df, keys, value)
+    last = F.col("n_total") - F.col("n_below")
+    return c.select(*keys, value, "n_equal", (last - F.col("n_equal") + 1).alias("first_rank"), last.alias("last_rank"), (last / F.col("n_total") * 100).alias("exceedance_pct"))
 
 
 def climatology_anomaly(df: DataFrame, keys: Sequence[str] = SERIES, ts: str = "ts", value: str = "value", window: int = 15) -> DataFrame:
@@ -276,7 +270,7 @@ def climatology_anomaly(df: DataFrame, keys: Sequence[str] = SERIES, ts: str = "
 
 
 # ------------------------------------------------------ response rates (E11)
-def response_rates(rain: DataFrame, stage: DataFrame, params: DataFrame, wet: float, min_total: float, min_rates: int, keys: Sequence[str] = SERIES, ts: str = "ts", value: str = "value", gap_steps: int = 8) -> DataFrame:
+def response_rates(rain: DataFrame, stage: DataFrame, params: DataFrame, wet: float = 1.5, min_total: float = 10.0, min_rates: int = 1, min_wet: int = 3, keys: Sequence[str] = SERIES, ts: str = "ts", value: str = "value", gap_steps: int = 8) -> DataFrame:
     """Median stage rise per unit of rain over the rain events of each series; null where too few events.
 
     `params` gives `tc_steps` per series. Event rain is summed over tc steps from
@@ -285,7 +279,7 @@ def response_rates(rain: DataFrame, stage: DataFrame, params: DataFrame, wet: fl
     wet_rows = rain.where(F.col(value) > wet)
     ev = cluster_events(wet_rows, gap_steps * STEP, keys, ts, value).select(*keys, F.col("run_start").alias("t0")).join(params, list(keys))
     at = micros("t0")
-    tc = F.col("tc_steps") * STEP
+    tc = F.col("tc_steps").cast("long") * STEP
     wide = ev.withColumn("_from", from_micros(at - 4 * STEP)).withColumn("_to", from_micros(at + 3 * tc))
     rain_hit = interval_join(rain.select(*keys, ts, F.col(value).alias("_rain")), ev.withColumn("_rto", from_micros(at + tc)), ts, "t0", "_rto", on=keys, closed=False)
     totals = rain_hit.groupBy(*keys, "t0").agg(F.sum("_rain").alias("total"))
@@ -297,9 +291,10 @@ def response_rates(rain: DataFrame, stage: DataFrame, params: DataFrame, wet: fl
     rates = rates.withColumn("rate", (F.col("peak") - F.col("baseline")) / F.col("total")).where(F.col("rate") > 0)
     med = exact_quantiles(rates, keys, "rate", {"_med": 0.5})
     n = rates.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rates"))
-    out = params.select(*keys).join(n, list(keys), "left").join(med, list(keys), "left")
+    wet_n = wet_rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_wet"))
+    out = params.select(*keys).join(n, list(keys), "left").join(med, list(keys), "left").join(wet_n, list(keys), "left")
     return out.withColumn("n_rates", F.coalesce("n_rates", F.lit(0))).withColumn(
-        "peak_rate", F.when(F.col("n_rates") >= min_rates, F.col("_med"))).drop("_med")
+        "peak_rate", F.when((F.col("n_rates") >= min_rates) & (F.col("_wet") >= min_wet), F.col("_med"))).drop("_med", "_wet")
 
 
 def inherit_rates(rates: DataFrame, floor_inherit: float = 0.001, cap_inherit: float = 0.05) -> DataFrame:

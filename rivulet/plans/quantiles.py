@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _ACCURACY = 10_000
+# up to this many rows a group is ranked whole; beyond it the bracket spans several ranks more than the sketch can err
+_SMALL_GROUP = 20_000
 
 
 def exact_quantiles(
@@ -35,8 +37,9 @@ def exact_quantiles(
     )
     brackets = []
     for i, p in enumerate(probs.values()):
-        lo = F.col("_min") if p - slack <= 0 else F.get("_cuts", F.lit(2 * i))
-        hi = F.col("_max") if p + slack >= 1 else F.get("_cuts", F.lit(2 * i + 1))
+        small = F.col("_n") <= _SMALL_GROUP
+        lo = F.when(small | F.lit(p - slack <= 0), F.col("_min")).otherwise(F.get("_cuts", F.lit(2 * i)))
+        hi = F.when(small | F.lit(p + slack >= 1), F.col("_max")).otherwise(F.get("_cuts", F.lit(2 * i + 1)))
         brackets.append(
             F.struct(F.lit(i).alias("q"), lo.alias("lo"), hi.alias("hi"), (F.lit(float(p)) * (F.col("_n") - 1)).alias("pos"))
         )

@@ -47,12 +47,13 @@ def query(name: str, sql: str | None = None):
 
 
 def r6(col: Column | str) -> Column:
-    """Six digits; the first rounding removes summation noise before ties are decided."""
-    return F.round(F.round(col, 9), 6)
+    """Six digits by the same arithmetic in both engines; the offset sends exact ties and summation noise the same way."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.floor(c * 1e6 + 0.5001) / 1e6
 
 
 def s6(expr: str) -> str:
-    return f"round(round({expr}, 9), 6)"
+    return f"(floor(({expr}) * 1e6::DOUBLE + 0.5001::DOUBLE) / 1e6::DOUBLE)"
 
 
 # ---------------------------------------------------------------- readings

@@ -225,7 +225,7 @@ def flood_labels(t):
 
 @query(
     "a12_long_export",
-    f"WITH {SLOTS} SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, series_id AS node_ref, round(round(value, 9), 6) AS target_y, CASE WHEN value IS NULL THEN 0 ELSE 1 END AS valid FROM grid",
+    f"WITH {SLOTS} SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, series_id AS node_ref, {s6('value')} AS target_y, CASE WHEN value IS NULL THEN 0 ELSE 1 END AS valid FROM grid",
 )
 def long_export(t):
     from rivulet.sources import sinks

@@ -12,7 +12,7 @@ def long_format(grid: DataFrame, digits: int = 6) -> DataFrame:
     """Formatted timestamp, station, rounded value and validity: the long export."""
     return grid.select(
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.col("series_id").alias("node_ref"),
-        F.round(F.round("value", 9), digits).alias("target_y"), F.col("value").isNotNull().cast("int").alias("valid"),
+        (F.floor(F.col("value") * 10**digits + 0.5001) / 10**digits).alias("target_y"), F.col("value").isNotNull().cast("int").alias("valid"),
     )
 
 
