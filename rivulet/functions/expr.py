@@ -101,13 +101,18 @@ def gauge_status(stage: Column) -> Column:
     return F.when(s > 0.3, "high").when(s > 0.1, "moderate").otherwise("normal")
 
 
+# fixed values: plausible easting and northing ranges of each coordinate system, tried in this order
+CRS_RANGES = (
+    ("EPSG:4326", (-10, 2), (49, 62)),
+    ("EPSG:2157", (480_000, 620_000), (530_000, 960_000)),
+    ("EPSG:29902", (50_000, 380_000), (10_000, 460_000)),
+    ("EPSG:27700", (-200_000, 700_000), (0, 1_300_000)),
+)
+
+
 def coordinate_system(e: Column, n: Column) -> Column:
-    """Ordered guess from value ranges: irish grid, transverse mercator, geographic; null where none fits."""
-    return (
-        F.when(e.between(400000, 800000) & n.between(500000, 1000000), "EPSG:2157")
-        .when(e.between(0, 400000) & n.between(0, 500000), "EPSG:29902")
-        .when(e.between(-180, 180) & n.between(-90, 90), "EPSG:4326")
-    )
+    """First coordinate system whose ranges hold the pair; null where none does."""
+    return F.coalesce(*[F.when(e.between(*er) & n.between(*nr), code) for code, er, nr in CRS_RANGES])
 
 
 def calibrated_db(dn: Column, lut: Column, offset_db: float = -83.0) -> Column:

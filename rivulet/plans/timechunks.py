@@ -49,14 +49,22 @@ def over_time(
     The window handed to `cols` is ordered by `_us` (epoch microseconds), so
     both row frames and range frames in microseconds can be built from it.
     """
-    size = max(chunk or 30 * DAY, before, after, 1)
-    us = micros(ts)
-    copies = df.withColumn("_us", us)
-    lo, hi = fdiv(F.col("_us") - after, size), fdiv(F.col("_us") + before, size)
-    copies = copies.withColumn("_slice", F.explode(F.sequence(lo, hi)))
-    w = Window.partitionBy(*keys, "_slice").orderBy("_us")
-    return (
-        copies.withColumns(cols(w))
-        .where(F.col("_slice") == fdiv(F.col("_us"), size))
-        .drop("_us", "_slice")
-    )
+    rows = df.withColumn("_us", micros(ts))
+    return over_axis(rows, keys, "_us", cols, before, after, chunk or 30 * DAY).drop("_us")
+
+
+def over_axis(
+    df: DataFrame,
+    keys: Sequence[str],
+    axis: str,
+    cols: Callable[[WindowSpec], dict[str, Column]],
+    before: int = 0,
+    after: int = 0,
+    chunk: int = 4096,
+) -> DataFrame:
+    """The same for any integer axis, such as the columns of a raster row."""
+    size = max(chunk, before, after, 1)
+    at = F.col(axis).cast("long")
+    copies = df.withColumn("_slice", F.explode(F.sequence(fdiv(at - after, size), fdiv(at + before, size))))
+    w = Window.partitionBy(*keys, "_slice").orderBy(axis)
+    return copies.withColumns(cols(w)).where(F.col("_slice") == fdiv(at, size)).drop("_slice")
