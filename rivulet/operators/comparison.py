@@ -32,23 +32,23 @@ def summary_table(runs: DataFrame, baseline: DataFrame, metrics: Sequence[str] =
     return out.withColumn("skill", (F.col("nse_mean") - p) / (1 - p)).drop("_p")
 
 
-def paired(df: DataFrame, a: str, b: str, keys: Sequence[str], score: str = "nse") -> DataFrame:
-    """Rows of two models matched on the keys, with the size of both sides for the unpaired-row warning."""
-    left = df.where(F.col("model") == a).select(*keys, F.col(score).alias("a"))
-    right = df.where(F.col("model") == b).select(*keys, F.col(score).alias("b"))
-    return left.join(right, list(keys))
+def paired(df: DataFrame, pairs: Sequence[tuple[str, str]], keys: Sequence[str], score: str = "nse") -> DataFrame:
+    """Scores of both models of each comparison side by side; null where a model lacks the key.
+
+    The run matrix holds one score per model and key, so one aggregate puts all
+    models next to each other and the comparisons unfold from it without a join.
+    """
+    models = sorted({m for pair in pairs for m in pair})
+    wide = df.where(F.col("model").isin(*models)).groupBy(*keys).agg(*[F.max(F.when(F.col("model") == m, F.col(score))).alias(f"_{m}") for m in models])
+    sides = F.array(*[F.struct(F.lit(f"{a} vs {b}").alias("pair"), F.col(f"_{a}").alias("a"), F.col(f"_{b}").alias("b")) for a, b in pairs])
+    return wide.select(*keys, F.explode(sides).alias("_p")).select(*keys, "_p.*")
 
 
 def pairing_report(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str], keys: Sequence[str], score: str = "nse") -> DataFrame:
     """Per comparison: rows of each side, rows matched, and whether any were left out."""
-    out = None
-    for a, b in pairs:
-        n = df.groupBy(*by).agg(F.count_if(F.col("model") == a).alias("n_a"), F.count_if(F.col("model") == b).alias("n_b"))
-        m = paired(df, a, b, [*by, *keys], score).groupBy(*by).agg(F.count(F.lit(1)).alias("n_paired"))
-        one = n.join(m, list(by), "left").select(F.lit(f"{a} vs {b}").alias("pair"), *by, "n_a", "n_b", F.coalesce("n_paired", F.lit(0)).alias("n_paired"))
-        one = one.withColumn("warn", F.col("n_paired") < F.greatest("n_a", "n_b"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    both = F.col("a").isNotNull() & F.col("b").isNotNull()
+    out = paired(df, pairs, [*by, *keys], score).groupBy("pair", *by).agg(F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.count_if(both).alias("n_paired"))
+    return out.withColumn("warn", F.col("n_paired") < F.greatest("n_a", "n_b"))
 
 
 @F.pandas_udf(DoubleType())
@@ -62,10 +62,7 @@ def wilcoxon(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str],
 
     Ranks of |d| come from counts below each distinct |d|, so a comparison may have any number of pairs.
     """
-    both = None
-    for a, b in pairs:
-        one = paired(df, a, b, [*by, *keys], score).select(F.lit(f"{a} vs {b}").alias("pair"), *by, "a", "b")
-        both = one if both is None else both.unionByName(one)
+    both = paired(df, pairs, [*by, *keys], score).where("a is not null and b is not null")
     group = ["pair", *by]
     base = both.groupBy(*group).agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"))
     d = both.withColumn("_d", F.col("a") - F.col("b")).where(F.col("_d") != 0).withColumn("_abs", F.abs("_d"))

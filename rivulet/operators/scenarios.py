@@ -69,7 +69,7 @@ def best_windows(scores: DataFrame, top: int = 5, keys: Sequence[str] = ("window
     return scores.where("score is not null").orderBy(F.desc("score"), *keys).limit(top)
 
 
-def window_candidates(df: DataFrame, bankfull: DataFrame, sat: str = "sat", rain: str = "rain", stage: str = "stage", key: str = "node", sat_min: float = 0.60, sat_max: float = 0.92, max_stage_frac: float = 0.40, t_in: int = T_IN) -> DataFrame:
+def window_candidates(df: DataFrame, bankfull: DataFrame, sat: str = "sat", rain: str = "rain", stage: str = "stage", key: str = "node", sat_min: float = 0.60, sat_max: float = 0.92, max_stage_frac: float = 0.40, t_in: int = T_IN, source: DataFrame | None = None) -> DataFrame:
     """Antecedent conditions of every possible window start: is it wet enough, calm and complete?
 
     Nodes are reduced to one row per time step first; the look-ahead runs over that axis only.
@@ -90,7 +90,7 @@ def window_candidates(df: DataFrame, bankfull: DataFrame, sat: str = "sat", rain
     proxy = F.least(F.greatest(0.50 + F.col("w_s_r") / F.col("w_n_r") * 0.27, F.lit(0.50)), F.lit(0.99))
     wet = F.when((std > 0.01) & (mean > 0.05), mean).otherwise(proxy)
     ok = wet.between(sat_min, sat_max) & (F.coalesce("w_high", F.lit(0)) == 0) & (F.col("w_nulls") <= 0.05 * F.col("w_cells"))
-    return wide.select("ts", step_index(df).alias("idx"), wet.alias("wetness"), F.coalesce(ok, F.lit(False)).alias("ok"))
+    return wide.select("ts", step_index(source or df).alias("idx"), wet.alias("wetness"), F.coalesce(ok, F.lit(False)).alias("ok"))
 
 
 def select_windows(candidates: DataFrame, n: Column, n_windows: int = 50, search_from: float = 0.70, stride: int = 48, t_in: int = T_IN, t_window: int = T_WINDOW) -> DataFrame:
@@ -114,10 +114,10 @@ def select_windows(candidates: DataFrame, n: Column, n_windows: int = 50, search
     raise RuntimeError("time axis longer than 2^40 jumps")
 
 
-def high_stage_windows(df: DataFrame, bankfull: DataFrame, stage: str = "stage", key: str = "node", min_nodes: int = 3, frac: float = 0.5, test_from: float = 0.85, t_in: int = T_IN, look: int = 24, t_window: int = T_WINDOW, n_windows: int | None = None) -> DataFrame:
+def high_stage_windows(df: DataFrame, bankfull: DataFrame, stage: str = "stage", key: str = "node", min_nodes: int = 3, frac: float = 0.5, test_from: float = 0.85, t_in: int = T_IN, look: int = 24, t_window: int = T_WINDOW, n_windows: int | None = None, source: DataFrame | None = None) -> DataFrame:
     """Starts (every half input length of the test part) after whose input at least `min_nodes` exceed half bankfull."""
     top = over_time(df.select(key, "ts", stage), (key,), "ts", lambda w: {"_top": F.max(stage).over(w.rowsBetween(t_in, t_in + look - 1))}, after=(t_in + look) * STEP)
-    idx, n = step_index(df), n_steps(df)
+    idx, n = step_index(source or df), n_steps(source or df)
     out = top.join(bankfull.select(key, "bankfull"), key).withColumn("idx", idx).withColumn("_n", n)
     start = F.floor(F.col("_n") * test_from)
     on = out.where((F.col("idx") >= start) & (F.col("idx") < F.col("_n") - t_window) & (F.pmod(F.col("idx") - start, F.lit(t_in // 2)) == 0))

@@ -140,9 +140,9 @@ def skill(scores: DataFrame, baseline: DataFrame, keys: Sequence[str], null_if_p
     return out.withColumn("skill", F.when(F.col("persist_nse") < 1, val) if null_if_perfect else val)
 
 
-def persistence_baseline(grid: DataFrame, horizon: int, keys: Sequence[str] = ("series_id",), ts: str = "ts", value: str = "value", valid: str = "valid", test_from: float = 0.85, step: int = STEP) -> DataFrame:
+def persistence_baseline(grid: DataFrame, horizon: int, keys: Sequence[str] = ("series_id",), ts: str = "ts", value: str = "value", valid: str = "valid", test_from: float = 0.85, step: int = STEP, source: DataFrame | None = None) -> DataFrame:
     """Score of 'the value stays' over the test part: y(t) against every valid y(t+1) .. y(t+horizon)."""
-    pos = grid.withColumn("_idx", step_index(grid, ts, step)).withColumn("_n", n_steps(grid, ts, step))
+    pos = grid.withColumn("_idx", step_index(source or grid, ts, step)).withColumn("_n", n_steps(source or grid, ts, step))
     ahead = over_time(
         pos, keys, ts,
         lambda w: {"_next": F.collect_list(F.struct(F.col(value).alias("y"), F.col(valid).alias("ok"))).over(w.rowsBetween(1, horizon))},

@@ -249,12 +249,13 @@ def _centred(df: DataFrame, key: str, vec: str) -> DataFrame:
     return d.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))
 
 
-def wetness_similarity(df: DataFrame, key: str, vec: str, blocks: int = 4) -> DataFrame:
+def wetness_similarity(df: DataFrame, key: str, vec: str, block_rows: int = 2000) -> DataFrame:
     """Cosine of mean-centred vectors for every pair a <= b, bounded to [-1, 1], 1 on the diagonal.
 
     The matrix is the result, so it is produced block by block: vectors are dealt
-    into `blocks` groups and each pair of groups is one matrix product.
+    into groups of about `block_rows` and each pair of groups is one matrix product.
     """
+    blocks = max(2, -(-df.count() // block_rows))
     c = _centred(df, key, vec).withColumn("g", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
     left = c.withColumn("j", F.explode(F.sequence(F.col("g"), F.lit(blocks - 1)))).select(F.col("g").alias("i"), "j", F.lit(0).alias("side"), "k", "v", "norm")
     right = c.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("g")))).select("i", F.col("g").alias("j"), F.lit(1).alias("side"), "k", "v", "norm")

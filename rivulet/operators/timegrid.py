@@ -108,18 +108,21 @@ def sample_windows(grid: DataFrame, t_in: int, t_out: int, keys: Sequence[str] =
     return wide.where(full).select(*keys, ts, F.col("inputs.v").alias("inputs"), F.col("targets.v").alias("targets"))
 
 
-def step_index(grid: DataFrame, ts: str = "ts", step: int = STEP) -> Column:
-    """Position of a row on the common regular axis, by arithmetic instead of a global rank."""
-    return ((micros(ts) - grid.agg(micros(F.min(ts))).scalar()) / step).cast("long")
+def step_index(source: DataFrame, ts: str = "ts", step: int = STEP) -> Column:
+    """Position of a row on the common regular axis, by arithmetic instead of a global rank.
+
+    `source` is anything with the same period; raw readings are cheapest, as only their time column is scanned.
+    """
+    return ((micros(ts) - source.agg(fdiv(micros(F.min(ts)), step) * step).scalar()) / step).cast("long")
 
 
-def n_steps(grid: DataFrame, ts: str = "ts", step: int = STEP) -> Column:
-    return grid.agg(((micros(F.max(ts)) - micros(F.min(ts))) / step + 1).cast("long")).scalar()
+def n_steps(source: DataFrame, ts: str = "ts", step: int = STEP) -> Column:
+    return source.agg(fdiv(micros(F.max(ts)), step) - fdiv(micros(F.min(ts)), step) + 1).scalar()
 
 
-def split_by_windows(grid: DataFrame, t_in: int, t_out: int, train: float = 0.70, val: float = 0.15) -> DataFrame:
+def split_by_windows(grid: DataFrame, t_in: int, t_out: int, train: float = 0.70, val: float = 0.15, source: DataFrame | None = None) -> DataFrame:
     """Chronological split of window starts; a gap of one full window is dropped before val and test."""
-    out = grid.withColumn("idx", step_index(grid)).withColumn("_n", n_steps(grid) - t_in - t_out + 1)
+    out = grid.withColumn("idx", step_index(source or grid)).withColumn("_n", n_steps(source or grid) - t_in - t_out + 1)
     gap = t_in + t_out
     n_train, n_val = F.floor(F.col("_n") * train), F.floor(F.col("_n") * val)
     part = (
@@ -130,9 +133,9 @@ def split_by_windows(grid: DataFrame, t_in: int, t_out: int, train: float = 0.70
     return out.withColumn("split", part).where(F.col("split").isNotNull()).drop("_n")
 
 
-def split_by_time(grid: DataFrame, t_in: int, t_out: int, train: float = 0.70, val: float = 0.15) -> DataFrame:
+def split_by_time(grid: DataFrame, t_in: int, t_out: int, train: float = 0.70, val: float = 0.15, source: DataFrame | None = None) -> DataFrame:
     """Chronological split by time boundary; `idx` is a window start whose last target must fit its part."""
-    out = grid.withColumn("idx", step_index(grid)).withColumn("_n", n_steps(grid))
+    out = grid.withColumn("idx", step_index(source or grid)).withColumn("_n", n_steps(source or grid))
     span, purge = t_in + t_out, t_in + t_out - 1
     a, b = F.floor(F.col("_n") * train), F.floor(F.col("_n") * (train + val))
     part = (
@@ -143,9 +146,9 @@ def split_by_time(grid: DataFrame, t_in: int, t_out: int, train: float = 0.70, v
     return out.withColumn("split", part).where(F.col("split").isNotNull()).drop("_n")
 
 
-def train_slice(grid: DataFrame, frac: float = 0.70) -> DataFrame:
+def train_slice(grid: DataFrame, frac: float = 0.70, source: DataFrame | None = None) -> DataFrame:
     """Only the leading share of the time axis."""
-    out = grid.withColumn("idx", step_index(grid)).withColumn("_n", n_steps(grid))
+    out = grid.withColumn("idx", step_index(source or grid)).withColumn("_n", n_steps(source or grid))
     return out.where(F.col("idx") < F.floor(F.col("_n") * frac)).drop("_n")
 
 

@@ -118,15 +118,15 @@ def coverage_record(t):
 # -------------------------------------------------------------- block files
 @query(
     "a14_station_blocks",
-    """SELECT conv_id AS doc, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS block_no, CAST(conv_id * 100 + turn AS VARCHAR) AS ref, role AS name, CAST(length(text) AS VARCHAR) AS size FROM conversations""",
+    """SELECT conv_id AS doc, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS block_no, CAST(conv_id * 100 + turn AS VARCHAR) AS ref, role AS name, CAST(length(text) AS VARCHAR) AS size FROM conversations""",
 )
 def station_blocks(t):
     """Every turn of a conversation written as a block of Key<TAB>Value lines, dash lines between them."""
     c = t.conversations
     body = F.concat_ws("\n", F.concat(F.lit("Station Number\t"), (F.col("conv_id") * 100 + F.col("turn")).cast("string")), F.concat(F.lit("Station Name\t"), F.col("role")), F.concat(F.lit("Catchment size\t"), F.length("text").cast("string")), F.lit("-" * 20))
     files = c.groupBy(F.col("conv_id").alias("doc")).agg(F.concat_ws("\n", F.transform(F.sort_array(F.collect_list(F.struct("turn", body.alias("b")))), lambda x: x["b"])).alias("text"))
-    lines = files.select("doc", F.posexplode(F.split("text", "\n")).alias("line_no", "value"))
-    return ingest.parse_station_blocks(lines, {"Station Number": "ref", "Station Name": "name", "Catchment size": "size"})
+    blocks = ingest.split_blocks(files, r"(?m)^-{5,}\s*$")
+    return ingest.parse_station_blocks(blocks, {"Station Number": "ref", "Station Name": "name", "Catchment size": "size"})
 
 
 SECT = """li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice, l_suppkey, l_shipdate, l_quantity, l_discount, l_tax) - 1 AS i FROM lineitem)"""
@@ -148,12 +148,16 @@ def section_files(t):
     return files.select(F.col("l_orderkey").alias("path"), F.concat_ws("\n", head, F.array_join(F.transform("pts", lambda x: x["p"]), "\n")).alias("text"))
 
 
+def section_blocks(t):
+    return ingest.split_blocks(section_files(t), r"(?m)^\s*SECTION\s*\n").where("block_no > 0")
+
+
 POINTS = f"""{SECT}, pt AS (SELECT l_orderkey AS path, 'xs_' || l_orderkey AS section, l_orderkey * 10.0::DOUBLE AS chainage, CAST(i AS INTEGER) AS i, l_quantity AS level, l_returnflag = 'A' AS panel_boundary, CAST(l_partkey AS DOUBLE) AS coord_e, CAST(l_suppkey AS DOUBLE) AS coord_n FROM li WHERE l_partkey % 9 <> 0 AND l_orderkey % 50 <> 0)"""
 
 
 @query("a15_section_points", f"WITH {POINTS} SELECT * FROM pt")
 def section_points(t):
-    return ingest.parse_sections(section_files(t)).select("path", "section", "chainage", "i", "level", "panel_boundary", "coord_e", "coord_n")
+    return ingest.parse_sections(section_blocks(t)).select("path", "section", "chainage", "i", "level", "panel_boundary", "coord_e", "coord_n")
 
 
 @query(
@@ -163,7 +167,7 @@ b AS (SELECT th.path, any_value(thalweg) AS thalweg, arg_max(level, i) FILTER (W
 SELECT *, least(left_bank, right_bank) AS bankfull, least(left_bank, right_bank) - thalweg AS depth FROM b""",
 )
 def bankfull_markers(t):
-    return profiles.bankfull_from_markers(ingest.parse_sections(section_files(t)), ("path",))
+    return profiles.bankfull_from_markers(ingest.parse_sections(section_blocks(t)), ("path",))
 
 
 # ----------------------------------------------------------------- profiles
@@ -253,7 +257,7 @@ def latest_datum(t):
     return ingest.latest_datum(h)
 
 
-@query("a25_threshold_map", "SELECT CAST(s_suppkey AS VARCHAR) AS series_id, s_acctbal AS bankfull FROM supplier")
+@query("json_threshold_map", "SELECT CAST(s_suppkey AS VARCHAR) AS series_id, s_acctbal AS bankfull FROM supplier")
 def threshold_map(t):
     entry = F.map_from_arrays(F.array(F.col("s_suppkey").cast("string")), F.array("s_acctbal"))
     nested = F.to_json(F.struct(entry.alias("thresholds")))
@@ -286,6 +290,12 @@ def rejected_rows(t):
     return _stack(t)[1]
 
 
+@query("b18_calibrated_db", f"SELECT o_orderkey, CASE WHEN o_custkey % 50 > 0 THEN {s6('20 * log10(o_custkey % 50) - 83')} END AS sigma0 FROM orders")
+def calibrated_db(t):
+    dn = F.pmod("o_custkey", F.lit(50)).cast("double")
+    return t.orders.select("o_orderkey", r6(X.calibrated_db(dn, F.lit(None).cast("double"))).alias("sigma0"))
+
+
 # --------------------------------------------------------------- text rules
 @query(
     "b8_b9_numbers_and_names",

@@ -148,7 +148,7 @@ s AS (SELECT series_id, ts, idx, CASE WHEN idx < a THEN 'train' WHEN idx >= a +
 SELECT * FROM s WHERE split IS NOT NULL""",
 )
 def split_by_windows(t):
-    return timegrid.split_by_windows(grid(t), 32, 12).select("series_id", "ts", "idx", "split")
+    return timegrid.split_by_windows(grid(t), 32, 12, source=t.events).select("series_id", "ts", "idx", "split")
 
 
 @query(
@@ -159,12 +159,12 @@ s AS (SELECT series_id, ts, idx, CASE WHEN idx <= a - 44 THEN 'train' WHEN idx >
 SELECT * FROM s WHERE split IS NOT NULL""",
 )
 def split_by_time(t):
-    return timegrid.split_by_time(grid(t), 32, 12).select("series_id", "ts", "idx", "split")
+    return timegrid.split_by_time(grid(t), 32, 12, source=t.events).select("series_id", "ts", "idx", "split")
 
 
 @query("d14_train_slice", f"{INDEXED} SELECT series_id, ts, {s6('value')} AS value, idx FROM i WHERE idx < floor(n * 0.7::DOUBLE)")
 def train_slice(t):
-    return timegrid.train_slice(grid(t)).select("series_id", "ts", r6("value").alias("value"), "idx")
+    return timegrid.train_slice(grid(t), source=t.events).select("series_id", "ts", r6("value").alias("value"), "idx")
 
 
 @query(
@@ -173,7 +173,7 @@ def train_slice(t):
 )
 def window_position(t):
     g = grid(t)
-    cols = timegrid.window_position(timegrid.step_index(g), 104, 32, 12)
+    cols = timegrid.window_position(timegrid.step_index(t.events), 104, 32, 12)
     return g.select("series_id", "ts", *[c.alias(n) for n, c in cols.items()])
 
 

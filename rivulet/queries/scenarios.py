@@ -99,7 +99,7 @@ WIN = f"""{SLOTS}, wv AS (SELECT series_id, (epoch_us(ts) - (SELECT min(epoch_us
 
 def window_values(t, series):
     g = grid(t)
-    return g.withColumn("idx", timegrid.step_index(g)).where((F.col("series_id") == series) & F.col("value").isNotNull()).select(
+    return g.withColumn("idx", timegrid.step_index(t.events)).where((F.col("series_id") == series) & F.col("value").isNotNull()).select(
         fdiv(F.col("idx"), 104).alias("window_id"), F.pmod("idx", F.lit(104)).alias("local_step"), "value")
 
 
@@ -163,7 +163,7 @@ nn AS (SELECT max(idx) + 1 AS n FROM per)"""
 
 @query("d16_window_candidates", f"{CAND} SELECT ts, idx, {s6('wetness')} AS wetness, ok FROM cd")
 def window_candidates(t):
-    return _round(scenarios.window_candidates(_network_grid(t), _bankfull(t), sat_min=0.3, sat_max=0.6), "wetness")
+    return _round(scenarios.window_candidates(_network_grid(t), _bankfull(t), sat_min=0.3, sat_max=0.6, source=t.events), "wetness")
 
 
 @query(
@@ -173,8 +173,8 @@ SELECT c.idx, c.ts FROM walk w JOIN cd c ON c.idx = w.idx, nn WHERE c.ok AND c.i
 )
 def select_windows(t):
     g = _network_grid(t)
-    c = scenarios.window_candidates(g, _bankfull(t), sat_min=0.3, sat_max=0.6)
-    return scenarios.select_windows(c, timegrid.n_steps(g), search_from=0.5)
+    c = scenarios.window_candidates(g, _bankfull(t), sat_min=0.3, sat_max=0.6, source=t.events)
+    return scenarios.select_windows(c, timegrid.n_steps(t.events), search_from=0.5)
 
 
 @query(
@@ -183,7 +183,7 @@ def select_windows(t):
 SELECT idx, ts, count(*) FILTER (WHERE top > 0.5::DOUBLE * bf) AS n_exceeding FROM tp, nn WHERE idx >= floor(n * 0.85::DOUBLE) AND idx < n - 104 AND (idx - CAST(floor(n * 0.85::DOUBLE) AS BIGINT)) % 16 = 0 GROUP BY 1, 2 HAVING count(*) FILTER (WHERE top > 0.5::DOUBLE * bf) >= 2""",
 )
 def high_stage_windows(t):
-    return scenarios.high_stage_windows(_network_grid(t), _bankfull(t), min_nodes=2)
+    return scenarios.high_stage_windows(_network_grid(t), _bankfull(t), min_nodes=2, source=t.events)
 
 
 # ---------------------------------------------------- records without SQL

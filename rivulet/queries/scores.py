@@ -121,7 +121,7 @@ SELECT series_id, count(*) AS n, {s6('1 - sum((pred - target)^2) / (var_pop(targ
 )
 def persistence_baseline(t):
     g = grid(t).withColumn("valid", F.col("value").isNotNull()).withColumn("value", F.coalesce("value", F.lit(0.0)))
-    return _round(scores.persistence_baseline(g, 4), "nse", "rmse")
+    return _round(scores.persistence_baseline(g, 4, source=t.events), "nse", "rmse")
 
 
 @query(

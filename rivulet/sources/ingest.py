@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.operators import quality, timegrid
@@ -128,42 +128,46 @@ def latest_datum(history: DataFrame, key: str = "ref", order: str = "position",
 
 
 # ------------------------------------------------------------- block files
-def parse_station_blocks(lines: DataFrame, keys: dict[str, str], block: str = "doc", order: str = "line_no") -> DataFrame:
-    """`Key<TAB>Value` lines separated by dash lines -> one row per block.
+def read_blocks(spark: SparkSession, path: str, separator: str) -> DataFrame:
+    """Records between separator lines; the reader splits large files, so no file is one task's work."""
+    return spark.read.option("recursiveFileLookup", "true").option("lineSep", separator).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("block"))
 
-    `lines` holds one text file per `block` value, numbered by `order`; `keys` maps line keys to columns.
-    """
-    w = Window.partitionBy(block).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    sep = F.col("value").rlike(r"^-{5,}\s*$")
-    tagged = lines.withColumn("_sep", sep).withColumn("_b", F.sum(F.col("_sep").cast("int")).over(w)).where(~F.col("_sep") & F.col("value").contains("\t"))
-    key, val = F.trim(F.substring_index("value", "\t", 1)), F.trim(F.substring_index("value", "\t", -1))
-    aggs = [F.max(F.when(key == k, val)).alias(c) for k, c in keys.items()]
-    return tagged.groupBy(block, F.col("_b").alias("block_no")).agg(*aggs)
+
+def split_blocks(texts: DataFrame, pattern: str, text: str = "text", block: str = "block") -> DataFrame:
+    """The same for texts already in a column: one row per block, numbered from 0."""
+    rest = [c for c in texts.columns if c != text]
+    return texts.select(*rest, F.posexplode(F.split(F.regexp_replace(text, "\r", ""), pattern)).alias("block_no", block))
+
+
+def parse_station_blocks(blocks: DataFrame, keys: dict[str, str], block: str = "block") -> DataFrame:
+    """`Key<TAB>Value` lines of a block -> one row; `keys` maps line keys to columns. Blocks with none of them are left out."""
+    rest = [c for c in blocks.columns if c != block]
+    pairs = F.map_from_entries(F.transform(
+        F.filter(F.split(block, "\n"), lambda x: x.contains("\t")),
+        lambda x: F.struct(F.trim(F.substring_index(x, "\t", 1)), F.trim(F.substring_index(x, "\t", -1)))))
+    out = blocks.withColumn("_m", pairs).select(*rest, *[F.try_element_at("_m", F.lit(k)).alias(c) for k, c in keys.items()])
+    return out.where(F.coalesce(*[F.col(c) for c in keys.values()]).isNotNull())
 
 
-def parse_sections(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """SECTION blocks of river-section files (one row per file): valid profile points with their section.
+def parse_sections(blocks: DataFrame, block: str = "block") -> DataFrame:
+    """Blocks after a SECTION line -> valid profile points with their section.
 
-    A block is SECTION, name, chainage, point count and that many point lines; blocks whose
-    header does not parse and points with fewer than 6 fields are left out.
+    A block is name, chainage, point count and that many point lines; blocks whose header does
+    not parse and points with fewer than 6 fields are left out. Each block is parsed on its own.
     """
-    lines = files.select(path, F.posexplode(F.split(F.regexp_replace(text, "\r", ""), "\n")).alias("no", "line"))
-    w = Window.partitionBy(path).orderBy("no")
-    lines = lines.withColumn("_s", (F.trim("line") == "SECTION").cast("int"))
-    lines = lines.withColumn("section_no", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("section_no > 0")
-    ws = Window.partitionBy(path, "section_no").orderBy("no")
-    pos = lines.withColumn("k", F.row_number().over(ws) - 1)
-    head = pos.where("k between 1 and 3").groupBy(path, "section_no").agg(
-        F.max(F.when(F.col("k") == 1, F.trim("line"))).alias("section"), F.max(F.when(F.col("k") == 2, F.trim("line"))).try_cast("double").alias("chainage"),
-        F.max(F.when(F.col("k") == 3, F.trim("line"))).try_cast("int").alias("n_points"))
+    rest = [c for c in blocks.columns if c != block]
+    lines = F.split(F.regexp_replace(block, "\r", ""), "\n")
+    at = lambda i: F.trim(F.get("_l", F.lit(i)))
+    head = blocks.withColumn("_l", lines).select(
+        *rest, at(0).alias("section"), at(1).try_cast("double").alias("chainage"), at(2).try_cast("int").alias("n_points"), F.slice("_l", 4, F.greatest(F.size("_l"), F.lit(1))).alias("_pts"))
     head = head.where(F.col("chainage").isNotNull() & F.col("n_points").isNotNull())
-    f = F.split(F.trim("line"), r"\s+")
-    num = lambda i: F.get(f, F.lit(i)).try_cast("double")
-    pts = pos.where("k > 3").select(
-        path, "section_no", (F.col("k") - 4).alias("i"), F.size(f).alias("_n"), num(0).alias("dist_m"), num(1).alias("level"), F.rtrim(F.get(f, F.lit(2)), F.lit("*")).try_cast("double").alias("manning"),
-        F.contains(F.get(f, F.lit(2)), F.lit("*")).alias("panel_boundary"), num(4).alias("coord_e"), num(5).alias("coord_n"))
-    ok = pts.where((F.col("_n") >= 6) & F.col("dist_m").isNotNull() & F.col("level").isNotNull() & F.col("manning").isNotNull() & F.col("coord_e").isNotNull() & F.col("coord_n").isNotNull()).drop("_n")
-    return ok.join(head, [path, "section_no"]).where(F.col("i") < F.col("n_points"))
+    pts = head.select(*rest, "section", "chainage", "n_points", F.posexplode("_pts").alias("i", "_line")).where(F.col("i") < F.col("n_points"))
+    f = F.split(F.trim("_line"), r"\s+")
+    num = lambda i: F.get("_f", F.lit(i)).try_cast("double")
+    pts = pts.withColumn("_f", f).where(F.size("_f") >= 6).select(
+        *rest, "section", "chainage", "n_points", "i", num(0).alias("dist_m"), num(1).alias("level"), F.rtrim(F.get("_f", F.lit(2)), F.lit("*")).try_cast("double").alias("manning"),
+        F.contains(F.get("_f", F.lit(2)), F.lit("*")).alias("panel_boundary"), num(4).alias("coord_e"), num(5).alias("coord_n"))
+    return pts.dropna(subset=["dist_m", "level", "manning", "coord_e", "coord_n"])
 
 
 # ------------------------------------------------------------------- names
