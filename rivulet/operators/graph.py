@@ -190,7 +190,7 @@ def shortest_distances(edges: DataFrame, max_dist: float, max_rounds: int = 1000
         delta = cut(cand.join(known, ["src", "dst"], "left").where(F.col("_old").isNull() | (F.col("d") < F.col("_old"))).drop("_old"))
         if delta.isEmpty():
             return best.withColumnRenamed("d", "dist_km")
-        best = cut(best.join(delta.select("src", "dst"), ["src", "dst"], "left_anti").unionByName(delta))
+        best = cut(best.join(delta.select("src", "dst"), ["src", "dst"], "left_anti").unionByName(delta), compact=True)
     raise RuntimeError("distances still improving; raise max_rounds")
 
 
@@ -255,7 +255,7 @@ def downstream_edges(sources: DataFrame, edges: DataFrame, max_hops: int = 8, or
             break
         out = won if out is None else out.unionByName(won)
         front = won.select("source", F.col("dst").alias("at"), "path", "lag_steps", "gain")
-        seen = cut(seen.unionByName(won.select("source", F.col("dst").alias("at"))))
+        seen = cut(seen.unionByName(won.select("source", F.col("dst").alias("at"))), compact=True)
     if out is None:
         return front.where("false").select("source", F.col("at").alias("src"), F.col("at").alias("dst"), F.lit(0).alias("hop"), "lag_steps", "gain")
     return out.select("source", "src", "dst", "hop", "lag_steps", "gain")

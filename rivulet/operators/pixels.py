@@ -86,7 +86,7 @@ def first_on_path(flow: DataFrame, marks: DataFrame, max_rounds: int = 40) -> Da
         ahead = state.select(F.col("cell").alias("next"), F.col("next").alias("_n2"), F.col("done").alias("_d2"))
         # a pointer to a cell that dropped out (a path end without a mark) drops out as well
         moved = todo.join(ahead, "next").select("cell", F.col("_n2").alias("next"), F.col("_d2").alias("done"))
-        state = cut(state.where("done").unionByName(moved))
+        state = cut(state.where("done").unionByName(moved), compact=True)
     raise RuntimeError("flow paths longer than 2^max_rounds or cyclic")
 
 
@@ -181,14 +181,22 @@ def opening(mask: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def drop_small_patches(mask: DataFrame, min_pixels: int = 50) -> DataFrame:
-    """Keep 4-connected patches of at least `min_pixels`."""
-    cells = cut(mask.select(cell_id().alias("cell")).distinct())
-    other = cells.select(F.col("cell").alias("dst"))
-    right = cells.select(F.col("cell").alias("src"), (F.col("cell") + 1).alias("dst")).join(other, "dst", "left_semi")
-    down = cells.select(F.col("cell").alias("src"), (F.col("cell") + (1 << 32)).alias("dst")).join(other, "dst", "left_semi")
-    comp = connected_components(right.select("src", "dst").unionByName(down.select("src", "dst")), cells, "cell")
-    size = comp.groupBy("component").agg(F.count(F.lit(1)).alias("patch_size")).where(F.col("patch_size") >= min_pixels)
-    return comp.join(size, "component").select(*_row_col(F.col("cell")), "patch_size")
+    """Keep 4-connected patches of at least `min_pixels`.
+
+    Pixels of a row that touch form a run; components are found among the runs,
+    which are far fewer than the pixels.
+    """
+    m = mask.select(F.col("row").cast("long"), F.col("col").cast("long")).distinct()
+    island = F.col("col") - F.row_number().over(Window.partitionBy("row").orderBy("col"))
+    runs = m.withColumn("_g", island).withColumn("_start", F.min("col").over(Window.partitionBy("row", "_g")))
+    pix = cut(runs.select("row", "col", cell_id("row", "_start").alias("run")))
+    below = pix.select((F.col("row") - 1).alias("row"), "col", F.col("run").alias("dst"))
+    touching = pix.withColumnRenamed("run", "src").join(below, ["row", "col"]).select("src", "dst").distinct()
+    size = pix.groupBy("run").agg(F.count(F.lit(1)).alias("_len"))
+    comp = cut(connected_components(touching, size.select("run"), "run"))
+    patch = size.join(comp, "run").groupBy("component").agg(F.sum("_len").alias("patch_size")).where(F.col("patch_size") >= min_pixels)
+    keep = comp.join(patch, "component").select("run", "patch_size")
+    return pix.join(keep, "run").select("row", "col", "patch_size")
 
 
 def sar_flood_mask(pixels: DataFrame, max_hand: float = 5.0, min_pixels: int = 50, radius: int = 2, change_db: float = -3.0, water_db: float = -15.0) -> DataFrame:

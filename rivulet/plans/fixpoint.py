@@ -18,10 +18,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="rivulet-ckpt-"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the checkpoint folder so that a lost executor costs no recomputation."""
+def cut(df: DataFrame, compact: bool = False) -> DataFrame:
+    """Write the rows to the checkpoint folder so that a lost executor costs no recomputation.
+
+    `compact` rebalances first: loops that add a union per round would otherwise
+    carry ever more, ever smaller partitions.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df.hint("rebalance") if compact else df).checkpoint(eager=True)
 
 
 def until_stable(state: DataFrame, step: Callable[[DataFrame], DataFrame], max_rounds: int = 64) -> DataFrame:
