@@ -136,5 +136,5 @@ def pixel_index(x: Column, origin: float, size: float, n: int) -> Column:
 
 def raster_coordinate(x: Column, lo: Column, hi: Column, inverted: bool = False) -> Column:
     """Position inside [lo, hi] as -1..1; the vertical axis of a raster runs downwards."""
-    out = 2 * (x - lo) / (hi - lo) - 1
+    out = F.try_divide(2 * (x - lo), hi - lo) - 1
     return -out if inverted else out

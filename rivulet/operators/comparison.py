@@ -29,7 +29,7 @@ def summary_table(runs: DataFrame, baseline: DataFrame, metrics: Sequence[str] =
     """Mean +- deviation over seeds with skill against the horizon's baseline."""
     out = seed_summary(runs, ("model", "horizon"), metrics).join(baseline.select("horizon", F.col("nse").alias("_p")), "horizon", "left")
     p = F.coalesce("_p", F.lit(fallback))
-    return out.withColumn("skill", (F.col("nse_mean") - p) / (1 - p)).drop("_p")
+    return out.withColumn("skill", F.try_divide(F.col("nse_mean") - p, 1 - p)).drop("_p")
 
 
 def paired(df: DataFrame, pairs: Sequence[tuple[str, str]], keys: Sequence[str], score: str = "nse") -> DataFrame:

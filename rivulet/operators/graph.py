@@ -118,7 +118,7 @@ def kinematic_lag(edges: DataFrame, nodes: DataFrame, manning: float = 0.035, st
     depth = nodes.select(F.col("node").alias("dst"), F.greatest(F.col("p90") - F.col("datum"), F.lit(0.3)).alias("_depth"))
     e = edges.join(depth, "dst", "left").withColumn("_depth", F.coalesce("_depth", F.lit(1.0)))
     dist = F.col("dist_km") * 1000
-    slope = F.greatest(F.col("elev_drop") / dist, F.lit(0.0001))
+    slope = F.greatest(F.try_divide(F.col("elev_drop"), dist), F.lit(0.0001))
     speed = F.greatest(F.pow(F.col("_depth") * 0.6, F.lit(2 / 3)) * F.sqrt(slope) / manning, F.lit(0.1))
     steps = F.greatest(F.rint(dist / (speed * (5 / 3)) / (step_minutes * 60)).cast("int"), F.lit(1))
     return e.select("src", "dst", F.when(dist < 100, 1).otherwise(steps).alias("kinematic_lag"))

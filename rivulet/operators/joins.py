@@ -154,7 +154,7 @@ def interpolate_lut(columns: DataFrame, lut: DataFrame, width: int | Column, key
     wl = Window.partitionBy(*keys).orderBy("pos")
     n = lut.groupBy(*keys).agg((F.count(F.lit(1)) - 1).alias("_last"))
     seg = lut.withColumn("_next", F.lead("lut").over(wl)).select(*keys, F.col("pos").alias("_pos"), "lut", "_next")
-    at = F.col("col") * F.col("_last") / (width - 1 if isinstance(width, int) else width - F.lit(1))
+    at = F.coalesce(F.try_divide(F.col("col") * F.col("_last"), F.lit(width) - 1 if isinstance(width, int) else width - 1), F.lit(0.0))
     pts = columns.join(n, keys) if keys else columns.withColumn("_last", n.select("_last").scalar())
     pts = pts.withColumn("_at", at).withColumn("_pos", F.floor("_at"))
     frac = F.col("_at") - F.col("_pos")

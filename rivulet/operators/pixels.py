@@ -259,7 +259,7 @@ def raster_qc(pixels: DataFrame, value: str, by: Sequence[str] = (), dark_db: fl
     """Moments, 5th and 95th percentile, valid share and dark share per raster or band."""
     by = list(by)
     v = F.col(value)
-    agg = pixels.groupBy(*by).agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), (F.count(v) / F.count(F.lit(1))).alias("valid_frac"), (F.count_if(v < dark_db) / F.count(v)).alias("dark_frac"))
+    agg = pixels.groupBy(*by).agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), (F.count(v) / F.count(F.lit(1))).alias("valid_frac"), F.try_divide(F.count_if(v < dark_db), F.count(v)).alias("dark_frac"))
     q = exact_quantiles(pixels, by, value, {"p5": 0.05, "p95": 0.95})
     if by:
         return agg.join(q, by)

@@ -82,7 +82,7 @@ def _column_stats(by: list[str]) -> list[Column]:
     v = F.col("value")
     return [
         F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"),
-        (F.count_if(v == 0) / F.count(v) * 100).alias("pct_zero"), (F.count_if(v.isNull()) / F.count(F.lit(1)) * 100).alias("pct_null"),
+        (F.try_divide(F.count_if(v == 0), F.count(v)) * 100).alias("pct_zero"), (F.count_if(v.isNull()) / F.count(F.lit(1)) * 100).alias("pct_null"),
         F.count(F.lit(1)).alias("n"),
     ]
 

@@ -85,9 +85,9 @@ def window_candidates(df: DataFrame, bankfull: DataFrame, sat: str = "sat", rain
         return {f"w_{c}": F.sum(c).over(fr) for c in ("n_s", "s_s", "s_ss", "n_r", "s_r", "nulls", "cells")} | {"w_high": F.max("high").over(fr)}
 
     wide = over_time(per, (), "ts", ahead, after=(t_in - 1) * STEP)
-    mean = F.col("w_s_s") / F.col("w_n_s")
-    std = F.sqrt(F.greatest(F.col("w_s_ss") / F.col("w_n_s") - mean * mean, F.lit(0.0)))
-    proxy = F.least(F.greatest(0.50 + F.col("w_s_r") / F.col("w_n_r") * 0.27, F.lit(0.50)), F.lit(0.99))
+    mean = F.try_divide(F.col("w_s_s"), F.col("w_n_s"))
+    std = F.sqrt(F.greatest(F.try_divide(F.col("w_s_ss"), F.col("w_n_s")) - mean * mean, F.lit(0.0)))
+    proxy = F.least(F.greatest(0.50 + F.try_divide(F.col("w_s_r"), F.col("w_n_r")) * 0.27, F.lit(0.50)), F.lit(0.99))
     wet = F.when((std > 0.01) & (mean > 0.05), mean).otherwise(proxy)
     ok = wet.between(sat_min, sat_max) & (F.coalesce("w_high", F.lit(0)) == 0) & (F.col("w_nulls") <= 0.05 * F.col("w_cells"))
     return wide.select("ts", step_index(source or df).alias("idx"), wet.alias("wetness"), F.coalesce(ok, F.lit(False)).alias("ok"))

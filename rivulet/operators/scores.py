@@ -85,10 +85,10 @@ def kge(df: DataFrame, keys: Sequence[str], valid: str = "valid", min_rows: int
     """Kling-Gupta efficiency with its parts; the bias ratio is null where the observed mean is near zero."""
     d = _known(df, valid)
     agg = d.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.corr("pred", "target").alias("_r"), F.stddev_pop("pred").alias("_sp"), F.stddev_pop("target").alias("_st"),
+        F.count(F.lit(1)).alias("n"), F.covar_pop("pred", "target").alias("_cov"), F.stddev_pop("pred").alias("_sp"), F.stddev_pop("target").alias("_st"),
         F.avg("pred").alias("_mp"), F.avg("target").alias("_mt"))
     enough = F.col("n") >= min_rows
-    r = F.when(enough & ~F.isnan("_r"), F.col("_r"))
+    r = F.when(enough & (F.col("_sp") > 0) & (F.col("_st") > 0), F.col("_cov") / (F.col("_sp") * F.col("_st")))
     alpha = F.when(enough & (F.col("_st") > 1e-10), F.col("_sp") / F.col("_st"))
     beta = F.when(enough & (F.abs("_mt") > mean_floor), F.col("_mp") / F.col("_mt"))
     out = agg.select(*keys, "n", r.alias("r"), alpha.alias("alpha"), beta.alias("beta"))

@@ -125,8 +125,13 @@ def reference_discharge(train: DataFrame, value: str, floor: float = 0.01) -> Da
 
 # ---------------------------------------------------------- distributions
 def histogram(df: DataFrame, keys: Sequence[str], value: str, bins: int = 80) -> DataFrame:
-    """Equal bins between minimum and maximum of each key; the last bin is closed; density integrates to 1."""
+    """Equal bins between minimum and maximum of each key; the last bin is closed; density integrates to 1.
+
+    A constant series gets a range of half a unit to both sides.
+    """
     span = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("_n"))
+    pad = F.when(F.col("_lo") == F.col("_hi"), 0.5).otherwise(0.0)
+    span = span.withColumn("_pad", pad).withColumn("_lo", F.col("_lo") - F.col("_pad")).withColumn("_hi", F.col("_hi") + F.col("_pad")).drop("_pad")
     width = (F.col("_hi") - F.col("_lo")) / bins
     binned = df.where(F.col(value).isNotNull()).join(span, list(keys)).withColumn("bin", F.least(F.floor((F.col(value) - F.col("_lo")) / width), F.lit(bins - 1)))
     out = binned.groupBy(*keys, "bin", "_lo", "_hi", "_n").agg(F.count(F.lit(1)).alias("n"))

@@ -121,7 +121,7 @@ def best_windows(t):
 
 @query(
     "e21_outage_score",
-    f"""WITH {WIN}, b AS (SELECT window_id, count(*) AS n, stddev_pop(value) AS s, arg_max(value, local_step) AS fz FROM wv WHERE series_id = 'view' AND local_step < 36 GROUP BY 1)
+    f"""WITH {WIN}, b AS (SELECT window_id, count(*) FILTER (WHERE local_step < 36) AS n, stddev_pop(value) FILTER (WHERE local_step < 36) AS s, arg_max(value, local_step) FILTER (WHERE local_step < 36) AS fz FROM wv WHERE series_id = 'view' GROUP BY 1)
 SELECT w.window_id, {s6('CASE WHEN any_value(n) >= 3 THEN avg(abs(value - fz)) / (any_value(s) + 1e-6) ELSE 0 END')} AS score FROM wv w JOIN b USING (window_id) WHERE series_id = 'view' AND local_step >= 36 GROUP BY 1""",
 )
 def outage_score(t):
