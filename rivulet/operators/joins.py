@@ -95,18 +95,18 @@ def closest_section(assigned: DataFrame, gauge: str = "ref", section: str = "sec
 def sample_raster(nodes: DataFrame, pixels: DataFrame, node: str, value: str, by: Sequence[str] = (), row: str = "row", col: str = "col") -> DataFrame:
     """Pixel value of each node, else the median of its 3x3 neighbourhood, else the raster's median.
 
-    `nodes` carries row and col; with `by` (an event or image id in `pixels`) every node is sampled in every image.
+    `nodes` carries row and col. With `by` (an event or image id in `pixels`) every node is
+    sampled in every image that has a pixel, valid or not, in its neighbourhood.
     """
     by = list(by)
     offs = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr in (-1, 0, 1) for dc in (-1, 0, 1)])
     spots = nodes.select(node, row, col).withColumn("_o", F.explode(offs)).select(
         node, (F.col(row) + F.col("_o.dr")).alias(row), (F.col(col) + F.col("_o.dc")).alias(col), ((F.col("_o.dr") == 0) & (F.col("_o.dc") == 0)).alias("_centre"))
-    hits = pixels.where(F.col(value).isNotNull()).select(*by, row, col, F.col(value).alias("_v")).join(spots, [row, col])
+    hits = pixels.select(*by, row, col, F.col(value).alias("_v")).join(spots, [row, col])
     local = hits.groupBy(*by, node).agg(F.max(F.when(F.col("_centre"), F.col("_v"))).alias("_own"), F.percentile("_v", 0.5).alias("_patch"))
     overall = exact_quantiles(pixels, by, value, {"_all": 0.5})
     if by:
-        every = overall.withColumn("_k", F.lit(1)).join(nodes.select(node).withColumn("_k", F.lit(1)), "_k").drop("_k")
-        out = every.join(local, [*by, node], "left")
+        out = local.join(overall, by, "left")
     else:
         out = nodes.select(node).join(local, node, "left").withColumn("_all", overall.select("_all").scalar())
     how = F.when(F.col("_own").isNotNull(), "pixel").when(F.col("_patch").isNotNull(), "patch").otherwise("raster")

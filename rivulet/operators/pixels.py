@@ -120,7 +120,7 @@ def inundation(pixels: DataFrame, stages: DataFrame, fixed_hand: float | None =
     return wet.select("ts", "row", "col").distinct()
 
 
-def inundated_area(pixels: DataFrame, stages: DataFrame, cell_km2: float, columns: Sequence[str] = ("pred", "obs")) -> DataFrame:
+def inundated_area(pixels: DataFrame, stages: DataFrame, cell_km2: float, columns: Sequence[str] = ("pred", "obs"), band: float = 0.25) -> DataFrame:
     """Wet area per (event, ts) for several stage columns, without forming pixel x time.
 
     Per node the pixels become a table of HAND value and count; a stage row
@@ -132,8 +132,12 @@ def inundated_area(pixels: DataFrame, stages: DataFrame, cell_km2: float, column
         F.struct(F.lit(c).alias("side"), F.when(F.col(c) >= F.col("bankfull"), F.col(c)).cast("double").alias("h")) for c in columns])).alias("_a")).where("_a.h is not null")
     both = counts.select("node", "_h", "_c", F.lit(0).alias("_kind"), F.lit(None).cast(stages.schema["event_id"].dataType).alias("event_id"), F.lit(None).cast(stages.schema["ts"].dataType).alias("ts"), F.lit(None).cast("string").alias("side"))
     both = both.unionByName(asks.select("node", F.col("_a.h").alias("_h"), F.lit(0).cast("long").alias("_c"), F.lit(1).alias("_kind"), "event_id", "ts", F.col("_a.side").alias("side")))
-    w = Window.partitionBy("node").orderBy("_h", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    hit = both.withColumn("_n", F.sum("_c").over(w)).where("_kind = 1")
+    # pixels per height band first, then the order inside a band only: no node is one task's work
+    both = both.withColumn("_band", F.floor(F.col("_h") / band))
+    below = Window.partitionBy("node").orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
+    bands = both.groupBy("node", "_band").agg(F.sum("_c").alias("_n")).select("node", "_band", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_lower"))
+    w = Window.partitionBy("node", "_band").orderBy("_h", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    hit = both.withColumn("_n", F.sum("_c").over(w)).where("_kind = 1").join(bands, ["node", "_band"]).withColumn("_n", F.col("_n") + F.col("_lower"))
     frames = stages.select("event_id", "ts").distinct()
     area = hit.groupBy("event_id", "ts").agg(*[(F.sum(F.when(F.col("side") == c, F.col("_n"))) * cell_km2).alias(f"area_{c}_km2") for c in columns])
     return frames.join(area, ["event_id", "ts"], "left").fillna(0.0, [f"area_{c}_km2" for c in columns])

@@ -171,30 +171,34 @@ def correlation_matrix(grid: DataFrame, key: str = "series_id", ts: str = "ts",
 
 
 def lagged_products(series: DataFrame, pairs: DataFrame, lo: int, hi: int, step: int, key: str = "series_id", ts: str = "ts", value: str = "value", block_steps: int = 2880) -> DataFrame:
-    """sum over s of b[s + lag] * a[s] for every pair and lag in [lo, hi]; missing terms count as 0.
+    """sum over s of b[s + lag] * a[s] for every pair (a, b) and lag in [lo, hi]; missing terms count as 0."""
+    base = series.where(F.col(value).isNotNull() & (F.col(value) != 0)).select(F.col(key).alias("_k"), micros(ts).alias("us"), F.col(value).cast("double").alias("v"))
+    one = lambda side: base.join(pairs.select("a", "b"), F.col("_k") == F.col(side)).select("a", "b", "us", "v")
+    return _lag_sums(one("a"), one("b"), lo, hi, step, block_steps)
+
 
-    Work is split by (pair, time block): the block's own `a` values meet the `b` values
-    of the block widened by the lag range, one short vector product per lag.
+def _lag_sums(left: DataFrame, right: DataFrame, lo: int, hi: int, step: int, block_steps: int = 2880) -> DataFrame:
+    """Lagged sums of products from rows (a, b, us, v) of both sides.
+
+    Work is split by (pair, time block): a block's own left values meet the right
+    values of the block widened by the lag range, one short vector product per lag.
     """
     size = block_steps * step
-    base = series.where(F.col(value).isNotNull() & (F.col(value) != 0)).select(F.col(key).alias("_k"), micros(ts).alias("us"), F.col(value).cast("double").alias("v"))
-    a = base.join(pairs.select("a", "b"), F.col("_k") == F.col("a")).select("a", "b", "us", "v", F.lit(0).alias("side")).withColumn("blk", fdiv(F.col("us"), size))
-    b = base.join(pairs.select("a", "b"), F.col("_k") == F.col("b")).select("a", "b", "us", "v", F.lit(1).alias("side")).withColumn(
+    a = left.select("a", "b", "us", "v", F.lit(0).alias("side")).withColumn("blk", fdiv(F.col("us"), size))
+    b = right.select("a", "b", "us", "v", F.lit(1).alias("side")).withColumn(
         "blk", F.explode(F.sequence(fdiv(F.col("us") - hi * step, size), fdiv(F.col("us") - lo * step, size))))
-    kt = series.schema[key].dataType.simpleString()
+    types = {f.name: f.dataType.simpleString() for f in left.schema}
 
     def dot(key_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        start = key_[2] * size
-        at = ((pdf["us"].to_numpy() - start) // step).astype(int)
+        at = ((pdf["us"].to_numpy() - key_[2] * size) // step).astype(int)
         side, v = pdf["side"].to_numpy(), pdf["v"].to_numpy()
-        x = np.zeros(block_steps)
-        y = np.zeros(block_steps + hi - lo)
+        x, y = np.zeros(block_steps), np.zeros(block_steps + hi - lo)
         x[at[side == 0]] = v[side == 0]
         y[at[side == 1] - lo] = v[side == 1]
         sums = [float(x @ y[k : k + block_steps]) for k in range(hi - lo + 1)]
         return pd.DataFrame({"a": key_[0], "b": key_[1], "lag": range(lo, hi + 1), "s": sums})
 
-    parts = a.unionByName(b).groupBy("a", "b", "blk").applyInPandas(dot, f"a {kt}, b {kt}, lag int, s double")
+    parts = a.unionByName(b).groupBy("a", "b", "blk").applyInPandas(dot, f"a {types['a']}, b {types['b']}, lag int, s double")
     return parts.groupBy("a", "b", "lag").agg(F.sum("s").alias("s"))
 
 
@@ -227,11 +231,9 @@ def routing_lags(series: DataFrame, pairs: DataFrame, max_lag: int = 48, step: i
     st = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_valid"), F.stddev_pop("va").alias("_sa"), F.stddev_pop("vb").alias("_sb"))
     p80 = exact_quantiles(both, ["a", "b"], "ra", {"_p80": 0.8})
     high = both.join(p80, ["a", "b"]).groupBy("a", "b").agg(F.count_if(F.col("ra") > F.col("_p80")).alias("n_high"))
-    tag = lambda c: F.to_json(F.struct(F.col("a"), F.col("b"), F.lit(c).alias("side")))
-    long = both.select(tag("a").alias("k"), ts, F.col("va").alias("v")).unionByName(both.select(tag("b").alias("k"), ts, F.col("vb").alias("v")))
-    keyed = pairs.select("a", "b").select(tag("a").alias("ka"), tag("b").alias("kb"), "a", "b")
-    sums = lagged_products(long, keyed.select(F.col("ka").alias("a"), F.col("kb").alias("b")), -max_lag, max_lag, step, "k", ts, "v")
-    peak = sums.groupBy("a", "b").agg(F.max(F.struct("s", (-F.col("lag")).alias("neg"))).alias("_m")).withColumnsRenamed({"a": "ka", "b": "kb"}).join(keyed, ["ka", "kb"])
+    at = micros(ts).alias("us")
+    sums = _lag_sums(both.select("a", "b", at, F.col("va").alias("v")), both.select("a", "b", at, F.col("vb").alias("v")), -max_lag, max_lag, step)
+    peak = sums.groupBy("a", "b").agg(F.max(F.struct("s", (-F.col("lag")).alias("neg"))).alias("_m"))
     out = st.join(peak, ["a", "b"], "left").join(high, ["a", "b"], "left")
     corr = F.col("_m.s") / (F.col("_sa") * F.col("_sb") * F.col("n_valid") + 1e-8)
     lag = -F.col("_m.neg")

@@ -1,2 +1,2 @@
 """Plan-shape helpers: bounded windows, runs, interval and nearest joins,
-exact quantiles and checkpointed fixed-point loops."""
+exact quantiles and ranks, reliable lineage cuts."""

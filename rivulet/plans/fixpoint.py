@@ -1,12 +1,9 @@
-"""Reliable lineage cuts and loops that run until nothing changes."""
+"""Reliable lineage cuts for loops and for values that two branches must share."""
 
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -26,18 +23,3 @@ def cut(df: DataFrame, compact: bool = False) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return (df.hint("rebalance") if compact else df).checkpoint(eager=True)
-
-
-def until_stable(state: DataFrame, step: Callable[[DataFrame], DataFrame], max_rounds: int = 64) -> DataFrame:
-    """Apply `step` until its `changed` column is false everywhere.
-
-    `step` returns the next state plus a boolean `changed`; the state itself
-    is handed over without that column.
-    """
-    state = cut(state)
-    for _ in range(max_rounds):
-        nxt = cut(step(state))
-        state = nxt.drop("changed")
-        if nxt.where(F.col("changed")).isEmpty():
-            return state
-    raise RuntimeError(f"no fixed point after {max_rounds} rounds")

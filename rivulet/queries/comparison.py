@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rivulet.operators import comparison, scores
 
 from .base import FORECAST, forecast, query, r6, s6
-from .scores import KGE, NODE_AGG, POD, RUN
+from .scores import KGE, NODE_AGG, RUN
 
 
 def _round(df, *cols):
@@ -251,6 +251,3 @@ def degradation_table(t):
     real = scores.pooled_scores(forecast(t), RUN).select(*RUN, F.col("rmse").alias("real"))
     d = scenario_runs(t).join(real, list(RUN)).withColumn("ratio", F.col("rmse") / F.col("real"))
     return _round(comparison.seed_summary(d, ("scenario", "model", "horizon"), ("ratio", "rmse")), "ratio_mean", "ratio_std", "rmse_mean", "rmse_std")
-
-
-_ = POD

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rivulet.functions import expr as X
 from rivulet.operators import timegrid, windows
 from rivulet.plans.timechunks import HOUR, STEP
 
@@ -90,7 +89,26 @@ def local_maxima(t):
     return _round(windows.local_maxima(g, F.lit(60.0)), "value")
 
 
-@query("e12_thinned_peaks")
+def peak_ctes(source: str, name: str, sep_us: int) -> str:
+    """CTEs that find local maxima of `source`(k, ts, value, floor_value) and thin them greedily: `name`(k, us, value).
+
+    Written for WITH RECURSIVE; the walk goes through the peaks of a key from the highest down.
+    """
+    return f"""{name}_r AS (SELECT k, ts, value, floor_value, row_number() OVER (PARTITION BY k ORDER BY ts) AS i FROM {source}),
+{name}_c AS (SELECT *, i - row_number() OVER (PARTITION BY k, value ORDER BY i) AS island FROM {name}_r),
+{name}_p AS (SELECT k, value, any_value(floor_value) AS fv, min(i) AS a, max(i) AS z FROM {name}_c GROUP BY k, value, island),
+{name}_m AS (SELECT p.k, epoch_us(m.ts) AS us, p.value FROM {name}_p p JOIN {name}_r l ON l.k = p.k AND l.i = p.a - 1 JOIN {name}_r n ON n.k = p.k AND n.i = p.z + 1 JOIN {name}_r m ON m.k = p.k AND m.i = (p.a + p.z) // 2 WHERE p.value > l.value AND p.value > n.value AND p.value >= p.fv),
+{name}_o AS (SELECT k, us, value, row_number() OVER (PARTITION BY k ORDER BY value DESC, us DESC) AS r FROM {name}_m),
+{name}_w(k, r, kept) AS (SELECT DISTINCT k, 0::BIGINT, []::BIGINT[] FROM {name}_o UNION ALL
+  SELECT w.k, o.r, CASE WHEN len(list_filter(w.kept, lambda x: abs(x - o.us) < {sep_us})) = 0 THEN list_append(w.kept, o.us) ELSE w.kept END FROM {name}_w w JOIN {name}_o o ON o.k = w.k AND o.r = w.r + 1),
+{name}_k AS (SELECT k, unnest(kept) AS us FROM (SELECT k, arg_max(kept, r) AS kept FROM {name}_w GROUP BY 1)),
+{name} AS (SELECT o.k, o.us, o.value FROM {name}_o o JOIN {name}_k USING (k, us))"""
+
+
+FOUR_HOURS = 4 * 3_600_000_000
+
+
+@query("e12_thinned_peaks", f"""WITH RECURSIVE {SLOTS}, src AS (SELECT series_id AS k, ts, coalesce(value, 0) AS value, 60 AS floor_value FROM grid), {peak_ctes('src', 'tp', FOUR_HOURS)} SELECT k AS series_id, make_timestamp(us) AS ts, {s6('value')} AS value FROM tp""")
 def thinned_peaks(t):
     g = grid(t).withColumn("value", F.coalesce("value", F.lit(0.0)))
     return _round(windows.thin_peaks(windows.local_maxima(g, F.lit(60.0)), 4 * HOUR), "value")
@@ -103,7 +121,16 @@ def shifted_forecast(t):
     return g, pred
 
 
-@query("e13_peak_timing_error")
+def timing_ctes(window: bool) -> str:
+    """Observed and predicted thinned peaks and, per observed one, the nearest predicted one within two days: `tm`."""
+    key = "series_id || '#' || ((epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM grid)) // 900000000 // 104)" if window else "series_id"
+    return f"""obs0 AS (SELECT series_id, ts, coalesce(value, 0) AS value FROM grid), pred0 AS (SELECT series_id, ts + INTERVAL 45 MINUTE AS ts, value * 0.8::DOUBLE AS value FROM obs0),
+osrc AS (SELECT {key} AS k, ts, value, 90 AS floor_value FROM obs0), psrc AS (SELECT {key} AS k, ts, value, 0 AS floor_value FROM pred0),
+{peak_ctes('osrc', 'op', FOUR_HOURS)}, {peak_ctes('psrc', 'pp', FOUR_HOURS)},
+tm AS (SELECT o.k, o.us, any_value(o.value) AS obs_peak, arg_min(p.us - o.us, {{'d': abs(p.us - o.us), 'g': p.us - o.us}}) / 3600000000.0::DOUBLE AS error_h FROM op o LEFT JOIN pp p ON p.k = o.k AND abs(p.us - o.us) <= 172800000000 GROUP BY 1, 2)"""
+
+
+@query("e13_peak_timing_error", f"""WITH RECURSIVE {SLOTS}, {timing_ctes(False)} SELECT k AS series_id, make_timestamp(us) AS obs_ts, {s6('obs_peak')} AS obs_peak, error_h, abs(error_h) AS abs_error_h FROM tm""")
 def peak_timing_error(t):
     obs, pred = shifted_forecast(t)
     op = windows.thin_peaks(windows.local_maxima(obs, F.lit(90.0)), 4 * HOUR)
@@ -230,6 +257,3 @@ def histogram(t):
 def event_report(t):
     g = grid(t, "1 hour").where("series_id = 'view'")
     return _round(timegrid.clip_period(g, "2024-01-10 00:00:00", "2024-01-12 12:00:00"), "value").select("series_id", "ts", "value")
-
-
-_ = X

@@ -127,7 +127,7 @@ def sample_raster(t):
 @query(
     "j26_sample_matrix",
     f"""WITH {HOLES}, e AS (SELECT event_id, median(v) AS m FROM px GROUP BY 1),
-h AS (SELECT e.event_id, nd.node, any_value(e.m) AS m, max(v) FILTER (WHERE px."row" = nd."row" AND px.col = nd.col) AS own, median(v) AS patch FROM e CROSS JOIN nd LEFT JOIN px ON px.event_id = e.event_id AND abs(px."row" - nd."row") <= 1 AND abs(px.col - nd.col) <= 1 GROUP BY 1, 2)
+h AS (SELECT e.event_id, nd.node, any_value(e.m) AS m, max(v) FILTER (WHERE px."row" = nd."row" AND px.col = nd.col) AS own, median(v) AS patch FROM e CROSS JOIN nd JOIN px ON px.event_id = e.event_id AND abs(px."row" - nd."row") <= 1 AND abs(px.col - nd.col) <= 1 GROUP BY 1, 2)
 SELECT event_id, node, {s6('coalesce(own, patch, m)')} AS v, CASE WHEN own IS NOT NULL THEN 'pixel' WHEN patch IS NOT NULL THEN 'patch' ELSE 'raster' END AS source, 3::BIGINT AS n_events, true AS enough FROM h""",
 )
 def sample_matrix(t):

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rivulet.operators import quality, timegrid
-from rivulet.plans.timechunks import HOUR
 
 from .base import FORECAST, READINGS, SLOTS, forecast, grid, query, r6, readings, s6
 
@@ -258,6 +257,3 @@ def score_gap(t):
     a = scores.pooled_scores(f.where("valid"), keys)
     b = scores.pooled_scores(f, keys)
     return quality.score_gap(a, b, keys, tolerance=0.01).withColumns({c: r6(c) for c in ("recomputed", "stored", "gap")})
-
-
-_ = HOUR

@@ -174,7 +174,10 @@ def drop_small_patches(t):
     return px.drop_small_patches(px.opening(_mask(t)), 100)
 
 
-@query("g16_sar_flood_mask")
+DARK = PATCH.replace("\"row\" // 12 + col // 10) % 2 = 0 AND tag % 60 <> 0 OR tag % 4 = 0)", "\"row\" // 12 + col // 10) % 2 = 0 AND tag % 60 <> 0)")
+
+
+@query("g16_sar_flood_mask", f'{DARK} SELECT r AS "row", c AS col, patch_size FROM cl JOIN sz USING (id) JOIN pixels p ON p."row" = r AND p.col = c WHERE patch_size >= 50 AND hand <= 5')
 def sar_flood_mask(t):
     p = pixels(t)
     dark = F.expr("(floor(row / 12) + floor(col / 10)) % 2 = 0 and tag % 60 <> 0")

@@ -8,7 +8,7 @@ from rivulet.operators import scenarios, scores, timegrid, windows
 from rivulet.plans.timechunks import HOUR, STEP, fdiv, micros
 
 from .base import FORECAST, SLOTS, forecast, grid, query, r6, s6
-from .events import shifted_forecast
+from .events import shifted_forecast, timing_ctes
 
 
 def _round(df, *cols):
@@ -204,13 +204,25 @@ def _gridded_forecast(t):
     return both.withColumn("valid", F.lit(True)).withColumn("node", F.col("series_id"))
 
 
-@query("k15_extended_record")
+@query(
+    "k15_extended_record",
+    f"""WITH RECURSIVE {SLOTS}, {timing_ctes(False)}, tq AS (SELECT k, avg(abs(error_h)) AS m, quantile_cont(abs(error_h), 0.5) AS md, count(*) AS n FROM tm WHERE error_h IS NOT NULL GROUP BY 1),
+f AS (SELECT o.series_id, o.value AS t, p.value AS p FROM obs0 o JOIN pred0 p ON p.series_id = o.series_id AND p.ts = o.ts), g AS (SELECT series_id, corr(p, t) AS r, stddev_pop(p) / stddev_pop(t) AS a, avg(p) / avg(t) AS b,
+  count(*) FILTER (WHERE p >= 90 AND t >= 90) AS tp, count(*) FILTER (WHERE p >= 90 AND t < 90) AS fp, count(*) FILTER (WHERE p < 90 AND t >= 90) AS fn, count(*) FILTER (WHERE p < 90 AND t < 90) AS tn FROM f GROUP BY 1)
+SELECT series_id, {s6('1 - sqrt(pow(r - 1, 2) + pow(a - 1, 2) + pow(b - 1, 2))')} AS kge, {s6('r')} AS r, {s6('a')} AS alpha, {s6('b')} AS beta, tp, fp, fn, tn, {s6('tp / (tp + fn + 1e-8)')} AS pod, {s6('fp / (tp + fp + 1e-8)')} AS far,
+  {s6('m')} AS peak_timing_mean_hr, {s6('md')} AS peak_timing_median_hr, n AS peak_timing_n_events FROM g JOIN tq ON tq.k = series_id""",
+)
 def extended_record(t):
     f = _gridded_forecast(t)
     k = scores.kge(f, ("series_id",)).select("series_id", "kge", "r", "alpha", "beta")
-    return scenarios.extended_record(k, scores.pod_far(f, ("series_id",), F.lit(90.0)), _timing(t), ("series_id",))
+    out = scenarios.extended_record(k, scores.pod_far(f, ("series_id",), F.lit(90.0)), _timing(t), ("series_id",))
+    return _round(out, "kge", "r", "alpha", "beta", "pod", "far", "peak_timing_mean_hr", "peak_timing_median_hr")
 
 
-@query("k41_window_timing")
+@query(
+    "k41_window_timing",
+    f"""WITH RECURSIVE {SLOTS}, {timing_ctes(True)}, w AS (SELECT k, split_part(k, '#', 1) AS series_id, avg(abs(error_h)) AS m, quantile_cont(abs(error_h), 0.5) AS md, count(*) AS n FROM tm WHERE error_h IS NOT NULL GROUP BY 1, 2)
+SELECT series_id, {s6('sum(m * n) / sum(n)')} AS timing_mean_h, CAST(sum(n) AS BIGINT) AS n_events, {s6('quantile_cont(md, 0.5)')} AS timing_median_h FROM w GROUP BY 1""",
+)
 def window_timing(t):
-    return scores.weighted_timing(_timing(t, ("series_id", "window_id")), ("series_id",))
+    return _round(scores.weighted_timing(_timing(t, ("series_id", "window_id")), ("series_id",)), "timing_mean_h", "timing_median_h")

@@ -30,5 +30,8 @@ def coverage_record(grid: DataFrame, ts: str = "ts", key: str = "series_id", val
 
 
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str], fmt: str = "parquet", mode: str = "errorifexists") -> None:
-    """Write partitioned by low-cardinality columns; rows are spread by (columns, hash) so no partition value is one task."""
-    df.write.mode(mode).format(fmt).partitionBy(*by).save(path)
+    """Write partitioned by low-cardinality columns.
+
+    Rebalancing on them keeps one partition value in few files and still splits a value that holds very many rows.
+    """
+    df.hint("rebalance", *by).write.mode(mode).format(fmt).partitionBy(*by).save(path)
