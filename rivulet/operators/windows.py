@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from rivulet.functions import expr as X
@@ -21,10 +21,27 @@ SERIES = ("series_id",)
 
 
 # --------------------------------------------------------------- features
+def _trailing(value: str, whole: WindowSpec, gone: WindowSpec) -> tuple[Column, Column]:
+    """Sum and count of a trailing frame as the difference of two growing frames.
+
+    A sliding frame is evaluated anew for every row (672 values for seven days of quarter hours);
+    growing frames only ever add a row, so the cost no longer depends on the frame's length.
+    """
+    total = F.sum(value).over(whole) - F.coalesce(F.sum(value).over(gone), F.lit(0.0))
+    return total, F.count(value).over(whole) - F.count(value).over(gone)
+
+
+def _trailing_mean(w: WindowSpec, value: str, reach: int, shift: int = 0) -> Column:
+    """Mean over (t + shift - reach, t + shift], nulls skipped."""
+    first = Window.unboundedPreceding
+    total, n = _trailing(value, w.rangeBetween(first, shift), w.rangeBetween(first, shift - reach))
+    return F.when(n > 0, total / n)
+
+
 def stage_anomaly(grid: DataFrame, keys: Sequence[str] = SERIES, ts: str = "ts", value: str = "value", days: int = 7) -> DataFrame:
     """Value minus its trailing mean over (t - days, t], nulls skipped."""
     reach = days * DAY
-    return over_time(grid, keys, ts, lambda w: {"stage_anomaly": F.col(value) - F.avg(value).over(w.rangeBetween(-reach + 1, 0))}, before=reach)
+    return over_time(grid, keys, ts, lambda w: {"stage_anomaly": F.col(value) - _trailing_mean(w, value, reach)}, before=reach)
 
 
 def rate_of_change(grid: DataFrame, keys: Sequence[str] = SERIES, ts: str = "ts", value: str = "value", per_hour: int = 4) -> DataFrame:
@@ -53,10 +70,10 @@ def gauge_features(grid: DataFrame, keys: Sequence[str] = SERIES, days: int = 7,
     and the target share one window partitioning, so the grid is shuffled once.
     """
     reach = days * DAY
-    anomaly = lambda w: F.col("level") - F.avg("level").over(w.rangeBetween(-reach + 1, 0))
+    anomaly = lambda w: F.col("level") - _trailing_mean(w, "level", reach)
     # the target is the anomaly one step ahead: its trailing mean is the same frame moved by that step
     ahead = horizon * STEP
-    target = lambda w: F.lead("level", horizon).over(w) - F.avg("level").over(w.rangeBetween(-reach + 1 + ahead, ahead))
+    target = lambda w: F.lead("level", horizon).over(w) - _trailing_mean(w, "level", reach, ahead)
     wide = over_time(
         grid, keys, "ts",
         lambda w: {
@@ -78,7 +95,13 @@ def gauge_features(grid: DataFrame, keys: Sequence[str] = SERIES, days: int = 7,
 
 
 def rolling_sum(grid: DataFrame, rows: int, step: int, keys: Sequence[str] = SERIES, ts: str = "ts", value: str = "value") -> DataFrame:
-    return over_time(grid, keys, ts, lambda w: {"rolling": F.sum(value).over(w.rowsBetween(-(rows - 1), 0))}, before=(rows - 1) * step)
+    """Sum of the last `rows` steps; null where none of them has a value."""
+    def cols(w):
+        first = Window.unboundedPreceding
+        total, n = _trailing(value, w.rowsBetween(first, 0), w.rowsBetween(first, -rows))
+        return {"rolling": F.when(n > 0, total)}
+
+    return over_time(grid, keys, ts, cols, before=rows * step)
 
 
 def horizon_label(df: DataFrame, horizon: int, threshold: Column, keys: Sequence[str] = SERIES, ts: str = "ts", value: str = "value", valid: str = "valid", step: int = STEP) -> DataFrame:
