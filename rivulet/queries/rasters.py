@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rivulet.operators import joins, pixels as px, quality
+from rivulet.plans.fixpoint import cut
 
 from .base import FLOOD_LABELS, NODES, PIXELS, flood_labels, nodes, pixels, query, r6, s6
 
@@ -59,7 +60,7 @@ def stream_fallback(t):
 )
 def hand(t):
     """The first stream cell on a descending path is the highest one on it."""
-    flow = _flow(t)
+    flow = cut(_flow(t))
     return _round(px.height_above_drainage(pixels(t), flow, px.stream_cells(px.flow_accumulation(flow), 60)), "hand")
 
 
@@ -78,7 +79,7 @@ LEFT JOIN (SELECT r0, c0, arg_max(node, {{'z': z, 'n': -node}}) AS node FROM (SE
 LEFT JOIN (SELECT p."row" AS r, p.col AS c, arg_min(s.node, {{'d': sqrt(pow(CAST(p."row" - s.r AS DOUBLE), 2) + pow(CAST(p.col - s.c AS DOUBLE), 2)), 'n': s.node}}) AS node FROM pixels p JOIN spots s ON sqrt(pow(CAST(p."row" - s.r AS DOUBLE), 2) + pow(CAST(p.col - s.c AS DOUBLE), 2)) <= 12 GROUP BY 1, 2) n ON n.r = f.r AND n.c = f.c""").replace("down(r0", SPOTS + ", down(r0"),
 )
 def catchments(t):
-    flow = _flow(t)
+    flow = cut(_flow(t))
     s = _spots(t).withColumns({"y": F.col("row").cast("double"), "x": F.col("col").cast("double")})
     pts = flow.select("row", "col", F.col("row").cast("double").alias("y"), F.col("col").cast("double").alias("x"))
     near = joins.nearest_within(pts, s.select("node", "y", "x"), ("y", "x"), "node", 12.0, ("row", "col"))
