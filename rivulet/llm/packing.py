@@ -7,13 +7,14 @@ batch drawn from one bucket needs no padding, and no sequence holds two document
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rivulet.llm.common import own_name, with_columns_by
 from rivulet.llm.tokens import json_codec
 
 #: Token after each document.
@@ -27,10 +28,10 @@ def piece_lengths(n: int, longest: int) -> list[int]:
     return [longest] * (n // longest) + [1 << k for k in range(longest.bit_length() - 2, -1, -1) if n % longest >> k & 1]
 
 
-PIECE = T.StructType([
-    T.StructField("start", T.LongType(), False), T.StructField("length", T.LongType(), False), T.StructField("ids_crc32", T.LongType(), False),
-    T.StructField("doc_tokens", T.LongType(), False), T.StructField("ids", T.ArrayType(T.IntegerType(), False), True),
-])
+FIELDS = (
+    T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()),
+    T.StructField("doc_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False)),
+)
 
 
 def pack(docs: DataFrame, path: str, pattern: str, longest: int = 2048, text: str = "text", with_ids: bool = True) -> DataFrame:
@@ -39,32 +40,41 @@ def pack(docs: DataFrame, path: str, pattern: str, longest: int = 2048, text: st
     A document's tokens are those of its whole text, as the tokeniser of the JSON file `path` gives
     them, then END_ID; a null text is empty, so every document has at least one piece.
     `length` is also the bucket. `offset` is 0, as each piece is a sequence. Sequence
-    ids are unique. Columns named like the new ones are replaced. Texts are dropped, and
+    ids are unique. Columns named like the new ones are replaced, and the text is dropped.
     `with_ids=False` leaves ids null for callers that need the layout only. Nothing is shuffled.
     """
-    pieces = own_name(docs, "pieces__")
+    new = {f.name for f in FIELDS} | {"sequence_id", "offset"}
+    keep = [c for c in docs.columns if c.lower() not in new and c != text]
+    source = docs.select(*keep, docs[text])
 
-    def make():
+    def cut_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = json_codec(path, pattern)
-
-        def run(texts: list[str | None]) -> list[list]:
-            out = []
-            for t in texts:
+        for batch in batches:
+            row, start, length, crc, total, parts = [], [], [], [], [], []
+            for at, t in enumerate(batch.column(len(keep)).to_pylist()):
                 ids = np.append(codec.encode_with_special(t or ""), np.array([END_ID], dtype="<u4"))
-                row, start = [], 0
-                for size in piece_lengths(len(ids), longest):
-                    part = ids[start : start + size]
-                    row.append({"start": start, "length": size, "ids_crc32": zlib.crc32(part.tobytes()), "doc_tokens": len(ids), "ids": part.astype(np.int32).tolist() if with_ids else None})
-                    start += size
-                out.append(row)
-            return [out]
-
-        return run
-
-    new = {*PIECE.names, "sequence_id", "offset"}
-    rows = with_columns_by(docs, [text], make, [T.StructField(pieces, T.ArrayType(PIECE, False))])
-    keep = [c for c in docs.columns if c.lower() not in new and c != text]
-    rows = rows.select(*keep, F.explode(pieces).alias("piece__")).select(*keep, "piece__.*")
+                sizes = piece_lengths(len(ids), longest)
+                begin = 0
+                for size in sizes:
+                    start.append(begin)
+                    crc.append(zlib.crc32(ids[begin : begin + size].tobytes()))
+                    begin += size
+                row += [at] * len(sizes)
+                length += sizes
+                total += [len(ids)] * len(sizes)
+                if with_ids:
+                    parts.append(ids.astype(np.int32))
+            rows = pa.array(row, pa.int64())
+            kept = [batch.column(k).take(rows) for k in range(len(keep))]
+            if with_ids:
+                ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+                ids_column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32)))
+            else:
+                ids_column = pa.nulls(len(row), pa.list_(pa.int32()))
+            columns = [*kept, *[pa.array(x, pa.int64()) for x in (start, length, crc, total)], ids_column]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *[f.name for f in FIELDS]])
+
+    rows = source.mapInArrow(cut_pieces, T.StructType([*source.schema.fields[: len(keep)], *FIELDS]))
     return rows.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
 
 

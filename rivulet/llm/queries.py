@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm import chat, packing, quality, secret_scan, sharding, tokens, urls
+from rivulet.llm import chat, embedding_dedup, ngram_join, packing, quality, secret_scan, sharding, tokens, toxicity, urls
 from rivulet.llm.common import bounded_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,11 @@ def _bpe(documents: DataFrame) -> DataFrame:
     return tokens.token_digests(documents, RANK_VOCABULARY, PATTERN)
 
 
+@query("op4_p_stable_embeddings", "embeddings")
+def _embeddings(embeddings: DataFrame) -> DataFrame:
+    return embedding_dedup.link_vectors(embeddings, threshold=0.93)
+
+
 @query("op5_isolation_quality", "documents", "labels")
 def _quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return quality.quality_table(documents, labels)
@@ -63,6 +68,16 @@ def _secrets(documents: DataFrame) -> DataFrame:
     return secret_scan.scan_table(documents)
 
 
+@query("op8_string_kernel_toxicity", "documents", "labels")
+def _toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    return toxicity.toxicity_table(documents, labels)
+
+
+@query("op9_lsh_forest_jaccard", "documents")
+def _join(documents: DataFrame) -> DataFrame:
+    return ngram_join.join_table(documents)
+
+
 @query("op10_prefix_targets", "conversations")
 def _chat(conversations: DataFrame) -> DataFrame:
     spark = conversations.sparkSession
