@@ -8,11 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm import chat, embedding_dedup, ngram_join, packing, quality, secret_scan, sharding, tokens, toxicity, urls
+from rivulet.llm import chat, embedding_dedup, ngram_join, oracle, packing, quality, secret_scan, sharding, tokens, toxicity, urls
 from rivulet.llm.common import bounded_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_rendezvous_sharding": oracle.SHARDING,
+    "op4_p_stable_embeddings": oracle.EMBEDDINGS,
+    "op9_lsh_forest_jaccard": oracle.NGRAM_JOIN,
+    "op10_prefix_targets": oracle.CHAT,
+}
 
 JSON_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 RANK_VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")

@@ -89,7 +89,7 @@ def gram_ratios(counts: DataFrame) -> DataFrame:
         out = out.join(own.drop(ctx), seq).join(per, ctx)
         better = [F.when(F.col(f"{s}_all") > 0, (F.col(f"{s}_n") + F.col(f"{s}_kinds") * F.col(f"{s}_p")) / (F.col(f"{s}_all") + F.col(f"{s}_kinds"))).otherwise(F.col(f"{s}_p")).alias(f"{s}_p") for s in sides]
         keep = [c for c in ("gram", "c2", "c3", "x1", "x2", "x3", *sides) if c in out.columns]
-        out = out.select(*keep, *better)
+        out = cut(out.select(*keep, *better))  # keeps the plan of the next level short
     return out.select("gram", (F.ln("accepted_p") - F.ln("rejected_p")).alias("ratio"))
 
 
