@@ -78,24 +78,6 @@ def horizon_hours(value: Column, step_minutes: int = 15) -> Column:
     return F.when(steps.isNotNull(), steps * step_minutes / 60.0).otherwise(number_in_text(value))
 
 
-def first_match(text: Column, rules: list[tuple[str, tuple[str, ...]]], default: str) -> Column:
-    """Label of the first rule one of whose words occurs in the text."""
-    low, out = F.lower(text), None
-    for label, words in rules:
-        hit = F.lit(False)
-        for word in words:
-            hit = hit | low.contains(word)
-        out = F.when(hit, label) if out is None else out.when(hit, label)
-    return out.otherwise(default)
-
-
-def components(text: Column, rules: list[tuple[str, tuple[str, ...]]], default: str, sep: str = r"\+") -> Column:
-    """Compound label -> array of component labels, default where nothing is recognised."""
-    parts = F.transform(F.split(text, sep), lambda p: first_match(F.trim(p), rules, ""))
-    known = F.array_distinct(F.filter(parts, lambda p: p != ""))
-    return F.when(F.size(known) > 0, known).otherwise(F.array(F.lit(default)))
-
-
 def gauge_status(stage: Column) -> Column:
     s = F.coalesce(stage, F.lit(0.0))
     return F.when(s > 0.3, "high").when(s > 0.1, "moderate").otherwise("normal")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -234,18 +235,19 @@ def isolated_nodes(edges: DataFrame, nodes: DataFrame, node: str = "node") -> Da
     return nodes.join(touched, node, "left_anti")
 
 
-def downstream_edges(sources: DataFrame, edges: DataFrame, max_hops: int = 8, order: str = "edge_order", lag: str | None = None, default_lag: int = 2, gain: float = 0.75) -> DataFrame:
+def downstream_edges(sources: DataFrame, edges: DataFrame, max_hops: int | None = 8, order: str = "edge_order", lag: str | None = None, default_lag: int = 2, gain: float = 0.75) -> DataFrame:
     """Breadth-first edges from every source at once: hop, edge, cumulative lag and gain along the tree.
 
     A node reached by several edges in the same hop belongs to the one met first
-    in queue order, which is the order of the paths' edge numbers.
+    in queue order, which is the order of the paths' edge numbers. `max_hops=None` follows
+    every path to its end; that takes as many rounds as the longest of the shortest paths has edges.
     """
     lag_col = F.coalesce(F.col(lag), F.lit(default_lag)) if lag else F.lit(default_lag)
     e = cut(edges.select("src", "dst", F.col(order).cast("long").alias("_eo"), lag_col.cast("long").alias("_lag")))
     seen = cut(sources.select(F.col("node").alias("source"), F.col("node").alias("at")).distinct())
     front = seen.withColumn("path", F.array().cast("array<bigint>")).withColumn("lag_steps", F.lit(0).cast("long")).withColumn("gain", F.lit(1.0))
     out = None
-    for hop in range(1, max_hops + 1):
+    for hop in itertools.count(1) if max_hops is None else range(1, max_hops + 1):
         step = front.join(e, F.col("at") == F.col("src")).select(
             "source", "src", "dst", F.concat("path", F.array("_eo")).alias("path"), (F.col("lag_steps") + F.col("_lag")).alias("lag_steps"), (F.col("gain") * gain).alias("gain"))
         fresh = step.join(seen.select("source", F.col("at").alias("dst")), ["source", "dst"], "left_anti")
@@ -286,15 +288,15 @@ def route_signal(signal: DataFrame, reach: DataFrame, ts: str = "ts", value: str
     return moved.groupBy(F.col("dst").alias("node"), from_micros(at).alias(ts)).agg(F.sum(F.col("_v") * F.col("gain")).alias("routed"))
 
 
-def unit_response(rain: DataFrame, params: DataFrame, n: int = 48, keys: Sequence[str] = ("series_id",), ts: str = "ts", value: str = "value", step: int = STEP) -> DataFrame:
+def unit_response(rain: DataFrame, params: DataFrame, keys: Sequence[str] = ("series_id",), ts: str = "ts", value: str = "value", step: int = STEP) -> DataFrame:
     """Rain totals convolved with a triangular response: rise over 0.6 tc, back to zero at 2.67 tc.
 
-    `params` gives peak_rate and tc_hours per series. Each rain row unfolds into its own short response.
+    `params` gives peak_rate and tc_hours per series. Each rain row unfolds into its whole response.
     """
     rise = F.greatest(F.rint(0.6 * F.col("tc_hours") * 4).cast("int"), F.lit(1))
     base = F.greatest(F.rint(2.67 * F.col("tc_hours") * 4).cast("int"), F.lit(2))
     r = rain.where(F.col(value) != 0).join(params, list(keys)).withColumn("_rise", rise).withColumn("_base", base)
-    r = r.withColumn("_k", F.explode(F.sequence(F.lit(0), F.least(F.greatest("_rise", "_base") - 1, F.lit(n - 1)))))
+    r = r.withColumn("_k", F.explode(F.sequence(F.lit(0), F.greatest("_rise", "_base") - 1)))
     shape = F.when(F.col("_k") < F.col("_rise"), F.col("_k") / F.col("_rise")).otherwise((F.col("_base") - F.col("_k")) / (F.col("_base") - F.col("_rise")))
     at = micros(ts) + F.col("_k").cast("long") * step
     return r.groupBy(*keys, from_micros(at).alias(ts)).agg(F.sum(F.col(value) * F.col("peak_rate") * shape).alias("response"))

@@ -143,12 +143,15 @@ def inundated_area(pixels: DataFrame, stages: DataFrame, cell_km2: float, column
     return frames.join(area, ["event_id", "ts"], "left").fillna(0.0, [f"area_{c}_km2" for c in columns])
 
 
-def subsample_frames(frames: DataFrame, event: str = "event_id", ts: str = "ts", max_frames: int = 96) -> DataFrame:
-    """Every k-th time step of each event so that at most `max_frames` remain; an event is a bounded number of steps."""
+def subsample_frames(frames: DataFrame, event: str = "event_id", ts: str = "ts", max_frames: int | None = None) -> DataFrame:
+    """Time steps of each event, all of them or `max_frames` spread evenly from the first on; an event is a bounded number of steps."""
+    if max_frames is None:
+        return frames
     w = Window.partitionBy(event)
     out = frames.withColumn("_i", F.row_number().over(w.orderBy(ts)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    step = F.greatest(F.lit(1), F.floor(F.col("_n") / max_frames))
-    return out.where((F.pmod(F.col("_i"), step) == 0) & (F.col("_i") / step < max_frames)).drop("_i", "_n")
+    place = F.floor(F.col("_i") * max_frames / F.col("_n"))
+    before = F.floor((F.col("_i") - 1) * max_frames / F.col("_n"))
+    return out.where((F.col("_i") == 0) | (place > before)).drop("_i", "_n")
 
 
 def flood_probability(pixels: DataFrame, stages: DataFrame, temperature: float = 2.0) -> DataFrame:

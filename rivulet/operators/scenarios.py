@@ -93,8 +93,8 @@ def window_candidates(df: DataFrame, bankfull: DataFrame, sat: str = "sat", rain
     return wide.select("ts", step_index(source or df).alias("idx"), wet.alias("wetness"), F.coalesce(ok, F.lit(False)).alias("ok"))
 
 
-def select_windows(candidates: DataFrame, n: Column, n_windows: int = 50, search_from: float = 0.70, stride: int = 48, t_in: int = T_IN, t_window: int = T_WINDOW) -> DataFrame:
-    """Walk along the starts: an accepted one moves on by `t_in`, a rejected one by `stride`; first `n_windows` accepted.
+def select_windows(candidates: DataFrame, n: Column, n_windows: int | None = None, search_from: float = 0.70, stride: int = 48, t_in: int = T_IN, t_window: int = T_WINDOW) -> DataFrame:
+    """Walk along the starts: an accepted one moves on by `t_in`, a rejected one by `stride`; all accepted, or the first `n_windows`.
 
     Each start knows its successor, so the starts the walk visits are found by
     doubling the jump length: logarithmically many joins instead of a walk.
@@ -110,7 +110,8 @@ def select_windows(candidates: DataFrame, n: Column, n_windows: int = 50, search
         jump = moved.drop("_more")
         if not more:
             # one last landing for the jumps that now all leave the range
-            return jump.where("seen and ok").select("idx", "ts").orderBy("idx").limit(n_windows)
+            found = jump.where("seen and ok").select("idx", "ts")
+            return found if n_windows is None else found.orderBy("idx").limit(n_windows)
     raise RuntimeError("time axis longer than 2^40 jumps")
 
 

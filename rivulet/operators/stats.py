@@ -139,35 +139,23 @@ def histogram(df: DataFrame, keys: Sequence[str], value: str, bins: int = 80) ->
 
 
 # ------------------------------------------------------------ correlation
-def correlation_matrix(grid: DataFrame, key: str = "series_id", ts: str = "ts", value: str = "value", block: int = DAY) -> DataFrame:
-    """Pairwise-complete Pearson correlation of all series.
+def correlation_matrix(grid: DataFrame, pairs: DataFrame | None = None, key: str = "series_id", ts: str = "ts", value: str = "value") -> DataFrame:
+    """Pairwise-complete Pearson correlation (a, b, n, corr) of the given pairs (a, b), or of all pairs a <= b.
 
-    Each time block yields its sums of products as one small matrix product, so
-    no pair of readings is ever a row; the matrices are then added up.
+    Give `pairs` for more than a few hundred series: the matrix of all has a row per pair. Values meet by an equi join on time
+    and are summed at once by built-in aggregates, so one time step is the largest unit; values are centred first to keep digits.
     """
     means = grid.groupBy(key).agg(F.avg(value).alias("_mean"))
-    rows = grid.where(F.col(value).isNotNull()).join(means, key).select(
-        F.col(key).alias("k"), micros(ts).alias("us"), (F.col(value) - F.col("_mean")).alias("v")).withColumn("blk", fdiv(F.col("us"), block))
-
-    def products(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index="us", columns="k", values="v", aggfunc="mean")
-        seen = wide.notna().to_numpy(float)
-        x = wide.fillna(0.0).to_numpy()
-        x2 = x * x
-        names = wide.columns.to_numpy()
-        i, j = np.triu_indices(len(names))
-        pick = lambda m: m[i, j]
-        return pd.DataFrame({
-            "a": names[i], "b": names[j], "n": pick(seen.T @ seen), "sa": pick(x.T @ seen), "sb": pick(seen.T @ x),
-            "saa": pick(x2.T @ seen), "sbb": pick(seen.T @ x2), "sab": pick(x.T @ x)})
-
-    kt = grid.schema[key].dataType.simpleString()
-    parts = rows.groupBy("blk").applyInPandas(products, f"a {kt}, b {kt}, n double, sa double, sb double, saa double, sbb double, sab double")
-    s = parts.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
+    rows = grid.where(F.col(value).isNotNull()).join(means, key).groupBy(F.col(key).alias("k"), F.col(ts).alias("at")).agg(F.avg(F.col(value) - F.col("_mean")).alias("v"))
+    left, right = rows.select(F.col("k").alias("a"), "at", F.col("v").alias("x")), rows.select(F.col("k").alias("b"), "at", F.col("v").alias("y"))
+    met = left.join(right, "at").where("a <= b") if pairs is None else left.join(pairs.select("a", "b").distinct(), "a").join(right, ["b", "at"])
+    x, y = F.col("x"), F.col("y")
+    s = met.groupBy("a", "b").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(x).alias("sa"), F.sum(y).alias("sb"), F.sum(x * x).alias("saa"), F.sum(y * y).alias("sbb"), F.sum(x * y).alias("sab"))
     n = F.col("n")
     cov = F.col("sab") - F.col("sa") * F.col("sb") / n
     den = F.sqrt((F.col("saa") - F.col("sa") ** 2 / n) * (F.col("sbb") - F.col("sb") ** 2 / n))
-    return s.where(n > 1).select("a", "b", n.cast("long").alias("n"), F.when(den > 0, cov / den).alias("corr"))
+    return s.where(n > 1).select("a", "b", "n", F.when(den > 0, cov / den).alias("corr"))
 
 
 def lagged_products(series: DataFrame, pairs: DataFrame, lo: int, hi: int, step: int, key: str = "series_id", ts: str = "ts", value: str = "value", block_steps: int = 2880) -> DataFrame:

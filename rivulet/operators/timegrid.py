@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rivulet.plans.fixpoint import cut
 from rivulet.plans.nearest import nearest
 from rivulet.plans.timechunks import DAY, HOUR, STEP, fdiv, from_micros, micros, over_time
 
@@ -32,17 +33,20 @@ def slot_axis(keys: DataFrame, lo: Column, hi: Column, freq: str) -> DataFrame:
     return days.withColumn("_us", F.explode(F.sequence(F.col("_day"), last, F.lit(size)))).withColumn("ts", from_micros(F.col("_us"))).drop("_day", "_hi", "_us")
 
 
-def complete(slots: DataFrame, source: DataFrame, freq: str, keys: Sequence[str], ts: str) -> DataFrame:
-    """Reindex slot values to every slot of the period covered by the whole source."""
-    size = FREQ[freq]
-    bound = lambda agg: source.agg((fdiv(micros(agg(ts)), size) * size)).scalar()
-    axis = slot_axis(source.select(*keys).distinct(), bound(F.min), bound(F.max), freq)
+def complete(slots: DataFrame, freq: str, keys: Sequence[str]) -> DataFrame:
+    """Reindex slot values to every slot of the period that the slots of all series cover.
+
+    Keys and bounds come from the slots, which are written once, so the raw rows are read once.
+    """
+    slots = cut(slots)
+    bound = lambda agg: slots.agg(micros(agg("ts"))).scalar()
+    axis = slot_axis(slots.select(*keys).distinct(), bound(F.min), bound(F.max), freq)
     return axis.join(slots, [*keys, "ts"], "left")
 
 
 def regular_grid(df: DataFrame, freq: str = "15 minutes", how: str = "mean", keys: Sequence[str] = ("series_id",), ts: str = "ts", value: str = "value") -> DataFrame:
     """Every series at every slot of the common period; slots without readings are null."""
-    return complete(resample(df, freq, how, keys, ts, value), df, freq, keys, ts)
+    return complete(resample(df, freq, how, keys, ts, value), freq, keys)
 
 
 def resample_own_span(df: DataFrame, freq: str, keys: Sequence[str] = ("series_id",), ts: str = "ts", value: str = "value") -> DataFrame:

@@ -193,30 +193,36 @@ def cluster_events(df: DataFrame, max_gap: int, keys: Sequence[str] = SERIES, ts
 
 
 # ------------------------------------------------------------------ peaks
-def local_maxima(grid: DataFrame, min_height: Column, keys: Sequence[str] = SERIES, ts: str = "ts", value: str = "value", step: int = STEP) -> DataFrame:
+def local_maxima(grid: DataFrame, min_height: Column | None = None, keys: Sequence[str] = SERIES, ts: str = "ts", value: str = "value", step: int = STEP, with_flat: bool = False) -> DataFrame:
     """Steps strictly above both neighbours (a flat top counts at its middle) and at least `min_height`.
 
-    Equal neighbouring values form one run; the run is a maximum if the steps on both sides are lower.
+    Equal neighbouring values form one run; the run is a maximum if the steps on both sides are lower. A missing step,
+    null or absent, is lower than any value; the first and the last step of a record are no maxima. `with_flat` adds
+    the first and last step of the run.
     """
+    nothing = F.lit(float("-inf"))
+    us = micros(ts)
+    ends = grid.groupBy(*keys).agg(F.min(us).alias("_first"), F.max(us).alias("_last"))
     shaped = over_time(
-        grid.where(F.col(value).isNotNull()), keys, ts,
+        grid.withColumn(value, F.coalesce(F.col(value).cast("double"), nothing)), keys, ts,
         lambda w: {"_prev": F.lag(value).over(w), "_next": F.lead(value).over(w), "_pus": F.lag("_us").over(w), "_nus": F.lead("_us").over(w)},
         before=step, after=step,
     )
-    us = micros(ts)
-    left = F.when(us - F.col("_pus") == step, F.col("_prev"))
-    right = F.when(F.col("_nus") - us == step, F.col("_next"))
+    left = F.when(us - F.col("_pus") == step, F.col("_prev")).otherwise(nothing)
+    right = F.when(F.col("_nus") - us == step, F.col("_next")).otherwise(nothing)
     v = F.col(value)
-    tops = shaped.where((v >= min_height) & (v >= left) & (v >= right))
+    high = v > nothing if min_height is None else (v > nothing) & (v >= min_height)
+    tops = shaped.where(high & (v >= left) & (v >= right)).join(ends, list(keys)).where((us > F.col("_first")) & (us < F.col("_last")))
     flat = find_runs(
         tops.withColumn("_rise", (v > left).cast("int")).withColumn("_fall", (v > right).cast("int")),
         [*keys, value], ts, step, {"rise": ("max", F.col("_rise")), "fall": ("max", F.col("_fall"))},
     )
     mid = F.floor((micros("run_start") + micros("run_end")) / (2 * step)) * step
-    return flat.where((F.col("rise") == 1) & (F.col("fall") == 1)).select(*keys, from_micros(mid.cast("long")).alias(ts), value)
+    flat = flat.where((F.col("rise") == 1) & (F.col("fall") == 1))
+    return flat.select(*keys, from_micros(mid.cast("long")).alias(ts), value, *([F.col("run_start").alias("flat_from"), F.col("run_end").alias("flat_to")] if with_flat else []))
 
 
-def thin_peaks(peaks: DataFrame, separation: int, keys: Sequence[str] = SERIES, ts: str = "ts", value: str = "value", max_rounds: int = 200) -> DataFrame:
+def thin_peaks(peaks: DataFrame, separation: int, keys: Sequence[str] = SERIES, ts: str = "ts", value: str = "value") -> DataFrame:
     """Keep the highest peaks that are at least `separation` apart; of equal ones the later goes first.
 
     Going through the peaks from the highest down is the same as repeating one
@@ -228,7 +234,7 @@ def thin_peaks(peaks: DataFrame, separation: int, keys: Sequence[str] = SERIES,
     cols = [*keys, ts, value]
     todo, kept = cut(peaks.select(*cols)), None
     near = separation - 1
-    for _ in range(max_rounds):
+    while True:  # every round settles at least the highest peak that is left
         best = lambda w: {"_best": F.max(F.struct(F.col(value), F.col("_us"))).over(w.rangeBetween(-near, near))}
         ruled = over_time(todo, keys, ts, best, before=near, after=near).withColumn("_win", (F.col("_best._us") == micros(ts)).cast("int")).drop("_best")
         ruled = cut(over_time(ruled, keys, ts, lambda w: {"_settled": F.max("_win").over(w.rangeBetween(-near, near))}, before=near, after=near))
@@ -237,18 +243,30 @@ def thin_peaks(peaks: DataFrame, separation: int, keys: Sequence[str] = SERIES,
         todo = ruled.where(F.col("_settled") == 0).select(*cols)
         if todo.isEmpty():
             return kept
-    raise RuntimeError("peaks still undecided; raise max_rounds")
-
-
-def peak_timing_error(pred_peaks: DataFrame, obs_peaks: DataFrame, keys: Sequence[str] = SERIES, ts: str = "ts", value: str = "value", reach: int = 48 * HOUR) -> DataFrame:
-    """Hours between each observed peak and the predicted peak closest to it within `reach`; null where none."""
-    obs = obs_peaks.select(*keys, ts, F.col(value).alias("obs_peak"), from_micros(micros(ts) - reach).alias("_from"), from_micros(micros(ts) + reach).alias("_to"))
-    pred = pred_peaks.select(*keys, F.col(ts).alias("pred_ts"))
-    pairs = interval_join(pred, obs.withColumnRenamed(ts, "obs_ts"), "pred_ts", "_from", "_to", on=keys)
-    gap = micros("pred_ts") - micros("obs_ts")
-    best = pairs.groupBy(*keys, "obs_ts").agg(F.min(F.struct(F.abs(gap).alias("d"), gap.alias("g"))).alias("_b"))
-    return obs.select(*keys, F.col(ts).alias("obs_ts"), "obs_peak").join(best, [*keys, "obs_ts"], "left").select(
-        *keys, "obs_ts", "obs_peak", (F.col("_b.g") / HOUR).alias("error_h"), (F.col("_b.d") / HOUR).alias("abs_error_h"))
+
+
+def peak_timing_error(pred: DataFrame, obs_peaks: DataFrame, keys: Sequence[str] = SERIES, ts: str = "ts", value: str = "value", reach: int = 48 * HOUR, separation: int = 4 * HOUR, step: int = STEP) -> DataFrame:
+    """Hours between each observed peak and the predicted peak nearest to it, the earlier of two equally near.
+
+    `pred` is the predicted series on the regular grid, null where invalid. Predicted peaks are those of the window of `reach` to both
+    sides (the end excluded), thinned inside it; a window without a peak counts its highest step, the first of equal ones, and
+    a window without a prediction drops the observed peak. A window is a bounded number of steps, so its
+    rows may meet in one task.
+    """
+    at, here = micros(ts), F.col("_obs")
+    obs = cut(obs_peaks.select(*keys, at.alias("_obs"), F.col(value).alias("obs_peak")))
+    spans = obs.select(*keys, "_obs", from_micros(here - reach).alias("_from"), from_micros(here + reach - step).alias("_to"))
+    tops = local_maxima(pred, None, keys, ts, value, step, with_flat=True)
+    inside = interval_join(tops, spans, ts, "_from", "_to", on=keys).where((F.col("flat_from") > F.col("_from")) & (F.col("flat_to") < F.col("_to")))
+    found = thin_peaks(inside.select(*keys, "_obs", ts, value), separation, [*keys, "_obs"], ts, value)
+    gap = at - here
+    nearest_peak = cut(found.groupBy(*keys, "_obs").agg(F.min(F.struct(F.abs(gap).alias("d"), gap.alias("g")))["g"].alias("_gap")))
+    bare = spans.join(nearest_peak, [*keys, "_obs"], "left_anti")
+    rows = interval_join(pred.where(F.col(value).isNotNull()).select(*keys, ts, value), bare, ts, "_from", "_to", on=keys)
+    highest = rows.groupBy(*keys, "_obs").agg(F.max(F.struct(F.col(value), -gap))["col2"].alias("_back")).select(*keys, "_obs", (-F.col("_back")).alias("_gap"))
+    out = obs.join(nearest_peak.unionByName(highest), [*keys, "_obs"])
+    error = F.col("_gap") / HOUR
+    return out.select(*keys, from_micros(here).alias("obs_ts"), "obs_peak", error.alias("error_h"), F.abs(error).alias("abs_error_h"))
 
 
 # ---------------------------------------------------- seasonal and curves

@@ -3,16 +3,31 @@
 from __future__ import annotations
 
 import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL: list[tempfile.TemporaryDirectory] = []  # removed when the driver's Python ends
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as `spark.checkpoint.dir` names it.
+
+    Only a local master, whose executors are the driver, may do without: it gets a folder that is removed at the end.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.TemporaryDirectory(prefix="rivulet-", ignore_cleanup_errors=True))
+    return _LOCAL[0].name
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; fall back to a local one only where none is set."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="rivulet-ckpt-"))
+    """Use the folder the cluster names; see `shared_root`."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_root(spark))
 
 
 def cut(df: DataFrame, compact: bool = False) -> DataFrame:

@@ -14,18 +14,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _ACCURACY = 10_000
-# up to this many rows a group is ranked whole; beyond it the bracket spans several ranks more than the sketch can err
-_SMALL_GROUP = 20_000
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], accuracy: int = _ACCURACY
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], accuracy: int = _ACCURACY, slack: float | None = None
 ) -> DataFrame:
-    """One row per key with one linearly interpolated quantile per entry of `probs`."""
+    """One row per key with one linearly interpolated quantile per entry of `probs`.
+
+    Every rank is found among counted values; if one lay outside its bracket the query would fail, not give null.
+    """
     keys = list(keys)
     names = list(probs)
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    slack = 2.0 / accuracy
+    # The sketch errs by at most n / accuracy ranks. A bracket of twice that to both sides also holds the next rank, which
+    # interpolation needs, once n reaches `accuracy`; with twice that many rows it does so with room to spare.
+    slack, whole = (2.0 / accuracy if slack is None else slack), 2 * accuracy
     cuts = []
     for p in probs.values():
         cuts += [max(p - slack, 0.0), min(p + slack, 1.0)]
@@ -37,7 +40,7 @@ def exact_quantiles(
     )
     brackets = []
     for i, p in enumerate(probs.values()):
-        small = F.col("_n") <= _SMALL_GROUP
+        small = F.col("_n") <= whole
         lo = F.when(small | F.lit(p - slack <= 0), F.col("_min")).otherwise(F.get("_cuts", F.lit(2 * i)))
         hi = F.when(small | F.lit(p + slack >= 1), F.col("_max")).otherwise(F.get("_cuts", F.lit(2 * i + 1)))
         brackets.append(
@@ -65,7 +68,8 @@ def exact_quantiles(
         F.max(F.when((first <= low) & (low <= last), F.col("_x"))).alias("_a"),
         F.max(F.when((first <= high) & (high <= last), F.col("_x"))).alias("_z"),
     )
-    val = F.col("_a") + (F.col("_z") - F.col("_a")) * (F.col("pos") - F.floor("pos"))
+    missed = F.col("_a").isNull() | F.col("_z").isNull()
+    val = F.when(missed, F.raise_error(F.lit("a quantile lies outside its bracket; raise the accuracy")).cast("double")).otherwise(F.col("_a") + (F.col("_z") - F.col("_a")) * (F.col("pos") - F.floor("pos")))
     return picked.groupBy(*keys).agg(
         *[F.max(F.when(F.col("q") == i, val)).alias(n) for i, n in enumerate(names)]
     )

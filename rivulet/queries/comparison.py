@@ -76,9 +76,17 @@ def wilcoxon_statistic(t):
     return _round(out, "r_plus", "r_minus", "statistic", "z", "delta")
 
 
-@query("k23_wilcoxon_p")
+@query(
+    "k23_wilcoxon_p",
+    f"""{PN}, {PAIRED}, g AS (SELECT pair, horizon, count(*) AS n_pairs, avg(a) AS ma, avg(b) AS mb FROM pr GROUP BY 1, 2),
+d AS (SELECT pair, horizon, a - b AS d, rank() OVER (PARTITION BY pair, horizon ORDER BY abs(a - b)) + (count(*) OVER (PARTITION BY pair, horizon, abs(a - b)) - 1) / 2 AS r, count(*) OVER (PARTITION BY pair, horizon, abs(a - b)) AS ties FROM pr WHERE a <> b),
+s AS (SELECT pair, horizon, count(*) AS n, coalesce(sum(r) FILTER (WHERE d > 0), 0) AS rp, coalesce(sum(r) FILTER (WHERE d < 0), 0) AS rm, sum(CAST(ties AS DOUBLE)^2 - 1) AS tt FROM d GROUP BY 1, 2),
+zs AS (SELECT pair, horizon, n, (least(rp, rm) - n * (n + 1) / 4) / sqrt(CAST(n AS DOUBLE) * (n + 1) * (2 * n + 1) / 24 - tt / 48) AS z, CASE WHEN mb > ma THEN split_part(pair, ' vs ', 2) ELSE split_part(pair, ' vs ', 1) END AS winner FROM g JOIN s USING (pair, horizon) WHERE n_pairs >= 8),
+tail AS (SELECT pair, horizon, 2 / sqrt(pi()) * sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(abs(z) / sqrt(2::DOUBLE) + i * 0.002::DOUBLE, 2))) * 0.002::DOUBLE / 3 AS p FROM zs, generate_series(0, 4000) t(i) GROUP BY pair, horizon, z)
+SELECT pair, horizon, n, {s6('z')} AS z, {s6('p')} AS p, winner FROM zs JOIN tail USING (pair, horizon)""",
+)
 def wilcoxon_p(t):
-    return comparison.wilcoxon(per_node(t), PAIRS, ("horizon",), ("node", "seed")).select("pair", "horizon", "n", "z", "p", "winner")
+    return _round(comparison.wilcoxon(per_node(t), PAIRS, ("horizon",), ("node", "seed")).select("pair", "horizon", "n", "z", "p", "winner"), "z", "p")
 
 
 @query(

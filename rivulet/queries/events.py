@@ -77,7 +77,7 @@ def cluster_events(t):
 
 @query(
     "e12_local_maxima",
-    f"""WITH {SLOTS}, f AS (SELECT series_id, ts, coalesce(value, 0) AS value FROM grid),
+    f"""WITH {SLOTS}, f AS (SELECT series_id, ts, coalesce(value, '-infinity'::DOUBLE) AS value FROM grid),
 r AS (SELECT series_id, ts, value, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS i FROM f),
 c AS (SELECT *, i - row_number() OVER (PARTITION BY series_id, value ORDER BY i) AS island FROM r),
 p AS (SELECT series_id, value, min(i) AS a, max(i) AS z FROM c GROUP BY series_id, value, island),
@@ -85,8 +85,7 @@ q AS (SELECT p.*, l.value AS lv, n.value AS nv FROM p JOIN r l ON l.series_id =
 SELECT q.series_id, m.ts, {s6('q.value')} AS value FROM q JOIN r m ON m.series_id = q.series_id AND m.i = (q.a + q.z) // 2 WHERE q.value > lv AND q.value > nv AND q.value >= 60""",
 )
 def local_maxima(t):
-    g = grid(t).withColumn("value", F.coalesce("value", F.lit(0.0)))
-    return _round(windows.local_maxima(g, F.lit(60.0)), "value")
+    return _round(windows.local_maxima(grid(t), F.lit(60.0)), "value")
 
 
 def peak_ctes(source: str, name: str, sep_us: int) -> str:
@@ -108,34 +107,39 @@ def peak_ctes(source: str, name: str, sep_us: int) -> str:
 FOUR_HOURS = 4 * 3_600_000_000
 
 
-@query("e12_thinned_peaks", f"""WITH RECURSIVE {SLOTS}, src AS (SELECT series_id AS k, ts, coalesce(value, 0) AS value, 60 AS floor_value FROM grid), {peak_ctes('src', 'tp', FOUR_HOURS)} SELECT k AS series_id, make_timestamp(us) AS ts, {s6('value')} AS value FROM tp""")
+@query("e12_thinned_peaks", f"""WITH RECURSIVE {SLOTS}, src AS (SELECT series_id AS k, ts, coalesce(value, '-infinity'::DOUBLE) AS value, 60 AS floor_value FROM grid), {peak_ctes('src', 'tp', FOUR_HOURS)} SELECT k AS series_id, make_timestamp(us) AS ts, {s6('value')} AS value FROM tp""")
 def thinned_peaks(t):
-    g = grid(t).withColumn("value", F.coalesce("value", F.lit(0.0)))
-    return _round(windows.thin_peaks(windows.local_maxima(g, F.lit(60.0)), 4 * HOUR), "value")
+    return _round(windows.thin_peaks(windows.local_maxima(grid(t), F.lit(60.0)), 4 * HOUR), "value")
 
 
 def shifted_forecast(t):
-    """Observed grid and a prediction that repeats it three steps late and damped."""
-    g = grid(t).withColumn("value", F.coalesce("value", F.lit(0.0)))
-    pred = g.select("series_id", F.expr("ts + interval 45 minutes").alias("ts"), (F.col("value") * 0.8).alias("value"))
-    return g, pred
+    """Observed grid and a prediction that repeats it three steps late and damped; both null where either is missing."""
+    g = grid(t).select("series_id", "ts", "value")
+    late = g.select("series_id", F.expr("ts + interval 45 minutes").alias("ts"), (F.col("value") * 0.8).alias("pred"))
+    both = g.join(late, ["series_id", "ts"], "left")
+    valid = F.col("value").isNotNull() & F.col("pred").isNotNull()
+    return both.select("series_id", "ts", F.when(valid, F.col("value")).alias("value")), both.select("series_id", "ts", F.when(valid, F.col("pred")).alias("value"))
 
 
 def timing_ctes(window: bool) -> str:
-    """Observed and predicted thinned peaks and, per observed one, the nearest predicted one within two days: `tm`."""
+    """Observed thinned peaks and, per observed one, the nearest peak of the prediction's window of two days, or its highest step: `tm`."""
     key = "series_id || '#' || ((epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM grid)) // 900000000 // 104)" if window else "series_id"
-    return f"""obs0 AS (SELECT series_id, ts, coalesce(value, 0) AS value FROM grid), pred0 AS (SELECT series_id, ts + INTERVAL 45 MINUTE AS ts, value * 0.8::DOUBLE AS value FROM obs0),
-osrc AS (SELECT {key} AS k, ts, value, 90 AS floor_value FROM obs0), psrc AS (SELECT {key} AS k, ts, value, 0 AS floor_value FROM pred0),
-{peak_ctes('osrc', 'op', FOUR_HOURS)}, {peak_ctes('psrc', 'pp', FOUR_HOURS)},
-tm AS (SELECT o.k, o.us, any_value(o.value) AS obs_peak, arg_min(p.us - o.us, {{'d': abs(p.us - o.us), 'g': p.us - o.us}}) / 3600000000.0::DOUBLE AS error_h FROM op o LEFT JOIN pp p ON p.k = o.k AND abs(p.us - o.us) <= 172800000000 GROUP BY 1, 2)"""
+    return f"""pr AS (SELECT g.series_id, g.ts, g.value AS o, h.value * 0.8::DOUBLE AS p FROM grid g LEFT JOIN grid h ON h.series_id = g.series_id AND h.ts = g.ts - INTERVAL 45 MINUTE),
+obs0 AS (SELECT series_id, ts, CASE WHEN p IS NOT NULL THEN o END AS value FROM pr), pred0 AS (SELECT series_id, ts, CASE WHEN o IS NOT NULL THEN p END AS value FROM pr),
+osrc AS (SELECT {key} AS k, ts, coalesce(value, '-infinity'::DOUBLE) AS value, 90 AS floor_value FROM obs0), psrc AS (SELECT {key} AS k, ts, coalesce(value, '-infinity'::DOUBLE) AS value FROM pred0),
+{peak_ctes('osrc', 'op', FOUR_HOURS)},
+pw AS (SELECT o.k || '@' || o.us AS k, o.us AS obs_us, p.ts, p.value, '-infinity'::DOUBLE AS floor_value FROM op o JOIN psrc p ON p.k = o.k AND epoch_us(p.ts) >= o.us - 172800000000 AND epoch_us(p.ts) < o.us + 172800000000),
+{peak_ctes('pw', 'pp', FOUR_HOURS)},
+top AS (SELECT k, arg_max(epoch_us(ts) - obs_us, {{'v': value, 'g': obs_us - epoch_us(ts)}}) AS g FROM pw WHERE value > '-infinity'::DOUBLE GROUP BY 1),
+nearest AS (SELECT o.k, o.us, arg_min(p.us - o.us, {{'d': abs(p.us - o.us), 'g': p.us - o.us}}) AS g FROM op o JOIN pp p ON p.k = o.k || '@' || o.us GROUP BY 1, 2),
+tm AS (SELECT o.k, o.us, o.value AS obs_peak, coalesce(n.g, top.g) / 3600000000.0::DOUBLE AS error_h FROM op o JOIN top ON top.k = o.k || '@' || o.us LEFT JOIN nearest n ON n.k = o.k AND n.us = o.us)"""
 
 
 @query("e13_peak_timing_error", f"""WITH RECURSIVE {SLOTS}, {timing_ctes(False)} SELECT k AS series_id, make_timestamp(us) AS obs_ts, {s6('obs_peak')} AS obs_peak, error_h, abs(error_h) AS abs_error_h FROM tm""")
 def peak_timing_error(t):
     obs, pred = shifted_forecast(t)
     op = windows.thin_peaks(windows.local_maxima(obs, F.lit(90.0)), 4 * HOUR)
-    pp = windows.thin_peaks(windows.local_maxima(pred, F.lit(0.0)), 4 * HOUR)
-    return _round(windows.peak_timing_error(pp, op), "obs_peak")
+    return _round(windows.peak_timing_error(pred, op), "obs_peak")
 
 
 @query(

@@ -317,12 +317,12 @@ def isolated_nodes(t):
 
 REACH = f"""WITH RECURSIVE {NODES}, {EDGES}, en AS (SELECT src, dst, CASE WHEN src % 3 = 0 THEN NULL ELSE src % 4 END AS lag FROM edges),
 walk(source, src, dst, hop, lag_steps, gain) AS (SELECT src, src, dst, 1, coalesce(lag, 2), 0.75::DOUBLE FROM en WHERE src <> dst
-UNION ALL SELECT w.source, e.src, e.dst, w.hop + 1, w.lag_steps + coalesce(e.lag, 2), w.gain * 0.75::DOUBLE FROM walk w JOIN en e ON e.src = w.dst AND e.dst <> e.src WHERE w.hop < 4)"""
+UNION ALL SELECT w.source, e.src, e.dst, w.hop + 1, w.lag_steps + coalesce(e.lag, 2), w.gain * 0.75::DOUBLE FROM walk w JOIN en e ON e.src = w.dst AND e.dst <> e.src WHERE w.hop < 1000)"""
 
 
 def _reach(t):
     e = edges(t).select("src", "dst", F.col("src").alias("edge_order"), F.when(F.pmod("src", F.lit(3)) != 0, F.pmod("src", F.lit(4))).alias("lag"))
-    return graph.downstream_edges(nodes(t), e, max_hops=4, lag="lag")
+    return graph.downstream_edges(nodes(t), e, max_hops=None, lag="lag")
 
 
 @query("g4_downstream_edges", f"{REACH} SELECT source, src, dst, hop, lag_steps, gain FROM walk")
@@ -358,13 +358,13 @@ def route_signal(t):
 @query(
     "g8_unit_response",
     f"""WITH {SLOTS}, rain AS (SELECT series_id, time_bucket(INTERVAL 15 MINUTE, ts) AS ts, sum(value) AS v FROM readings GROUP BY 1, 2),
-pm AS (SELECT series_id, 0.01::DOUBLE * length(series_id) AS pr, 0.5::DOUBLE + length(series_id) * 0.25::DOUBLE AS tc FROM series), k AS (SELECT *, greatest(CAST(round_even(0.6::DOUBLE * tc * 4, 0) AS INTEGER), 1) AS rise, greatest(CAST(round_even(2.67::DOUBLE * tc * 4, 0) AS INTEGER), 2) AS base FROM pm),
-u AS (SELECT series_id, i, pr * CASE WHEN i < rise THEN i / rise ELSE (base - i) / (base - rise) END AS h FROM k, generate_series(0, 47) g(i) WHERE i < greatest(rise, base))
+pm AS (SELECT series_id, 0.01::DOUBLE * length(series_id) AS pr, 0.5::DOUBLE + length(series_id) * 1.5::DOUBLE AS tc FROM series), k AS (SELECT *, greatest(CAST(round_even(0.6::DOUBLE * tc * 4, 0) AS INTEGER), 1) AS rise, greatest(CAST(round_even(2.67::DOUBLE * tc * 4, 0) AS INTEGER), 2) AS base FROM pm),
+u AS (SELECT series_id, i, pr * CASE WHEN i < rise THEN i / rise ELSE (base - i) / (base - rise) END AS h FROM k, generate_series(0, 400) g(i) WHERE i < greatest(rise, base))
 SELECT r.series_id, r.ts + u.i * INTERVAL 15 MINUTE AS ts, {s6('sum(r.v * u.h)')} AS response FROM rain r JOIN u USING (series_id) WHERE r.v <> 0 GROUP BY 1, 2""",
 )
 def unit_response(t):
     rain = timegrid.resample(readings(t), how="sum")
     n = F.length("series_id")
-    params = readings(t).select("series_id").distinct().select("series_id", (F.lit(0.01) * n).alias("peak_rate"), (F.lit(0.5) + n * 0.25).alias("tc_hours"))
+    params = readings(t).select("series_id").distinct().select("series_id", (F.lit(0.01) * n).alias("peak_rate"), (F.lit(0.5) + n * 1.5).alias("tc_hours"))
     return _round(graph.unit_response(rain, params), "response")
 

@@ -116,15 +116,13 @@ def inundation_fixed(t):
 
 @query(
     "g19_inundated_area",
-    f"""WITH {PIXELS}, {STG}, fr AS (SELECT event_id, ts, row_number() OVER (PARTITION BY event_id ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY event_id) AS n FROM (SELECT DISTINCT event_id, ts FROM stg)),
-k AS (SELECT event_id, ts FROM fr WHERE i % greatest(1, n // 3) = 0 AND i // greatest(1, n // 3) < 3), h AS (SELECT tag % 10 AS node, hand FROM pixels),
+    f"""WITH {PIXELS}, {STG}, k AS (SELECT DISTINCT event_id, ts FROM stg), h AS (SELECT tag % 10 AS node, hand FROM pixels),
 a AS (SELECT s.event_id, s.ts, count(*) FILTER (WHERE s.pred >= bankfull AND hand <= s.pred) AS np, count(*) FILTER (WHERE s.obs >= bankfull AND hand <= s.obs) AS no FROM k JOIN stg s USING (event_id, ts) JOIN h USING (node) GROUP BY 1, 2)
 SELECT event_id, ts, {s6('coalesce(np, 0) * 0.0009')} AS area_pred_km2, {s6('coalesce(no, 0) * 0.0009')} AS area_obs_km2 FROM k LEFT JOIN a USING (event_id, ts)""",
 )
 def inundated_area(t):
     st = _stages(t)
-    frames = px.subsample_frames(st.select("event_id", "ts").distinct(), max_frames=3)
-    return _round(px.inundated_area(_node_pixels(t), st.join(frames, ["event_id", "ts"], "left_semi"), 0.0009), "area_pred_km2", "area_obs_km2")
+    return _round(px.inundated_area(_node_pixels(t), st, 0.0009), "area_pred_km2", "area_obs_km2")
 
 
 @query(

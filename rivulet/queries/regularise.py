@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rivulet.operators import quality, timegrid, windows
 from rivulet.plans.timechunks import HOUR
+from rivulet.sources import sinks
 
 from .base import HOURLY, READINGS, SLOTS, grid, query, r6, readings, s6
 
@@ -17,9 +18,7 @@ grid AS (SELECT s.series_id, a.ts, v.value FROM (SELECT DISTINCT series_id FROM
 WEEK = "RANGE BETWEEN (INTERVAL 7 DAY - INTERVAL 1 MICROSECOND) PRECEDING AND CURRENT ROW"
 
 
-@query(
-    "e3_e4_gauge_features",
-    f"""WITH {CLEAN},
+FEATURES = f"""WITH {CLEAN},
 params AS (SELECT series_id, min(value) AS datum, max(value) * 0.4::DOUBLE AS p90 FROM clean GROUP BY 1),
 f AS (
   SELECT g.series_id, g.ts, g.value, p.datum, p.p90,
@@ -32,8 +31,10 @@ SELECT series_id, ts, {s6('anom')} AS stage_anomaly,
   {s6('sign(coalesce(value, 0)) * ln(1 + abs(coalesce(value, 0)))')} AS discharge_m3s,
   {s6('greatest(coalesce(value, 0), 0)')} AS rainfall_mm,
   {s6('lead(anom) OVER (PARTITION BY series_id ORDER BY ts)')} AS target, value IS NOT NULL AS valid
-FROM f""",
-)
+FROM f"""
+
+
+@query("e3_e4_gauge_features", FEATURES)
 def gauge_features(t):
     clean = quality.range_filter(readings(t))
     params = clean.groupBy("series_id").agg(F.min("value").alias("datum"), (F.max("value") * 0.4).alias("p90"))
@@ -223,11 +224,9 @@ def flood_labels(t):
     return windows.horizon_label(g, 12, F.lit(90.0), valid="ok").select("series_id", "ts", "label", "node_valid")
 
 
-@query(
-    "a12_long_export",
-    f"WITH {SLOTS} SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, series_id AS node_ref, {s6('value')} AS target_y, CASE WHEN value IS NULL THEN 0 ELSE 1 END AS valid FROM grid",
-)
-def long_export(t):
-    from rivulet.sources import sinks
+DYNAMIC = ("stage_anomaly", "normalized_stage", "dh_dt", "discharge_m3s", "rainfall_mm")
 
-    return sinks.long_format(grid(t))
+
+@query("a12_long_export", f"SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, series_id AS node_ref, {', '.join(DYNAMIC)}, target AS target_y, CASE WHEN valid THEN 1 ELSE 0 END AS valid FROM ({FEATURES}) x")
+def long_export(t):
+    return sinks.long_format(gauge_features(t), DYNAMIC)

@@ -169,7 +169,7 @@ def window_candidates(t):
 @query(
     "d16_select_windows",
     f"""{CAND}, walk(idx) AS (SELECT CAST(floor(n * 0.5::DOUBLE) AS BIGINT) FROM nn UNION ALL SELECT w.idx + CASE WHEN c.ok THEN 32 ELSE 48 END FROM walk w JOIN cd c ON c.idx = w.idx, nn WHERE w.idx < nn.n - 104)
-SELECT c.idx, c.ts FROM walk w JOIN cd c ON c.idx = w.idx, nn WHERE c.ok AND c.idx < nn.n - 104 ORDER BY c.idx LIMIT 50""",
+SELECT c.idx, c.ts FROM walk w JOIN cd c ON c.idx = w.idx, nn WHERE c.ok AND c.idx < nn.n - 104""",
 )
 def select_windows(t):
     g = _network_grid(t)
@@ -194,20 +194,19 @@ def _timing(t, keys=("series_id",)):
         tag = lambda d: d.withColumn("_lo", lo).withColumn("window_id", fdiv(micros("ts") - F.col("_lo"), 104 * STEP)).drop("_lo")
         obs, pred = tag(obs), tag(pred)
     op = windows.thin_peaks(windows.local_maxima(obs, F.lit(90.0), keys), 4 * HOUR, keys)
-    pp = windows.thin_peaks(windows.local_maxima(pred, F.lit(0.0), keys), 4 * HOUR, keys)
-    return scenarios.timing_summary(windows.peak_timing_error(pp, op, keys), keys)
+    return scenarios.timing_summary(windows.peak_timing_error(pred, op, keys), keys)
 
 
 def _gridded_forecast(t):
     obs, pred = shifted_forecast(t)
     both = obs.select("series_id", "ts", F.col("value").alias("target")).join(pred.select("series_id", "ts", F.col("value").alias("pred")), ["series_id", "ts"])
-    return both.withColumn("valid", F.lit(True)).withColumn("node", F.col("series_id"))
+    return both.withColumn("valid", F.col("target").isNotNull()).withColumn("node", F.col("series_id"))
 
 
 @query(
     "k15_extended_record",
     f"""WITH RECURSIVE {SLOTS}, {timing_ctes(False)}, tq AS (SELECT k, avg(abs(error_h)) AS m, quantile_cont(abs(error_h), 0.5) AS md, count(*) AS n FROM tm WHERE error_h IS NOT NULL GROUP BY 1),
-f AS (SELECT o.series_id, o.value AS t, p.value AS p FROM obs0 o JOIN pred0 p ON p.series_id = o.series_id AND p.ts = o.ts), g AS (SELECT series_id, corr(p, t) AS r, stddev_pop(p) / stddev_pop(t) AS a, avg(p) / avg(t) AS b,
+f AS (SELECT o.series_id, o.value AS t, p.value AS p FROM obs0 o JOIN pred0 p ON p.series_id = o.series_id AND p.ts = o.ts WHERE o.value IS NOT NULL), g AS (SELECT series_id, corr(p, t) AS r, stddev_pop(p) / stddev_pop(t) AS a, avg(p) / avg(t) AS b,
   count(*) FILTER (WHERE p >= 90 AND t >= 90) AS tp, count(*) FILTER (WHERE p >= 90 AND t < 90) AS fp, count(*) FILTER (WHERE p < 90 AND t >= 90) AS fn, count(*) FILTER (WHERE p < 90 AND t < 90) AS tn FROM f GROUP BY 1)
 SELECT series_id, {s6('1 - sqrt(pow(r - 1, 2) + pow(a - 1, 2) + pow(b - 1, 2))')} AS kge, {s6('r')} AS r, {s6('a')} AS alpha, {s6('b')} AS beta, tp, fp, fn, tn, {s6('tp / (tp + fn + 1e-8)')} AS pod, {s6('fp / (tp + fp + 1e-8)')} AS far,
   {s6('m')} AS peak_timing_mean_hr, {s6('md')} AS peak_timing_median_hr, n AS peak_timing_n_events FROM g JOIN tq ON tq.k = series_id""",

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def long_format(grid: DataFrame, digits: int = 6) -> DataFrame:
-    """Formatted timestamp, station, rounded value and validity: the long export."""
-    return grid.select(
-        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.col("series_id").alias("node_ref"),
-        (F.floor(F.col("value") * 10**digits + 0.5001) / 10**digits).alias("target_y"), F.col("value").isNotNull().cast("int").alias("valid"),
+def long_format(features: DataFrame, columns: Sequence[str], key: str = "series_id", ts: str = "ts", target: str = "target", valid: str = "valid", digits: int = 6) -> DataFrame:
+    """Formatted timestamp, station, rounded features, rounded target and validity as 0 or 1: the long export."""
+    return features.select(
+        F.date_format(ts, "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.col(key).alias("node_ref"), *[F.round(c, digits).alias(c) for c in columns],
+        F.round(target, digits).alias("target_y"), F.col(valid).cast("int").alias("valid"),
     )
 
 

@@ -1,6 +1,7 @@
 """Registered queries against their SQL on the smallest tables; RIVULET_ALL=1 runs every one."""
 
 import os
+import re
 
 import duckdb
 import pytest
@@ -41,7 +42,7 @@ def test_matches_sql(spark, con, name):
 def test_every_query_name_is_unique_and_checked():
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q)
-    assert set(q) - set(o) == {"k23_wilcoxon_p"}
+    assert {n for n in set(q) - set(o) if not re.match(r"op\d+_|pipeline$", n)} == set()  # the optional ones have tests of their own
 
 
 def test_entry_runs(spark):
