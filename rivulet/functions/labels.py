@@ -34,7 +34,7 @@ SPATIAL_RULES = (
     (r"ChebNet", "ChebNet"),
 )
 
-# fixed values: constraint type of a sheet cell, first text contained in it
+# fixed values: constraint type of a sheet cell, longest text contained in it
 TYPE_RULES = (
     ("type i", "Physics Loss Constraint"),
     ("type ii", "Physical Topology"),
@@ -44,6 +44,26 @@ TYPE_RULES = (
 )
 
 
+# fixed values: groups of components
+PATTERN_GROUPS = {
+    "loss": ("Physics Loss Constraint",),
+    "topology": ("Physical Topology (structural prior)", "Governing Equation (architecture)"),
+    "learned": ("Data-Learned (dynamic)", "Data-Learned (static)"),
+    "dynamic": ("Statistical Correlation (dynamic)", "Statistical Correlation (static)", "Real-Time Physical Observation"),
+    "changing": ("Statistical Correlation (dynamic)", "Statistical Correlation (static)", "Real-Time Physical Observation", "Physics-Emulator (training data)", "Physics Model as Input Feature"),
+}
+# fixed values: groups that must occur, groups that must not, family; first rule that fits
+PATTERN_RULES = (
+    (("learned",), ("topology", "loss"), "Fully Data-Learned"),
+    (("topology", "loss"), (), "Topology + Loss Penalty"),
+    (("topology", "learned", "dynamic"), (), "Topology + Learned + Dynamic"),
+    (("topology", "learned"), (), "Topology + Learned"),
+    (("topology", "changing"), (), "Topology + Dynamic"),
+    (("topology",), (), "Topology Only"),
+    (("loss",), (), "Loss Penalty"),
+)
+
+
 def first_rule(text: Column, rules, default: Column | None = None) -> Column:
     """Label of the first pattern found in the text."""
     hits = [F.when(text.rlike(pattern), label) for pattern, label in rules]
@@ -57,7 +77,7 @@ def spatial_label(text: Column) -> Column:
 def type_label(text: Column) -> Column:
     """Short constraint type; unmatched texts stay, null is Unknown."""
     flat = F.trim(F.regexp_replace(text, "\n", " "))
-    hits = [F.when(F.lower(flat).contains(key), label) for key, label in TYPE_RULES]
+    hits = [F.when(F.lower(flat).contains(key), label) for key, label in sorted(TYPE_RULES, key=lambda rule: -len(rule[0]))]
     return F.coalesce(*hits, flat, F.lit("Unknown"))
 
 
@@ -70,17 +90,17 @@ def constraint_components(text: Column) -> Column:
 
 
 def constraint_pattern(comps: Column) -> Column:
-    """Family of a set of components; rules in order."""
-    has = lambda *names: F.arrays_overlap(comps, F.array(*[F.lit(n) for n in names]))
-    loss = has("Physics Loss Constraint")
-    topo = has("Physical Topology (structural prior)", "Governing Equation (architecture)")
-    learned = has("Data-Learned (dynamic)", "Data-Learned (static)")
-    dynamic = has("Statistical Correlation (dynamic)", "Statistical Correlation (static)", "Real-Time Physical Observation")
-    model = has("Physics-Emulator (training data)", "Physics Model as Input Feature")
-    return (
-        F.when(~topo & learned & ~loss, "Fully Data-Learned").when(topo & loss, "Topology + Loss Penalty").when(topo & learned & dynamic, "Topology + Learned + Dynamic")
-        .when(topo & learned, "Topology + Learned").when(topo & (dynamic | model), "Topology + Dynamic").when(topo, "Topology Only").when(loss, "Loss Penalty").otherwise("Other")
-    )
+    """Family of a set of components by PATTERN_RULES; Other where none fits."""
+    present = {group: F.arrays_overlap(comps, F.array(*[F.lit(n) for n in names])) for group, names in PATTERN_GROUPS.items()}
+    out = F.lit(None).cast("string")
+    for needed, excluded, family in PATTERN_RULES:
+        fits = F.lit(True)
+        for group in needed:
+            fits &= present[group]
+        for group in excluded:
+            fits &= ~present[group]
+        out = F.coalesce(out, F.when(fits, family))
+    return F.coalesce(out, F.lit("Other"))
 
 
 # fixed values: temporal architecture labels, first rule that matches

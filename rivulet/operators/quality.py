@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rivulet.plans.intervals import interval_join
 from rivulet.plans.quantiles import exact_quantiles
 from rivulet.plans.runs import find_runs
-from rivulet.plans.timechunks import DAY, HOUR, STEP, from_micros, micros, over_time
+from rivulet.plans.timechunks import DAY, HOUR, STEP, fdiv, from_micros, micros
 
 SERIES = ("series_id",)
 
@@ -67,14 +67,20 @@ def quality_report(grid: DataFrame, gaps: DataFrame, min_completeness: float = 0
         F.coalesce("n_gaps", F.lit(0)).alias("n_gaps"), F.coalesce("longest_gap_h", F.lit(0.0)).alias("longest_gap_h"), "min_value", "max_value")
 
 
-def coverage_diagnosis(df: DataFrame, keys: Sequence[str] = SERIES, ts: str = "ts", value: str = "value", code: str = "quality_code") -> DataFrame:
-    """Code histogram entries plus first and last valid reading per series."""
+def coverage_diagnosis(df: DataFrame, keys: Sequence[str] = SERIES, ts: str = "ts", value: str = "value", code: str = "quality_code", step: int = STEP) -> DataFrame:
+    """Code histogram entries (readings, values and timestamps that failed to parse), and per series the first and last valid
+    reading, the largest gap between valid readings in steps, and the share of valid readings."""
     per_code = df.groupBy(*keys, code).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col(value).isNull()).alias("n_unparsed"),
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col(value).isNull()).alias("n_unparsed"), F.count_if(F.col(ts).isNull()).alias("n_bad_ts"),
         F.min(F.when(F.col(value).isNotNull(), F.col(ts))).alias("first_valid"), F.max(F.when(F.col(value).isNotNull(), F.col(ts))).alias("last_valid"))
     w = Window.partitionBy(*keys)
-    return per_code.select(
-        *keys, code, "n", "n_unparsed", F.min("first_valid").over(w).alias("first_valid"), F.max("last_valid").over(w).alias("last_valid"),
+    days = df.where(F.col(value).isNotNull() & F.col(ts).isNotNull()).select(*keys, micros(ts).alias("_us"), fdiv(micros(ts), DAY).alias("_day"))
+    inner = Window.partitionBy(*keys, "_day").orderBy("_us")
+    inside = days.withColumn("_gap", F.col("_us") - F.lag("_us").over(inner)).groupBy(*keys, "_day").agg(F.max("_gap").alias("_in"), F.min("_us").alias("_a"), F.max("_us").alias("_z"))
+    across = inside.withColumn("_gap", F.greatest("_in", F.col("_a") - F.lag("_z").over(Window.partitionBy(*keys).orderBy("_day"))))  # one row per day
+    gaps = across.groupBy(*keys).agg((F.max("_gap") / step).alias("largest_gap_steps"))
+    return per_code.join(gaps, list(keys), "left").select(
+        *keys, code, "n", "n_unparsed", "n_bad_ts", "largest_gap_steps", ((F.sum("n").over(w) - F.sum("n_unparsed").over(w)) / F.sum("n").over(w)).alias("coverage"), F.min("first_valid").over(w).alias("first_valid"), F.max("last_valid").over(w).alias("last_valid"),
         (F.sum("n").over(w)).alias("n_total"))
 
 
@@ -147,16 +153,20 @@ def check_rules(df: DataFrame, rules: dict[str, tuple[Column, Column]]) -> DataF
     return agg.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def validate_gridded(cells: DataFrame, layers: Sequence[str], n_nodes: int | Column, key: str = "cell_id", ts: str = "ts", step: int = HOUR) -> DataFrame:
-    """Null share, value range, strictly rising time and node count of a gridded table."""
-    seen = over_time(cells, [key], ts, lambda w: {"_back": (F.col("_us") - F.lag("_us").over(w) <= 0).cast("int")}, before=step)
+def validate_gridded(cells: DataFrame, layers: Sequence[str], n_nodes: int | Column, key: str = "cell_id", ts: str = "ts") -> DataFrame:
+    """Null share, value range, repeated time steps and node count of a gridded table.
+
+    Rows of a table have no order of their own, so what a file's order would show as time standing still is
+    found as more than one row of a cell at a time.
+    """
+    seen = cells.withColumn("_again", (F.row_number().over(Window.partitionBy(key, ts).orderBy(F.lit(1))) > 1).cast("int"))
     rules: dict[str, tuple[Column, Column]] = {}
     for layer in layers:
         v = F.col(layer)
         rules[f"{layer}_null_share"] = (F.avg(v.isNull().cast("double")), F.col(f"{layer}_null_share") <= 0.05)
         rules[f"{layer}_out_of_range"] = (F.count_if((v < -0.01) | (v > 0.65)), F.col(f"{layer}_out_of_range") == 0)
         rules[f"{layer}_mean"] = (F.avg(v), F.col(f"{layer}_mean").between(0.20, 0.47))
-    rules["time_steps_back"] = (F.coalesce(F.sum("_back"), F.lit(0)), F.col("time_steps_back") == 0)
+    rules["repeated_steps"] = (F.coalesce(F.sum("_again"), F.lit(0)), F.col("repeated_steps") == 0)
     rules["node_count"] = (F.count_distinct(key), F.col("node_count") == n_nodes)
     return check_rules(seen, rules)
 

@@ -307,7 +307,11 @@ def climatology_anomaly(df: DataFrame, keys: Sequence[str] = SERIES, ts: str = "
             F.when(F.col("_pos") > F.col("_n") - half, F.col("_pos") - F.col("_n")).otherwise(F.col("_pos"))))))
     frame = Window.partitionBy(*keys).orderBy("_at").rowsBetween(-half, half)
     smooth = wrapped.withColumn("climatology", F.avg("_m").over(frame)).where(F.col("_at") == F.col("_pos")).select(*keys, "doy", "climatology")
-    return df.withColumn("doy", F.dayofyear(ts)).join(smooth, [*keys, "doy"], "left").withColumn("anomaly", F.col(value) - F.col("climatology"))
+    # every day of the year takes its own entry or the circularly nearest one, the earlier day on a tie
+    away = F.abs(F.col("doy") - F.col("_of"))
+    table = smooth.withColumn("_of", F.explode(F.sequence(F.lit(1), F.lit(366))))
+    table = table.groupBy(*keys, F.col("_of")).agg(F.min_by("climatology", F.struct(F.least(away, 366 - away), "doy")).alias("climatology"))
+    return df.withColumn("doy", F.dayofyear(ts)).join(table.withColumnRenamed("_of", "doy"), [*keys, "doy"], "left").withColumn("anomaly", F.col(value) - F.col("climatology"))
 
 
 # ------------------------------------------------------ response rates (E11)

@@ -340,7 +340,7 @@ def _case(texts, out):
     + _case(TEMPORAL, ("Muskingum-Cunge", "AR rollout", "Transformer", "TCN / T-GCN", "CNN", "GRU", "LSTM", "ELM, SVM, MLP", "Other")) + " AS temporal, "
     + _case(NODE, ("Gauge station", "Mesh / raster cell", "River reach", "River junction", "Drainage intersection", "Census tract", "Dynamic token", "Other")) + " AS node_type, "
     + _case(EDGE, ("Attention-learned", "Knowledge graph", "Statistical correlation", "Physical flow direction", "Spatial adjacency", "Physics-routed", "Adaptive / hybrid", "Inter-series dependency", "Physical connectivity", "Physical flow direction", "Other")) + " AS edge_type, "
-    + _case(TYPES, ("Physics Loss Constraint", "Physics Loss Constraint", "Data-Learned (static)", "Real-Time Physical Observation", "Unclear")) + " AS constraint_type FROM part",
+    + _case(TYPES, ("Physics Loss Constraint", "Physical Topology", "Data-Learned (static)", "Real-Time Physical Observation", "Unclear")) + " AS constraint_type FROM part",
 )
 def labels(t):
     return t.part.select(
@@ -378,11 +378,11 @@ def label_counts(t):
 
 @query(
     "k60_yearly_trend",
-    """WITH y AS (SELECT unnest(generate_series((SELECT min(year(o_orderdate)) FROM orders WHERE o_totalprice > 499900), (SELECT max(year(o_orderdate)) FROM orders WHERE o_totalprice > 499900))) AS year),
-c AS (SELECT year(o_orderdate) AS year, count(*) FILTER (WHERE o_orderstatus = 'F') AS finished, count(*) FILTER (WHERE o_orderpriority LIKE '1%') AS urgent FROM orders WHERE o_totalprice > 499900 GROUP BY 1)
+    """WITH y AS (SELECT unnest(generate_series((SELECT min(year(o_orderdate)) FROM orders), (SELECT max(year(o_orderdate)) FROM orders))) AS year),
+c AS (SELECT year(o_orderdate) AS year, count(*) FILTER (WHERE o_orderstatus = 'F') AS finished, count(*) FILTER (WHERE o_orderpriority LIKE '1%') AS urgent FROM orders GROUP BY 1)
 SELECT CAST(year AS INTEGER) AS year, 'finished' AS grp, coalesce(finished, 0) AS n FROM y LEFT JOIN c USING (year) UNION ALL SELECT CAST(year AS INTEGER), 'urgent', coalesce(urgent, 0) FROM y LEFT JOIN c USING (year)""",
 )
 def yearly_trend(t):
-    o = t.orders.where("o_totalprice > 499900").withColumn("y", F.year("o_orderdate"))
+    o = t.orders.withColumn("y", F.year("o_orderdate"))
     return catalogue.yearly_trend(o, "y", {"finished": F.col("o_orderstatus") == "F", "urgent": F.col("o_orderpriority").startswith("1")})
 

@@ -170,18 +170,18 @@ def overland_edges(t):
 
 @query(
     "j11_event_of_timestep",
-    """WITH ev AS (SELECT o_orderkey AS event_id, o_orderkey AS event_order, o_orderdate - INTERVAL 3 DAY AS s, o_orderdate + INTERVAL 3 DAY + INTERVAL 1425 MINUTE AS e FROM orders WHERE o_orderstatus = 'P'),
+    """WITH ev AS (SELECT o_orderkey AS event_id, o_orderkey AS event_order, o_orderdate - INTERVAL 3 DAY AS s, o_orderdate + INTERVAL 3 DAY + INTERVAL 1425 MINUTE AS e FROM orders),
 st AS (SELECT DISTINCT l_shipdate AS ts FROM lineitem), m AS (SELECT st.ts, max(event_id) AS event_id FROM st JOIN ev ON st.ts BETWEEN s AND e GROUP BY 1)
 SELECT st.ts, event_id FROM st LEFT JOIN m USING (ts)""",
 )
 def event_of_timestep(t):
-    ev = t.orders.where("o_orderstatus = 'P'").select(
+    ev = t.orders.select(
         F.col("o_orderkey").alias("event_id"), F.col("o_orderkey").alias("event_order"), F.expr("o_orderdate - interval 3 days").alias("event_start"), F.expr("o_orderdate + interval 3 days + interval 1425 minutes").alias("event_end"))
     return joins.event_of_timestep(t.lineitem.select(F.col("l_shipdate").alias("ts")).distinct(), ev)
 
 
 PRODUCTS = """products AS (SELECT l_orderkey * 10 + l_linenumber AS product_id, CAST(min(l_shipdate) AS DATE) AS date, CAST((l_orderkey * 7 + l_linenumber) % 5 AS BIGINT) AS orbit_rel, max(l_extendedprice) / 100 AS size_mb FROM lineitem GROUP BY l_orderkey, l_linenumber),
-peaks AS (SELECT o_orderkey AS event_id, CAST(o_orderdate AS DATE) AS peak_date FROM orders WHERE o_totalprice > 499000),
+peaks AS (SELECT o_orderkey AS event_id, CAST(o_orderdate AS DATE) AS peak_date FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority, year(o_orderdate) ORDER BY o_totalprice DESC, o_orderkey) = 1),
 near0 AS (SELECT product_id, arg_min({'event_id': event_id, 'peak_date': peak_date}, {'d': abs(date_diff('day', peak_date, date)), 'e': event_id}) AS b, min(abs(date_diff('day', peak_date, date))) AS days_from_peak, any_value(date) AS date, any_value(orbit_rel) AS orbit_rel, any_value(size_mb) AS size_mb
   FROM products JOIN peaks ON abs(date_diff('day', peak_date, date)) <= 2 GROUP BY 1),
 flood AS (SELECT product_id, b.event_id AS event_id, b.peak_date AS peak_date, date, orbit_rel, size_mb, CAST(days_from_peak AS INTEGER) AS days_from_peak FROM near0),
@@ -193,7 +193,9 @@ refs AS (SELECT b.event_id, p.product_id, p.date, p.orbit_rel, CAST(b.ref_year A
 def _products(t):
     p = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_shipdate").alias("d"), F.max("l_extendedprice").alias("x"))
     p = p.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("product_id"), F.to_date("d").alias("date"), F.pmod(F.col("l_orderkey") * 7 + F.col("l_linenumber"), F.lit(5)).cast("long").alias("orbit_rel"), (F.col("x") / 100).alias("size_mb"))
-    peaks = t.orders.where("o_totalprice > 499000").select(F.col("o_orderkey").alias("event_id"), F.to_date("o_orderdate").alias("peak_date"))
+    # the yearly maximum of each priority over the whole table
+    top = F.max_by(F.struct("o_orderkey", "o_orderdate"), F.struct(F.col("o_totalprice"), -F.col("o_orderkey"))).alias("top")
+    peaks = t.orders.groupBy("o_orderpriority", F.year("o_orderdate")).agg(top).select(F.col("top.o_orderkey").alias("event_id"), F.to_date("top.o_orderdate").alias("peak_date"))
     return p, joins.products_near_peaks(p, peaks)
 
 
@@ -255,14 +257,15 @@ def calibrated_pixels(t):
 
 
 ALERTS = f"""{SLOTS}, pred AS (SELECT series_id AS node, ts, value * 0.9::DOUBLE AS pred FROM slots),
-al AS (SELECT event_id AS alert_id, event_type AS gauge_ref, ts AS alert_ts, 95.0::DOUBLE AS bankfull FROM events WHERE value > 150),
+al AS (SELECT event_id AS alert_id, event_type AS gauge_ref, ts AS alert_ts, 95.0::DOUBLE AS bankfull FROM events QUALIFY value > 1.5::DOUBLE * avg(value) OVER (PARTITION BY event_type)),
 v AS (SELECT a.*, max(p.pred) AS max_pred FROM al a LEFT JOIN pred p ON p.node = a.gauge_ref AND p.ts BETWEEN time_bucket(INTERVAL 15 MINUTE, a.alert_ts + INTERVAL 450 SECOND) - INTERVAL 2 HOUR AND time_bucket(INTERVAL 15 MINUTE, a.alert_ts + INTERVAL 450 SECOND) + INTERVAL 2 HOUR GROUP BY ALL),
 ve AS (SELECT *, CASE WHEN max_pred > bankfull THEN 'TP' ELSE 'FN' END AS status FROM v)"""
 
 
 def _alerts(t):
     pred = timegrid.resample(readings(t)).select(F.col("series_id").alias("node"), "ts", (F.col("value") * 0.9).alias("pred"))
-    alerts = t.events.where("value > 150").select(F.col("event_id").alias("alert_id"), F.col("event_type").alias("gauge_ref"), F.col("ts").alias("alert_ts"))
+    mean = t.events.groupBy("event_type").agg(F.avg("value").alias("mean"))
+    alerts = t.events.join(mean, "event_type").where(F.col("value") > 1.5 * F.col("mean")).select(F.col("event_id").alias("alert_id"), F.col("event_type").alias("gauge_ref"), F.col("ts").alias("alert_ts"))
     thr = t.events.select(F.col("event_type").alias("gauge_ref"), F.lit(95.0).alias("bankfull")).distinct()
     return joins.verify_alerts(alerts, pred, thr), pred, thr
 
@@ -313,8 +316,8 @@ def node_soil_moisture(t):
     return near.join(aligned, "cell_id").select("node", "ts", r6("value").alias("swvl1"))
 
 
-@query("j25_threshold_lookup", f"WITH {NODES} SELECT node, {s6('coalesce(b, 0.5)')} AS bankfull FROM nodes LEFT JOIN (SELECT l_suppkey AS node, max(l_discount) * 20 AS b FROM lineitem WHERE l_quantity > 49 GROUP BY 1) USING (node)")
+@query("j25_threshold_lookup", f"WITH {NODES} SELECT node, {s6('coalesce(b, 0.5)')} AS bankfull FROM nodes LEFT JOIN (SELECT l_suppkey AS node, max(l_discount) * 20 AS b FROM lineitem GROUP BY 1) USING (node)")
 def threshold_lookup(t):
-    thr = t.lineitem.where("l_quantity > 49").groupBy(F.col("l_suppkey").alias("node")).agg((F.max("l_discount") * 20).alias("bankfull"))
+    thr = t.lineitem.groupBy(F.col("l_suppkey").alias("node")).agg((F.max("l_discount") * 20).alias("bankfull"))
     return _round(joins.threshold_lookup(nodes(t).select("node"), thr, "node"), "bankfull")
 

@@ -65,11 +65,13 @@ def quality_report(t):
     "c8_coverage_diagnosis",
     f"""WITH {READINGS}, c AS (SELECT series_id, quality_code, ts, {RANGE_CASE} AS value FROM readings)
 SELECT series_id, quality_code, count(*) AS n, count(*) - count(value) AS n_unparsed, min(min(ts) FILTER (WHERE value IS NOT NULL)) OVER w AS first_valid,
-  max(max(ts) FILTER (WHERE value IS NOT NULL)) OVER w AS last_valid, CAST(sum(count(*)) OVER w AS BIGINT) AS n_total
+  max(max(ts) FILTER (WHERE value IS NOT NULL)) OVER w AS last_valid, CAST(sum(count(*)) OVER w AS BIGINT) AS n_total,
+  count(*) FILTER (WHERE ts IS NULL) AS n_bad_ts, (SELECT max(g) FROM (SELECT series_id, date_diff('microsecond', lag(ts) OVER (PARTITION BY series_id ORDER BY ts), ts) / 900000000.0::DOUBLE AS g FROM c WHERE value IS NOT NULL) x WHERE x.series_id = c.series_id) AS largest_gap_steps,
+  {s6('sum(count(value)) OVER w / sum(count(*)) OVER w')} AS coverage
 FROM c GROUP BY series_id, quality_code WINDOW w AS (PARTITION BY series_id)""",
 )
 def coverage_diagnosis(t):
-    return quality.coverage_diagnosis(quality.range_filter(readings(t)))
+    return quality.coverage_diagnosis(quality.range_filter(readings(t))).withColumn("coverage", r6("coverage"))
 
 
 def _features(t):
@@ -161,7 +163,7 @@ UNION ALL SELECT '{layer}_mean', avg({layer}), avg({layer}) BETWEEN 0.20 AND 0.4
 @query(
     "c15_validate_gridded",
     f"""WITH {CELLS}, r AS ({_layer_rules('swvl1')} UNION ALL {_layer_rules('swvl2')}
-UNION ALL SELECT 'time_steps_back', 0.0::DOUBLE, true UNION ALL SELECT 'node_count', CAST(count(DISTINCT cell_id) AS DOUBLE), count(DISTINCT cell_id) = 5 FROM cells)
+UNION ALL SELECT 'repeated_steps', 0.0::DOUBLE, true UNION ALL SELECT 'node_count', CAST(count(DISTINCT cell_id) AS DOUBLE), count(DISTINCT cell_id) = 5 FROM cells)
 SELECT rule, {s6('value')} AS value, CASE WHEN ok THEN 'ok' ELSE 'fail' END AS status FROM r""",
 )
 def validate_gridded(t):
@@ -210,14 +212,14 @@ def physical_guards(t):
 
 @query(
     "c21_mask_outages",
-    """WITH o AS (SELECT o_custkey AS node, o_orderdate AS start, o_orderdate + INTERVAL 30 DAY AS "end" FROM orders WHERE o_orderpriority = '1-URGENT'),
+    """WITH o AS (SELECT o_custkey AS node, o_orderdate AS start, o_orderdate + INTERVAL 30 DAY AS "end" FROM orders),
 f AS (SELECT l_orderkey, l_linenumber, o_custkey AS node, l_shipdate AS ts, l_quantity AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
 SELECT f.l_orderkey, f.l_linenumber, f.node, f.ts, EXISTS (SELECT 1 FROM o WHERE o.node = f.node AND f.ts >= o.start AND f.ts < o."end") AS masked,
   CASE WHEN NOT EXISTS (SELECT 1 FROM o WHERE o.node = f.node AND f.ts >= o.start AND f.ts < o."end") THEN value END AS value FROM f""",
 )
 def mask_outages(t):
     orders = t.orders
-    o = orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("node"), F.col("o_orderdate").alias("start"), F.expr("o_orderdate + interval 30 days").alias("end"))
+    o = orders.select(F.col("o_custkey").alias("node"), F.col("o_orderdate").alias("start"), F.expr("o_orderdate + interval 30 days").alias("end"))
     f = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_shipdate").alias("ts"), F.col("l_quantity").alias("value")).join(
         orders.select("o_orderkey", F.col("o_custkey").alias("node")), F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey")
     return quality.mask_outages(f, o, ("value",))

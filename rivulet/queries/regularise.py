@@ -95,16 +95,16 @@ def align_nearest_hourly(t):
 
 @query(
     "d6_nearest_step",
-    """WITH ev AS (SELECT event_id, ts FROM events WHERE event_type = 'purchase'),
-st AS (SELECT DISTINCT time_bucket(INTERVAL 1 DAY, ts) AS step_ts FROM events WHERE event_type = 'click'),
+    """WITH ev AS (SELECT event_id, ts FROM events),
+st AS (SELECT DISTINCT time_bucket(INTERVAL 1 DAY, ts) AS step_ts FROM events),
 m AS (SELECT e.event_id, e.ts, arg_min(s.step_ts, {'d': abs(epoch_us(s.step_ts) - epoch_us(e.ts)), 'o': epoch_us(s.step_ts)}) AS step_ts
   FROM ev e CROSS JOIN st s GROUP BY 1, 2)
 SELECT event_id, ts, step_ts, round(abs(epoch_us(step_ts) - epoch_us(ts)) / 3600000000.0::DOUBLE, 6) AS lag_hours,
   abs(epoch_us(step_ts) - epoch_us(ts)) / 3600000000.0::DOUBLE > 6 AS warn FROM m""",
 )
 def nearest_step(t):
-    ev = t.events.where("event_type = 'purchase'").select("event_id", "ts")
-    steps = t.events.where("event_type = 'click'").select(timegrid.slot("ts", "1 day").alias("step_ts"))
+    ev = t.events.select("event_id", "ts")
+    steps = t.events.select(timegrid.slot("ts", "1 day").alias("step_ts"))
     return timegrid.nearest_step(ev, steps).withColumn("lag_hours", F.round("lag_hours", 6))
 
 
