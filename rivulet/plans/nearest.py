@@ -58,7 +58,7 @@ def nearest(
 
     A search over the touching cells of size s sees everything within s, so a
     hit no farther than s is final; the points left over go on with larger
-    cells. Points and references are first reduced to distinct places, so a
+    cells. The first size is `start` or less where places are dense. Points and references are first reduced to distinct places, so a
     crowded place costs one search. Ties go to the smallest `ref_order`.
     `dist` may use the axes and `ref_axes`; the axes must be such that
     Euclidean distance in them bounds the ranking (chord length for the globe).
@@ -67,18 +67,17 @@ def nearest(
     spots = refs.groupBy(*ref_axes).agg(F.min(F.struct(F.col(ref_order).alias("o"), F.col(ref_id).alias("id"))).alias("_r"))
     spots = cut(spots.where(" and ".join(f"{a} is not null" for a in ref_axes)))
     span2 = sum((F.col(a) - F.col(b)) ** 2 for a, b in zip(axes, ref_axes))
-    todo, done, size = cut(places), None, start
+    todo, done = cut(places), None
     if spots.isEmpty():
         return points.withColumn(ref_id, F.lit(None).cast(refs.schema[ref_id].dataType)).withColumn("dist", F.lit(None).cast("double"))
-    for _ in range(max_rounds):
-        pairs = within_radius(todo, spots, axes, ref_axes, size)
-        best = pairs.groupBy(*axes).agg(
-            F.min(F.struct(dist.alias("d"), F.col("_r"))).alias("_best"), F.min(span2).alias("_span2")
-        )
-        found = best.where(F.col("_span2") <= F.lit(size * size * 0.999999)).select(*axes, "_best")
-        found = cut(found)
+    size, finer = _first_size(todo, spots, axes, ref_axes, start, growth)
+    for _ in range(max_rounds + finer):
+        best = within_radius(todo, spots, axes, ref_axes, size).groupBy(*axes).agg(F.min(F.struct(dist.alias("d"), F.col("_r"))).alias("_best"), F.min(span2).alias("_span2"))
+        sure = F.coalesce(F.col("_span2") <= F.lit(size * size * 0.999999), F.lit(False))
+        state = cut(todo.join(best, list(axes), "left").select(*axes, "_best", sure.alias("_sure")))
+        found = state.where("_sure").select(*axes, "_best")
         done = found if done is None else done.unionByName(found)
-        todo = cut(todo.join(found.select(*axes), list(axes), "left_anti"))
+        todo = state.where("not _sure").select(*axes)
         if todo.isEmpty():
             break
         size *= growth
@@ -86,3 +85,21 @@ def nearest(
         raise ValueError("references lie farther away than the search can reach")
     hit = done.select(*axes, F.col("_best._r.id").alias(ref_id), F.col("_best.d").alias("dist"))
     return points.join(hit, list(axes), "left")
+
+
+def _first_size(places: DataFrame, spots: DataFrame, axes: Sequence[str], ref_axes: Sequence[str], start: float, growth: float, each: int = 64, steps: int = 12) -> tuple[float, int]:
+    """First cell size and how often `start` was divided by `growth` for it.
+
+    Cells shrink until a point meets no more than `each` references in its own cell on average over all points, so crowded
+    regions do not meet in all pairs. One aggregate of counts per cell for each size tried.
+    """
+    keys, size = [f"_c{i}" for i in range(len(axes))], start
+    most = each * places.count()
+    for finer in range(steps):
+        here = places.groupBy(*cell_of(axes, size)).agg(F.count(F.lit(1)).alias("_p"))
+        there = spots.groupBy(*cell_of(ref_axes, size)).agg(F.count(F.lit(1)).alias("_s"))
+        met = here.join(there, keys).agg(F.sum(F.col("_p").cast("double") * F.col("_s"))).first()[0] or 0.0
+        if met <= most:
+            return size, finer
+        size /= growth
+    return size, steps
