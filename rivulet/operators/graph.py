@@ -174,25 +174,27 @@ def datum_and_range(nodes: DataFrame, overrides: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------- iterative operators
-def shortest_distances(edges: DataFrame, max_dist: float, max_rounds: int = 1000) -> DataFrame:
+def shortest_distances(edges: DataFrame, max_dist: float) -> DataFrame:
     """Shortest distance of every ordered pair within `max_dist` (src <> dst).
 
-    Each round extends only the pairs improved in the round before by one edge,
-    so the work follows the number of pairs within reach.
+    Paths double: a round joins the pairs improved in the round before with all known pairs, on either
+    side, so the number of rounds is logarithmic in the number of edges of a path, and pairs that
+    settled early meet only those that still change.
     """
-    e = cut(edges.where("src <> dst").groupBy("src", "dst").agg(F.min("dist_km").alias("w")).where(F.col("w") <= max_dist))
-    best = e.select("src", "dst", F.col("w").alias("d"))
-    delta = best
-    for _ in range(max_rounds):
-        step = delta.join(e.select(F.col("src").alias("dst"), F.col("dst").alias("_to"), "w"), "dst")
-        cand = step.where(F.col("src") != F.col("_to")).select("src", F.col("_to").alias("dst"), (F.col("d") + F.col("w")).alias("d"))
-        cand = cand.where(F.col("d") <= max_dist).groupBy("src", "dst").agg(F.min("d").alias("d"))
-        known = best.select("src", "dst", F.col("d").alias("_old"))
-        delta = cut(cand.join(known, ["src", "dst"], "left").where(F.col("_old").isNull() | (F.col("d") < F.col("_old"))).drop("_old"))
-        if delta.isEmpty():
-            return best.withColumnRenamed("d", "dist_km")
-        best = cut(best.join(delta.select("src", "dst"), ["src", "dst"], "left_anti").unionByName(delta), compact=True)
-    raise RuntimeError("distances still improving; raise max_rounds")
+    known = cut(edges.where("src <> dst").groupBy("src", "dst").agg(F.min("dist_km").alias("d")).where(F.col("d") <= max_dist))
+    fresh = known
+    while True:
+        ahead = fresh.select("src", F.col("dst").alias("mid"), "d").join(known.select(F.col("src").alias("mid"), "dst", F.col("d").alias("_d")), "mid")
+        behind = known.select("src", F.col("dst").alias("mid"), "d").join(fresh.select(F.col("src").alias("mid"), "dst", F.col("d").alias("_d")), "mid")
+        longer = ahead.unionByName(behind).select("src", "dst", (F.col("d") + F.col("_d")).alias("d"))
+        longer = longer.where((F.col("src") != F.col("dst")) & (F.col("d") <= max_dist)).groupBy("src", "dst").agg(F.min("d").alias("d"))
+        old = known.select("src", "dst", F.col("d").alias("_old"))
+        # sums in another order may differ in the last digit; that is no improvement
+        merged = cut(old.join(longer, ["src", "dst"], "full").select("src", "dst", "_old", "d", (F.coalesce(F.col("d") < F.col("_old") - 1e-9, F.col("_old").isNull())).alias("_better")), compact=True)
+        fresh = merged.where("_better").select("src", "dst", "d")
+        known = merged.select("src", "dst", F.when(F.col("_better"), F.col("d")).otherwise(F.col("_old")).alias("d"))
+        if fresh.isEmpty():
+            return known.withColumnRenamed("d", "dist_km")
 
 
 def edge_features(distances: DataFrame, nodes: DataFrame, max_km: float = 80.0) -> DataFrame:

@@ -10,17 +10,19 @@ from pyspark.sql import functions as F
 from .fixpoint import cut
 
 
-def value_counts_below(df: DataFrame, keys: Sequence[str], value: str, buckets: int = 64) -> DataFrame:
+def value_counts_below(df: DataFrame, keys: Sequence[str], value: str, buckets: int | None = None) -> DataFrame:
     """Per key and distinct value: `n_equal`, `n_below` (rows with a smaller value) and `n_total`.
 
     Values are dealt into buckets by approximate quantiles, counted per bucket,
     and ordered only inside their bucket. The bucket edges are checkpointed, so
-    the counting and the ordering pass see the same ones.
+    the counting and the ordering pass see the same ones. Without a number of buckets there are as many as shuffle
+    partitions (64 at least), so a key with very many values is spread over all of them.
     """
     keys = list(keys)
+    buckets = buckets or max(64, min(5_000, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n_equal"))
     probs = [i / buckets for i in range(1, buckets)]
-    edges = counts.groupBy(*keys).agg(F.percentile_approx(value, probs, 1000).alias("_edges"))
+    edges = counts.groupBy(*keys).agg(F.percentile_approx(value, probs, max(1000, 10 * buckets)).alias("_edges"))
     edges = cut(edges).select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_edges")
     same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
     tagged = counts.join(edges, same).withColumn("_b", F.size(F.filter("_edges", lambda e: e < F.col(value))))
