@@ -116,8 +116,13 @@ def inundation(pixels: DataFrame, stages: DataFrame, fixed_hand: float | None =
     """
     on = stages.where(F.col("stage") >= F.col("bankfull"))
     height = F.col("stage") if fixed_hand is None else F.lit(fixed_hand)
-    wet = pixels.where(F.col("hand").isNotNull()).join(on, "node").where(F.col("hand") <= height)
-    return wet.select("ts", "row", "col").distinct()
+    places = pixels.where(F.col("hand").isNotNull()).select("row", "col", "node", "hand")
+    # duplicates can only come from pixels under several nodes or listed twice, so only those are compared over all times
+    shared = places.groupBy("row", "col").agg((F.count(F.lit(1)) > 1).alias("_shared"))
+    lying = places.join(shared, ["row", "col"])
+    wet = lying.join(on.groupBy("node", "ts").agg(F.max(height).alias("_height")), "node").where(F.col("hand") <= F.col("_height"))
+    alone = wet.where(~F.col("_shared")).select("ts", "row", "col")
+    return alone.unionByName(wet.where("_shared").select("ts", "row", "col").distinct())
 
 
 def inundated_area(pixels: DataFrame, stages: DataFrame, cell_km2: float, columns: Sequence[str] = ("pred", "obs"), band: float = 0.25) -> DataFrame:

@@ -86,22 +86,36 @@ def station_subset(t):
     return ingest.station_subset(st, wanted, out, skip_tidal=True)
 
 
+TREE = f"""{FORECAST}, r AS (SELECT model, seed, horizon, count(*) AS n, sum(target) AS total FROM forecast GROUP BY 1, 2, 3),
+pn AS (SELECT model, seed, horizon, node, count(*) AS n_valid FROM forecast WHERE seed = 0 OR horizon = 4 GROUP BY ALL)"""
+
+
+def _tree(t):
+    """A record per run as JSON and a table per run as CSV in one model/seed/horizon tree; some runs lack the table."""
+    root = ingest.shared_scratch(t.spark, "results")
+    keys = ("model", "seed", "horizon")
+    runs = forecast(t).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("target").alias("total"))
+    runs.write.mode("append").partitionBy(*keys).json(root)
+    per_node = forecast(t).where("seed = 0 or horizon = 4").groupBy(*keys, "node").agg(F.count(F.lit(1)).alias("n_valid"))
+    per_node.write.mode("append").partitionBy(*keys).option("header", "true").csv(root)
+    return ingest.load_tree(t.spark, root, ("*.json", "n long, total double"), ("*.csv", "node long, n_valid long"))
+
+
 @query(
     "a9_result_tree",
-    f"""WITH {FORECAST}, r AS (SELECT model, seed, horizon, count(*) AS n, sum(target) AS total FROM forecast GROUP BY 1, 2, 3)
-SELECT model, seed, horizon, n, {s6('total')} AS total, CASE WHEN seed = 0 THEN {s6('total / n')} END AS mean FROM r""",
+    f"""WITH {TREE} SELECT model, seed, horizon, n, {s6('total')} AS total, n_nodes, n_valid FROM r
+JOIN (SELECT model, seed, horizon, count(*) AS n_nodes, CAST(sum(n_valid) AS BIGINT) AS n_valid FROM pn GROUP BY 1, 2, 3) USING (model, seed, horizon)""",
 )
 def result_tree(t):
-    """Score files written as a model/seed/horizon tree and read back; the second file is optional."""
-    root = ingest.shared_scratch(t.spark, "results")
-    runs = forecast(t).groupBy("model", "seed", "horizon").agg(F.count(F.lit(1)).alias("n"), F.sum("target").alias("total"))
-    runs.select("model", "seed", "horizon", F.to_json(F.struct("n", "total")).alias("value")).write.partitionBy("model", "seed", "horizon").text(f"{root}/metrics")
-    runs.where("seed = 0").select("model", "seed", "horizon", F.to_json(F.struct((F.col("total") / F.col("n")).alias("mean"))).alias("value")).write.partitionBy("model", "seed", "horizon").text(f"{root}/extended")
-    strip = lambda df: df.select(
-        F.regexp_replace("model", "^model=", "").alias("model"), F.regexp_extract("_p", r"seed=(\d+)", 1).cast("long").alias("seed"), F.regexp_extract("_p", r"horizon=(\d+)", 1).cast("int").alias("horizon"), *[c for c in df.columns if c not in ("model", "seed", "horizon", "_p")])
-    metrics = strip(ingest.scan_json(t.spark, f"{root}/metrics", "*.txt", "n long, total double").withColumn("_p", F.input_file_name()))
-    extended = strip(ingest.scan_json(t.spark, f"{root}/extended", "*.txt", "mean double").withColumn("_p", F.input_file_name()))
-    return _round(ingest.load_results(metrics, extended), "total", "mean")
+    """Complete runs of a tree written and read back: the record and what the node table adds up to."""
+    metrics, nodes, _ = _tree(t)
+    per_run = nodes.groupBy("model", "seed", "horizon").agg(F.count(F.lit(1)).alias("n_nodes"), F.sum("n_valid").alias("n_valid"))
+    return _round(ingest.load_results(metrics, per_run), "total").select("model", "seed", "horizon", "n", "total", "n_nodes", "n_valid")
+
+
+@query("a9_incomplete_runs", f"WITH {TREE} SELECT DISTINCT model, seed, horizon, true AS has_metrics, false AS has_nodes FROM r WHERE (model, seed, horizon) NOT IN (SELECT (model, seed, horizon) FROM pn)")
+def incomplete_runs(t):
+    return _tree(t)[2]
 
 
 @query("a11_wide_export", f"WITH {SLOTS} SELECT ts, " + ", ".join(f"{s6(f'max(value) FILTER (WHERE series_id = {chr(39)}{n}{chr(39)})')} AS {n}" for n in ("click", "error", "purchase", "signup", "view")) + " FROM grid GROUP BY 1")

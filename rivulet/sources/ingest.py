@@ -79,7 +79,8 @@ def station_subset(stations: DataFrame, wanted: DataFrame | None = None, exclude
 
 
 # ------------------------------------------------------------- result trees
-TREE = r"/([^/]+)/([^/]+)/([^/]+)/[^/]+$"
+# folders model/seed/horizon, each with or without its name before an equals sign
+TREE = r"/(?:[^/=]+=)?([^/=]+)/(?:[^/=]+=)?([^/=]+)/(?:[^/=]+=)?([^/=]+)/[^/]+$"
 
 
 def _run_keys(df: DataFrame) -> DataFrame:
@@ -99,6 +100,19 @@ def scan_csv(spark: SparkSession, root: str, file_name: str, schema: str) -> Dat
     return _run_keys(df.withColumn("_path", F.input_file_name()))
 
 
+def load_tree(spark: SparkSession, root: str, metrics: tuple[str, str], nodes: tuple[str, str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Runs of a result tree that have both of their files: metrics, rows per node, and the keys of runs that lack a file.
+
+    `metrics` and `nodes` are (file name pattern, schema) of the JSON record and of the CSV table of a run.
+    """
+    keys = ["model", "seed", "horizon"]
+    record, table = scan_json(spark, root, *metrics), scan_csv(spark, root, *nodes)
+    has_record, has_table = record.select(*keys).distinct().withColumn("has_metrics", F.lit(True)), table.select(*keys).distinct().withColumn("has_nodes", F.lit(True))
+    runs = has_record.join(has_table, keys, "full").fillna(False, ["has_metrics", "has_nodes"])
+    whole = runs.where("has_metrics and has_nodes").select(*keys)
+    return record.join(whole, keys, "left_semi"), table.join(whole, keys, "left_semi"), runs.where("not (has_metrics and has_nodes)")
+
+
 def load_results(metrics: DataFrame, extended: DataFrame | None = None, keys: Sequence[str] = ("model", "seed", "horizon")) -> DataFrame:
     """Required metrics with optional extended ones; runs without the latter keep nulls."""
     return metrics if extended is None else metrics.join(extended, list(keys), "left")
