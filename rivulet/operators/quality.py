@@ -194,10 +194,13 @@ def gate_lead(df: DataFrame, window_keys: Sequence[str], step: str, gate: Column
 
 def physical_guards(df: DataFrame, features: Sequence[str], rain: str | None = None, saturation: str | None = None, norm: str | None = None, factor: float = 3.0) -> DataFrame:
     """Clip features to +- factor x p99 of their absolute value, rain to >= 0, saturation to [0,1], position to [-2,5]."""
-    out = df
+    sizes = df.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.abs(F.col(f)).cast("double").alias("size")) for f in features])).alias("_x")).select("_x.*")
+    limits = exact_quantiles(sizes, ["feature"], "size", {"p": 0.99})  # one pass for all features, one row each
+    out = df.withColumn("_lim", limits.agg(F.map_from_entries(F.collect_list(F.struct("feature", F.col("p") * factor)))).scalar())
     for f in features:
-        limit = exact_quantiles(df.select(F.abs(f).alias("_a")), [], "_a", {"p": 0.99}).select((F.col("p") * factor)).scalar()
-        out = out.withColumn("_lim", limit).withColumn(f, F.when(F.col(f).isNotNull(), F.least(F.greatest(F.col(f), -F.col("_lim")), F.col("_lim")))).drop("_lim")
+        limit = F.col("_lim")[f]
+        out = out.withColumn(f, F.when(F.col(f).isNotNull(), F.least(F.greatest(F.col(f), -limit), limit)))
+    out = out.drop("_lim")
     from rivulet.functions.expr import clip
 
     for name, lo, hi in ((rain, 0.0, None), (saturation, 0.0, 1.0), (norm, -2.0, 5.0)):

@@ -102,12 +102,11 @@ def norm_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def zscore_sample(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(x - mean) / max(sample deviation, 1e-6)."""
-    stats = df.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_samp(c).alias(f"s_{c}") for c in columns])
-    out = df
+    moments = df.agg(F.struct(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_samp(c).alias(f"s_{c}") for c in columns])).scalar()
+    out = df.withColumn("_of", moments)
     for c in columns:
-        out = out.withColumn("_m", stats.select(f"m_{c}").scalar()).withColumn("_s", stats.select(f"s_{c}").scalar())
-        out = out.withColumn(c, (F.col(c) - F.col("_m")) / F.greatest("_s", F.lit(1e-6))).drop("_m", "_s")
-    return out
+        out = out.withColumn(c, (F.col(c) - F.col("_of")[f"m_{c}"]) / F.greatest(F.col("_of")[f"s_{c}"], F.lit(1e-6)))
+    return out.drop("_of")
 
 
 def train_mean(df: DataFrame, key: str, value: str) -> DataFrame:
