@@ -11,6 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rivulet.llm.pairs import candidates, crowd_links, settle, units
 from rivulet.plans.fixpoint import cut
@@ -44,12 +45,18 @@ def usable(v: Column) -> Column:
     return F.coalesce(v.isNotNull() & fine & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def unit_vector(v: Column) -> Column:
-    """Length 1 in double precision; scaled by the largest component first, so no square overflows."""
-    top = F.array_max(F.transform(v, lambda x: F.abs(x)))
-    scaled = F.transform(v, lambda x: x / top)
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(scaled, lambda x: x / norm)
+def unit_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bring column v of usable vectors to length 1 as column u; scaled by the largest component first, so no square overflows."""
+    for batch in batches:
+        ends = batch.column("v").offsets.to_numpy().astype(np.int64)
+        starts, sizes = ends[:-1] - ends[0], np.diff(ends)
+        flat = batch.column("v").flatten().to_numpy(zero_copy_only=False)
+        if len(flat):
+            flat = flat / np.repeat(np.maximum.reduceat(np.abs(flat), starts), sizes)
+            flat = flat / np.repeat(np.sqrt(np.add.reduceat(flat * flat, starts)), sizes)
+        u = pa.ListArray.from_arrays(pa.array((ends - ends[0]).astype(np.int32)), pa.array(flat, pa.float64()))
+        keep = [c for c in batch.schema.names if c != "v"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], u], names=[*keep, "u"])
 
 
 def link_vectors(vectors: DataFrame, threshold: float = 0.93, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", projections: int = PROJECTIONS, tables: int = TABLES, quantum: float = QUANTUM) -> DataFrame:
@@ -65,7 +72,8 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.93, vec_id: str = "vec
     usable_row = usable(F.col("v")) & F.col("label").isNotNull()
     tagged = rows.select("vec_id", F.when(usable_row, F.md5(F.concat_ws(",", F.col("label").cast("string"), F.transform("v", lambda x: (x + 0.0).cast("string"))))).alias("same"), "label", "v")
     classes = tagged.where("same is not null").groupBy("same").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.first("label").alias("label"), F.first("v").alias("v"))
-    classes = cut(classes.withColumn("id", F.monotonically_increasing_id()).withColumn("u", unit_vector(F.col("v"))).drop("v"))
+    schema = T.StructType([*[f for f in classes.schema.fields if f.name != "v"], T.StructField("u", T.ArrayType(T.DoubleType()))])
+    classes = cut(classes.mapInArrow(unit_vectors, schema).withColumn("id", F.monotonically_increasing_id()))
 
     def hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
