@@ -216,8 +216,16 @@ def weighted_timing(per_window: DataFrame, keys: Sequence[str]) -> DataFrame:
     return agg.join(exact_quantiles(per_window, list(keys), "median_h", {"timing_median_h": 0.5}), list(keys))
 
 
-def scenario_record(pooled: DataFrame, detection: DataFrame, real: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One record per run: scenario scores, detection rates and degradation against the real test."""
+def scenario_record(pooled: DataFrame, detection: DataFrame, real: DataFrame, keys: Sequence[str], timing: DataFrame | None = None, timing_keys: Sequence[str] | None = None) -> DataFrame:
+    """One record per run: scenario scores, detection rates, degradation against the real test, and peak timing where given.
+
+    `timing` is the result of `weighted_timing` by `timing_keys` (all of `keys` by default); runs without a timed peak have 0 events.
+    """
     out = pooled.select(*keys, F.col("nse").alias("nse_syn"), F.col("rmse").alias("rmse_syn")).join(detection.select(*keys, F.col("pod").alias("pod_syn"), F.col("far").alias("far_syn")), list(keys))
     out = out.join(real.select(*keys, F.col("rmse").alias("real_rmse")), list(keys), "left")
-    return out.withColumn("degradation_ratio", F.when(F.col("real_rmse") > 0, F.col("rmse_syn") / F.col("real_rmse")))
+    out = out.withColumn("degradation_ratio", F.when(F.col("real_rmse") > 0, F.col("rmse_syn") / F.col("real_rmse")))
+    if timing is None:
+        return out
+    on = list(timing_keys or keys)
+    timing = timing.select(*on, F.col("timing_mean_h").alias("peak_timing_mean_hr"), F.col("timing_median_h").alias("peak_timing_median_hr"), F.col("n_events").alias("peak_timing_n_events"))
+    return out.join(timing, on, "left").withColumn("peak_timing_n_events", F.coalesce("peak_timing_n_events", F.lit(0)))

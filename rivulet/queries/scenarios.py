@@ -78,21 +78,6 @@ def realization_scores(t):
     return _round(scores.realization_scores(scenario_forecast(t), ("model", "scenario")), "nse", "rmse")
 
 
-@query(
-    "k42_scenario_record",
-    f"""WITH {SC}, p AS (SELECT scenario, model, seed, horizon, 1 - sum((pred - target)^2) / (var_pop(target) * count(*)) AS nse, sqrt(avg((pred - target)^2)) AS rmse, count(*) FILTER (WHERE pred >= 1.2 AND target >= 1.2) AS tp, count(*) FILTER (WHERE pred >= 1.2 AND target < 1.2) AS fp, count(*) FILTER (WHERE pred < 1.2 AND target >= 1.2) AS fn FROM sc GROUP BY 1, 2, 3, 4),
-r AS (SELECT model, seed, horizon, sqrt(avg((pred - target)^2)) AS real_rmse FROM forecast GROUP BY 1, 2, 3)
-SELECT scenario, model, seed, horizon, {s6('nse')} AS nse_syn, {s6('rmse')} AS rmse_syn, {s6('tp / greatest(tp + fn, 1)')} AS pod_syn, {s6('fp / greatest(tp + fp, 1)')} AS far_syn, {s6('real_rmse')} AS real_rmse, {s6('rmse / real_rmse')} AS degradation_ratio FROM p JOIN r USING (model, seed, horizon)""",
-)
-def scenario_record(t):
-    f, keys = scenario_forecast(t), ("scenario", "model", "seed", "horizon")
-    real = scores.pooled_scores(forecast(t), keys[1:])
-    kinds = f.select("scenario").distinct()
-    real = real.withColumn("scenario", F.explode(F.array(*[F.lit(k) for k in ("click", "view", "error", "purchase", "signup")]))).join(kinds, "scenario", "left_semi")
-    out = scores.scenario_record(scores.pooled_scores(f, keys), scores.pod_far_unmasked(f, keys, F.lit(1.2)), real, keys)
-    return _round(out, "nse_syn", "rmse_syn", "pod_syn", "far_syn", "real_rmse", "degradation_ratio")
-
-
 # ------------------------------------------------------------ window scores
 WIN = f"""{SLOTS}, wv AS (SELECT series_id, (epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM grid)) // 900000000 // 104 AS window_id, (epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM grid)) // 900000000 % 104 AS local_step, value FROM grid WHERE value IS NOT NULL)"""
 
@@ -225,3 +210,21 @@ SELECT series_id, {s6('sum(m * n) / sum(n)')} AS timing_mean_h, CAST(sum(n) AS B
 )
 def window_timing(t):
     return _round(scores.weighted_timing(_timing(t, ("series_id", "window_id")), ("series_id",)), "timing_mean_h", "timing_median_h")
+
+
+@query(
+    "k42_scenario_record",
+    f"""WITH RECURSIVE {SLOTS}, {timing_ctes(True)}, w AS (SELECT k, split_part(k, '#', 1) AS scenario, avg(abs(error_h)) AS m, quantile_cont(abs(error_h), 0.5) AS md, count(*) AS n FROM tm WHERE error_h IS NOT NULL GROUP BY 1, 2),
+wt AS (SELECT scenario, sum(m * n) / sum(n) AS tmean, CAST(sum(n) AS BIGINT) AS tn, quantile_cont(md, 0.5) AS tmed FROM w GROUP BY 1), {SC}, p AS (SELECT scenario, model, seed, horizon, 1 - sum((pred - target)^2) / (var_pop(target) * count(*)) AS nse, sqrt(avg((pred - target)^2)) AS rmse, count(*) FILTER (WHERE pred >= 1.2 AND target >= 1.2) AS tp, count(*) FILTER (WHERE pred >= 1.2 AND target < 1.2) AS fp, count(*) FILTER (WHERE pred < 1.2 AND target >= 1.2) AS fn FROM sc GROUP BY 1, 2, 3, 4),
+r AS (SELECT model, seed, horizon, sqrt(avg((pred - target)^2)) AS real_rmse FROM forecast GROUP BY 1, 2, 3)
+SELECT scenario, model, seed, horizon, {s6('nse')} AS nse_syn, {s6('rmse')} AS rmse_syn, {s6('tp / greatest(tp + fn, 1)')} AS pod_syn, {s6('fp / greatest(tp + fp, 1)')} AS far_syn, {s6('real_rmse')} AS real_rmse, {s6('rmse / real_rmse')} AS degradation_ratio,
+  {s6('tmean')} AS peak_timing_mean_hr, {s6('tmed')} AS peak_timing_median_hr, coalesce(tn, 0) AS peak_timing_n_events FROM p JOIN r USING (model, seed, horizon) LEFT JOIN wt USING (scenario)""",
+)
+def scenario_record(t):
+    f, keys = scenario_forecast(t), ("scenario", "model", "seed", "horizon")
+    real = scores.pooled_scores(forecast(t), keys[1:])
+    kinds = f.select("scenario").distinct()
+    real = real.withColumn("scenario", F.explode(F.array(*[F.lit(k) for k in ("click", "view", "error", "purchase", "signup")]))).join(kinds, "scenario", "left_semi")
+    timing = scores.weighted_timing(_timing(t, ("series_id", "window_id")), ("series_id",)).withColumnRenamed("series_id", "scenario")
+    out = scores.scenario_record(scores.pooled_scores(f, keys), scores.pod_far_unmasked(f, keys, F.lit(1.2)), real, keys, timing, ("scenario",))
+    return _round(out, "nse_syn", "rmse_syn", "pod_syn", "far_syn", "real_rmse", "degradation_ratio", "peak_timing_mean_hr", "peak_timing_median_hr")
