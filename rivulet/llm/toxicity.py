@@ -176,7 +176,7 @@ def train(bad: Sequence[str], good: Sequence[str], landmarks: int = LANDMARKS, c
     return Machine(weights.astype(np.float32), float(w[-1]))
 
 
-def witnesses(bags: Sequence[set[str]], clean: set[str], often: float = 0.01, least: int = 8) -> list[str]:
+def witnesses(bags: Sequence[Sequence[str]], clean: set[str], often: float = 0.01, least: int = 8) -> list[str]:
     """Words that explain the toxic bags and occur in no clean one.
 
     Near copies count once: bags that agree in two minimum hashes of their words are one
@@ -187,7 +187,7 @@ def witnesses(bags: Sequence[set[str]], clean: set[str], often: float = 0.01, le
     for bag in bags:
         if bag:
             key = tuple(min(zlib.crc32(w.encode(), salt) for w in bag) for salt in (1, 2))
-            families.setdefault(key, set()).update(bag - clean)
+            families.setdefault(key, set()).update(w for w in bag if w not in clean)
     where: dict[str, set[int]] = {}
     for i, words in enumerate(families.values()):
         for w in words:
@@ -245,11 +245,15 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     source = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     chosen = source.join(F.broadcast(picked), "key").dropDuplicates(["key"])  # at most twice `sample` keys
     rows = with_columns_by(chosen, ["text"], lambda: lambda texts: [[sorted(_bag(t)) for t in texts]], [T.StructField("words", T.ArrayType(T.StringType()))])
-    rows = rows.select("key", "toxic", "words").orderBy(*by_hash).collect()
-    bags = {kind: [set(r["words"]) for r in rows if r["toxic"] == kind] for kind in (0, 1)}
-    fits, lines = {}, {}
-    for kind, own in bags.items():
-        lines[kind], fits[kind] = own[::4], [b for i, b in enumerate(own) if i % 4]
+    table = rows.select("key", "toxic", "words").orderBy(*by_hash).select("toxic", "words").toArrow()
+    pool: dict[str, str] = {}  # one string object per word, not per document
+    bags: dict[int, list[list[str]]] = {0: [], 1: []}
+    for batch in table.to_batches(max_chunksize=64):
+        for kind, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            bags[kind].append([pool.setdefault(w, w) for w in words])
+    del table, pool
+    fits = {kind: [b for i, b in enumerate(own) if i % 4] for kind, own in bags.items()}
+    lines = {kind: own[::4] for kind, own in bags.items()}
     clean = set().union(*fits[0])
     bad = witnesses(fits[1], clean)[:WORDS]
     rng = np.random.default_rng(SEED)
@@ -259,14 +263,14 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     if every and bad:
         known_bad = set(bad)
         for bag in fits[1]:  # a bag without a known bad word adds its worst word, if the machine is sure of it
-            if not bag & known_bad and (rest := sorted(bag - clean)):
+            if known_bad.isdisjoint(bag) and (rest := [w for w in bag if w not in clean]):
                 margin = machine.margins(rest)
                 if margin.max() > 0.5:
                     bad.append(rest[int(margin.argmax())])
         bad = list(dict.fromkeys(bad))
-        near = np.argsort(-machine.margins(every))[: WORDS // 2]
+        near = np.argsort(-np.concatenate([machine.margins(every[at : at + 20_000]) for at in range(0, len(every), 20_000)]))[: WORDS // 2]
         machine = train(bad, sorted(good | {every[i] for i in near}))
-    margin = {kind: np.array([machine.margins(sorted(b)).max() if b else machine.bias for b in own]) for kind, own in lines.items()}
+    margin = {kind: np.array([machine.margins(b).max() if b else machine.bias for b in own]) for kind, own in lines.items()}
     if len(margin[0]) and len(margin[1]):
         machine.slope, machine.shift = sigmoid_line(margin[1], margin[0], counts[1] / counts[0])
     return machine
