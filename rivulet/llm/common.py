@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -19,7 +21,7 @@ from rivulet.plans.fixpoint import cut
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 #: Rows and bytes of one Arrow batch: what a Python worker holds at once.
-BATCH_ROWS, BATCH_BYTES = 2_000, 32 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -94,6 +96,13 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def hand_back_memory() -> None:
+    """Give what a finished task has freed back to the system: workers are reused, and would keep their largest size for good."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def with_columns_by(df: DataFrame, inputs: Sequence[str], make: Callable[[], Callable[..., Sequence[Sequence]]], fields: Sequence[T.StructField]) -> DataFrame:
     """Add columns that plain Python makes from some input columns, batch by batch.
 
@@ -113,5 +122,7 @@ def with_columns_by(df: DataFrame, inputs: Sequence[str], make: Callable[[], Cal
             values = fn(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in inputs])
             arrays = [batch.column(batch.schema.get_field_index(c)) for c in keep] + [pa.array(v, t) for v, t in zip(values, types)]
             yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *[f.name for f in fields]])
+        del fn
+        hand_back_memory()
 
     return source.mapInArrow(run, T.StructType([source.schema[c] for c in keep] + list(fields)))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import text_of
+from rivulet.llm.common import hand_back_memory, text_of
 from rivulet.llm.pairs import candidates, crowd_links, settle, units
 from rivulet.plans.fixpoint import cut
 
@@ -127,6 +127,7 @@ def link_documents(docs: DataFrame, threshold: float = THRESHOLD, words: int = W
                     known[same] = tree_keys(signature(shingles(t, words), trees * length), trees, length)
             keys = [known[same] for same in batch.column("same").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("same"), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "same", "keys"])
+        hand_back_memory()
 
     rows = cut(source.mapInArrow(hash_texts, "doc_id long, same string, keys array<long>").withColumn("row", F.monotonically_increasing_id()))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
@@ -142,6 +143,7 @@ def link_documents(docs: DataFrame, threshold: float = THRESHOLD, words: int = W
         for batch in batches:
             grams = [np.unique(shingles(t, words)).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(grams, pa.binary())], names=["id", "grams"])
+        hand_back_memory()
 
     grams = cut(texts.mapInArrow(sets, "id long, grams binary").dropDuplicates(["id"]))
     left, right = (grams.select(F.col("id").alias(x), F.col("grams").alias(f"{x}_grams")) for x in ("i", "j"))

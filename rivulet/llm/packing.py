@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rivulet.llm.common import hand_back_memory
 from rivulet.llm.tokens import json_codec
 
 #: Token after each document.
@@ -73,6 +74,7 @@ def pack(docs: DataFrame, path: str, pattern: str, longest: int = 2048, text: st
                 ids_column = pa.nulls(len(row), pa.list_(pa.int32()))
             columns = [*kept, *[pa.array(x, pa.int64()) for x in (start, length, crc, total)], ids_column]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, *[f.name for f in FIELDS]])
+        hand_back_memory()
 
     rows = source.mapInArrow(cut_pieces, T.StructType([*source.schema.fields[: len(keep)], *FIELDS]))
     return rows.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))

@@ -159,6 +159,22 @@ def _part(x: np.ndarray, part: str) -> np.ndarray:
     return x[:, [FEATURES.index(f) for f in PARTS[part]]]
 
 
+def with_counts_and_scores(docs: DataFrame, forests: dict[str, Forest], text: str = "text") -> DataFrame:
+    """COUNTS, MORE and the anomaly columns of every row in one pass."""
+    names = [*COUNTS, *MORE]
+
+    def make():
+        def run(texts: list[str | None]) -> list[list]:
+            counts = np.array([count_text(t or "") for t in texts], dtype=np.int64).reshape(-1, len(names))
+            x = features(counts)
+            return [*counts.T.tolist(), *[forest.score(_part(x, part)).tolist() for part, forest in forests.items()]]
+
+        return run
+
+    fields = [T.StructField(c, T.LongType()) for c in names] + [T.StructField(f"anomaly_{part}", T.DoubleType()) for part in forests]
+    return with_columns_by(docs, [text], make, fields)
+
+
 def _scores(rows: DataFrame, forests: dict[str, Forest]) -> DataFrame:
     """Add one column anomaly_<part> per forest."""
     columns = [*COUNTS, *MORE]
@@ -219,7 +235,7 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     x = features(rows.reshape(-1, len(COUNTS) + len(MORE)))
     forests = {part: grow(_part(x, part)) for part in PARTS}
     limits = thresholds_from(cut(_scores(labelled, forests)), list(PARTS))
-    out = _scores(with_counts(docs, text), forests).withColumn("base_failed", base_failed())
+    out = with_counts_and_scores(docs, forests, text).withColumn("base_failed", base_failed())
     kept = ~F.col("base_failed")
     for part, limit in limits.items():
         kept &= F.col(f"anomaly_{part}") <= F.lit(limit)

@@ -26,7 +26,7 @@ REACH, DECAY, WIDTH = 6, 0.5, 24
 #: Bounds of the fit: labelled documents of each class, words of each class, landmarks.
 SAMPLE, WORDS, LANDMARKS, SEED = 3_000, 4_000, 384, 8
 #: Words that a worker remembers; then it starts anew.
-REMEMBER = 400_000
+REMEMBER = 100_000
 
 _CLASSES = 64
 _SKIPS = [(a, b, DECAY ** (a + b - 2)) for a in range(1, REACH) for b in range(1, REACH - a)]
@@ -218,8 +218,8 @@ class Scorer:
         new = [w for w in set().union(*bags) if w not in self.known] if bags else []
         if len(self.known) + len(new) > REMEMBER:
             self.known, new = {}, list(set().union(*bags))
-        for at in range(0, len(new), 50_000):
-            part = new[at : at + 50_000]
+        for at in range(0, len(new), 10_000):
+            part = new[at : at + 10_000]
             split = [pieces(w) for w in part]
             scores = self.machine.margins([p for ps in split for p in ps])
             first = np.cumsum([0] + [len(ps) for ps in split])[:-1]
