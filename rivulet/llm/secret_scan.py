@@ -21,8 +21,9 @@ MIN_ASSIGN = 8
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 WINDOW = 20
-#: Least entropy in bits of a window of 20 characters, by the class of characters that the candidate is made of.
+#: Least entropy in bits of a window of 20 characters, by the class of characters that the candidate, or the run in it, is made of.
 LEAST_BITS = {"hex": 3.0, "upper": 3.4, "lower": 3.5, "mixed": 3.8}
+RUN = re.compile(r"[A-Za-z0-9]{20,}")  # a stretch of a candidate between the separators _ - = / +
 _HEX, _UPPER, _LOWER = re.compile(r"[0-9a-fA-F]+"), re.compile(r"[A-Z0-9]+"), re.compile(r"[a-z0-9]+")
 #: Candidates that are no secrets: words, also joined by separators; numbers; UUIDs; paths of words. Fixed values.
 ALLOW = (
@@ -32,7 +33,7 @@ ALLOW = (
     re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"),
     re.compile(r"[/_=+-]*[A-Za-z]+[0-9]{0,4}(?:[/_=+-]+(?:[A-Za-z]*[a-z]{2,}[0-9]{0,4}|[0-9]{1,4}))*[/_=+-]*"),
 )
-_STEP = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
+_STEP = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 2)]  # a character comes in before the oldest goes out
 
 
 def high_entropy(text: str, least: float, window: int = WINDOW) -> list[tuple[int, int]]:
@@ -67,15 +68,38 @@ def class_of(candidate: str) -> str:
     return "mixed"
 
 
+def _allowed(word: str) -> bool:
+    return word.isalpha() or any(p.fullmatch(word) for p in ALLOW)
+
+
+def entropy_spans(candidate: str) -> list[tuple[int, int]]:
+    """Merged spans of high entropy: of the candidate as a whole, and of each run between its separators by the run's own class.
+
+    A token glued to a name (session_id=<hex>) is so held to the limit that it has when it stands alone.
+    An allowed candidate has allowed runs only.
+    """
+    if _allowed(candidate):
+        return []
+    spans = high_entropy(candidate, LEAST_BITS[class_of(candidate)])
+    for m in RUN.finditer(candidate):
+        if len(m[0]) < len(candidate) and not _allowed(m[0]):
+            spans += [(m.start() + a, m.start() + b) for a, b in high_entropy(m[0], LEAST_BITS[class_of(m[0])])]
+    merged: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if merged and a <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+        else:
+            merged.append((a, b))
+    return merged
+
+
 def find_spans(text: str) -> list[tuple[str, int, int]]:
     """All secrets as (kind, start, end) in code points, by start and then kind."""
     found = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= MIN_ASSIGN]
     found += [("access", *m.span()) for m in ACCESS.finditer(text)] if "AKIA" in text else []
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
     for m in CANDIDATE.finditer(text):
-        word = m[0]
-        if not word.isalpha() and not any(p.fullmatch(word) for p in ALLOW):
-            found += [("entropy", m.start() + a, m.start() + b) for a, b in high_entropy(word, LEAST_BITS[class_of(word)])]
+        found += [("entropy", m.start() + a, m.start() + b) for a, b in entropy_spans(m[0])]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

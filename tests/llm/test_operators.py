@@ -349,6 +349,22 @@ def test_allow_list(text, found):
     assert any(s[0] == "entropy" for s in secret_scan.find_spans(text)) == found
 
 
+@pytest.mark.parametrize("glue", ["session_id=", "sess_", "key-", "id/", "sig=", "build_", "a+"])
+def test_glued_tokens_are_held_to_the_limit_of_their_own_class(glue):
+    rng = random.Random(10)
+    for chars, n in (("0123456789abcdef", 24), ("0123456789abcdef", 31), ("0123456789ABCDEF", 20), ("ABCDEFGHJKLMNPQRSTUVWXYZ23456789", 26), ("abcdefghijklmnopqrstuvwxyz0123456789", 25)):
+        for _ in range(100):
+            token = "".join(rng.choice(chars) for _ in range(n))
+            cover = lambda t: {x for _, a, b in secret_scan.find_spans(t) for x in range(a, b)}
+            alone, glued = cover(token), cover(glue + token + "_x")
+            assert {x + len(glue) for x in alone} <= glued
+
+
+@pytest.mark.parametrize("text", ["session_id=andanedingtheronatiouserstwhingtionble", "R2_internationalizationservices_Q4z", "id=12345678901234567890123", "X1y2_aaaaaaaaaaaaaaaaaaaaaaaaaaaa1", "Ab1Cd2" + "=" * 30])
+def test_glued_words_and_numbers_stay(text):
+    assert secret_scan.find_spans(text) == []
+
+
 def test_scan_keeps_rows_and_redacts(odd, nothing, spark):
     out = secret_scan.scan(odd)
     assert out.count() == len(ODD) + 1 and out.where("secret_spans <> ''").count() == 0
