@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rivulet.operators import scenarios, scores, timegrid, windows
@@ -130,6 +131,72 @@ def blockage_score(t):
     return _round(scenarios.blockage_score(window_values(t, "error"), window_values(t, "signup"), window_values(t, "view"), 36), "score")
 
 
+# The scores above are of one or two fixed series; these are of every window of every series.
+BY = ("series_id", "window_id")
+#: Roles over all series: in the ring of sorted names the one before a series is upstream of it, the one after it downstream.
+RING = "ring AS (SELECT series_id, coalesce(lag(series_id) OVER (ORDER BY series_id), max(series_id) OVER ()) AS up, coalesce(lead(series_id) OVER (ORDER BY series_id), min(series_id) OVER ()) AS down FROM series)"
+
+
+def ring(t) -> DataFrame:
+    names, whole = Window.orderBy("series_id"), Window.partitionBy()
+    return t.events.select(F.col("event_type").alias("series_id")).distinct().select(
+        "series_id", F.coalesce(F.lag("series_id").over(names), F.max("series_id").over(whole)).alias("up"), F.coalesce(F.lead("series_id").over(names), F.min("series_id").over(whole)).alias("down"))
+
+
+def all_window_values(t) -> DataFrame:
+    idx = timegrid.step_index(t.events)
+    return grid(t).withColumn("idx", idx).where("value is not null").select("series_id", fdiv(F.col("idx"), 104).alias("window_id"), F.pmod("idx", F.lit(104)).alias("local_step"), "value")
+
+
+def _as_role(t, values: DataFrame, role: str) -> DataFrame:
+    """Values of the series in that role, under the name of the series that they serve."""
+    return values.withColumnRenamed("series_id", role).join(ring(t).select("series_id", role), role).drop(role)
+
+
+def _stats(onset, end):
+    return f"""a AS (SELECT series_id, window_id, CASE WHEN n >= 3 AND hp IS NOT NULL THEN greatest(hp - m, m - lp) / (s + 1e-6) ELSE 0 END AS snr, CASE WHEN n < 3 THEN 0.5 WHEN ho IS NULL THEN 1 ELSE 1 / (1 + greatest(ho - m, m - lo) / (s + 1e-6)) END AS clean, s AS pre_std FROM (
+  SELECT series_id, window_id, count(*) FILTER (WHERE local_step < {onset}) AS n, avg(value) FILTER (WHERE local_step < {onset}) AS m, stddev_pop(value) FILTER (WHERE local_step < {onset}) AS s, max(value) FILTER (WHERE local_step >= {onset} AND local_step < {end}) AS hp, min(value) FILTER (WHERE local_step >= {onset} AND local_step < {end}) AS lp,
+  max(value) FILTER (WHERE local_step >= {end}) AS ho, min(value) FILTER (WHERE local_step >= {end}) AS lo FROM wv GROUP BY 1, 2))"""
+
+
+@query("e21_event_score_all", f"WITH {WIN}, {_stats(34, 64)} SELECT series_id, window_id, {s6('snr')} AS signal_to_noise, {s6('clean')} AS cleanliness, {s6('snr * clean')} AS score FROM a")
+def event_score_all(t):
+    return _round(scenarios.event_score(all_window_values(t), 34, keys=BY), "signal_to_noise", "cleanliness", "score")
+
+
+@query("e21_best_windows_all", f"WITH {WIN}, {_stats(34, 64)} SELECT series_id, window_id, {s6('snr * clean')} AS score FROM a WHERE snr * clean IS NOT NULL ORDER BY snr * clean DESC, series_id, window_id LIMIT 5")
+def best_windows_all(t):
+    return _round(scenarios.best_windows(scenarios.event_score(all_window_values(t), 34, keys=BY).select(*BY, "score"), keys=BY), "score")
+
+
+@query(
+    "e21_outage_score_all",
+    f"""WITH {WIN}, b AS (SELECT series_id, window_id, count(*) FILTER (WHERE local_step < 36) AS n, stddev_pop(value) FILTER (WHERE local_step < 36) AS s, arg_max(value, local_step) FILTER (WHERE local_step < 36) AS fz FROM wv GROUP BY 1, 2)
+SELECT series_id, window_id, {s6('CASE WHEN any_value(n) >= 3 THEN avg(abs(value - fz)) / (any_value(s) + 1e-6) ELSE 0 END')} AS score FROM wv JOIN b USING (series_id, window_id) WHERE local_step >= 36 GROUP BY 1, 2""",
+)
+def outage_score_all(t):
+    return _round(scenarios.outage_score(all_window_values(t), 36, keys=BY), "score")
+
+
+@query(
+    "e21_release_score_all",
+    f"""WITH {WIN}, {RING}, {_stats(36, 104)}, f AS (SELECT r.series_id, w.window_id, stddev_pop(value) FILTER (WHERE local_step < 36) + 1e-6 AS x, stddev_pop(value) FILTER (WHERE local_step >= 36) + 1e-6 AS y FROM wv w JOIN ring r ON r.up = w.series_id GROUP BY 1, 2)
+SELECT series_id, window_id, {s6('snr / (1 + greatest(0, y / x - 1))')} AS score FROM a JOIN f USING (series_id, window_id)""",
+)
+def release_score_all(t):
+    w = all_window_values(t)
+    return _round(scenarios.release_score(w, _as_role(t, w, "up"), 36, keys=BY), "score")
+
+
+@query(
+    "e21_blockage_score_all",
+    f"""WITH {WIN}, {RING}, {_stats(36, 104)} SELECT a.series_id, a.window_id, {s6('(a.snr + b.snr) * (1 + c.pre_std) * a.clean')} AS score FROM a JOIN ring r ON r.series_id = a.series_id JOIN a b ON b.series_id = r.up AND b.window_id = a.window_id JOIN a c ON c.series_id = r.down AND c.window_id = a.window_id""",
+)
+def blockage_score_all(t):
+    w = all_window_values(t)
+    return _round(scenarios.blockage_score(w, _as_role(t, w, "up"), _as_role(t, w, "down"), 36, keys=BY), "score")
+
+
 # -------------------------------------------------------- window selection
 def _network_grid(t):
     g = grid(t).withColumn("value", F.coalesce("value", F.lit(20.0)))

@@ -5,6 +5,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 
@@ -39,6 +40,20 @@ def test_matches_sql(spark, con, name):
     assert got == want
 
 
+@pytest.mark.parametrize("score", ("event_score", "best_windows", "outage_score", "release_score", "blockage_score"))
+def test_scores_of_all_series(spark, con, score):
+    name = f"e21_{score}_all"
+    test_matches_sql(spark, con, name)
+    df, one = entry.queries()[name](spark, ROOT), entry.queries()[f"e21_{score}"](spark, ROOT)
+    if score == "best_windows":
+        assert df.selectExpr("max(score)").first()[0] >= one.selectExpr("max(score)").first()[0]
+    else:
+        assert {r[0] for r in df.select("series_id").collect()} == {r[0] for r in con.execute("select distinct event_type from events").fetchall()}
+    if score in ("event_score", "outage_score"):
+        series = {"event_score": "click", "outage_score": "view"}[score]
+        assert sorted(df.where(F.col("series_id") == series).drop("series_id").collect()) == sorted(one.collect())
+
+
 def test_every_query_name_is_unique_and_checked():
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q)
