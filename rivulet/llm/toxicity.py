@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -176,31 +177,39 @@ def train(bad: Sequence[str], good: Sequence[str], landmarks: int = LANDMARKS, c
     return Machine(weights.astype(np.float32), float(w[-1]))
 
 
-def witnesses(bags: Sequence[Sequence[str]], clean: set[str], often: float = 0.01, least: int = 8) -> list[str]:
-    """Words that explain the toxic bags and occur in no clean one.
+def witnesses(bags: Sequence[Sequence[str]], clean: Counter[str], n_clean: int, often: float = 0.01, least: int = 8, ratio: float = 10.0) -> tuple[list[str], set[str]]:
+    """Words that explain the toxic bags, and the words of clean bags that may be bad; `clean` counts the clean bags of each word.
 
-    Near copies count once: bags that agree in two minimum hashes of their words are one
-    family. Every word in at least `often` of the families (and in `least`) is taken; then, again and again, the word in
-    most families not yet explained, as long as it explains two.
+    Near copies count once: bags that agree in two minimum hashes of their words are one family. A
+    word of no clean bag may explain; one of some clean bags may if it is in `least` families and its share of families is at
+    least `ratio` times its share of clean bags, smoothed by half a bag. Every word of no clean bag in at least `often` of the families
+    (and in `least`) is taken; then, again and again, the word in most families that explains two not yet explained.
     """
+    keys = [tuple(min(zlib.crc32(w.encode(), salt) for w in bag) for salt in (1, 2)) for bag in bags if bag]
+    n_families = len(set(keys))
+
+    def telling(w: str, n: int) -> bool:
+        return not clean[w] or (n >= least and n / n_families >= ratio * (clean[w] + 0.5) / (n_clean + 1))
+
+    maybe = {w for w, n in Counter(w for bag in bags for w in set(bag)).items() if telling(w, n)}  # no word is in more families than bags
     families: dict[tuple[int, int], set[str]] = {}
-    for bag in bags:
-        if bag:
-            key = tuple(min(zlib.crc32(w.encode(), salt) for w in bag) for salt in (1, 2))
-            families.setdefault(key, set()).update(w for w in bag if w not in clean)
+    for key, bag in zip(keys, (b for b in bags if b)):
+        families.setdefault(key, set()).update(w for w in bag if w in maybe)
     where: dict[str, set[int]] = {}
     for i, words in enumerate(families.values()):
         for w in words:
             where.setdefault(w, set()).add(i)
+    where = {w: found for w, found in where.items() if telling(w, len(found))}
     order = sorted(where, key=lambda w: (-len(where[w]), w))
-    out = [w for w in order if len(where[w]) >= max(least, often * len(families))]
-    left = set(range(len(families))).difference(*[where[w] for w in out])
-    for w in order[len(out) :]:
+    out = [w for w in order if not clean[w] and len(where[w]) >= max(least, often * n_families)]
+    left = set(range(n_families)).difference(*[where[w] for w in out])
+    taken = set(out)
+    for w in order:
         gain = where[w] & left
-        if len(gain) >= 2:
+        if w not in taken and len(gain) >= 2:
             out.append(w)
             left -= gain
-    return out
+    return out, {w for w in order if clean[w]}
 
 
 def _bag(text: str | None) -> set[str]:
@@ -254,11 +263,13 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     del table, pool
     fits = {kind: [b for i, b in enumerate(own) if i % 4] for kind, own in bags.items()}
     lines = {kind: own[::4] for kind, own in bags.items()}
-    clean = set().union(*fits[0])
-    bad = witnesses(fits[1], clean)[:WORDS]
+    clean = Counter(w for b in fits[0] for w in b)
+    bad, quoted = witnesses(fits[1], clean, len(fits[0]))
+    bad = bad[:WORDS]
     rng = np.random.default_rng(SEED)
-    every = sorted(clean)
-    good = set(rng.permutation(every)[:WORDS].tolist()) if every else set()
+    every = [w for w in rng.permutation(sorted(clean)).tolist() if w not in quoted] if clean else []  # quoted words are no examples of good ones
+    good = set(every[:WORDS])
+    every.sort()
     machine = train(bad, sorted(good))
     if every and bad:
         known_bad = set(bad)

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -420,6 +421,27 @@ def test_toxicity_learns_held_out_documents(spark, odd, nothing):
     assert toxicity.toxicity_table(docs, labels.where("false")).where("predicted = 1").count() == 0
 
 
+def test_bad_words_quoted_in_clean_rows_are_still_learnt(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice(["ta", "lo", "ri", "me", "nu"]) for _ in range(rng.randrange(1, 5)))
+    insults = ["blockhead", "scoundrel", "numbskull"]
+    quotes = [i for i in range(600) if i % 3 and zlib.crc32(str(i).encode()) % 5][:30]
+    texts = [" ".join([word() for _ in range(30)] + [rng.choice(insults)] * (i % 3 == 0) + [insults[i % 30 % 3]] * (i in quotes[::3])) for i in range(600)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(600)], "doc_id long, quality int, toxic int")
+    held = toxicity.toxicity_table(docs_of(spark, texts), labels).where("held_out").collect()
+    assert sum(r["predicted"] == (r["doc_id"] % 3 == 0) for r in held) >= 0.97 * len(held)
+
+
+def test_witnesses_go_by_rate():
+    rng = random.Random(13)
+    words = [f"w{i}" for i in range(200)]
+    toxic = [rng.sample(words, 20) + ["insult"] for _ in range(100)]
+    clean = [rng.sample(words, 20) + ["insult"] * (i < 2) for i in range(300)]
+    counts = Counter(w for b in clean for w in b)
+    assert toxicity.witnesses(toxic, counts, len(clean)) == (["insult"], {"insult"})
+    assert toxicity.witnesses(toxic, counts + Counter({"insult": 100}), len(clean)) == ([], set())
+
+
 # ---------------------------------------------------------------- n-gram join
 def plain_links(rows):
     sets = []
