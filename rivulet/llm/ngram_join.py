@@ -1,8 +1,9 @@
-"""Similarity join of documents on word n-grams: MinHash LSH forest, then exact Jaccard similarity.
+"""Similarity join of documents on word n-grams: banded MinHash in place of an LSH forest, then exact Jaccard similarity.
 
-Each tree of the forest sorts documents by a sequence of MinHash values; documents that share a prefix stand
-together. Matched prefixes start at the full depth and are shortened until the expected share of
-pairs at the threshold that meet in some tree reaches the target recall; all pairs that share a prefix of that length are verified.
+A forest would sort documents by full-depth prefixes and shorten them until the recall is reached. Here the
+length at which the expected share of pairs at the threshold that meet in some tree reaches the target recall is computed once,
+and signatures are built to that length only: a tree is one band with one key, and all pairs that share a key are verified.
+Documents that share a longer prefix share the key too, so no pair of the forest at that length is lost.
 """
 
 from __future__ import annotations
