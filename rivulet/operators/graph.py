@@ -237,11 +237,11 @@ def isolated_nodes(edges: DataFrame, nodes: DataFrame, node: str = "node") -> Da
     return nodes.join(touched, node, "left_anti")
 
 
-def downstream_edges(sources: DataFrame, edges: DataFrame, max_hops: int | None = 8, order: str = "edge_order", lag: str | None = None, default_lag: int = 2, gain: float = 0.75) -> DataFrame:
+def downstream_edges(sources: DataFrame, edges: DataFrame, max_hops: int | None = None, order: str = "edge_order", lag: str | None = None, default_lag: int = 2, gain: float = 0.75) -> DataFrame:
     """Breadth-first edges from every source at once: hop, edge, cumulative lag and gain along the tree.
 
     A node reached by several edges in the same hop belongs to the one met first
-    in queue order, which is the order of the paths' edge numbers. `max_hops=None` follows
+    in queue order, which is the order of the paths' edge numbers. `max_hops=None`, the default, follows
     every path to its end; that takes as many rounds as the longest of the shortest paths has edges.
     """
     lag_col = F.coalesce(F.col(lag), F.lit(default_lag)) if lag else F.lit(default_lag)

@@ -115,6 +115,13 @@ def test_long_paths_and_long_responses_are_whole(spark, readings):
     assert got.count() == 85 and got.agg(F.sum("response")).first()[0] == pytest.approx(42.5)
 
 
+def test_reach_is_whole_by_default(spark):
+    edges = spark.createDataFrame([(i, i + 1, i) for i in range(12)], "src long, dst long, edge_order long")
+    sources = spark.createDataFrame([(0,)], "node long")
+    assert graph.downstream_edges(sources, edges).count() == 12
+    assert graph.downstream_edges(sources, edges, max_hops=8).count() == 8
+
+
 def test_frames_are_thinned_evenly_or_not_at_all(spark):
     frames = spark.range(191).selectExpr("1L as event_id", "id as ts")
     assert pixels.subsample_frames(frames).count() == 191
