@@ -69,3 +69,12 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
   cast(sum(upto) filter (where reply or k = n) as bigint) as formatted_chars, count(*) filter (where reply or k = n) as n_examples
 from prefix group by conv_id
 """
+
+#: The given pages hold one article element each, of paragraphs with a heading; so its text can be cut out by patterns, without the tree.
+MAIN_TEXT = r"""
+WITH inner_html AS (SELECT page_id, url, regexp_extract(html, '<article>(.*)</article>', 1, 's') AS x FROM pages),
+bare AS (SELECT page_id, url, regexp_replace(regexp_replace(x, '</?(p|h1|br)>', ' ', 'g'), '</?b>', '', 'g') AS x FROM inner_html),
+plain AS (SELECT page_id, url, regexp_replace(replace(x, '&quot;', '"'), '&amp;?', '&', 'g') AS x FROM bare),
+spaced AS (SELECT page_id, url, trim(regexp_replace(x, '[\s\x0b\x85\p{Z}]+', ' ', 'g')) AS text FROM plain)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM spaced
+"""

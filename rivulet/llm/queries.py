@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm import chat, embedding_dedup, ngram_join, oracle, packing, quality, secret_scan, sharding, tokens, toxicity, urls
+from rivulet.llm import alignment, chat, embedding_dedup, html_main, ngram_join, oracle, packing, quality, secret_scan, sharding, tokens, toxicity, urls, whitening
 from rivulet.llm.common import bounded_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,9 +17,11 @@ ORACLE: dict[str, str] = {
     "op4_p_stable_embeddings": oracle.EMBEDDINGS,
     "op9_lsh_forest_jaccard": oracle.NGRAM_JOIN,
     "op10_prefix_targets": oracle.CHAT,
+    "op11_block_tree_text": oracle.MAIN_TEXT,
 }
 
 JSON_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 RANK_VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 
@@ -90,3 +92,18 @@ def _chat(conversations: DataFrame) -> DataFrame:
     extra = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.explode(F.array(F.struct(F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role")), F.struct(F.lit(1).cast("long").alias("turn"), F.lit("assistant").alias("role")))).alias("x")).select("conv_id", "x.turn", "x.role", F.lit(probe).alias("text"))
     rows = conversations.select("conv_id", "turn", "role", "text").unionByName(extra)
     return chat.read_back(chat.expand(rows))
+
+
+@query("op11_block_tree_text", "pages")
+def _main_text(pages: DataFrame) -> DataFrame:
+    return html_main.extract(pages.select("page_id", "url", "html")).drop("html")
+
+
+@query("op12_arrow_alignment", "documents")
+def _alignment(documents: DataFrame) -> DataFrame:
+    return alignment.align(documents, JSON_VOCABULARY, PATTERN, PIECE_MODEL)
+
+
+@query("op13_feast_whitening", "embeddings")
+def _whitening(embeddings: DataFrame) -> DataFrame:
+    return whitening.whiten(embeddings)
