@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def category_counts(df: DataFrame, category: str, tail: int = 1) -> DataFrame:
-    """Rows per category; categories with at most `tail` rows are summed as Other."""
+def category_counts(df: DataFrame, category: str, share: float = 0.0) -> DataFrame:
+    """Rows per category; categories with one row, or at most this share of all rows, are summed as Other."""
     n = df.groupBy(category).agg(F.count(F.lit(1)).alias("n"))
+    tail = F.greatest(F.lit(1.0), n.agg(F.sum("n")).scalar() * F.lit(share))
     return n.groupBy(F.when(F.col("n") <= tail, "Other").otherwise(F.col(category)).alias(category)).agg(F.sum("n").alias("n"))
 
 

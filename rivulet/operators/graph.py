@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -240,29 +239,34 @@ def isolated_nodes(edges: DataFrame, nodes: DataFrame, node: str = "node") -> Da
 def downstream_edges(sources: DataFrame, edges: DataFrame, max_hops: int | None = None, order: str = "edge_order", lag: str | None = None, default_lag: int = 2, gain: float = 0.75) -> DataFrame:
     """Breadth-first edges from every source at once: hop, edge, cumulative lag and gain along the tree.
 
-    A node reached by several edges in the same hop belongs to the one met first
-    in queue order, which is the order of the paths' edge numbers. `max_hops=None`, the default, follows
-    every path to its end; that takes as many rounds as the longest of the shortest paths has edges.
+    A node reached by several edges in the same hop belongs to the one met first in queue order: the order of the paths' edges, an edge being
+    ordered by its number, then its ends. `max_hops=None`, the default, follows every path to its end.
+
+    Paths double, so the rounds are logarithmic in the longest path. The state holds all pairs of nodes up to a number of hops, each with its
+    place in the queue of its first node at that hop. A round joins the pairs at exactly that number with all pairs; a prefix of a first path is a first
+    path, so the places of both halves order the new pairs as the whole paths would.
     """
     lag_col = F.coalesce(F.col(lag), F.lit(default_lag)) if lag else F.lit(default_lag)
-    e = cut(edges.select("src", "dst", F.col(order).cast("long").alias("_eo"), lag_col.cast("long").alias("_lag")))
-    seen = cut(sources.select(F.col("node").alias("source"), F.col("node").alias("at")).distinct())
-    front = seen.withColumn("path", F.array().cast("array<bigint>")).withColumn("lag_steps", F.lit(0).cast("long")).withColumn("gain", F.lit(1.0))
-    out = None
-    for hop in itertools.count(1) if max_hops is None else range(1, max_hops + 1):
-        step = front.join(e, F.col("at") == F.col("src")).select(
-            "source", "src", "dst", F.concat("path", F.array("_eo")).alias("path"), (F.col("lag_steps") + F.col("_lag")).alias("lag_steps"), (F.col("gain") * gain).alias("gain"))
-        fresh = step.join(seen.select("source", F.col("at").alias("dst")), ["source", "dst"], "left_anti")
-        won = fresh.groupBy("source", "dst").agg(F.min_by(F.struct("src", "path", "lag_steps", "gain"), "path").alias("_w"))
-        won = cut(won.select("source", "dst", "_w.*").withColumn("hop", F.lit(hop)))
-        if won.isEmpty():
+    one = edges.where("src <> dst").groupBy("src", "dst").agg(F.min(F.struct(F.col(order).alias("o"), "src", "dst", lag_col.cast("long").alias("l"))).alias("_e"))
+    place = F.row_number().over(Window.partitionBy("u", "hop").orderBy("at"))
+    known = one.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.lit(1).alias("hop"), F.struct("_e.o", "dst").alias("at"), F.col("src").alias("via"), F.col("_e.l").alias("lag_steps"))
+    known = cut(known.withColumn("place", place).drop("at"))
+    far = 1
+    while max_hops is None or far < max_hops:
+        ends = known.where(F.col("hop") == far).select("u", F.col("v").alias("mid"), F.col("place").alias("_p"), F.col("lag_steps").alias("_l"))
+        if ends.isEmpty():
             break
-        out = won if out is None else out.unionByName(won)
-        front = won.select("source", F.col("dst").alias("at"), "path", "lag_steps", "gain")
-        seen = cut(seen.unionByName(won.select("source", F.col("dst").alias("at"))), compact=True)
-    if out is None:
-        return front.where("false").select("source", F.col("at").alias("src"), F.col("at").alias("dst"), F.lit(0).alias("hop"), "lag_steps", "gain")
-    return out.select("source", "src", "dst", "hop", "lag_steps", "gain")
+        longer = ends.join(known.withColumnRenamed("u", "mid"), "mid").where("u <> v").select(
+            "u", "v", (F.col("hop") + far).alias("hop"), F.struct("_p", "place").alias("at"), "via", (F.col("_l") + F.col("lag_steps")).alias("lag_steps"))
+        fresh = longer.join(known.select("u", "v"), ["u", "v"], "left_anti")
+        won = fresh.groupBy("u", "v").agg(F.min(F.struct("hop", "at", "via", "lag_steps")).alias("_w")).select("u", "v", "_w.*")
+        known = cut(known.unionByName(won.withColumn("place", place).drop("at")), compact=True)
+        far *= 2
+    if max_hops is not None:
+        known = known.where(F.col("hop") <= max_hops)
+    damped = F.aggregate(F.sequence(F.lit(1), F.col("hop")), F.lit(1.0), lambda g, _: g * gain)
+    reached = known.join(sources.select(F.col("node").alias("u")).distinct(), "u")
+    return reached.select(F.col("u").alias("source"), F.col("via").alias("src"), F.col("v").alias("dst"), "hop", "lag_steps", damped.alias("gain"))
 
 
 def criticality(nodes: DataFrame, reach: DataFrame) -> DataFrame:

@@ -8,29 +8,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rivulet.functions import expr as X
+from rivulet.plans.fixpoint import cut
 from rivulet.plans.intervals import interval_join
-from rivulet.plans.nearest import nearest, unit_sphere, within_radius
+from rivulet.plans.nearest import CellTree, nearest, unit_sphere, within_radius
 from rivulet.plans.quantiles import exact_quantiles
 from rivulet.plans.timechunks import STEP, from_micros, micros
 
 
 # ---------------------------------------------------------------- nearest
-def nearest_on_globe(points: DataFrame, refs: DataFrame, ref_id: str, order: str | None = None, lat: str = "lat", lon: str = "lon", start: float = 0.002) -> DataFrame:
+def nearest_on_globe(points: DataFrame, refs: DataFrame, ref_id: str, order: str | None = None, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Nearest reference by great-circle distance; equal distances (to a millimetre) go to the first in order."""
     ax, rx = ["_x", "_y", "_z"], ["_rx", "_ry", "_rz"]
     p = points.withColumns(dict(zip(ax, unit_sphere(F.col(lat), F.col(lon)))))
     r = refs.select(ref_id, *({order} - {ref_id, None}), *[c.alias(n) for c, n in zip(unit_sphere(F.col(lat), F.col(lon)), rx)])
     chord = F.sqrt(sum((F.col(a) - F.col(b)) ** 2 for a, b in zip(ax, rx)))
     km = F.round(2 * X.EARTH_RADIUS_KM * F.asin(F.least(chord / 2, F.lit(1.0))), 6)
-    return nearest(p, r, ax, rx, ref_id, order or ref_id, km, start).drop(*ax)
+    return nearest(p, r, ax, rx, ref_id, order or ref_id, km).drop(*ax)
 
 
-def nearest_planar(points: DataFrame, refs: DataFrame, axes: Sequence[str], ref_id: str, order: str | None = None, start: float = 1000.0, dist: Column | None = None) -> DataFrame:
+def nearest_planar(points: DataFrame, refs: DataFrame, axes: Sequence[str], ref_id: str, order: str | None = None, dist: Column | None = None) -> DataFrame:
     """Nearest reference in a plane (projected metres or degrees); ties go to the first in order."""
     rx = [f"_r_{a}" for a in axes]
     r = refs.select(ref_id, *({order} - {ref_id, None}), *[F.col(a).alias(b) for a, b in zip(axes, rx)])
     d = dist if dist is not None else F.sqrt(sum((F.col(a) - F.col(b)) ** 2 for a, b in zip(axes, rx)))
-    return nearest(points, r, list(axes), rx, ref_id, order or ref_id, d, start)
+    return nearest(points, r, list(axes), rx, ref_id, order or ref_id, d)
 
 
 def nearest_within(points: DataFrame, refs: DataFrame, axes: Sequence[str], ref_id: str, radius: float, keys: Sequence[str]) -> DataFrame:
@@ -43,28 +44,21 @@ def nearest_within(points: DataFrame, refs: DataFrame, axes: Sequence[str], ref_
     return best.select(*keys, F.col(f"_b.{ref_id}").alias(ref_id), F.col("_b.dist").alias("dist"))
 
 
-def k_nearest(nodes: DataFrame, k: int, node: str = "node", axes: Sequence[str] = ("easting", "northing"), start: float = 5000.0, max_rounds: int = 12) -> DataFrame:
-    """k nearest other nodes of each node: (src, dst, dist). Cells grow until the k-th hit is certain."""
-    from rivulet.plans.fixpoint import cut
+def k_nearest(nodes: DataFrame, k: int, node: str = "node", axes: Sequence[str] = ("easting", "northing")) -> DataFrame:
+    """k nearest other nodes of each node: (src, dst, dist, rank), the smaller node first on a tie; fewer where there are fewer nodes.
 
+    Nodes at the same place share one search.
+    """
     rx = [f"_r_{a}" for a in axes]
-    base = cut(nodes.select(F.col(node).alias("src"), *axes))
+    base = cut(nodes.select(F.col(node).alias("src"), *axes).where(" and ".join(f"{a} is not null" for a in axes)))
     refs = base.select(F.col("src").alias("dst"), *[F.col(a).alias(b) for a, b in zip(axes, rx)])
+    if base.isEmpty():
+        return refs.select(F.col("dst").alias("src"), "dst", F.lit(0.0).alias("dist"), F.lit(0).alias("rank"))
     d = F.sqrt(sum((F.col(a) - F.col(b)) ** 2 for a, b in zip(axes, rx)))
-    want = F.least(F.lit(k), base.agg(F.count(F.lit(1)) - 1).scalar())
-    todo, done, size = base, None, start
-    for _ in range(max_rounds):
-        pairs = within_radius(todo, refs, list(axes), rx, size).where("src <> dst").withColumn("dist", d).where(F.col("dist") <= size)
-        w = Window.partitionBy("src").orderBy("dist", "dst")
-        top = pairs.select("src", "dst", "dist", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
-        top = top.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("src"))).withColumn("_want", want)
-        hit = cut(top.where(F.col("_n") >= F.col("_want")).select("src", "dst", "dist", "rank"))
-        done = hit if done is None else done.unionByName(hit)
-        todo = cut(todo.join(hit.select("src").distinct(), "src", "left_anti"))
-        if todo.isEmpty():
-            return done
-        size *= 4
-    raise ValueError("nodes lie farther apart than the search can reach")
+    found = CellTree(refs, rx).candidates(base.select(*axes).distinct(), axes, k + 1)  # a node is its own nearest
+    pairs = base.join(found, list(axes)).where("src <> dst").withColumn("dist", d)
+    w = Window.partitionBy("src").orderBy("dist", "dst")
+    return pairs.select("src", "dst", "dist", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
 
 
 def both_directions(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -173,7 +167,7 @@ def event_of_timestep(steps: DataFrame, events: DataFrame, ts: str = "ts") -> Da
 def products_near_peaks(products: DataFrame, peaks: DataFrame, days: int = 2) -> DataFrame:
     """Products within `days` of a peak date, each once, with its nearest peak (first listed on a tie)."""
     win = peaks.select("event_id", "peak_date", F.date_sub("peak_date", days).cast("timestamp_ntz").alias("_from"), F.date_add("peak_date", days).cast("timestamp_ntz").alias("_to"))
-    hits = interval_join(products.withColumn("_at", F.col("date").cast("timestamp_ntz")), win, "_at", "_from", "_to", bucket=30 * 86_400_000_000)
+    hits = interval_join(products.withColumn("_at", F.col("date").cast("timestamp_ntz")), win, "_at", "_from", "_to")
     gap = F.abs(F.datediff("date", "peak_date"))
     best = hits.withColumn("days_from_peak", gap).groupBy("product_id").agg(
         F.min(F.struct("days_from_peak", "event_id", "peak_date", "date", "orbit_rel", "size_mb")).alias("_b"))
@@ -191,7 +185,7 @@ def dry_references(products: DataFrame, flood: DataFrame, exclude_days: int = 10
     cand = dry.join(want, ["orbit_rel", "ref_year"])
     peaks = flood.select(F.col("peak_date").alias("_peak")).distinct().select(
         F.date_sub("_peak", exclude_days).cast("timestamp_ntz").alias("_from"), F.date_add("_peak", exclude_days).cast("timestamp_ntz").alias("_to"))
-    away = interval_join(cand.withColumn("_at", F.col("date").cast("timestamp_ntz")), peaks, "_at", "_from", "_to", how="left_anti", bucket=30 * 86_400_000_000)
+    away = interval_join(cand.withColumn("_at", F.col("date").cast("timestamp_ntz")), peaks, "_at", "_from", "_to", how="left_anti")
     return away.select("event_id", "product_id", "date", "orbit_rel", "ref_year", "size_mb")
 
 

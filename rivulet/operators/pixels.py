@@ -193,18 +193,19 @@ def opening(mask: DataFrame, radius: int = 2) -> DataFrame:
     return wide.withColumn("_o", offs).select((F.col("row") + F.col("_o")).alias("row"), "col").distinct()
 
 
-def drop_small_patches(mask: DataFrame, min_pixels: int = 50) -> DataFrame:
+def drop_small_patches(mask: DataFrame, min_pixels: int = 50, tile: int = 1024) -> DataFrame:
     """Keep 4-connected patches of at least `min_pixels`.
 
-    Pixels of a row that touch form a run; components are found among the runs,
-    which are far fewer than the pixels.
+    Pixels of a row that touch form a run inside a tile of columns, so a row of any length is many tasks; runs are joined below
+    each other and over the tiles' borders. Components are found among the runs, which are far fewer than the pixels.
     """
-    m = mask.select(F.col("row").cast("long"), F.col("col").cast("long")).distinct()
-    island = F.col("col") - F.row_number().over(Window.partitionBy("row").orderBy("col"))
-    runs = m.withColumn("_g", island).withColumn("_start", F.min("col").over(Window.partitionBy("row", "_g")))
+    m = mask.select(F.col("row").cast("long"), F.col("col").cast("long")).distinct().withColumn("_tile", F.floor(F.col("col") / tile))
+    island = F.col("col") - F.row_number().over(Window.partitionBy("row", "_tile").orderBy("col"))
+    runs = m.withColumn("_g", island).withColumn("_start", F.min("col").over(Window.partitionBy("row", "_tile", "_g")))
     pix = cut(runs.select("row", "col", cell_id("row", "_start").alias("run")))
     below = pix.select((F.col("row") - 1).alias("row"), "col", F.col("run").alias("dst"))
-    touching = pix.withColumnRenamed("run", "src").join(below, ["row", "col"]).select("src", "dst").distinct()
+    beside = pix.where(F.pmod("col", F.lit(tile)) == 0).select("row", (F.col("col") - 1).alias("col"), F.col("run").alias("dst"))
+    touching = pix.withColumnRenamed("run", "src").join(below.unionByName(beside), ["row", "col"]).select("src", "dst").distinct()
     size = pix.groupBy("run").agg(F.count(F.lit(1)).alias("_len"))
     comp = cut(connected_components(touching, size.select("run"), "run"))
     patch = size.join(comp, "run").groupBy("component").agg(F.sum("_len").alias("patch_size")).where(F.col("patch_size") >= min_pixels)

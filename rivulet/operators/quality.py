@@ -159,16 +159,15 @@ def validate_gridded(cells: DataFrame, layers: Sequence[str], n_nodes: int | Col
     Rows of a table have no order of their own, so what a file's order would show as time standing still is
     found as more than one row of a cell at a time.
     """
-    seen = cells.withColumn("_again", (F.row_number().over(Window.partitionBy(key, ts).orderBy(F.lit(1))) > 1).cast("int"))
     rules: dict[str, tuple[Column, Column]] = {}
     for layer in layers:
         v = F.col(layer)
         rules[f"{layer}_null_share"] = (F.avg(v.isNull().cast("double")), F.col(f"{layer}_null_share") <= 0.05)
         rules[f"{layer}_out_of_range"] = (F.count_if((v < -0.01) | (v > 0.65)), F.col(f"{layer}_out_of_range") == 0)
         rules[f"{layer}_mean"] = (F.avg(v), F.col(f"{layer}_mean").between(0.20, 0.47))
-    rules["repeated_steps"] = (F.coalesce(F.sum("_again"), F.lit(0)), F.col("repeated_steps") == 0)
+    rules["repeated_steps"] = (F.count(F.lit(1)) - F.count_distinct(F.struct(key, ts)), F.col("repeated_steps") == 0)
     rules["node_count"] = (F.count_distinct(key), F.col("node_count") == n_nodes)
-    return check_rules(seen, rules)
+    return check_rules(cells, rules)
 
 
 def mean_plausibility(cells: DataFrame, layer: str, by: Sequence[str], lo: float = 0.20, hi: float = 0.47) -> DataFrame:
@@ -209,13 +208,27 @@ def physical_guards(df: DataFrame, features: Sequence[str], rain: str | None = N
     return out
 
 
-def merge_intervals(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """Overlapping or touching intervals of a key become one."""
-    w = Window.partitionBy(key).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = df.select(key, start, end).withColumn("_new", (reach.isNull() | (F.col(start) > reach)).cast("int"))
-    grouped = marked.withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return grouped.groupBy(key, "_g").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_g")
+def merge_intervals(df: DataFrame, key: str, start: str, end: str, chunk: int = DAY) -> DataFrame:
+    """Overlapping or touching intervals of a key become one, whatever their lengths. Intervals that end before they start are dropped.
+
+    Intervals are dealt by the time slice in which they start. What reaches into a slice is the latest end of all earlier slices, one
+    number per slice; with it each slice finds its own groups. Only the group that goes on from before and the last one of
+    a slice can belong together with others, so only those go through a window over the whole key.
+    """
+    rows = df.where(F.col(start) <= F.col(end)).select(key, F.col(start).alias("_s"), F.col(end).alias("_e")).withColumn("_slice", fdiv(micros("_s"), chunk))
+    slices = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    reach = rows.groupBy(key, "_slice").agg(F.max("_e").alias("_r")).withColumn("_reach", F.max("_r").over(slices)).drop("_r")
+    inside = Window.partitionBy(key, "_slice").orderBy("_s", "_e")
+    before = F.greatest("_reach", F.max("_e").over(inside.rowsBetween(Window.unboundedPreceding, -1)))  # nulls are skipped
+    marked = rows.join(reach, [key, "_slice"]).withColumn("_new", (before.isNull() | (F.col("_s") > before)).cast("int"))
+    marked = marked.withColumn("_g", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    groups = marked.groupBy(key, "_slice", "_g").agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"))
+    groups = groups.withColumn("_last", F.max("_g").over(Window.partitionBy(key, "_slice")))
+    open_ = (F.col("_g") == 0) | (F.col("_g") == F.col("_last"))
+    order = Window.partitionBy(key).orderBy("_slice", "_g").rowsBetween(Window.unboundedPreceding, 0)
+    edge = groups.where(open_).withColumn("_n", F.sum((F.col("_g") > 0).cast("int")).over(order)).groupBy(key, "_n").agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"))
+    both = groups.where(~open_).select(key, "_s", "_e").unionByName(edge.select(key, "_s", "_e"))
+    return both.withColumnsRenamed({"_s": start, "_e": end})
 
 
 def mask_outages(df: DataFrame, outages: DataFrame, columns: Sequence[str], key: str = "node", ts: str = "ts", start: str = "start", end: str = "end") -> DataFrame:

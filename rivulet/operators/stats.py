@@ -167,10 +167,12 @@ def lagged_products(series: DataFrame, pairs: DataFrame, lo: int, hi: int, step:
 def _lag_sums(left: DataFrame, right: DataFrame, lo: int, hi: int, step: int, block_steps: int = 2880) -> DataFrame:
     """Lagged sums of products from rows (a, b, us, v) of both sides.
 
-    Work is split by (pair, time block): a block's own left values meet the right
-    values of the block widened by the lag range, one short vector product per lag.
+    Work is split by (pair, time block): a block's own left values meet the right values of the block widened by the lag range. All
+    lags of a block come from one product of spectra (overlap-save: the transform is long enough that nothing wraps into them), so the
+    cost does not grow with their number. A block is at least as long as the lag range, so that no value is copied to more than three.
     """
-    size = block_steps * step
+    block_steps = max(block_steps, hi - lo + 1)
+    size, length = block_steps * step, 1 << (block_steps + hi - lo).bit_length()
     a = left.select("a", "b", "us", "v", F.lit(0).alias("side")).withColumn("blk", fdiv(F.col("us"), size))
     b = right.select("a", "b", "us", "v", F.lit(1).alias("side")).withColumn(
         "blk", F.explode(F.sequence(fdiv(F.col("us") - hi * step, size), fdiv(F.col("us") - lo * step, size))))
@@ -182,7 +184,7 @@ def _lag_sums(left: DataFrame, right: DataFrame, lo: int, hi: int, step: int, bl
         x, y = np.zeros(block_steps), np.zeros(block_steps + hi - lo)
         x[at[side == 0]] = v[side == 0]
         y[at[side == 1] - lo] = v[side == 1]
-        sums = [float(x @ y[k : k + block_steps]) for k in range(hi - lo + 1)]
+        sums = np.fft.irfft(np.fft.rfft(x, length).conj() * np.fft.rfft(y, length), length)[: hi - lo + 1]
         return pd.DataFrame({"a": key_[0], "b": key_[1], "lag": range(lo, hi + 1), "s": sums})
 
     parts = a.unionByName(b).groupBy("a", "b", "blk").applyInPandas(dot, f"a {types['a']}, b {types['b']}, lag int, s double")

@@ -86,7 +86,7 @@ def nearest_step(events: DataFrame, steps: DataFrame, ts: str = "ts", step_ts: s
     """Nearest available time step of each event, its lag in hours and a warning flag; ties go to the earlier step."""
     pts = events.withColumn("_x", micros(ts).cast("double"))
     refs = steps.select(step_ts).distinct().withColumn("_y", micros(step_ts).cast("double"))
-    hit = nearest(pts, refs, ["_x"], ["_y"], step_ts, step_ts, F.abs(F.col("_x") - F.col("_y")), start=float(6 * HOUR))
+    hit = nearest(pts, refs, ["_x"], ["_y"], step_ts, step_ts, F.abs(F.col("_x") - F.col("_y")))
     return hit.withColumn("lag_hours", F.col("dist") / HOUR).withColumn("warn", F.col("lag_hours") > warn_hours).drop("_x", "dist")
 
 

@@ -353,7 +353,7 @@ def inherit_rates(rates: DataFrame, floor_inherit: float = 0.001, cap_inherit: f
     donors = base.where(F.col("_rate").isNotNull()).select(F.col("node").alias("donor"), F.col("_x").alias("_y"), F.col("_rate").alias("_dr"), F.col("area_km2").alias("_da"))
     lacking = base.where(F.col("_rate").isNull()).select("node", "_x")
     gap = F.abs(F.col("_x") - F.col("_y"))
-    found = nearest(lacking, donors.select("donor", "_y"), ["_x"], ["_y"], "donor", "donor", gap, start=4.0).select("node", "donor")
+    found = nearest(lacking, donors.select("donor", "_y"), ["_x"], ["_y"], "donor", "donor", gap).select("node", "donor")
     d = base.drop("_x").join(found.join(donors.drop("_y"), "donor"), "node", "left")
     inherited = F.col("_dr") * F.sqrt(F.greatest(F.col("_da"), F.lit(0.01)) / F.greatest(F.col("area_km2"), F.lit(0.01)))
     inherited = clip(inherited, floor_inherit, cap_inherit)

@@ -1,17 +1,29 @@
-"""Nearest-neighbour joins by grid cells, exact at any distance, without a cross join."""
+"""Nearest-neighbour and radius joins by grid cells, exact at any distance, without a cross join.
+
+Nearest neighbours go down a tree of cells that is as deep as the references are dense. Only crowded cells are split, so a crowd of
+references costs depth where it is and nothing elsewhere. Each point carries the few cells that can still hold a hit; a level opens them and drops those
+that lie farther away than what is known to be near enough.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import product
+from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .fixpoint import cut
 
 EARTH_RADIUS_KM = 6371.0
 
+#: Cells along each axis of a split cell, most references of a leaf, deepest level.
+FAN, LEAF, DEEPEST = 4, 16, 22
+#: Slack of distances: relative, and absolute in squared units, for rounding of coordinates and of the ranking distance.
+SLACK, ABSOLUTE = 1e-6, 2e-9
+
 
 def unit_sphere(lat: Column, lon: Column) -> list[Column]:
     """Cartesian coordinates on the unit sphere; chord length orders like great-circle distance."""
@@ -42,64 +54,85 @@ def within_radius(points: DataFrame, refs: DataFrame, axes: Sequence[str], ref_a
     return left.join(right, keys).drop(*keys)
 
 
-def nearest(
-    points: DataFrame,
-    refs: DataFrame,
-    axes: Sequence[str],
-    ref_axes: Sequence[str],
-    ref_id: str,
-    ref_order: str,
-    dist: Column,
-    start: float,
-    growth: float = 4.0,
-    max_rounds: int = 16,
-) -> DataFrame:
-    """Nearest reference of each point: `points` plus `ref_id` and `dist`.
-
-    A search over the touching cells of size s sees everything within s, so a
-    hit no farther than s is final; the points left over go on with larger
-    cells. The first size is `start` or less where places are dense. Points and references are first reduced to distinct places, so a
-    crowded place costs one search. Ties go to the smallest `ref_order`.
-    `dist` may use the axes and `ref_axes`; the axes must be such that
+class CellTree:
+    """Cells of references: `nodes` (_level, _c0.., _n, _leaf) below the root, `leaves` (_level, _c0.., the references' columns).
+
+    A cell of level l has 1 / FAN ** l of the extent on each axis; its parent's number is its own over FAN. References at one place
+    are one row each; a cell of the deepest level is a leaf whatever it holds.
+    """
+
+    def __init__(self, refs: DataFrame, axes: Sequence[str], leaf: int = LEAF):
+        self.axes, self.keys = list(axes), [f"_c{i}" for i in range(len(axes))]
+        ends = refs.agg(*[f(a).alias(f"{n}{i}") for i, a in enumerate(axes) for n, f in (("lo", F.min), ("hi", F.max))]).first()
+        self.low = [ends[f"lo{i}"] for i in range(len(axes))]
+        self.extent = max((ends[f"hi{i}"] - ends[f"lo{i}"] for i in range(len(axes))), default=0.0) * (1 + 1e-9) or 1.0
+        active, self.nodes, self.leaves = refs, None, None
+        for level in range(1, DEEPEST + 1):
+            size = self.extent / FAN**level
+            cells = [F.floor((F.col(a) - F.lit(lo)) / F.lit(size)).cast("long").alias(k) for a, lo, k in zip(self.axes, self.low, self.keys)]
+            placed = active.select(*refs.columns, *cells)
+            full = F.col("_n") <= (F.lit(leaf) if level < DEEPEST else F.lit(1 << 62))
+            counts = cut(placed.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("_n")).select(F.lit(level).alias("_level"), *self.keys, "_n", full.alias("_leaf")))
+            placed = cut(placed.join(counts, self.keys).select("_level", *self.keys, "_leaf", *refs.columns))
+            here = placed.where("_leaf").drop("_leaf")
+            self.nodes = counts if self.nodes is None else self.nodes.unionByName(counts)
+            self.leaves = here if self.leaves is None else self.leaves.unionByName(here)
+            active = placed.where("not _leaf").select(*refs.columns)
+            self.depth = level
+            if active.isEmpty():
+                break
+
+    def box(self, level: Column, axes: Sequence[str], cell: Sequence[Column]) -> tuple[Column, Column]:
+        """Squared distances from a point to the nearest and the farthest place of a cell."""
+        size = F.lit(self.extent) / F.pow(F.lit(float(FAN)), level)
+        near, far = F.lit(0.0), F.lit(0.0)
+        for a, lo, c in zip(axes, self.low, cell):
+            below, above = F.lit(lo) + c * size - F.col(a), F.col(a) - F.lit(lo) - (c + 1) * size
+            near = near + F.pow(F.greatest(below, above, F.lit(0.0)), F.lit(2.0))
+            far = far + F.pow(F.greatest(-below, -above), F.lit(2.0))
+        return near, far
+
+    def candidates(self, places: DataFrame, axes: Sequence[str], k: int = 1) -> DataFrame:
+        """Each place with the references of all cells that can hold one of its k nearest. `places` are distinct."""
+        axes = list(axes)
+        roots = self.nodes.where("_level = 1").collect()  # FAN cells on each axis at most
+        cells = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in ("_level", *self.keys, "_n", "_leaf")]) for r in roots])
+        frontier = self._pruned(places.select(*axes, F.explode(cells).alias("_cell")).select(*axes, "_cell.*"), axes, k)
+        for level in range(1, self.depth):
+            children = self.nodes.where(F.col("_level") == level + 1).withColumnsRenamed({c: f"_k{c}" for c in self.keys})
+            parent = reduce(and_, [F.floor(F.col(f"_k{c}") / FAN) == F.col(c) for c in self.keys])
+            opened = frontier.where(~F.col("_leaf")).drop("_n", "_leaf", "_level").join(children, parent)
+            opened = opened.select(*axes, "_level", *[F.col(f"_k{c}").alias(c) for c in self.keys], "_n", "_leaf")
+            frontier = self._pruned(frontier.where("_leaf").unionByName(opened), axes, k)
+        return frontier.select(*axes, "_level", *self.keys).join(self.leaves, ["_level", *self.keys]).drop("_level", *self.keys)
+
+    def _pruned(self, frontier: DataFrame, axes: list[str], k: int) -> DataFrame:
+        """Without the cells that lie beyond the distance within which k references are certain."""
+        near, far = self.box(F.col("_level"), axes, [F.col(c) for c in self.keys])
+        rows = frontier.withColumn("_near", near).withColumn("_far", far)
+        place = Window.partitionBy(*axes)
+        upto = F.sum("_n").over(place.orderBy("_far").rangeBetween(Window.unboundedPreceding, 0))
+        rows = rows.withColumn("_enough", F.when(upto >= k, F.col("_far")))
+        reach = F.coalesce(F.min("_enough").over(place), F.lit(float("inf"))) * (1 + SLACK) + ABSOLUTE
+        return cut(rows.withColumn("_reach", reach).where("_near <= _reach").drop("_near", "_far", "_enough", "_reach"))
+
+
+def _finite(axes: Sequence[str]) -> Column:
+    return reduce(and_, [F.col(a).isNotNull() & (F.abs(F.col(a)) < float("inf")) & ~F.isnan(F.col(a).cast("double")) for a in axes])
+
+
+def nearest(points: DataFrame, refs: DataFrame, axes: Sequence[str], ref_axes: Sequence[str], ref_id: str, ref_order: str, dist: Column) -> DataFrame:
+    """Nearest reference of each point: `points` plus `ref_id` and `dist`; null where a coordinate is missing or there is no reference.
+
+    Points and references are first reduced to distinct places, so a crowded place costs one search. Ties go to the
+    smallest `ref_order`. `dist` may use the axes and `ref_axes`; the axes must be such that
     Euclidean distance in them bounds the ranking (chord length for the globe).
     """
-    places = points.select(*axes).where(" and ".join(f"{a} is not null" for a in axes)).distinct()
-    spots = refs.groupBy(*ref_axes).agg(F.min(F.struct(F.col(ref_order).alias("o"), F.col(ref_id).alias("id"))).alias("_r"))
-    spots = cut(spots.where(" and ".join(f"{a} is not null" for a in ref_axes)))
-    span2 = sum((F.col(a) - F.col(b)) ** 2 for a, b in zip(axes, ref_axes))
-    todo, done = cut(places), None
+    places = cut(points.select(*axes).where(_finite(axes)).distinct())
+    spots = refs.where(_finite(ref_axes)).groupBy(*ref_axes).agg(F.min(F.struct(F.col(ref_order).alias("o"), F.col(ref_id).alias("id"))).alias("_r"))
+    spots = cut(spots)
     if spots.isEmpty():
         return points.withColumn(ref_id, F.lit(None).cast(refs.schema[ref_id].dataType)).withColumn("dist", F.lit(None).cast("double"))
-    size, finer = _first_size(todo, spots, axes, ref_axes, start, growth)
-    for _ in range(max_rounds + finer):
-        best = within_radius(todo, spots, axes, ref_axes, size).groupBy(*axes).agg(F.min(F.struct(dist.alias("d"), F.col("_r"))).alias("_best"), F.min(span2).alias("_span2"))
-        sure = F.coalesce(F.col("_span2") <= F.lit(size * size * 0.999999), F.lit(False))
-        state = cut(todo.join(best, list(axes), "left").select(*axes, "_best", sure.alias("_sure")))
-        found = state.where("_sure").select(*axes, "_best")
-        done = found if done is None else done.unionByName(found)
-        todo = state.where("not _sure").select(*axes)
-        if todo.isEmpty():
-            break
-        size *= growth
-    else:
-        raise ValueError("references lie farther away than the search can reach")
-    hit = done.select(*axes, F.col("_best._r.id").alias(ref_id), F.col("_best.d").alias("dist"))
-    return points.join(hit, list(axes), "left")
-
-
-def _first_size(places: DataFrame, spots: DataFrame, axes: Sequence[str], ref_axes: Sequence[str], start: float, growth: float, each: int = 64, steps: int = 12) -> tuple[float, int]:
-    """First cell size and how often `start` was divided by `growth` for it.
-
-    Cells shrink until a point meets no more than `each` references in its own cell on average over all points, so crowded
-    regions do not meet in all pairs. One aggregate of counts per cell for each size tried.
-    """
-    keys, size = [f"_c{i}" for i in range(len(axes))], start
-    most = each * places.count()
-    for finer in range(steps):
-        here = places.groupBy(*cell_of(axes, size)).agg(F.count(F.lit(1)).alias("_p"))
-        there = spots.groupBy(*cell_of(ref_axes, size)).agg(F.count(F.lit(1)).alias("_s"))
-        met = here.join(there, keys).agg(F.sum(F.col("_p").cast("double") * F.col("_s"))).first()[0] or 0.0
-        if met <= most:
-            return size, finer
-        size /= growth
-    return size, steps
+    found = CellTree(spots, ref_axes).candidates(places, axes)
+    hit = found.groupBy(*axes).agg(F.min(F.struct(dist.alias("d"), F.col("_r"))).alias("_best"))
+    return points.join(hit.select(*axes, F.col("_best._r.id").alias(ref_id), F.col("_best.d").alias("dist")), list(axes), "left")

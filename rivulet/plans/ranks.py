@@ -10,6 +10,21 @@ from pyspark.sql import functions as F
 from .fixpoint import cut
 
 
+def neighbours_in_order(df: DataFrame, column: str) -> DataFrame:
+    """Each distinct value with the next smaller and the next larger one as `before` and `after`; the ends are null.
+
+    Values are dealt by ranges and ordered inside them; only the ends of the ranges meet in one window.
+    """
+    rows = df.select(column).where(F.col(column).isNotNull()).distinct().repartitionByRange(F.col(column)).sortWithinPartitions(column)
+    rows = cut(rows.withColumn("_part", F.spark_partition_id()))
+    ends = rows.groupBy("_part").agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
+    over = Window.orderBy("_part")
+    ends = ends.select("_part", F.lag("_hi").over(over).alias("_down"), F.lead("_lo").over(over).alias("_up"))
+    inside = Window.partitionBy("_part").orderBy(column)
+    out = rows.withColumn("before", F.lag(column).over(inside)).withColumn("after", F.lead(column).over(inside)).join(ends, "_part")
+    return out.select(column, F.coalesce("before", "_down").alias("before"), F.coalesce("after", "_up").alias("after"))
+
+
 def value_counts_below(df: DataFrame, keys: Sequence[str], value: str, buckets: int | None = None) -> DataFrame:
     """Per key and distinct value: `n_equal`, `n_below` (rows with a smaller value) and `n_total`.
 

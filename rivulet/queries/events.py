@@ -257,7 +257,6 @@ def histogram(t):
     return _round(stats.histogram(readings(t), ("series_id",), "value", 80), "density")
 
 
-@query("k62_event_report", f"WITH {HOURLY} SELECT series_id, ts, {s6('value')} AS value FROM hourly WHERE series_id = 'view' AND ts BETWEEN TIMESTAMP '2024-01-10 00:00:00' AND TIMESTAMP '2024-01-12 12:00:00'")
+@query("k62_event_report", f"WITH {HOURLY} SELECT series_id, ts, {s6('value')} AS value FROM hourly WHERE ts BETWEEN TIMESTAMP '2024-01-10 00:00:00' AND TIMESTAMP '2024-01-12 12:00:00'")
 def event_report(t):
-    g = grid(t, "1 hour").where("series_id = 'view'")
-    return _round(timegrid.clip_period(g, "2024-01-10 00:00:00", "2024-01-12 12:00:00"), "value").select("series_id", "ts", "value")
+    return _round(timegrid.clip_period(grid(t, "1 hour"), "2024-01-10 00:00:00", "2024-01-12 12:00:00"), "value").select("series_id", "ts", "value")

@@ -375,9 +375,9 @@ def constraint_components(t):
 
 
 # ---------------------------------------------------------------- catalogue
-@query("k60_category_counts", "WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY 1) SELECT CASE WHEN n <= 48 THEN 'Other' ELSE source END AS source, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY 1")
+@query("k60_category_counts", "WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY 1) SELECT CASE WHEN n <= greatest(1, (SELECT count(*) FROM documents) * 0.05::DOUBLE) THEN 'Other' ELSE source END AS source, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY 1")
 def category_counts(t):
-    return catalogue.category_counts(t.documents, "source", tail=48)
+    return catalogue.category_counts(t.documents, "source", share=0.05)
 
 
 @query("k60_crosstab", "SELECT source, " + ", ".join(f"count(*) FILTER (WHERE lang = '{x}') AS {x}" for x in ("de", "en", "es", "fr")) + " FROM documents GROUP BY 1")

@@ -48,7 +48,7 @@ SELECT node, arg_min(cell_id, {{'d': d2, 'g': cell_id}}) AS cell_id, {s6('min(d2
 def nearest_cell(t):
     cells = rain_gauges(t).select(F.col("gauge").alias("cell_id"), "lat", "lon")
     d2 = F.round((F.col("lat") - F.col("_r_lat")) ** 2 + (F.col("lon") - F.col("_r_lon")) ** 2, 9)
-    out = joins.nearest_planar(nodes(t).select("node", "lat", "lon"), cells, ("lat", "lon"), "cell_id", start=0.1, dist=d2)
+    out = joins.nearest_planar(nodes(t).select("node", "lat", "lon"), cells, ("lat", "lon"), "cell_id", dist=d2)
     return out.select("node", "cell_id", r6("dist").alias("dist"))
 
 
@@ -307,7 +307,7 @@ def node_soil_moisture(t):
     """Each node reads its nearest cell, aligned to the time steps within a tolerance of a day."""
     cells = rain_gauges(t).select(F.col("gauge").alias("cell_id"), "lat", "lon")
     d2 = F.round((F.col("lat") - F.col("_r_lat")) ** 2 + (F.col("lon") - F.col("_r_lon")) ** 2, 9)
-    near = joins.nearest_planar(nodes(t).select("node", "lat", "lon"), cells, ("lat", "lon"), "cell_id", start=0.1, dist=d2).select("node", "cell_id")
+    near = joins.nearest_planar(nodes(t).select("node", "lat", "lon"), cells, ("lat", "lon"), "cell_id", dist=d2).select("node", "cell_id")
     src = t.orders.groupBy(F.col("o_custkey").alias("cell_id"), F.col("o_orderdate").alias("ts")).agg((F.avg("o_totalprice") / 1000000).alias("value"))
     used = near.select("cell_id").distinct()
     lo, hi = (t.orders.agg(micros(f("o_orderdate"))).scalar() for f in (F.min, F.max))

@@ -310,9 +310,11 @@ def components(t):
     return graph.connected_components(_broken_edges(t), nodes(t))
 
 
-@query("g3_isolated_nodes", f"WITH {NODES}, ce AS (SELECT s_suppkey AS src, s_suppkey // 2 AS dst FROM supplier WHERE s_suppkey % 5 <> 0 AND s_suppkey % 7 < 2) SELECT node FROM nodes WHERE node NOT IN (SELECT src FROM ce UNION SELECT dst FROM ce)")
+@query("g3_isolated_nodes", f"WITH {NODES}, {EDGES}, ce AS (SELECT e.src, e.dst FROM edges e JOIN supplier ON s_suppkey = e.src WHERE s_acctbal >= 0) SELECT node FROM nodes WHERE node NOT IN (SELECT src FROM ce UNION SELECT dst FROM ce)")
 def isolated_nodes(t):
-    return graph.isolated_nodes(_broken_edges(t).where("src % 7 < 2"), nodes(t)).select("node")
+    """Nodes that no edge touches, an edge being there while the account of its upper end is not overdrawn."""
+    there = t.supplier.where("s_acctbal >= 0").select(F.col("s_suppkey").alias("src"))
+    return graph.isolated_nodes(edges(t).join(there, "src", "left_semi"), nodes(t)).select("node")
 
 
 REACH = f"""WITH RECURSIVE {NODES}, {EDGES}, en AS (SELECT src, dst, CASE WHEN src % 3 = 0 THEN NULL ELSE src % 4 END AS lag FROM edges),

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.operators import scenarios, scores, timegrid, windows
+from rivulet.plans.ranks import neighbours_in_order
 from rivulet.plans.timechunks import HOUR, STEP, fdiv, micros
 
 from .base import FORECAST, SLOTS, forecast, grid, query, r6, s6
@@ -138,9 +139,9 @@ RING = "ring AS (SELECT series_id, coalesce(lag(series_id) OVER (ORDER BY series
 
 
 def ring(t) -> DataFrame:
-    names, whole = Window.orderBy("series_id"), Window.partitionBy()
-    return t.events.select(F.col("event_type").alias("series_id")).distinct().select(
-        "series_id", F.coalesce(F.lag("series_id").over(names), F.max("series_id").over(whole)).alias("up"), F.coalesce(F.lead("series_id").over(names), F.min("series_id").over(whole)).alias("down"))
+    names = neighbours_in_order(t.events.select(F.col("event_type").alias("series_id")), "series_id")
+    ends = names.agg(F.min("series_id").alias("lo"), F.max("series_id").alias("hi"))
+    return names.select("series_id", F.coalesce("before", ends.select("hi").scalar()).alias("up"), F.coalesce("after", ends.select("lo").scalar()).alias("down"))
 
 
 def all_window_values(t) -> DataFrame:

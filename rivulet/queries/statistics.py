@@ -112,21 +112,22 @@ def correlation_matrix(t):
 
 
 LAGC = f"""{HOURLY},
-rain AS (SELECT series_id, ts, coalesce(total, 0) AS v FROM hourly WHERE series_id IN ('purchase', 'signup')),
-lvl AS (SELECT series_id, ts, coalesce(value - lag(value) OVER (PARTITION BY series_id ORDER BY ts), 0) AS v FROM hourly WHERE series_id IN ('click', 'view')),
+rain AS (SELECT series_id, ts, coalesce(total, 0) AS v FROM hourly WHERE series_id IN (SELECT series_id FROM readings WHERE kind = 'rainfall')),
+lvl AS (SELECT series_id, ts, coalesce(value - lag(value) OVER (PARTITION BY series_id ORDER BY ts), 0) AS v FROM hourly WHERE series_id IN (SELECT series_id FROM readings WHERE kind = 'level')),
 z AS (SELECT series_id, ts, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS i, (v - avg(v) OVER w) / (stddev_pop(v) OVER w + 1e-9) AS z, count(*) OVER w AS n FROM (SELECT * FROM rain UNION ALL SELECT * FROM lvl) WINDOW w AS (PARTITION BY series_id)),
-cur AS (SELECT r.series_id AS a, w.series_id AS b, CAST(w.i - r.i AS INTEGER) AS lag, sum(r.z * w.z) / any_value(w.n) AS xcorr FROM z r JOIN z w ON w.i BETWEEN r.i AND r.i + 72 WHERE r.series_id IN ('purchase', 'signup') AND w.series_id IN ('click', 'view') GROUP BY 1, 2, 3)"""
+cur AS (SELECT r.series_id AS a, w.series_id AS b, CAST(w.i - r.i AS INTEGER) AS lag, sum(r.z * w.z) / any_value(w.n) AS xcorr FROM z r JOIN z w ON w.i BETWEEN r.i AND r.i + 72 WHERE r.series_id IN (SELECT series_id FROM rain) AND w.series_id IN (SELECT series_id FROM lvl) GROUP BY 1, 2, 3)"""
 
 
 def _lag_curve(t):
-    rain = timegrid.regular_grid(readings(t).where("kind = 'rainfall'"), "1 hour", "sum")
+    """Every rain series against every level series; both share one axis, the grid of all series."""
     hourly = grid(t, "1 hour")
-    # both kinds share one axis: the grid of all series
-    rain = hourly.select("series_id", "ts").join(timegrid.resample(readings(t), "1 hour", "sum"), ["series_id", "ts"], "left").where("series_id in ('purchase', 'signup')")
+    of_kind = lambda kind, name: readings(t).where(F.col("kind") == kind).select(F.col("series_id").alias(name)).distinct()
+    totals = timegrid.resample(readings(t).where("kind = 'rainfall'"), "1 hour", "sum")
+    rain = hourly.select("series_id", "ts").join(of_kind("rainfall", "series_id"), "series_id", "left_semi").join(totals, ["series_id", "ts"], "left")
     rain = rain.withColumn("value", F.coalesce("value", F.lit(0.0)))
-    change = windows.over_time(hourly.where("series_id in ('click', 'view')"), ("series_id",), "ts", lambda w: {"d": F.coalesce(F.col("value") - F.lag("value").over(w), F.lit(0.0))}, before=HOUR)
+    change = windows.over_time(hourly.join(of_kind("level", "series_id"), "series_id", "left_semi"), ("series_id",), "ts", lambda w: {"d": F.coalesce(F.col("value") - F.lag("value").over(w), F.lit(0.0))}, before=HOUR)
     change = change.select("series_id", "ts", F.col("d").alias("value"))
-    pairs = readings(t).where("kind = 'rainfall'").select(F.col("series_id").alias("a")).distinct().withColumn("b", F.explode(F.array(F.lit("click"), F.lit("view"))))
+    pairs = of_kind("rainfall", "a").crossJoin(of_kind("level", "b"))  # the pairs are what is asked for
     return stats.lag_correlation(rain, change, pairs, 72, HOUR)
 
 

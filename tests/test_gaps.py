@@ -127,15 +127,3 @@ def test_frames_are_thinned_evenly_or_not_at_all(spark):
     assert pixels.subsample_frames(frames).count() == 191
     kept = sorted(r["ts"] for r in pixels.subsample_frames(frames, max_frames=96).collect())
     assert len(kept) == 96 and kept[0] == 0 and kept[-1] >= 188 and max(b - a for a, b in zip(kept, kept[1:])) <= 2
-
-
-def test_nearest_in_one_crowded_cell(spark):
-    rng = np.random.default_rng(23)
-    pts, refs = rng.uniform(0, 1, (20_000, 2)), rng.uniform(0, 1, (5_000, 2))
-    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(pts)], "p long, x double, y double")
-    rf = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(refs)], "r long, x double, y double")
-    got = {row["p"]: row["r"] for row in joins.nearest_planar(df, rf, ("x", "y"), "r", start=1_000.0).collect()}
-    for i in range(0, 20_000, 97):
-        assert got[i] == int(((refs - pts[i]) ** 2).sum(axis=1).argmin())
-    size, finer = nearest._first_size(df.select("x", "y"), rf.select(F.col("x").alias("_r_x"), F.col("y").alias("_r_y")), ["x", "y"], ["_r_x", "_r_y"], 1_000.0, 4.0)
-    assert finer >= 5 and size <= 0.25

@@ -74,18 +74,18 @@ def test_axis_slices(spark):
     assert {r["col"]: r["n"] for r in a.collect()} == {c: sum(c + d in cols for d in range(-2, 3)) for c in cols}
 
 
-@pytest.mark.parametrize("salt", [1, 4])
+@pytest.mark.parametrize("deal", [False, True])
 @pytest.mark.parametrize("closed", [True, False])
-def test_interval_join_equals_nested_loop(spark, readings, salt, closed):
+def test_interval_join_equals_nested_loop(spark, readings, deal, closed):
     pts = [("a", m, float(i)) for i, m in enumerate(rng.sample(range(0, 20000), 150))]
     ivs = [(i, "a" if i % 3 else "b", *sorted(rng.sample(range(0, 20000), 2))) for i in range(40)]
     p = readings(pts)
     iv = spark.createDataFrame(ivs, "id int, series_id string, s int, e int").selectExpr(
         "id", "series_id", "timestamp_ntz '2024-01-01' + make_dt_interval(0, 0, s, 0) as start", "timestamp_ntz '2024-01-01' + make_dt_interval(0, 0, e, 0) as end")
-    got = sorted((r["value"], r["id"]) for r in interval_join(p, iv, "ts", "start", "end", on=["series_id"], closed=closed, salt=salt).collect())
+    got = sorted((r["value"], r["id"]) for r in interval_join(p, iv, "ts", "start", "end", on=["series_id"], closed=closed, deal=deal, rows=(7, 3)).collect())
     inside = lambda m, s, e: s <= m <= e if closed else s <= m < e
     assert got == sorted((v, i) for _, m, v in pts for i, k, s, e in ivs if k == "a" and inside(m, s, e))
-    left = interval_join(p, iv, "ts", "start", "end", on=["series_id"], how="left_anti", closed=closed)
+    left = interval_join(p, iv, "ts", "start", "end", on=["series_id"], how="left_anti", closed=closed, deal=deal, rows=(7, 3))
     hit = {v for v, _ in got}
     assert sorted(r["value"] for r in left.collect()) == sorted(v for _, _, v in pts if v not in hit)
 
