@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rules of one table; they are held by every task.
+MOST_RULES = 10_000
+
 # fixed values: constraint component of a type text, first rule that matches
 COMPONENT_RULES = (
     (r"type iii", "Physics Model as Input Feature"),
@@ -70,6 +73,26 @@ def first_rule(text: Column, rules, default: Column | None = None) -> Column:
     return F.coalesce(*hits, default) if default is not None else F.coalesce(*hits)
 
 
+def rule_table(spark: SparkSession, rules) -> DataFrame:
+    """(position, pattern, label) from a sequence of (pattern, label), as such a table would be read from a file."""
+    return spark.createDataFrame([(i, pattern, label) for i, (pattern, label) in enumerate(rules)], "position int, pattern string, label string")
+
+
+def label_by_table(texts: DataFrame, rules: DataFrame, text: str, label: str = "label", default: str | None = None) -> DataFrame:
+    """Add the label of the first rule, by position and then pattern, whose pattern is found in the text; else the default.
+
+    `rules` has (position, pattern, label) and at most MOST_RULES rows: they are data, so a sheet of other rules needs no other code. Each distinct
+    text is matched once and joined back; texts that are null get the default. Patterns are regular expressions in Java's syntax.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("position", "pattern", "label")))
+    checked = F.when(F.size("r") > MOST_RULES, F.raise_error(F.lit(f"more than {MOST_RULES} rules"))).otherwise(F.col("r"))
+    held = rules.where(F.col("pattern").isNotNull()).agg(ordered.alias("r")).select(checked.alias("r")).scalar()
+    known = texts.select(F.col(text).alias("_text")).where(F.col("_text").isNotNull()).distinct().withColumn("_rules", held)
+    first = F.get(F.filter("_rules", lambda rule: F.regexp_like(F.col("_text"), rule["pattern"])), F.lit(0))["label"]
+    known = known.select("_text", first.alias("_label"))
+    return texts.join(known, F.col(text) == F.col("_text"), "left").drop("_text").withColumn(label, F.coalesce("_label", F.lit(default))).drop("_label")
+
+
 def spatial_label(text: Column) -> Column:
     return first_rule(text, SPATIAL_RULES, F.when(text.isNull(), "Other"))
 

@@ -185,3 +185,42 @@ def scenario_minus_real(scenarios: DataFrame, real: DataFrame, score: str = "nse
     s = scenarios.groupBy(name.alias("model_key"), "scenario", hours.alias("hours")).agg(F.avg(score).alias("_s"))
     r = real.groupBy(name.alias("model_key"), hours.alias("hours")).agg(F.avg(score).alias("_r"))
     return s.join(r, ["model_key", "hours"]).select("model_key", "scenario", "hours", (F.col("_s") - F.col("_r")).alias("delta"))
+
+
+def difficulty_pairs(scenarios: DataFrame, real: DataFrame, score: str = "rmse") -> DataFrame:
+    """Error on the scenario beside the error on real data of every run; a scenario is harder where its error is larger. Runs without either are left out."""
+    keys = ["model", "seed", "horizon"]
+    both = scenarios.select(*keys, "scenario", F.col(score).alias("scenario_score")).join(real.select(*keys, F.col(score).alias("real_score")), keys)
+    return both.dropna(subset=["scenario_score", "real_score"]).withColumn("harder", F.col("scenario_score") > F.col("real_score"))
+
+
+def scenario_horizon_curve(scenarios: DataFrame, real: DataFrame, graph_models: Sequence[str], score: str = "nse") -> DataFrame:
+    """Score by horizon in a scenario against real data: mean and spread over seeds, per scenario and model, with the model's group (graph or not)."""
+    name = F.when(F.col("model").isin(*graph_models), "graph").otherwise("no graph")
+    s = seed_summary(scenarios, ("scenario", "model", "horizon"), (score,))
+    r = real.groupBy("model", "horizon").agg(F.avg(score).alias("real_mean"))
+    return s.join(r, ["model", "horizon"], "left").withColumn("model_group", name).withColumn("minus_real", F.col(f"{score}_mean") - F.col("real_mean"))
+
+
+def role_scores(forecast: DataFrame, roles: DataFrame, by: Sequence[str], onset: int, node: str = "node", step: str = "local_step") -> DataFrame:
+    """Per run and from the onset on: error at the downstream nodes, and mean excess of the prediction at the upstream ones.
+
+    `roles` has the node and `role`, upstream or downstream. Where nothing can travel upstream the excess should be 0: it is what a model leaks against the flow
+    after a release, and what backs up behind a blockage.
+    """
+    gap = F.col("pred") - F.col("target")
+    rows = forecast.where((F.col(step) >= onset) & gap.isNotNull()).join(roles.select(node, "role"), node)
+    return rows.groupBy(*by).agg(
+        F.sqrt(F.avg(F.when(F.col("role") == "downstream", gap * gap))).alias("downstream_rmse"), F.avg(F.when(F.col("role") == "upstream", gap)).alias("upstream_bias"))
+
+
+def leakage_table(runs: DataFrame) -> DataFrame:
+    """`role_scores` of runs by model and horizon: mean and spread over seeds."""
+    return seed_summary(runs, ("model", "horizon"), ("downstream_rmse", "upstream_bias"))
+
+
+def blockage_table(runs: DataFrame, reverse_models: Sequence[str]) -> DataFrame:
+    """`role_scores` by model over seeds and horizons, with how much a model with a reverse path narrows the excess upstream, against the mean of those without."""
+    table = seed_summary(runs, ("model",), ("downstream_rmse", "upstream_bias")).withColumn("reverse_path", F.col("model").isin(*reverse_models))
+    others = table.where(~F.col("reverse_path")).agg(F.avg("upstream_bias_mean")).scalar()
+    return table.withColumn("bias_minus_others", F.col("upstream_bias_mean") - others)

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rivulet.operators.graph import connected_components
+from rivulet.operators.quality import merge_intervals
 from rivulet.plans.fixpoint import cut
 from rivulet.plans.quantiles import exact_quantiles
-from rivulet.plans.timechunks import over_axis
+from rivulet.plans.timechunks import from_micros, micros, over_axis
 
 # fixed values: neighbour order and distances of the eight flow directions
 D8 = ((-1, -1, 1.4142), (-1, 0, 1.0), (-1, 1, 1.4142), (0, -1, 1.0), (0, 1, 1.0), (1, -1, 1.4142), (1, 0, 1.0), (1, 1, 1.4142))
@@ -125,6 +126,41 @@ def inundation(pixels: DataFrame, stages: DataFrame, fixed_hand: float | None =
     return alone.unionByName(wet.where("_shared").select("ts", "row", "col").distinct())
 
 
+def inundation_spans(pixels: DataFrame, stages: DataFrame, step: int, band: float = 0.25) -> DataFrame:
+    """(row, col, wet_from, wet_to): the longest stretches of steps at which a pixel is wet, without forming pixel x time.
+
+    A height becomes wet at the step whose stage reaches it while the stage before did not, and dry likewise; so the starts of a height are
+    the stage rises that it lies in, and its ends the falls. Heights of a node are joined to rises and falls through height bands, and the k-th start goes
+    with the k-th end. Pixels take the stretches of their height. A step is `step` microseconds; where one is missing, a stretch ends.
+    Pixels under several nodes, or listed twice, are wet as long as one of them is. `pixels` and `stages` are as in `inundation`.
+    """
+    wet = stages.where(F.col("stage") >= F.col("bankfull")).groupBy("node", micros("ts").alias("at")).agg(F.max("stage").cast("double").alias("level"))
+    wet = cut(wet)
+    for name, away in (("before", step), ("after", -step)):
+        wet = wet.join(wet.select("node", (F.col("at") + away).alias("at"), F.col("level").alias(name)), ["node", "at"], "left")
+    places = pixels.where(F.col("hand").isNotNull()).select("row", "col", "node", F.col("hand").cast("double").alias("hand"))
+    heights = places.select("node", "hand").distinct().withColumn("_band", F.floor(F.col("hand") / band))
+    lowest = heights.agg(F.min("hand")).scalar()
+
+    def crossings(other: str, name: str) -> DataFrame:
+        """Steps at which a height lies above the stage beside and not above the own one."""
+        low = F.greatest(F.coalesce(F.col(other), lowest), lowest)
+        spans = wet.where(F.coalesce(F.col(other) < F.col("level"), F.lit(True)) & (F.col("level") >= lowest))
+        spans = spans.withColumn("_band", F.explode(F.sequence(F.floor(low / band), F.floor(F.col("level") / band)))).withColumnRenamed(other, "_other")
+        hit = heights.join(spans, ["node", "_band"]).where((F.col("hand") <= F.col("level")) & (F.col("_other").isNull() | (F.col("hand") > F.col("_other"))))
+        w = Window.partitionBy("node", "hand").orderBy("at")
+        return hit.select("node", "hand", F.col("at").alias(name), F.row_number().over(w).alias("k"))
+
+    runs = crossings("before", "wet_from").join(crossings("after", "wet_to"), ["node", "hand", "k"]).drop("k")
+    found = places.join(runs, ["node", "hand"])
+    copies = places.groupBy("row", "col").agg((F.count(F.lit(1)) > 1).alias("_shared"))
+    found = found.join(copies, ["row", "col"])
+    alone = found.where(~F.col("_shared")).select("row", "col", from_micros("wet_from").alias("wet_from"), from_micros("wet_to").alias("wet_to"))
+    shared = found.where("_shared").select(F.struct("row", "col").alias("place"), from_micros("wet_from").alias("wet_from"), from_micros(F.col("wet_to") + step).alias("wet_to"))
+    union = merge_intervals(shared, "place", "wet_from", "wet_to")
+    return alone.unionByName(union.select("place.row", "place.col", "wet_from", from_micros(micros("wet_to") - step).alias("wet_to")))
+
+
 def inundated_area(pixels: DataFrame, stages: DataFrame, cell_km2: float, columns: Sequence[str] = ("pred", "obs"), band: float = 0.25) -> DataFrame:
     """Wet area per (event, ts) for several stage columns, without forming pixel x time.
 

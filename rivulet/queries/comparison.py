@@ -259,3 +259,22 @@ def degradation_table(t):
     real = scores.pooled_scores(forecast(t), RUN).select(*RUN, F.col("rmse").alias("real"))
     d = scenario_runs(t).join(real, list(RUN)).withColumn("ratio", F.col("rmse") / F.col("real"))
     return _round(comparison.seed_summary(d, ("scenario", "model", "horizon"), ("ratio", "rmse")), "ratio_mean", "ratio_std", "rmse_mean", "rmse_std")
+
+
+# the rest of the scenario tables
+REAL = "r AS (SELECT model, seed, horizon, sqrt(avg((pred - target)^2)) AS real, 1 - sum((pred - target)^2) / (var_pop(target) * count(*)) AS real_nse FROM f GROUP BY 1, 2, 3)"
+
+
+@query("k36_difficulty_pairs", f"{SCEN}, {REAL} SELECT model, seed, horizon, scenario, {s6('rmse')} AS scenario_score, {s6('real')} AS real_score, rmse > real AS harder FROM sc JOIN r USING (model, seed, horizon)")
+def difficulty_pairs(t):
+    return _round(comparison.difficulty_pairs(scenario_runs(t), scores.pooled_scores(forecast(t), RUN)), "scenario_score", "real_score")
+
+
+@query(
+    "k36_horizon_curve",
+    f"""{SCEN}, {REAL}, rn AS (SELECT model, horizon, avg(real_nse) AS rm FROM r GROUP BY 1, 2), s AS (SELECT scenario, model, horizon, avg(nse) AS a, stddev_samp(nse) AS b FROM sc GROUP BY 1, 2, 3)
+SELECT scenario, model, horizon, {s6('a')} AS nse_mean, {s6('b')} AS nse_std, {s6('rm')} AS real_mean, {s6('a - rm')} AS minus_real, CASE WHEN model IN ('m_a', 'm_b') THEN 'graph' ELSE 'no graph' END AS model_group FROM s LEFT JOIN rn USING (model, horizon)""",
+)
+def horizon_curve(t):
+    out = comparison.scenario_horizon_curve(scenario_runs(t), scores.pooled_scores(forecast(t), RUN), ("m_a", "m_b"))
+    return _round(out, "nse_mean", "nse_std", "real_mean", "minus_real").select("scenario", "model", "horizon", "nse_mean", "nse_std", "real_mean", "minus_real", "model_group")

@@ -129,6 +129,19 @@ def coverage_record(t):
     return _round(sinks.coverage_record(grid(t)), "coverage")
 
 
+FEATURES = ("stage_anomaly", "normalized_stage", "dh_dt", "discharge_m3s", "rainfall_mm", "swvl1_raw")
+
+
+@query(
+    "a13_provenance_record",
+    f"""WITH {SLOTS} SELECT min(ts) AS start_date, max(ts) AS end_date, '15min' AS timestep, count(DISTINCT ts) AS n_timesteps, count(DISTINCT series_id) AS n_nodes, {len(FEATURES)} AS n_features, 4 AS horizon_steps, true AS soil_moisture_active,
+  'swvl1,swvl2' AS sm_layers, '7D' AS rolling_window, 8 AS gap_fill_steps, '{','.join(FEATURES)}' AS dynamic_features, 'nearest_neighbour' AS rainfall_assignment_method FROM grid""",
+)
+def provenance_record(t):
+    out = sinks.provenance_record(grid(t), FEATURES, "15min", 4, "7D", 8, ("swvl1", "swvl2"))
+    return out.withColumns({c: F.array_join(c, ",") for c in ("sm_layers", "dynamic_features")})
+
+
 # -------------------------------------------------------------- block files
 @query(
     "a14_station_blocks",
@@ -143,6 +156,16 @@ def station_blocks(t):
     return ingest.parse_station_blocks(blocks, {"Station Number": "ref", "Station Name": "name", "Catchment size": "size"})
 
 
+@query("a14_block_files", "SELECT CAST(conv_id * 100 + turn AS VARCHAR) AS ref, role AS name, CAST(length(text) AS VARCHAR) AS size FROM conversations")
+def block_files(t):
+    """The same blocks as text files that are read back in splits: every record once, wherever a split falls."""
+    path, separator = ingest.shared_scratch(t.spark, "stations"), "\n" + "-" * 20 + "\n"
+    body = F.concat_ws("\n", F.concat(F.lit("Station Number\t"), (F.col("conv_id") * 100 + F.col("turn")).cast("string")), F.concat(F.lit("Station Name\t"), F.col("role")), F.concat(F.lit("Catchment size\t"), F.length("text").cast("string")))
+    sinks.write_blocks(t.conversations.select(body.alias("block")), path, separator)
+    blocks = ingest.read_blocks(t.spark, path, separator).select("block")
+    return ingest.parse_station_blocks(blocks, {"Station Number": "ref", "Station Name": "name", "Catchment size": "size"})
+
+
 SECT = """li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice, l_suppkey, l_shipdate, l_quantity, l_discount, l_tax) - 1 AS i FROM lineitem)"""
 
 
@@ -174,6 +197,14 @@ def section_points(t):
     return ingest.parse_sections(section_blocks(t)).select("path", "section", "chainage", "i", "level", "panel_boundary", "coord_e", "coord_n")
 
 
+@query("a15_section_files", f"WITH {POINTS} SELECT section, chainage, i, level, panel_boundary, coord_e, coord_n FROM pt")
+def section_points_of_files(t):
+    """The sections as text files, SECTION lines between them, read back in splits."""
+    path, separator = ingest.shared_scratch(t.spark, "sections"), "\nSECTION\n"
+    sinks.write_blocks(section_blocks(t), path, separator)
+    return ingest.parse_sections(ingest.read_blocks(t.spark, path, separator)).select("section", "chainage", "i", "level", "panel_boundary", "coord_e", "coord_n")
+
+
 @query(
     "e19_bankfull_markers",
     f"""WITH {POINTS}, th AS (SELECT path, arg_min(i, {{'l': level, 'i': i}}) AS ti, min(level) AS thalweg, count(*) AS n_points FROM pt GROUP BY 1),
@@ -244,18 +275,29 @@ def file_class(t):
     return scene_names(t).select("o_orderkey", ingest.file_class(F.col("name")).alias("file_class"))
 
 
-@query(
-    "a18_registry_upsert",
-    f"""WITH {SCENES}, rw AS (SELECT 'event_' || strftime(o_orderdate, '%Y%m%d') || '_' || right(hx, 4) AS event_id, CAST(o_orderdate AS DATE) AS acquisition_date, stem AS scene_id, sat AS satellite, hx AS orbit, o_orderkey % 3 <> 0 AS fresh FROM sn WHERE ok),
+REGISTRY = f"""WITH {SCENES}, rw AS (SELECT 'event_' || strftime(o_orderdate, '%Y%m%d') || '_' || right(hx, 4) AS event_id, CAST(o_orderdate AS DATE) AS acquisition_date, stem AS scene_id, sat AS satellite, hx AS orbit, o_orderkey % 3 <> 0 AS fresh FROM sn WHERE ok),
 b AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY fresh DESC, scene_id DESC) AS r FROM rw)
-SELECT event_id, acquisition_date, CAST(acquisition_date AS TIMESTAMP) - INTERVAL 3 DAY AS event_start, CAST(acquisition_date AS TIMESTAMP) + INTERVAL 3 DAY + INTERVAL 1425 MINUTE AS event_end, scene_id, satellite, orbit FROM b WHERE r = 1""",
-)
+SELECT event_id, acquisition_date, CAST(acquisition_date AS TIMESTAMP) - INTERVAL 3 DAY AS event_start, CAST(acquisition_date AS TIMESTAMP) + INTERVAL 3 DAY + INTERVAL 1425 MINUTE AS event_end, scene_id, satellite, orbit FROM b WHERE r = 1"""
+
+
+@query("a18_registry_upsert", REGISTRY)
 def registry_upsert(t):
     sc = ingest.scene_parts(scene_names(t)).where("valid")
     old, new = sc.where("o_orderkey % 3 = 0"), sc.where("o_orderkey % 3 <> 0")
     return ingest.upsert(ingest.registry_rows(old), ingest.registry_rows(new))
 
 
+@query("a18_registry_files", REGISTRY)
+def registry_files(t):
+    """The registry as a table in monthly partitions, of which the upsert rewrites those that get a fresh row."""
+    sc = ingest.scene_parts(scene_names(t)).where("valid")
+    rows = lambda fresh: ingest.registry_rows(sc.where(fresh)).withColumn("month", F.year("acquisition_date") * 100 + F.month("acquisition_date"))
+    path = ingest.shared_scratch(t.spark, "registry")
+    sinks.write_partitioned(ingest.upsert(rows("false"), rows("o_orderkey % 3 = 0")), path, ["month"])
+    ingest.upsert_partitions(t.spark, path, rows("o_orderkey % 3 <> 0"), ["month"])
+    return t.spark.read.parquet(path).drop("month")
+
+
 @query(
     "a19_clean_sheet",
     r"""SELECT doc_id, nullif(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')), '') AS text, CASE WHEN lang = 'de' THEN NULL ELSE lang END AS lang FROM documents""",
@@ -362,6 +404,64 @@ def labels(t):
         L.edge_label(_pick(EDGE)).alias("edge_type"), L.type_label(_pick(TYPES)).alias("constraint_type"))
 
 
+def _sql_rule(text, rules, default="NULL"):
+    """The rules in SQL, evaluated on the text."""
+    return "CASE " + " ".join(f"WHEN regexp_matches({text}, '{pattern}') THEN '{label}'" for pattern, label in rules) + f" ELSE {default} END"
+
+
+@query(
+    "b13_document_labels",
+    f"SELECT doc_id, {_sql_rule('text', L.TEMPORAL_RULES, chr(39) + 'Other' + chr(39))} AS temporal, {_sql_rule('lower(text)', L.NODE_RULES, chr(39) + 'Other' + chr(39))} AS node_type, {_sql_rule('lower(text)', L.EDGE_RULES, chr(39) + 'Other' + chr(39))} AS edge_type FROM documents",
+)
+def document_labels(t):
+    """The rules on the whole texts of all documents."""
+    text = F.col("text")
+    return t.documents.select("doc_id", L.temporal_label(text).alias("temporal"), L.node_label(text).alias("node_type"), L.edge_label(text).alias("edge_type"))
+
+
+#: A sheet of rules: words that tell a language, in this order.
+LANGUAGES = (("(^| )(the|and|of)( |$)", "English"), ("(^| )(und|der|die)( |$)", "German"), ("(^| )(le|la|des)( |$)", "French"), ("(^| )(para|los|las)( |$)", "Spanish"))
+
+
+@query("b13_rule_table", f"SELECT doc_id, {_sql_rule('text', LANGUAGES, chr(39) + 'unknown' + chr(39))} AS language FROM documents")
+def labels_by_table(t):
+    """Rules that are rows of a table."""
+    return L.label_by_table(t.documents.select("doc_id", "text"), L.rule_table(t.spark, LANGUAGES), "text", "language", "unknown").select("doc_id", "language")
+
+
+#: What the words of a part's name stand for on the sheet.
+FIRST = {"blue": "Type II", "cold": "Type I soft", "red": "Type III", "new": "Type II process", "large": "Type I", "hot": "Physics-emulator runs", "old": "nan", "small": "Data-driven static"}
+SECOND = {"gizmo": "Learned-Dynamic graph", "ring": "Physics-driven input", "rod": "Data-driven dynamic", "anvil": "Knowledge-static", "gear": "Learned static", "widget": "Type II", "bolt": "none", "plate": "Type I"}
+
+
+def _cells(t):
+    """Every part's name as the text of a sheet cell."""
+    word = lambda i, names: F.try_element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), F.get(F.split("p_name", " "), F.lit(i)))
+    return F.concat(word(0, FIRST), F.lit(" + "), word(1, SECOND))
+
+
+def _sql_word(i, names):
+    return f"CASE split_part(p_name, ' ', {i}) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items()) + " END"
+
+
+_ANY = {group: f"list_has_any(c, [{', '.join(chr(39) + n + chr(39) for n in names)}])" for group, names in L.PATTERN_GROUPS.items()}
+_FAMILY = "CASE " + " ".join("WHEN " + " AND ".join([*[_ANY[g] for g in needed], *[f"NOT {_ANY[g]}" for g in excluded]]) + f" THEN '{family}'" for needed, excluded, family in L.PATTERN_RULES) + " ELSE 'Other' END"
+CELLS = f"""cell AS (SELECT p_partkey, {_sql_word(1, FIRST)} || ' + ' || {_sql_word(2, SECOND)} AS text FROM part),
+part_c AS (SELECT p_partkey, list_filter(list_transform(string_split(text, '+'), lambda x: {_sql_rule('lower(trim(x))', L.COMPONENT_RULES)}), lambda x: x IS NOT NULL) AS k FROM cell),
+comp AS (SELECT p_partkey, CASE WHEN len(k) > 0 THEN k ELSE ['{L.NO_COMPONENT}'] END AS c FROM part_c)"""
+
+
+@query("b14_b15_part_components", f"WITH {CELLS} SELECT p_partkey, array_to_string(c, '|') AS components, {_FAMILY} AS pattern FROM comp")
+def part_components(t):
+    c = t.part.select("p_partkey", L.constraint_components(_cells(t)).alias("c"))
+    return c.select("p_partkey", F.array_join("c", "|").alias("components"), L.constraint_pattern(F.col("c")).alias("pattern"))
+
+
+@query("k60_part_label_counts", f"WITH {CELLS} SELECT label, count(*) AS n FROM (SELECT unnest(c) AS label FROM comp) GROUP BY 1")
+def part_label_counts(t):
+    return catalogue.label_counts(t.part, L.constraint_components(_cells(t)))
+
+
 COMPOUND = ("Type I", "Type II + Learned-Dynamic", "Type II + Type I soft", "Learned graph structure", "Type II + Learned static + Physics-driven", "Type II process + Type III", "nan", "Data-driven static", "Type II")
 COMPS = ("Physics Loss Constraint", "Physical Topology (structural prior)|Data-Learned (dynamic)", "Physical Topology (structural prior)|Physics Loss Constraint", "Data-Learned (static)", "Physical Topology (structural prior)|Data-Learned (static)|Real-Time Physical Observation",
          "Governing Equation (architecture)|Physics Model as Input Feature", "No Constraint", "Statistical Correlation (static)", "Physical Topology (structural prior)")
@@ -375,9 +475,9 @@ def constraint_components(t):
 
 
 # ---------------------------------------------------------------- catalogue
-@query("k60_category_counts", "WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY 1) SELECT CASE WHEN n <= greatest(1, (SELECT count(*) FROM documents) * 0.05::DOUBLE) THEN 'Other' ELSE source END AS source, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY 1")
+@query("k60_category_counts", "WITH c AS (SELECT p_brand, count(*) AS n FROM part GROUP BY 1) SELECT CASE WHEN n <= greatest(1, (SELECT count(*) FROM part) * 0.04::DOUBLE) THEN 'Other' ELSE p_brand END AS p_brand, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY 1")
 def category_counts(t):
-    return catalogue.category_counts(t.documents, "source", share=0.05)
+    return catalogue.category_counts(t.part, "p_brand", share=0.04)
 
 
 @query("k60_crosstab", "SELECT source, " + ", ".join(f"count(*) FILTER (WHERE lang = '{x}') AS {x}" for x in ("de", "en", "es", "fr")) + " FROM documents GROUP BY 1")

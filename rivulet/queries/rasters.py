@@ -114,6 +114,13 @@ def inundation_fixed(t):
     return px.inundation(_node_pixels(t), st, fixed_hand=1.0)
 
 
+@query("g14_inundation_spans", f"""WITH {PIXELS}, {STG}, w AS (SELECT DISTINCT s.ts, p."row", p.col FROM stg s JOIN pixels p ON p.tag % 10 = s.node WHERE s.obs >= 4.5 AND p.hand <= s.obs),
+i AS (SELECT *, ts - row_number() OVER (PARTITION BY "row", col ORDER BY ts) * INTERVAL 6 HOUR AS g FROM w) SELECT "row", col, min(ts) AS wet_from, max(ts) AS wet_to FROM i GROUP BY "row", col, g""")
+def inundation_spans(t):
+    st = _stages(t).select("node", "ts", F.col("obs").alias("stage"), F.lit(4.5).alias("bankfull"))
+    return px.inundation_spans(_node_pixels(t), st, 6 * 3_600_000_000)
+
+
 @query(
     "g19_inundated_area",
     f"""WITH {PIXELS}, {STG}, k AS (SELECT DISTINCT event_id, ts FROM stg), h AS (SELECT tag % 10 AS node, hand FROM pixels),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.operators import scenarios, scores, timegrid, windows
+from rivulet.operators import comparison, scenarios, scores, timegrid, windows
 from rivulet.plans.ranks import neighbours_in_order
 from rivulet.plans.timechunks import HOUR, STEP, fdiv, micros
 
@@ -296,3 +296,27 @@ def scenario_record(t):
     timing = scores.weighted_timing(_timing(t, ("series_id", "window_id")), ("series_id",)).withColumnRenamed("series_id", "scenario")
     out = scores.scenario_record(scores.pooled_scores(f, keys), scores.pod_far_unmasked(f, keys, F.lit(1.2)), real, keys, timing, ("scenario",))
     return _round(out, "nse_syn", "rmse_syn", "pod_syn", "far_syn", "real_rmse", "degradation_ratio", "peak_timing_mean_hr", "peak_timing_median_hr")
+
+
+# -------------------------------------------------- excess against the flow
+ROLES = f"""{SC}, ro AS (SELECT n_nationkey AS node, CASE WHEN n_regionkey < 2 THEN 'upstream' ELSE 'downstream' END AS role FROM nation),
+rs AS (SELECT model, seed, horizon, sqrt(avg((pred - target)^2) FILTER (WHERE role = 'downstream')) AS d, avg(pred - target) FILTER (WHERE role = 'upstream') AS u FROM sc JOIN ro USING (node) WHERE local_step >= 36 AND pred - target IS NOT NULL GROUP BY 1, 2, 3)"""
+
+
+def _role_runs(t):
+    roles = t.nation.select(F.col("n_nationkey").cast("long").alias("node"), F.when(F.col("n_regionkey") < 2, "upstream").otherwise("downstream").alias("role"))
+    return comparison.role_scores(scenario_forecast(t), roles, ("model", "seed", "horizon"), 36)
+
+
+_SPREAD = f"{s6('avg(d)')} AS downstream_rmse_mean, {s6('stddev_samp(d)')} AS downstream_rmse_std, {s6('avg(u)')} AS upstream_bias_mean, {s6('stddev_samp(u)')} AS upstream_bias_std"
+_COLUMNS = ("downstream_rmse_mean", "downstream_rmse_std", "upstream_bias_mean", "upstream_bias_std")
+
+
+@query("k36_leakage_table", f"WITH {ROLES} SELECT model, horizon, {_SPREAD} FROM rs GROUP BY 1, 2")
+def leakage_table(t):
+    return _round(comparison.leakage_table(_role_runs(t)), *_COLUMNS)
+
+
+@query("k36_blockage_table", f"WITH {ROLES}, b AS (SELECT model, avg(d) AS dm, stddev_samp(d) AS ds, avg(u) AS um, stddev_samp(u) AS us, model = 'm_a' AS rev FROM rs GROUP BY 1) SELECT model, {s6('dm')} AS downstream_rmse_mean, {s6('ds')} AS downstream_rmse_std, {s6('um')} AS upstream_bias_mean, {s6('us')} AS upstream_bias_std, rev AS reverse_path, {s6('um - (SELECT avg(um) FROM b WHERE NOT rev)')} AS bias_minus_others FROM b")
+def blockage_table(t):
+    return _round(comparison.blockage_table(_role_runs(t), ("m_a",)), *_COLUMNS, "bias_minus_others")

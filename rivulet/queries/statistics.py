@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rivulet.operators import stats, timegrid, windows
 from rivulet.plans.timechunks import HOUR
+from rivulet.sources import ingest, sinks
 
 from .base import EDGES, HOURLY, NODES, READINGS, SLOTS, edges, grid, nodes, query, r6, readings, s6
 
@@ -54,6 +55,23 @@ def write_back(t):
     return _round(stats.write_back(st, thr, "series_id", {"warn_level": "p75", "flood_level": "p90"}), "warn_level", "flood_level")
 
 
+@query(
+    "k3_write_back_files",
+    f"""WITH {THR}, st AS (SELECT DISTINCT o_orderpriority AS series_id, 1.5::DOUBLE AS warn_level, 2.5::DOUBLE AS flood_level FROM orders UNION ALL SELECT 'ungauged', 1.0::DOUBLE, 2.0::DOUBLE)
+SELECT series_id, {s6('coalesce(p75, warn_level)')} AS warn_level, {s6('coalesce(p90, flood_level)')} AS flood_level FROM st LEFT JOIN q USING (series_id)""",
+)
+def write_back_files(t):
+    """The station table in storage, in partitions by the first character of the name; only those with a new threshold are rewritten."""
+    st = t.orders.select(F.col("o_orderpriority").alias("series_id")).distinct().select("series_id", F.lit(1.5).alias("warn_level"), F.lit(2.5).alias("flood_level"))
+    st = st.unionByName(t.spark.range(1).select(F.lit("ungauged").alias("series_id"), F.lit(1.0).alias("warn_level"), F.lit(2.0).alias("flood_level"))).withColumn("zone", F.ascii("series_id"))
+    path = ingest.shared_scratch(t.spark, "station-table")
+    sinks.write_partitioned(st, path, ["zone"])
+    thr = stats.flood_thresholds(daily(t), slots_per_day=1, min_year_frac=0.68)
+    gauged = st.join(thr.where("p75 is not null").select("series_id"), "series_id", "left_semi")
+    ingest.upsert_partitions(t.spark, path, stats.write_back(gauged, thr, "series_id", {"warn_level": "p75", "flood_level": "p90"}), ["zone"], "series_id", "series_id")
+    return _round(t.spark.read.parquet(path).drop("zone"), "warn_level", "flood_level")
+
+
 @query(
     "k4_bankfull_fallback",
     f"""WITH tr AS (SELECT o_custkey AS node, o_totalprice / 400000 AS value FROM orders), m AS (SELECT node, max(value) AS mx, quantile_cont(value, 0.99) AS p99 FROM tr GROUP BY 1),

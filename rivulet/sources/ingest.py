@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.operators import quality, timegrid
-from rivulet.plans.fixpoint import shared_root
+from rivulet.plans.fixpoint import cut, shared_root
+from rivulet.sources.sinks import write_partitioned
 
 
 def shared_scratch(spark: SparkSession, name: str) -> str:
@@ -221,6 +224,23 @@ def upsert(registry: DataFrame, fresh: DataFrame, key: str = "event_id", order:
     return best.select(key, *[F.col(f"_r.{c}").alias(c) for c in cols if c != key])
 
 
+def upsert_partitions(spark: SparkSession, path: str, fresh: DataFrame, by: Sequence[str], key: str = "event_id", order: str = "scene_id") -> None:
+    """`upsert` into a table stored in partitions `by`, rewriting only the partitions that hold a fresh row.
+
+    A key stays in its partition; one that is registered in another one is an error, found before anything is written. The
+    merged rows are checkpointed first, so the write reads nothing that it replaces.
+    """
+    stored = spark.read.parquet(path)
+    fresh = cut(fresh.select(*stored.columns))
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"f.{c}")) for c in by]
+    met = stored.alias("s").join(fresh.select(key, *by).distinct().alias("f"), F.col(f"s.{key}") == F.col(f"f.{key}"))
+    moved = met.where(~reduce(and_, same)).select(f"s.{key}").first()
+    if moved is not None:
+        raise ValueError(f"{key} {moved[0]} is registered in another partition")
+    touched = stored.alias("s").join(fresh.select(*by).distinct().alias("f"), reduce(and_, same), "left_semi").select("s.*")
+    write_partitioned(cut(upsert(touched, fresh, key, order)), path, by, mode="overwrite")
+
+
 def clean_sheet(df: DataFrame) -> DataFrame:
     """Every text column: white space collapsed and trimmed, 'nan' and empty text as null."""
     out = {}

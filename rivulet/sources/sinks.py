@@ -29,9 +29,27 @@ def coverage_record(grid: DataFrame, ts: str = "ts", key: str = "series_id", val
     )
 
 
+def provenance_record(grid: DataFrame, features: Sequence[str], timestep: str, horizon_steps: int, rolling_window: str, gap_fill_steps: int, soil_layers: Sequence[str] = (), rainfall_assignment: str = "nearest_neighbour", ts: str = "ts", key: str = "series_id") -> DataFrame:
+    """How a dataset was made, as one row: period, step, sizes, features and the settings behind them.
+
+    Soil moisture counts as active if one of its layers is among the features.
+    """
+    texts = lambda names: F.array(*[F.lit(n) for n in names]).cast("array<string>")
+    return grid.agg(F.min(ts).alias("start_date"), F.max(ts).alias("end_date"), F.count_distinct(ts).alias("n_timesteps"), F.count_distinct(key).alias("n_nodes")).select(
+        "start_date", "end_date", F.lit(timestep).alias("timestep"), "n_timesteps", "n_nodes", F.lit(len(features)).alias("n_features"), F.lit(horizon_steps).alias("horizon_steps"),
+        F.lit(any(f.startswith(layer) for f in features for layer in soil_layers)).alias("soil_moisture_active"), texts(soil_layers).alias("sm_layers"), F.lit(rolling_window).alias("rolling_window"),
+        F.lit(gap_fill_steps).alias("gap_fill_steps"), texts(features).alias("dynamic_features"), F.lit(rainfall_assignment).alias("rainfall_assignment_method"),
+    )
+
+
+def write_blocks(blocks: DataFrame, path: str, separator: str, block: str = "block") -> None:
+    """Text files of records between separators, for `read_blocks`."""
+    blocks.select(block).write.option("lineSep", separator).text(path)
+
+
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str], fmt: str = "parquet", mode: str = "errorifexists") -> None:
-    """Write partitioned by low-cardinality columns.
+    """Write partitioned by low-cardinality columns; `overwrite` replaces only the partitions that `df` has rows of.
 
     Rebalancing on them keeps one partition value in few files and still splits a value that holds very many rows.
     """
-    df.hint("rebalance", *by).write.mode(mode).format(fmt).partitionBy(*by).save(path)
+    df.hint("rebalance", *by).write.mode(mode).option("partitionOverwriteMode", "dynamic").format(fmt).partitionBy(*by).save(path)

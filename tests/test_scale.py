@@ -1,15 +1,18 @@
 """Joins and iterations where one place, day, key or row holds most of the data, against brute force."""
 
 import random
+from datetime import timedelta
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rivulet.functions import labels
 from rivulet.operators import graph, joins, pixels, quality, stats
 from rivulet.plans import intervals, nearest
 from rivulet.plans.ranks import neighbours_in_order
 from rivulet.plans.timechunks import STEP
+from rivulet.sources import ingest, sinks
 
 rng = random.Random(11)
 AT = "timestamp_ntz '2024-01-01' + make_dt_interval(0, 0, 0, {})"
@@ -203,3 +206,60 @@ def test_neighbours_in_order(spark):
     names = sorted({f"n{rng.randrange(10_000)}" for _ in range(500)})
     got = {r["v"]: (r["before"], r["after"]) for r in neighbours_in_order(spark.createDataFrame([(n,) for n in [*names, *names[:9], None]], "v string").repartition(5), "v").collect()}
     assert got == {n: (names[i - 1] if i else None, names[i + 1] if i + 1 < len(names) else None) for i, n in enumerate(names)}
+
+
+# ---------------------------------------------------------------- rules, files and partitions
+def test_rules_of_a_table_by_position(spark):
+    rules = labels.rule_table(spark, [("b+", "many"), ("a", "an a"), ("^c$", "only c")])
+    texts = spark.createDataFrame([(1, "ab"), (2, "a"), (3, "c"), (4, None), (5, "d"), (5, "d"), (6, "")], "k int, t string")
+    got = sorted((r["k"], r["label"]) for r in labels.label_by_table(texts, rules, "t", default="none").collect())
+    assert got == [(1, "many"), (2, "an a"), (3, "only c"), (4, "none"), (5, "none"), (5, "none"), (6, "none")]
+    assert {r["label"] for r in labels.label_by_table(texts, rules.where("false"), "t", default="none").collect()} == {"none"}
+
+
+def test_blocks_survive_every_split(spark, tmp_path):
+    blocks = [f"Station Number\t{i}\nStation Name\t{'n' * (i % 37)}" for i in range(500)]
+    separator = "\n" + "-" * 20 + "\n"
+    sinks.write_blocks(spark.createDataFrame([(b,) for b in blocks], "block string").repartition(2), f"{tmp_path}/b", separator)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("333", "4097", "1m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            got = ingest.read_blocks(spark, f"{tmp_path}/b", separator)
+            assert sorted(r["block"] for r in got.collect()) == sorted(blocks)
+            assert size == "1m" or got.rdd.getNumPartitions() > 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_upsert_rewrites_only_touched_partitions(spark, tmp_path):
+    path, schema = f"{tmp_path}/registry", "event_id string, scene_id string, v int, month int"
+    rows = [(f"e{i}", f"s{i}", i, 202400 + i % 5) for i in range(50)]
+    sinks.write_partitioned(spark.createDataFrame(rows, schema), path, ["month"])
+    files = lambda m: {(p.name, p.stat().st_mtime_ns) for p in (tmp_path / "registry" / f"month={m}").iterdir()}
+    before = {m: files(m) for m in range(202400, 202405)}
+    fresh = [("e1", "z", 100, 202401), ("e1", "a", 99, 202401), ("new", "n", 7, 202499)]
+    ingest.upsert_partitions(spark, path, spark.createDataFrame(fresh, schema), ["month"])
+    got = {r["event_id"]: (r["scene_id"], r["v"], r["month"]) for r in spark.read.parquet(path).collect()}
+    assert len(got) == 51 and got["e1"] == ("z", 100, 202401) and got["new"] == ("n", 7, 202499) and got["e6"] == ("s6", 6, 202401)
+    assert {m for m in before if files(m) == before[m]} == {202400, 202402, 202403, 202404}
+    with pytest.raises(ValueError, match="another partition"):
+        ingest.upsert_partitions(spark, path, spark.createDataFrame([("e2", "q", 1, 202401)], schema), ["month"])
+    ingest.upsert_partitions(spark, path, spark.createDataFrame([], schema), ["month"])
+    assert spark.read.parquet(path).count() == 51
+
+
+def test_wet_stretches_unfold_to_the_wet_pixels(spark):
+    hour = 3_600_000_000
+    stages = [(n, f"2024-01-01 {h:02d}:00:00", round(rng.uniform(0, 6), 2), 1.0) for n in (1, 2) for h in range(20) if rng.random() < 0.85]
+    st = spark.createDataFrame(stages, "node int, t string, stage double, bankfull double").selectExpr("node", "cast(t as timestamp_ntz) as ts", "stage", "bankfull")
+    cells = [(r, c, 1 + (r + c) % 2, round(rng.uniform(-1, 6), 1)) for r in range(4) for c in range(4)] + [(0, 0, 2, 2.0), (0, 0, 1, 1.5), (1, 1, 1, None), (2, 2, 1, 0.5), (2, 2, 1, 0.5)]
+    px = spark.createDataFrame(cells, "row int, col int, node int, hand double")
+    spans = pixels.inundation_spans(px, st, hour)
+    unfolded = spans.selectExpr("row", "col", "explode(sequence(wet_from, wet_to, interval 1 hour)) as ts").collect()
+    assert len(unfolded) == len(set(unfolded))
+    assert {tuple(r) for r in unfolded} == {(r["row"], r["col"], r["ts"]) for r in pixels.inundation(px, st).collect()}
+    ends = {(r["row"], r["col"], r["wet_to"]) for r in spans.collect()}
+    assert not any((r["row"], r["col"], r["wet_from"] - timedelta(hours=1)) in ends for r in spans.collect())
