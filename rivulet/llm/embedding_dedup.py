@@ -16,19 +16,33 @@ from pyspark.sql import types as T
 from rivulet.llm.pairs import candidates, crowd_links, settle, units
 from rivulet.plans.fixpoint import cut
 
-#: Projections per table, tables, width of a quantum. For unit vectors with a cosine of 0.93 two
-#: projections fall together with probability 0.85, and 1 - (1 - 0.85 ** 16) ** 60 of the pairs are found: 0.99; at 0.95 0.9994.
-PROJECTIONS, TABLES, QUANTUM, SEED = 16, 60, 2.0, 4
+#: Least projections per table, width of a quantum, recall to reach at the threshold, rows of a label up to which the least projections do.
+PROJECTIONS, QUANTUM, RECALL, ROWS, SEED = 16, 2.0, 0.9895, 8_192, 4
 
 
-def expected_recall(cosine: float, projections: int = PROJECTIONS, tables: int = TABLES, quantum: float = QUANTUM) -> float:
-    """Share of pairs with this cosine that meet in a bucket."""
+def together(cosine: float, quantum: float = QUANTUM) -> float:
+    """Probability that one quantised projection of two unit vectors with this cosine agrees: 0.85 at 0.93, 0.49 at 0."""
     c = math.sqrt(max(0.0, 2 - 2 * cosine)) / quantum
     if c == 0:
         return 1.0
     tail = 0.5 * math.erfc(1 / c / math.sqrt(2))
-    p = 1 - 2 * tail - 2 * c / math.sqrt(2 * math.pi) * (1 - math.exp(-1 / (2 * c * c)))
-    return 1 - (1 - p**projections) ** tables
+    return 1 - 2 * tail - 2 * c / math.sqrt(2 * math.pi) * (1 - math.exp(-1 / (2 * c * c)))
+
+
+def expected_recall(cosine: float, projections: int, tables: int, quantum: float = QUANTUM) -> float:
+    """Share of pairs with this cosine that meet in a bucket."""
+    return 1 - (1 - together(cosine, quantum) ** projections) ** tables
+
+
+def hash_sizes(rows: int, threshold: float, quantum: float = QUANTUM, recall: float = RECALL) -> tuple[int, int]:
+    """Projections and tables for so many rows in the largest label.
+
+    Beyond ROWS, each doubling of the rows adds as many projections as halve the chance that unrelated vectors meet in a table, so
+    their candidates per vector and table do not grow; the tables follow from the recall at the threshold.
+    """
+    projections = PROJECTIONS + math.ceil(max(0.0, math.log(max(rows, 1) / ROWS)) / -math.log(together(0.0, quantum)))
+    meet = together(threshold, quantum) ** projections
+    return projections, max(1, math.ceil(math.log(1 - recall) / math.log1p(-meet))) if meet < 1 else 1
 
 
 @functools.lru_cache(maxsize=8)
@@ -59,21 +73,24 @@ def unit_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], u], names=[*keep, "u"])
 
 
-def link_vectors(vectors: DataFrame, threshold: float = 0.93, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", projections: int = PROJECTIONS, tables: int = TABLES, quantum: float = QUANTUM) -> DataFrame:
+def link_vectors(vectors: DataFrame, threshold: float = 0.93, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", recall: float = RECALL, quantum: float = QUANTUM) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Two vectors of equal size with equal, not null labels are linked if their cosine is at least `threshold`.
     Vectors that are null, empty or zero or hold a null, NaN or infinite component link with nothing, and so do those
     with a null label. Equal vectors are one class with a count, whatever their number, and link with each other.
-    Rows that repeat a vec_id are vectors of their own; a null vec_id never is the smallest. An empty table gives no rows.
+    Rows that repeat a vec_id are vectors of their own; a null vec_id never is the smallest. An empty table gives no rows. Other columns are not
+    read, whatever their names.
     """
     v = F.transform(F.col(embedding), lambda x: x.cast("double"))
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).alias("label"), v.alias("v"))
     usable_row = usable(F.col("v")) & F.col("label").isNotNull()
-    tagged = rows.select("vec_id", F.when(usable_row, F.md5(F.concat_ws(",", F.col("label").cast("string"), F.transform("v", lambda x: (x + 0.0).cast("string"))))).alias("same"), "label", "v")
+    tagged = rows.select("vec_id", F.when(usable_row, F.md5(F.concat_ws(",", F.length(F.col("label").cast("string")).cast("string"), F.col("label").cast("string"), F.transform("v", lambda x: (x + 0.0).cast("string"))))).alias("same"), "label", "v")
     classes = tagged.where("same is not null").groupBy("same").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.first("label").alias("label"), F.first("v").alias("v"))
     schema = T.StructType([*[f for f in classes.schema.fields if f.name != "v"], T.StructField("u", T.ArrayType(T.DoubleType()))])
     classes = cut(classes.mapInArrow(unit_vectors, schema).withColumn("id", F.monotonically_increasing_id()))
+    largest = classes.groupBy("label", F.size("u")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    projections, tables = hash_sizes(largest, threshold, quantum, recall)
 
     def hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,7 +109,7 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.93, vec_id: str = "vec
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids[at], tables))], names=["key", "id"])
 
     members = classes.select("id", "u", F.xxhash64(F.col("label").cast("string"), F.size("u")).alias("group")).mapInArrow(hash_rows, "key long, id long")
-    found, crowds = candidates(members.distinct())
+    found, crowds = candidates(members)
     left, right = (classes.select(F.col("id").alias(x), F.col("u").alias(f"u{x}"), F.col("label").alias(f"l{x}")) for x in ("i", "j"))
     cosine = F.aggregate(F.zip_with("ui", "uj", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     alike = (F.col("li") == F.col("lj")) & (F.size("ui") == F.size("uj"))

@@ -205,7 +205,7 @@ def join_table(docs: DataFrame) -> DataFrame:
 def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **parameters) -> DataFrame:
     """The documents without those that are not the first of their group; all columns stay.
 
-    Rows that repeat both id and text of a kept row are told apart only by being dropped to one.
+    Of rows that repeat both id and text of a kept row one stays: the first by its other columns, in their order.
     """
     rows = link_documents(docs, doc_id=doc_id, text=text, **parameters)
     dropped = cut(rows.groupBy("doc_id", "same").agg(F.count(F.when(F.col("kept"), 1)).alias("kept"), F.count("*").alias("n")).where("kept < n"))
@@ -216,5 +216,6 @@ def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     again = dropped.where("kept > 0").alias("k__")
     if again.isEmpty():
         return left
-    repeated = left.join(again, key, "left_semi").dropDuplicates([doc_id, text])
+    repeated = left.join(again, key, "left_semi").groupBy(doc_id, text).agg(F.min(F.struct(*[c for c in docs.columns if c not in (doc_id, text)] or [F.lit(0).alias("none")])).alias("rest__"))
+    repeated = repeated.select(*[F.col(c) if c in (doc_id, text) else F.col(f"rest__.`{c}`").alias(c) for c in docs.columns])
     return left.join(again, key, "left_anti").unionByName(repeated)

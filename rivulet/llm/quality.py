@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -220,6 +220,23 @@ def thresholds_from(scored: DataFrame, parts: Sequence[str], step: float = 0.002
     return out
 
 
+def fit(counted: DataFrame, labels: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> tuple[dict[str, Forest], dict[str, float]]:
+    """Forest and threshold of each part, from counted documents with their key and labels."""
+    known = labels.where("quality is not null").groupBy(key).agg(F.max("quality").alias("quality"))
+    labelled = cut(counted.where(~base_failed()).join(known, key).select(F.col(key).alias("key"), "quality", *COUNTS, *MORE))
+    rows = labelled.orderBy(F.xxhash64(F.col("key").cast("string")), "key").limit(sample).select(*COUNTS, *MORE).toPandas().to_numpy(dtype=np.int64)
+    x = features(rows.reshape(-1, len(COUNTS) + len(MORE)))
+    forests = {part: grow(_part(x, part)) for part in PARTS}
+    return forests, thresholds_from(cut(_scores(labelled, forests)), list(PARTS))
+
+
+def _verdict(limits: dict[str, float]) -> Column:
+    kept = ~F.col("base_failed")
+    for part, limit in limits.items():
+        kept &= F.col(f"anomaly_{part}") <= F.lit(limit)
+    return kept
+
+
 def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
     """Add COUNTS, base_failed, the anomaly of each part, and kept to every row.
 
@@ -228,20 +245,14 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     limits decide. Null and empty texts fail the limits. Columns named like the new ones are replaced; a repeated
     document counts as often as it occurs. Texts are read twice, once for the labelled rows; scoring shuffles nothing.
     """
-    known = labels.where("quality is not null").groupBy(key).agg(F.max("quality").alias("quality"))
-    narrow = with_counts(docs.select(F.col(key), F.col(text)), text).drop(text).where(~base_failed())
-    labelled = cut(narrow.join(known, key).select(F.col(key).alias("key"), "quality", *COUNTS, *MORE))
-    rows = labelled.orderBy(F.xxhash64(F.col("key").cast("string")), "key").limit(sample).select(*COUNTS, *MORE).toPandas().to_numpy(dtype=np.int64)
-    x = features(rows.reshape(-1, len(COUNTS) + len(MORE)))
-    forests = {part: grow(_part(x, part)) for part in PARTS}
-    limits = thresholds_from(cut(_scores(labelled, forests)), list(PARTS))
+    forests, limits = fit(with_counts(docs.select(F.col(key), F.col(text)), text).drop(text), labels, key, sample)
     out = with_counts_and_scores(docs, forests, text).withColumn("base_failed", base_failed())
-    kept = ~F.col("base_failed")
-    for part, limit in limits.items():
-        kept &= F.col(f"anomaly_{part}") <= F.lit(limit)
-    return out.withColumn("kept", kept).drop(*MORE)
+    return out.withColumn("kept", _verdict(limits)).drop(*MORE)
 
 
 def quality_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Statistics and verdict of every document."""
-    return judge(docs.select("doc_id", F.col("text").cast("string").alias("text")), labels).select("doc_id", *COUNTS, "base_failed", "kept", *[f"anomaly_{p}" for p in PARTS])
+    """Statistics and verdict of every document. Texts are read once: fit and verdict both start from the written counts."""
+    counted = cut(with_counts(docs.select("doc_id", F.col("text").cast("string").alias("text")), "text").drop("text"))
+    forests, limits = fit(counted, labels)
+    out = _scores(counted, forests).withColumn("base_failed", base_failed()).withColumn("kept", _verdict(limits))
+    return out.select("doc_id", *COUNTS, "base_failed", "kept", *[f"anomaly_{p}" for p in PARTS])

@@ -22,7 +22,7 @@ MIN_ASSIGN = 8
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 WINDOW = 20
 #: Least entropy in bits of a window of 20 characters, by the class of characters that the candidate, or the run in it, is made of.
-LEAST_BITS = {"hex": 3.0, "upper": 3.4, "lower": 3.5, "mixed": 3.8}
+LEAST_BITS = {"hex": 3.0, "upper": 3.4, "lower": 3.5, "plain": 3.6, "mixed": 3.8}
 RUN = re.compile(r"[A-Za-z0-9]{20,}")  # a stretch of a candidate between the separators _ - = / +
 _HEX, _UPPER, _LOWER = re.compile(r"[0-9a-fA-F]+"), re.compile(r"[A-Z0-9]+"), re.compile(r"[a-z0-9]+")
 #: Candidates that are no secrets: words, also joined by separators; numbers; UUIDs; paths of words. Fixed values.
@@ -33,6 +33,14 @@ ALLOW = (
     re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"),
     re.compile(r"[/_=+-]*[A-Za-z]+[0-9]{0,4}(?:[/_=+-]+(?:[A-Za-z]*[a-z]{2,}[0-9]{0,4}|[0-9]{1,4}))*[/_=+-]*"),
 )
+#: Pairs of letters that are common in words of English, German, French and Spanish. Fixed values.
+PAIRS = frozenset(
+    "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur "
+    "ie ei un ge sc da ue qu la el no do os ad ci nc ss tr us ns ta ly wh ai au eu pa em".split()
+)
+#: Least share of common pairs in a long run of letters that is taken for a word: one in nine of random pairs is common.
+WORDLIKE, LONG_RUN = 0.27, re.compile(r"[A-Za-z]{12,}")
+_STRETCH = re.compile(r"[A-Za-z0-9+/]+")  # what one token of common encodings is made of
 _STEP = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 2)]  # a character comes in before the oldest goes out
 
 
@@ -65,17 +73,25 @@ def class_of(candidate: str) -> str:
     for name, pattern in (("hex", _HEX), ("upper", _UPPER), ("lower", _LOWER)):
         if pattern.fullmatch(candidate):
             return name
-    return "mixed"
+    return "plain" if candidate.isalnum() else "mixed"  # a run between separators, or a candidate with some inside
+
+
+def wordlike(letters: str) -> bool:
+    """Whether enough neighbouring letters are pairs that words have; random letters of 20 and more are not in 19 of 20 cases."""
+    low = letters.lower()
+    return sum(low[i : i + 2] in PAIRS for i in range(len(low) - 1)) >= WORDLIKE * (len(low) - 1)
 
 
 def _allowed(word: str) -> bool:
-    return word.isalpha() or any(p.fullmatch(word) for p in ALLOW)
+    """Whether the form is that of words, numbers, paths or a UUID, and every long run of letters reads like words."""
+    return (word.isalpha() or any(p.fullmatch(word) for p in ALLOW)) and all(wordlike(m) for m in LONG_RUN.findall(word))
 
 
 def entropy_spans(candidate: str) -> list[tuple[int, int]]:
     """Merged spans of high entropy: of the candidate as a whole, and of each run between its separators by the run's own class.
 
-    A token glued to a name (session_id=<hex>) is so held to the limit that it has when it stands alone.
+    A token glued to a name (session_id=<hex>) is so held to the limit that it has when it stands alone. Once a window
+    fires, the whole run that it lies in is covered, so no part of a secret stays; a word beside it is covered only if windows hold half of it.
     An allowed candidate has allowed runs only.
     """
     if _allowed(candidate):
@@ -84,6 +100,11 @@ def entropy_spans(candidate: str) -> list[tuple[int, int]]:
     for m in RUN.finditer(candidate):
         if len(m[0]) < len(candidate) and not _allowed(m[0]):
             spans += [(m.start() + a, m.start() + b) for a, b in high_entropy(m[0], LEAST_BITS[class_of(m[0])])]
+    if spans:
+        for m in _STRETCH.finditer(candidate):
+            held = max((min(b, m.end()) - max(a, m.start()) for a, b in spans), default=0)
+            if held > 0 and (2 * held >= len(m[0]) or not _allowed(m[0])):
+                spans.append(m.span())
     merged: list[tuple[int, int]] = []
     for a, b in sorted(spans):
         if merged and a <= merged[-1][1]:

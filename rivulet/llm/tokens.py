@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 
 from rivulet.llm.common import WHITE_SPACE, with_columns_by
 
-#: Characters of a leaf of the tree.
-LEAF = 8_192
+#: Characters of a leaf of the tree; of one whose encoding only serves other operators.
+LEAF, COARSE_LEAF = 256, 8_192
 _WHITE = frozenset(WHITE_SPACE)
 
 
@@ -122,7 +122,7 @@ def rank_codec(path: str, pattern: str, leaf: int = LEAF) -> Codec:
 
 
 @functools.lru_cache(maxsize=2)
-def json_codec(path: str, pattern: str, leaf: int = LEAF) -> Codec:
+def json_codec(path: str, pattern: str, leaf: int = COARSE_LEAF) -> Codec:
     """Codec of a tokeniser's JSON file of byte-level BPE whose ids follow the order of its merges; built once per worker."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
@@ -159,7 +159,11 @@ DIGESTS = (T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256",
 
 
 def token_digests(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """Per document: number of ids and digests of the ids and of the bytes decoded from them."""
+    """Per document: number of ids and digests of the ids and of the bytes decoded from them.
+
+    Whole texts of any length, null as empty; both have no ids and the digests of nothing. Repeated rows and ids stay, a null doc_id too; an
+    empty table gives no rows. Columns other than doc_id and text are not read.
+    """
 
     def make():
         codec = rank_codec(path, pattern)

@@ -114,11 +114,16 @@ def judge_urls(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, st
     learn from the normal forms whose CRC-32 is not divisible by `holdout`; the others set the
     threshold on the score, the mean log ratio per character. A URL at or above the threshold is
     allowed; so is one of no characters (score 0 then). Null URLs have an
-    empty host and path and are judged as empty. Columns of the result replace columns of the same name.
+    empty host and path and are judged as empty. Columns of the result replace columns of the same name, whatever its case;
+    any other name may stand in the table. Repeated rows stay and count as often as they occur; an empty table gives no rows. A URL of any length is
+    read whole.
     """
-    form, score = own_name(pages, "form__"), "url_score"
+    form, model, score = own_name(pages, "form__"), own_name(pages, "by_model__"), "url_score"
     u = F.col(url)
-    rows = pages.withColumn(form, normal_form(u)).withColumns({"host": host_of(u), "path": path_of(u)})
+    results = ("host", "path", "rule", "verdict", score)
+    if url.lower() in results:
+        raise ValueError(f"the column of URLs has the name of a result: {url}")
+    rows = pages.select(*[c for c in pages.columns if c.lower() not in results], normal_form(u).alias(form), host_of(u).alias("host"), path_of(u).alias("path"))
     hit = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", hit["rule"]).withColumn("verdict", hit["verdict"])
     said = lambda v: F.count(F.when(F.col("verdict") == v, 1))
@@ -131,6 +136,6 @@ def judge_urls(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, st
     scored = spread.join(F.broadcast(ratios), "gram").groupBy("form").agg(F.avg("ratio").alias(score))
     scored = cut(forms.join(scored, "form", "left").withColumn(score, F.coalesce(score, F.lit(0.0))))
     threshold = calibrated_threshold(scored.where(F.crc32("form") % holdout == 0).select(F.col(score).alias("score"), "accepted", "rejected"))
-    scored = scored.select(F.col("form").alias(form), score, F.when(F.col(score) >= threshold, "allow").otherwise("block").alias("by_model__"))
+    scored = scored.select(F.col("form").alias(form), score, F.when(F.col(score) >= threshold, "allow").otherwise("block").alias(model))
     out = rows.join(scored, form, "left")
-    return out.withColumn("verdict", F.coalesce("verdict", "by_model__")).drop(form, "by_model__")
+    return out.withColumn("verdict", F.coalesce("verdict", model)).drop(form, model)

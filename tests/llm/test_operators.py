@@ -168,9 +168,18 @@ def test_embedding_links_equal_brute_force(spark):
     assert embedding_dedup.link_vectors(df.where("false")).count() == 0
 
 
-def test_expected_recall_rises_with_the_cosine():
-    values = [embedding_dedup.expected_recall(c) for c in (0.5, 0.8, 0.93, 0.95, 1.0)]
-    assert values == sorted(values) and values[2] > 0.98 and values[-1] == 1.0
+def test_expected_recall_rises_with_the_cosine_and_holds_at_every_size():
+    for rows in (10, 8_192, 10**5, 10**8):
+        k, tables = embedding_dedup.hash_sizes(rows, 0.93)
+        values = [embedding_dedup.expected_recall(c, k, tables) for c in (0.5, 0.8, 0.93, 0.95, 1.0)]
+        assert values == sorted(values) and values[2] > 0.989 and values[-1] == 1.0
+        assert rows * embedding_dedup.together(0.0) ** k < 0.1 or rows <= 8_192  # unrelated vectors per vector and table
+
+
+def test_labels_and_vectors_with_commas_stay_apart(spark):
+    rows = [(1, [2.0], "a,1.0"), (2, [1.0, 2.0], "a"), (3, [2.0], "a,1.0"), (4, [4.0], "a,1.0"), (5, [2.0], "1,a")]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert got == {1: (2, 1), 2: (0, 2), 3: (2, 1), 4: (2, 1), 5: (0, 5)}
 
 
 def test_large_buckets_lose_and_repeat_no_pair(spark):
@@ -220,6 +229,37 @@ def test_forest_isolates_what_is_rare():
     assert score.argmax() == 1_000 and score.max() > 0.7 and np.median(score) < 0.55
 
 
+def test_path_lengths_equal_a_plain_forest():
+    """Every row's way through every tree, step by step; at a leaf the depth and the expected rest of the path for the rows that fell there."""
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(0, 1, (300, 4)), rng.normal(5, 3, (6, 4)), np.zeros((3, 4))])
+    forest = quality.grow(x, trees=25)
+    first = x[np.random.default_rng(quality.SEED).choice(len(x), min(quality.PER_TREE, len(x)), replace=False)]  # what the first tree was grown on
+
+    def walk(row, node):
+        way = [node]
+        while forest.feature[node] >= 0:
+            node = int(forest.left[node]) + int(row[forest.feature[node]] > forest.split[node])
+            way.append(node)
+        return way
+
+    fell = Counter(walk(row, int(forest.roots[0]))[-1] for row in first)
+    for row in first:
+        way = walk(row, int(forest.roots[0]))
+        assert forest.path[way[-1]] == pytest.approx(len(way) - 1 + float(quality.expected_path(fell[way[-1]])))
+    total = np.array([sum(forest.path[walk(row, int(root))[-1]] for root in forest.roots) for row in x])
+    assert np.allclose(forest.score(x), 2.0 ** (-total / 25 / forest.norm))
+    assert quality.expected_path(256) == pytest.approx(2 * sum(1 / i for i in range(1, 256)) - 2 * 255 / 256, rel=0.01)
+
+
+def test_one_and_two_passes_give_the_same_verdicts(spark):
+    rng = random.Random(7)
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) + ("***" if i % 10 == 0 else "") for _ in range(80)) for i in range(200)] + [None, ""]
+    labels = spark.createDataFrame([(i, int(i % 10 > 0), 0) for i in range(0, 200, 2)], "doc_id long, quality int, toxic int")
+    one = {r["doc_id"]: r["kept"] for r in quality.quality_table(docs_of(spark, texts), labels).collect()}
+    assert one == {r["doc_id"]: r["kept"] for r in quality.judge(docs_of(spark, texts), labels).collect()}
+
+
 def test_quality_judges_odd_rows_and_catches_junk(spark, odd, nothing):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9)))
@@ -313,6 +353,15 @@ def test_urls_without_rows_or_examples(spark):
     assert [r["verdict"] for r in rows] == ["allow", "allow"]
 
 
+def test_urls_take_clashing_columns(spark):
+    rows = [(1, "http://x.org/a", "old", "old", 5, 6.0), (2, "http://x.net/b", None, "old", 5, 6.0)]
+    out = urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, by_model__ string, Verdict string, form__ int, URL_Score double"))
+    assert sorted(c.lower() for c in out.columns) == sorted(["page_id", "url", "by_model__", "form__", "host", "path", "rule", "verdict", "url_score"])
+    assert {r["page_id"]: (r["by_model__"], r["form__"], r["rule"]) for r in out.collect()} == {1: ("old", 5, "org/"), 2: (None, 5, None)}
+    with pytest.raises(ValueError, match="name of a result"):
+        urls.judge_urls(spark.createDataFrame([("a",)], "path string"), url="path")
+
+
 # ---------------------------------------------------------------- secrets
 def test_base_secrets_equal_a_plain_version():
     rng = random.Random(8)
@@ -366,6 +415,22 @@ def test_glued_words_and_numbers_stay(text):
     assert secret_scan.find_spans(text) == []
 
 
+@pytest.mark.parametrize(("chars", "n", "share"), [("abcdefghijklmnopqrstuvwxyz", 24, 0.9), ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 24, 0.9), ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 20, 0.95), ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", 40, 0.98)])
+def test_random_tokens_are_found_whole(chars, n, share):
+    rng = random.Random(21)
+    whole = part = 0
+    for _ in range(1_000):
+        token = "".join(rng.choice(chars) for _ in range(n))
+        covered = sum(b - a for _, a, b in secret_scan.find_spans(f"a {token} b"))
+        whole, part = whole + (covered == n), part + (0 < covered < n)
+    assert whole >= share * 1_000 and part <= 10
+
+
+@pytest.mark.parametrize("word", ["Donaudampfschifffahrtsgesellschaft", "internationalization", "anticonstitutionnellement", "electroencefalografista", "ARBEITERUNFALLVERSICHERUNG", "someVeryLongMethodNameInCode"])
+def test_long_words_are_no_secrets(word):
+    assert secret_scan.find_spans(f"the {word} here") == []
+
+
 def test_scan_keeps_rows_and_redacts(odd, nothing, spark):
     out = secret_scan.scan(odd)
     assert out.count() == len(ODD) + 1 and out.where("secret_spans <> ''").count() == 0
@@ -525,6 +590,8 @@ def test_examples_hold_context_and_one_reply(spark):
     assert {k: v["n_turns"] for k, v in back.items()} == {1: 5, 2: 1, None: 2, 3: 2, 4: 2}
     assert back[3]["loss_sha256"] == hashlib.sha256(b"xx").hexdigest() and back[3]["loss_chars"] == 2
     assert back[4]["turns_sha256"] == hashlib.sha256("\nn\nassistant\n\\\n".encode()).hexdigest()
+    shuffled = {r["conv_id"]: r for r in chat.read_back(ex.orderBy("loss_end").repartition(5)).collect()}
+    assert shuffled == back and len(shuffled) == 5
     assert chat.read_back(chat.expand(df.where("false"))).count() == 0
 
 
@@ -533,3 +600,24 @@ def test_long_conversation_in_small_batches(spark, monkeypatch):
     df = spark.range(300).selectExpr("id div 100 as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "repeat(cast(id as string), 20) as text")
     back = chat.read_back(chat.expand(df)).orderBy("conv_id").collect()
     assert [(r["n_turns"], r["n_examples"]) for r in back] == [(100, 50)] * 3
+
+
+def test_long_conversations_are_dealt_out(spark):
+    rows = [(None if i % 50 < 20 else i % 3, i, "assistant" if i % 4 in (1, 2) else "user", f"t{i}") for i in range(150)] + [(9, 1, "user", "x"), (9, 2, "assistant", "y")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    ex = chat.expand(df, block=7)
+    got = sorted((str(r["conv_id"]), r["example"], r["formatted"], r["loss_start"], r["loss_end"], r["trainable"]) for r in ex.collect())
+    want = []
+    for conv in (None, 0, 1, 2, 9):
+        prefix, n = "", 0
+        own = [r for r in rows if r[0] == conv]
+        for _, _, role, text in own:
+            head = f"{prefix}{chat.TURN}{role}{chat.TEXT}"
+            prefix = f"{head}{text}{chat.END}"
+            if role == "assistant":
+                want.append((str(conv), n, prefix, len(head), len(head) + len(text), True))
+                n += 1
+        if own[-1][2] != "assistant":
+            want.append((str(conv), n, prefix, len(prefix), len(prefix), False))
+    assert got == sorted(want)
+    assert {r["conv_id"]: r["n_turns"] for r in chat.read_back(ex).collect()} == {c: sum(r[0] == c for r in rows) for c in (None, 0, 1, 2, 9)}
