@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rivulet.plans.fixpoint import cut
 from rivulet.plans.quantiles import exact_quantiles
 from rivulet.plans.timechunks import DAY, STEP, fdiv, micros
 
@@ -272,6 +273,75 @@ def wetness_similarity(df: DataFrame, key: str, vec: str, block_rows: int = 2000
     return left.unionByName(right).groupBy("i", "j").applyInPandas(cosine, f"a {kt}, b {kt}, similarity double")
 
 
+def similar_pairs(df: DataFrame, key: str, vec: str, threshold: float, pivots: int = 64, block_rows: int = 2000) -> DataFrame:
+    """Pairs a < b whose mean-centred vectors have a cosine of at least `threshold` (above -1), without forming the others where angles rule them out.
+
+    At most `pivots` vectors, the first by a hash of the key, are centres; each vector is at home with the nearest one. A vector can be similar to one at home
+    elsewhere only if its angle to that centre is at most the home's widest angle plus that of the threshold, so it visits only such homes. What is skipped
+    depends on the data: on vectors without any structure nothing is. Homes and their visitors are cut into groups of about
+    `block_rows` on each side, so no task holds more. Vectors that are null, empty or constant are similar to nothing; so are two of unequal length.
+    """
+    c = _centred(df.where(F.col(vec).isNotNull()), key, vec).where("norm > 0").withColumn("size", F.size("v"))
+    unit = cut(c.select("k", "size", F.transform("v", lambda x: x / F.col("norm")).alias("u")))
+    schema = dict(unit.dtypes)
+    centres = [(r["size"], r["u"]) for r in unit.orderBy(F.xxhash64(F.col("k").cast("string")), "k").limit(pivots).collect()]
+    reach = float(np.arccos(np.clip(threshold, -1.0, 1.0)))
+
+    def angles(part: pd.DataFrame) -> np.ndarray:
+        """Angle of each vector to each centre; none where lengths differ."""
+        out = np.full((len(part), len(centres)), np.inf)
+        for size in part["size"].unique():
+            rows, own = np.flatnonzero(part["size"] == size), [i for i, (n, _) in enumerate(centres) if n == size]
+            if own:
+                out[np.ix_(rows, own)] = np.arccos(np.clip(np.stack(part["u"].to_numpy()[rows]) @ np.array([centres[i][1] for i in own]).T, -1.0, 1.0))
+        return out
+
+    def settle(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            a = angles(part)
+            home = np.where(np.isfinite(a.min(axis=1)), a.argmin(axis=1), -1)  # vectors of lengths without a centre share the last home
+            yield part.assign(home=home.astype("int32"), angle=np.where(home >= 0, a.min(axis=1), np.pi))
+
+    columns = f"k {schema['k']}, size int, u array<double>"
+    homes = cut(unit.mapInPandas(settle, f"{columns}, home int, angle double"))
+    held = {r["home"]: (r["r"], r["n"]) for r in homes.groupBy("home").agg(F.max("angle").alias("r"), F.count("*").alias("n")).collect()}
+    blocks = {h: max(1, -(-n // block_rows)) for h, (_, n) in held.items()}
+
+    def visit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            a = angles(part)
+            own = part["home"].to_numpy()
+            for h, (widest, _) in held.items():
+                near = np.ones(len(part), bool) if h < 0 else ~(a[:, h] > widest + reach + 1e-9)
+                rows = part[near & (own < h)]
+                for block in range(blocks[h]):
+                    yield rows[["k", "size", "u"]].assign(home=np.int32(h), block=np.int32(block), side=np.int32(1))
+                for block in range(blocks[h]):  # at home: as a row, and as a visitor of every block
+                    mine = part[own == h]
+                    yield mine[["k", "size", "u"]].assign(home=np.int32(h), block=np.int32(block), side=np.int32(2))
+
+    dealt = lambda n, salt: F.pmod(F.xxhash64(F.col("k").cast("string"), F.lit(salt)), n).cast("int")
+    n_blocks = F.coalesce(*[F.when(F.col("home") == h, F.lit(b)) for h, b in blocks.items()], F.lit(1))
+    n_guests = max(1, -(-sum(n for _, n in held.values()) // (4 * block_rows)))
+    at_home = homes.select("home", dealt(n_blocks, 0).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n_guests - 1))).alias("guest"), "k", "size", "u", F.lit(0).alias("side"))
+    visits = homes.mapInPandas(visit, f"{columns}, home int, block int, side int")
+    rows = at_home.unionByName(visits.withColumn("guest", dealt(F.lit(n_guests), 1)))
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for size in part["size"].unique():
+            own, met = part[(part["side"] == 0) & (part["size"] == size)], part[(part["side"] > 0) & (part["size"] == size)]
+            if len(own) and len(met):
+                sim = np.clip(np.stack(own["u"]) @ np.stack(met["u"]).T, -1.0, 1.0)
+                i, j = np.nonzero(sim >= threshold)
+                a, b = own["k"].to_numpy()[i], met["k"].to_numpy()[j]
+                once = (met["side"].to_numpy()[j] == 1) & (a != b) | (a < b)  # two at home meet in both orders
+                found.append(pd.DataFrame({"a": np.minimum(a, b)[once], "b": np.maximum(a, b)[once], "similarity": sim[i, j][once]}))
+        return pd.concat(found) if found else pd.DataFrame({"a": [], "b": [], "similarity": []})
+
+    return rows.groupBy("home", "block", "guest").applyInPandas(compare, f"a {schema['k']}, b {schema['k']}, similarity double")
+
+
 def similarity_on_edges(df: DataFrame, edges: DataFrame, key: str, vec: str) -> DataFrame:
     """Similarity of the two ends of each edge: only the pairs that are edges are ever formed."""
     c = _centred(df, key, vec)

@@ -9,6 +9,7 @@ from rivulet.functions import expr as X
 from rivulet.functions import labels as L
 from rivulet.operators import catalogue, profiles
 from rivulet.sources import ingest, sinks
+from rivulet.streaming import follow
 
 from .base import FORECAST, READINGS, SLOTS, forecast, grid, query, r6, readings, s6
 
@@ -57,6 +58,19 @@ def rain_files(t):
     return ingest.parse_readings(lines, "rainfall", station)
 
 
+@query("a2_followed_files", PARSED.replace("KIND", "discharge"))
+def followed_files(t):
+    """The discharge files again, followed as a stream in two catch-ups: the files of half the stations come after the first."""
+    root = ingest.shared_scratch(t.spark, "followed")
+    lines = reading_lines(t)
+    first = F.col("event_type") < "m"
+    for part in (first, ~first):
+        lines.where(part).select("value", "event_type").write.mode("append").partitionBy("event_type").text(f"{root}/files")
+        stream = follow.reading_stream(t.spark, f"{root}/files", "discharge", F.regexp_extract("path", r"event_type=([^/]+)/", 1), late="10000 days")
+        follow.catch_up(stream, f"{root}/table", f"{root}/progress")
+    return t.spark.read.parquet(f"{root}/table").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 @query("a1_header_lines", "SELECT DISTINCT event_type AS series_id, 'station' AS key, event_type AS val FROM events")
 def header_lines(t):
     lines, station = _written(t, "header")

@@ -200,6 +200,12 @@ def wetness_similarity(t):
     return _round(stats.wetness_similarity(t.embeddings, "vec_id", "embedding"), "similarity")
 
 
+@query("k54_similar_pairs", f"WITH {VEC} SELECT x.vec_id AS a, y.vec_id AS b, {s6(SIM)} AS similarity FROM c x JOIN c y ON x.vec_id < y.vec_id WHERE {SIM} >= 0.4")
+def similar_pairs(t):
+    """The pairs above a similarity, which is what is asked of the matrix."""
+    return _round(stats.similar_pairs(t.embeddings, "vec_id", "embedding", 0.4), "similarity")
+
+
 VEDGES = "e AS (SELECT vec_id AS src, vec_id // 2 AS dst FROM embeddings WHERE vec_id > 0)"
 
 

@@ -1 +1 @@
-"""Deliberately empty: every operator in scope is a batch computation."""
+"""Structured Streaming: readings that are followed as their files arrive."""

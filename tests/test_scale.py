@@ -4,15 +4,18 @@ import random
 from datetime import timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from rivulet.functions import labels
 from rivulet.operators import graph, joins, pixels, quality, stats
 from rivulet.plans import intervals, nearest
+from rivulet.plans.quantiles import exact_quantiles
 from rivulet.plans.ranks import neighbours_in_order
 from rivulet.plans.timechunks import STEP
 from rivulet.sources import ingest, sinks
+from rivulet.streaming import follow
 
 rng = random.Random(11)
 AT = "timestamp_ntz '2024-01-01' + make_dt_interval(0, 0, 0, {})"
@@ -263,3 +266,52 @@ def test_wet_stretches_unfold_to_the_wet_pixels(spark):
     assert {tuple(r) for r in unfolded} == {(r["row"], r["col"], r["ts"]) for r in pixels.inundation(px, st).collect()}
     ends = {(r["row"], r["col"], r["wet_to"]) for r in spans.collect()}
     assert not any((r["row"], r["col"], r["wet_from"] - timedelta(hours=1)) in ends for r in spans.collect())
+
+
+# ---------------------------------------------------------------- similarity and streams
+@pytest.mark.parametrize("threshold", [0.2, 0.9, -0.5])
+def test_similar_pairs_equal_the_matrix(spark, threshold):
+    r = np.random.default_rng(8)
+    vectors = [[float(x) for x in v] for v in np.vstack([c + r.normal(0, 0.3, (12, 16)) for c in r.normal(0, 2, (6, 16))])] + [[1.0] * 16, None, [], [1.0, 2.0, 4.0], [2.0, 4.0, 8.0]]
+    df = spark.createDataFrame(list(enumerate(vectors)), "k int, v array<double>")
+    got = {(x["a"], x["b"]): x["similarity"] for x in stats.similar_pairs(df, "k", "v", threshold, pivots=5, block_rows=9).collect()}
+    own = {i: np.array(v) - np.mean(v) for i, v in enumerate(vectors) if v}
+    want = {}
+    for i, x in own.items():
+        for j, y in own.items():
+            if i < j and len(x) == len(y) and np.linalg.norm(x) > 0 and np.linalg.norm(y) > 0:
+                s = float(x @ y / np.linalg.norm(x) / np.linalg.norm(y))
+                if s >= threshold:
+                    want[i, j] = s
+    assert set(got) == set(want) and all(got[p] == pytest.approx(want[p], abs=1e-9) for p in want)
+    assert stats.similar_pairs(df.where("false"), "k", "v", threshold).count() == 0
+
+
+def test_followed_files_come_once_and_slots_close(spark, tmp_path):
+    put = lambda name, rows: (tmp_path / "in" / name).write_text("\n".join(["#station;a", *rows]) + "\n")
+    (tmp_path / "in").mkdir()
+    go = lambda: follow.catch_up(follow.reading_stream(spark, f"{tmp_path}/in", "level"), f"{tmp_path}/rows", f"{tmp_path}/c1")
+    slots = lambda: follow.catch_up(follow.slot_stream(follow.reading_stream(spark, f"{tmp_path}/in", "level", late="1 hour")), f"{tmp_path}/slots", f"{tmp_path}/c2")
+    put("level_7.csv", ["2024-01-01T00:00:00Z;1.0;254", "2024-01-01T00:05:00Z;3.0;254", "bad;1;1", "2024-01-01T00:05:00Z;3.0;254"])
+    go(), slots()
+    assert spark.read.parquet(f"{tmp_path}/rows").count() == 2
+    put("level_8.csv", ["2024-01-02T00:00:00Z;5.0;254"])
+    put("level_9.csv", ["2024-01-01T00:00:00Z;---;254"])
+    go(), slots()
+    got = {(r["series_id"], r["value"]) for r in spark.read.parquet(f"{tmp_path}/rows").collect()}
+    assert got == {("7", 1.0), ("7", 3.0), ("8", 5.0), ("9", None)}
+    go(), slots()
+    assert spark.read.parquet(f"{tmp_path}/rows").count() == 4
+    closed = spark.read.parquet(f"{tmp_path}/slots").where("series_id = '7'").collect()
+    assert [(r["mean"], r["total"], r["n"]) for r in closed] == [(2.0, 4.0, 2)]
+
+
+@pytest.mark.parametrize("shape", ["one", "ties", "spike"])
+def test_quantiles_in_parts_of_the_bracket(spark, shape):
+    r = np.random.default_rng(9)
+    x = {"one": np.array([3.5]), "ties": np.repeat([1.0, 2.0, 7.0], [20_000, 30_000, 3]), "spike": np.r_[r.normal(0, 1e-9, 40_000), 1e6, -1e6]}[shape]
+    df = spark.createDataFrame(pd.DataFrame({"k": None if shape == "one" else "a", "v": x}), "k string, v double")
+    probs = {"a": 0.0, "b": 0.37, "c": 0.5, "d": 0.999, "e": 1.0}
+    row = exact_quantiles(df, ["k"], "v", probs).first()
+    for name, p in probs.items():
+        assert row[name] == pytest.approx(np.quantile(x, p), rel=1e-12, abs=1e-15)
