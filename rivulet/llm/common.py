@@ -76,17 +76,18 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
     """Connected components: (node, component), the component being its smallest node. Only nodes with an edge appear.
 
     Alternating large and small stars. A round joins edges with one minimum per
-    node; the minimum is combined before the shuffle, and the join may be split
-    by AQE, so a hub that holds a third of all edges is not one task.
+    node; the minimum is combined before the shuffle, and dealt out anew for the join. So both sides of
+    the join are plain exchanges, which AQE may split: a hub that holds a third of all edges is not one task.
     """
+    dealt = F.col("u").bitwiseXOR(F.lit(0).cast("long")).alias("u")  # the same number, but not known to be dealt out already
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     pairs, seen = cut(pairs), None
     for _ in range(max_rounds):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least.select(dealt, "m"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+        small = large.join(least.select(dealt, "m"), "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         pairs = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), compact=True)
         state = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:

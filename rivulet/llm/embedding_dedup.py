@@ -129,5 +129,6 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.93, vec_id: str = "vec
     state = classes.select("id", "same", "copies", "least").join(settled, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = state.groupBy("component").agg(F.min("least").alias("component_id"))
     state = cut(state.join(least, "component").select("same", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"))
-    out = tagged.select("vec_id", "same").join(state, "same", "left")
+    none = tagged.where("same is null").select("vec_id", "same", *[F.lit(None).cast("long").alias(c) for c in ("n_links", "component_id")])  # these would all meet in one task
+    out = tagged.where("same is not null").select("vec_id", "same").join(state, "same").unionByName(none)
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -172,7 +172,9 @@ def link_documents(docs: DataFrame, threshold: float = THRESHOLD, words: int = W
     state = classes.select("id", "same", "copies", "first").join(settled, "id", "left").withColumn("component", F.coalesce("component", "id"))
     heads = state.groupBy("component").agg(F.min("first").alias("head"))
     state = cut(state.join(heads, "component").select("same", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.col("head.doc_id").alias("head_id"), F.col("head.row").alias("head_row")))
-    out = rows.select("doc_id", "same", "row").join(state, "same", "left")
+    rows = rows.select("doc_id", "same", "row")
+    none = rows.where("same is null").select("*", *[F.lit(None).cast(t).alias(c) for c, t in state.dtypes if c != "same"])  # these would all meet in one task
+    out = rows.where("same is not null").join(state, "same").unionByName(none)
     return out.select(
         "doc_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("head_id", "doc_id").alias("component_id"),
         F.coalesce(F.col("row") == F.col("head_row"), F.lit(True)).alias("kept"), "same",
@@ -208,7 +210,8 @@ def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     Of rows that repeat both id and text of a kept row one stays: the first by its other columns, in their order.
     """
     rows = link_documents(docs, doc_id=doc_id, text=text, **parameters)
-    dropped = cut(rows.groupBy("doc_id", "same").agg(F.count(F.when(F.col("kept"), 1)).alias("kept"), F.count("*").alias("n")).where("kept < n"))
+    each = F.struct("doc_id", "same").alias("each")  # grouped apart from the class, which may hold a third of all rows
+    dropped = cut(rows.groupBy(each).agg(F.count(F.when(F.col("kept"), 1)).alias("kept"), F.count("*").alias("n")).where("kept < n").select("each.*", "kept", "n"))
     same = F.when(text_of(docs, text).rlike(r"[^\x20\x09-\x0D]"), F.md5(text_of(docs, text).cast("binary")))
     key = F.col("k__.doc_id").eqNullSafe(docs[doc_id].cast("long")) & F.col("k__.same").eqNullSafe(same)
     gone = dropped.where("kept = 0").alias("k__")
