@@ -22,21 +22,32 @@ def _apart(docs: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that pass the limits and the isolation forest."""
+    """Keep the documents that pass the limits and the isolation forest.
+
+    Null and empty texts fail the limits and go; repeated rows share a verdict; an empty table stays empty. A text of any length
+    is read whole. Columns may have any names. Without labels only the limits decide.
+    """
     bounded_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return _apart(docs, lambda d: quality.judge(d, labels).where("kept"))
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that the string-kernel machine does not predict to be toxic."""
+    """Keep the documents that the string-kernel machine does not predict to be toxic.
+
+    Null and empty texts stay; repeated rows share a verdict; an empty table stays empty. A text of any length is scored whole. Columns may have
+    any names. Without labels of both kinds all stay.
+    """
     bounded_batches(spark)
     machine = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _apart(docs, lambda d: toxicity.score(d, machine).where("predicted = 0"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of similar ones."""
+    """Keep one document of each group of similar ones, the one with the smallest id; of rows that repeat id and text the first by their other columns.
+
+    Texts without a word, and null ones, all stay; an empty table stays empty. Texts of any length are compared whole. Columns may have any names.
+    """
     bounded_batches(spark)
     return _apart(docs, ngram_join.keep_one_of_each)
 
@@ -49,7 +60,11 @@ def secret_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut the documents' tokens into sequences of power-of-two lengths."""
+    """Cut the documents' tokens into sequences of power-of-two lengths.
+
+    Null and empty texts are one sequence of the end mark; repeated rows are packed each for itself; an empty table gives no rows. Only doc_id and
+    text are read, texts of any length whole.
+    """
     bounded_batches(spark)
     return packing.pack(docs.select("doc_id", "text"), JSON_VOCABULARY, PATTERN)
 

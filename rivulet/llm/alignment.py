@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,9 +21,9 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import hand_back_memory, text_of
+from rivulet.llm.common import hand_back_memory, shared_folder, text_of
 from rivulet.llm.tokens import Codec, json_codec
-from rivulet.plans.fixpoint import cut, shared_root
+from rivulet.plans.fixpoint import cut
 
 #: Pairs whose counts every task gets (16 bytes each, 4 MB); the others are joined. Bytes of text that are aligned at once.
 FREQUENT, CHUNK = 1 << 18, 1 << 20
@@ -161,7 +160,7 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: columns of repeating numbers take a fraction of a checkpoint's room."""
-    path = f"{shared_root(df.sparkSession)}/alignment-{name}-{uuid.uuid4().hex}"
+    path = shared_folder(df.sparkSession, f"alignment-{name}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

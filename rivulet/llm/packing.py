@@ -43,6 +43,8 @@ def pack(docs: DataFrame, path: str, pattern: str, longest: int = 2048, text: st
     `length` is also the bucket. `offset` is 0, as each piece is a sequence. Sequence
     ids are unique. Columns named like the new ones are replaced, and the text is dropped.
     `with_ids=False` leaves ids null for callers that need the layout only. Nothing is shuffled.
+    Repeated rows are packed each for itself; an empty table gives no rows. A text of any length is cut whole, in memory
+    proportional to it.
     """
     new = {f.name for f in FIELDS} | {"sequence_id", "offset"}
     keep = [c for c in docs.columns if c.lower() not in new and c != text]

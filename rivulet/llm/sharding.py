@@ -30,7 +30,10 @@ def rendezvous(key: Column, weights: Mapping[int, float]) -> Column:
 
 
 def assign_shards(docs: DataFrame, weights: Mapping[int, float], key: str = "doc_id", shard: str = "shard") -> DataFrame:
-    """Add the shard of each record. A null key counts as the empty key; equal keys share a shard."""
+    """Add the shard of each record. A null key counts as the empty key; equal keys, and so repeated rows, share a shard.
+
+    An existing column of the name `shard` is replaced; all others pass unchanged. An empty table gives no rows.
+    """
     return docs.withColumn(shard, rendezvous(F.coalesce(F.col(key).cast("string"), F.lit("")), weights))
 
 

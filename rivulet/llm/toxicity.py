@@ -242,7 +242,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     At most `sample` documents of each class, picked by a hash of the key, come to the driver as sets of
     words. Three quarters of them give words, the others the line from margins to probabilities, in which classes
     weigh as in all labelled rows. The good words nearest to the bad ones are added in a second round of training.
-    Without labelled documents of both kinds nothing is toxic.
+    Without labelled documents of both kinds, and so with an empty table on either side, nothing is toxic. Labels of null keys count as those of an empty key;
+    where labels repeat a key the higher one counts. Of documents that repeat a key one is taken, whichever the shuffle meets first; rows that repeat as a
+    whole make no difference.
     """
     name = F.coalesce(labels[key].cast("string"), F.lit(""))
     known = labels.where(F.col("toxic").isNotNull() & (F.crc32(name.cast("binary")) % holdout != 0)).groupBy(F.col(key).alias("key")).agg(F.max("toxic").alias("toxic"))
@@ -307,7 +309,8 @@ def score(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
     """Add `score` (0 to 1) and `predicted` (1 from 0.5 on) to every row.
 
     Whole texts count; a null or empty text has the score of a word without features. Columns named like
-    the new ones are replaced, others pass unchanged. Nothing is shuffled.
+    the new ones are replaced, others pass unchanged. Repeated rows have equal scores, an empty table gives no rows, and a text of
+    any length is scored whole. Nothing is shuffled.
     """
 
     def make():
