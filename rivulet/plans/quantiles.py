@@ -67,7 +67,11 @@ def exact_quantiles(
     low, high = F.floor("pos"), F.ceil("pos")
     upto = F.sum("_in").over(Window.partitionBy(*keys, "q").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0))
     parts = counted.groupBy(*keys, "q", "pos", "_part").agg(F.sum("_c").alias("_in")).withColumn("_start", upto - F.col("_in"))
-    wanted = parts.where((F.col("_part") >= 0) & (F.col("_start") <= high) & (low < F.col("_start") + F.col("_in")))
+    whole_q = Window.partitionBy(*keys, "q")  # a row per part: a thousand at most
+    inside = lambda at: (F.col("_part") >= 0) & (F.col("_start") <= at) & (at < F.col("_start") + F.col("_in"))
+    parts = parts.withColumn("_found", F.max(inside(low)).over(whole_q) & F.max(inside(high)).over(whole_q))
+    error = F.raise_error(F.lit("a quantile lies outside its bracket; raise the accuracy"))
+    wanted = parts.where(F.when(F.col("_found"), inside(low) | inside(high)).otherwise(error.cast("boolean")))
     wanted = wanted.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("q").alias("_q"), F.col("_part").alias("_p"), "_start")
     same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("q") == F.col("_q"), F.col("_part") == F.col("_p")]
     w = Window.partitionBy(*keys, "q", "_part").orderBy("_x")
@@ -77,8 +81,7 @@ def exact_quantiles(
         F.max(F.when((first <= low) & (low <= last), F.col("_x"))).alias("_a"),
         F.max(F.when((first <= high) & (high <= last), F.col("_x"))).alias("_z"),
     )
-    missed = F.col("_a").isNull() | F.col("_z").isNull()
-    val = F.when(missed, F.raise_error(F.lit("a quantile lies outside its bracket; raise the accuracy")).cast("double")).otherwise(F.col("_a") + (F.col("_z") - F.col("_a")) * (F.col("pos") - F.floor("pos")))
+    val = F.col("_a") + (F.col("_z") - F.col("_a")) * (F.col("pos") - F.floor("pos"))
     return picked.groupBy(*keys).agg(
         *[F.max(F.when(F.col("q") == i, val)).alias(n) for i, n in enumerate(names)]
     )
