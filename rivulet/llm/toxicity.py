@@ -5,22 +5,29 @@ label says only that some word of it is bad. The kernel of two words counts the
 subsequences that they share, each weighted by 0.5 per skipped character, so an insult with letters
 put in or left out stays near. Landmarks span the space in which the machine is trained; as the kernel
 has finitely many features, the trained machine folds into one weight per subsequence.
+
+Insults whose words are all harmless are learnt from the toxic documents that no word gives away: windows of two to
+five words are further instances of the same kernel, with a machine of their own. A text's windows are scored from running
+sums over its characters, so a window costs a few additions whatever its length.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rivulet.llm.common import with_columns_by
+from rivulet.plans.fixpoint import cut
 
 #: Kernel: longest reach of a subsequence, weight of a skipped character, characters of one instance.
 REACH, DECAY, WIDTH = 6, 0.5, 24
@@ -28,6 +35,10 @@ REACH, DECAY, WIDTH = 6, 0.5, 24
 SAMPLE, WORDS, LANDMARKS, SEED = 3_000, 4_000, 384, 8
 #: Words that a worker remembers; then it starts anew.
 REMEMBER = 100_000
+#: Windows of words: fewest and most words, characters of the longest (with two marks between words), words handled at once.
+SPAN, PHRASE_WIDTH, STRETCH = (2, 5), 64, 20_000
+#: Families of toxic documents that a phrase must explain, and their least share; its share may be so many times that of clean ones.
+FAMILIES, OFTEN, RATIO = 8, 0.01, 10.0
 
 _CLASSES = 64
 _SKIPS = [(a, b, DECAY ** (a + b - 2)) for a in range(1, REACH) for b in range(1, REACH - a)]
@@ -70,15 +81,16 @@ def pieces(word: str) -> list[str]:
 
 
 def encode(words: Sequence[str]) -> np.ndarray:
-    """Classes of the characters of each word, between a start and an end mark, padded with 0."""
-    marked = np.array([f"\x02{w}\x03" for w in words], dtype=f"<U{WIDTH + 2}")
-    points = marked.view("<u4").reshape(len(words), WIDTH + 2) if len(words) else np.zeros((0, WIDTH + 2), "<u4")
+    """Classes of the characters of each word or phrase, between a start and an end mark, padded with 0."""
+    width = max(WIDTH, max(map(len, words), default=0)) + 2
+    marked = np.array([f"\x02{w}\x03" for w in words], dtype=f"<U{width}")
+    points = marked.view("<u4").reshape(len(words), width) if len(words) else np.zeros((0, width), "<u4")
     return _TABLE[np.minimum(points, 0xFFFF)]
 
 
 def _length_norms() -> np.ndarray:
     """Size of a word's feature vector by its length, repeats aside: makes words of all lengths comparable."""
-    return np.sqrt([max(1e-9, sum(w * w * max(0, n - a - b) for a, b, w in _SKIPS)) for n in range(WIDTH + 3)])
+    return np.sqrt([max(1e-9, sum(w * w * max(0, n - a - b) for a, b, w in _SKIPS)) for n in range(PHRASE_WIDTH + 3)])
 
 
 _NORMS = _length_norms()
@@ -141,6 +153,7 @@ class Machine:
     bias: float
     slope: float = 1.0
     shift: float = 0.0
+    phrases: Machine | None = None
 
     def margins(self, words: Sequence[str]) -> np.ndarray:
         codes = encode(words)
@@ -236,14 +249,172 @@ class Scorer:
         return [max(map(self.known.__getitem__, bag), default=self.machine.bias) for bag in bags]
 
 
+def spoken(text: str | None, known: dict[str, str]) -> list[str]:
+    """The words of a text in order, as the kernel sees them; `known` remembers a bounded number of words."""
+    out = []
+    for w in (text or "").lower().split():
+        if not w.isalpha():
+            plain = known.get(w)
+            if plain is None:
+                if len(known) > REMEMBER:
+                    known.clear()
+                plain = known[w] = _INNER.sub("", w.translate(_LOOKS) if not w.isdigit() else "0")
+            w = plain
+        if w:
+            out.append(w)
+    return out
+
+
+def stretches(words: list[str]) -> Iterator[list[str]]:
+    """Parts of bounded size that together hold every window of words."""
+    step = STRETCH - SPAN[1] + 1
+    for at in range(0, len(words) - SPAN[0] + 1, step):
+        yield words[at : at + STRETCH]
+
+
+def phrases_in(words: list[str]) -> Iterator[str]:
+    """All windows of words as instances of the kernel: words lie between their marks."""
+    for k in range(SPAN[0], SPAN[1] + 1):
+        for at in range(len(words) - k + 1):
+            p = "\x03\x02".join(words[at : at + k])
+            if len(p) <= PHRASE_WIDTH:
+                yield p
+
+
+def window_margins(machine: Machine, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Margin, first word and number of words of every window that `phrases_in` gives, in its order."""
+    ends = np.cumsum([len(w) + 2 for w in words], dtype=np.int64)
+    starts = ends - np.array([len(w) + 2 for w in words], dtype=np.int64)
+    codes = _TABLE[np.minimum(np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le"), "<u4"), 0xFFFF)]
+    sums: dict[int, np.ndarray] = {}
+    for a, b, weight in _SKIPS:
+        n = len(codes) - a - b
+        if n > 0:
+            part = weight * machine.weights[(codes[:n] * _CLASSES + codes[a : a + n]) * _CLASSES + codes[a + b :]].astype(np.float64)
+            sums[a + b] = sums[a + b] + part if a + b in sums else part
+    sums = {reach: np.concatenate([[0.0], np.cumsum(part)]) for reach, part in sums.items()}
+    found = []
+    for k in range(SPAN[0], SPAN[1] + 1):
+        first = np.arange(max(0, len(words) - k + 1))
+        first = first[ends[first + k - 1] - starts[first] <= PHRASE_WIDTH + 2]
+        p, q = starts[first], ends[first + k - 1]
+        total = sum((run[q - reach] - run[p] for reach, run in sums.items()), np.zeros(len(first)))
+        found.append((total / _NORMS[q - p] + machine.bias, first, np.full(len(first), k)))
+    return tuple(np.concatenate(parts) for parts in zip(*found))
+
+
+def phrase_margins(machine: Machine, texts: Sequence[str | None], known: dict[str, str]) -> np.ndarray:
+    """The highest margin of the windows of each text; texts without a window have the bias."""
+    return np.array([max((m.max() for part in stretches(spoken(t, known)) if len(m := window_margins(machine, part)[0])), default=machine.bias) for t in texts])
+
+
+def _phrase_rows(docs: DataFrame, make: Callable[[], Callable[[str | None, int], tuple[Sequence, Sequence]]], value: str) -> DataFrame:
+    """Rows (phrase, value) that `make` finds in each text; `family` tells near copies apart from other documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn, schema = make(), pa.schema([("phrase", pa.string()), ("value", pa.float64() if value == "double" else pa.int64())])
+        for batch in batches:
+            for text, family in zip(batch.column("text").to_pylist(), batch.column("family").to_pylist()):
+                for phrases, values in fn(text, family):
+                    yield pa.RecordBatch.from_arrays([pa.array(phrases, pa.string()), pa.array(values, schema.field(1).type)], schema=schema)
+
+    return docs.select("text", "family").mapInArrow(run, f"phrase string, value {value}")
+
+
+def _families(texts: Sequence[str | None]) -> list[int]:
+    """A number that near copies share: two minimum hashes of the words."""
+    out = []
+    for t in texts:
+        bag = [w.encode() for w in instances(t or "")] or [b""]
+        out.append(min(zlib.crc32(w, 1) for w in bag) << 31 ^ min(zlib.crc32(w, 2) for w in bag))
+    return out
+
+
+def fit_phrases(chosen: DataFrame, machine: Machine, odds: float, words: int = WORDS) -> Machine | None:
+    """A machine on windows of words, from the toxic documents (key, toxic, text) that the words' machine misses; None where no phrase tells.
+
+    A phrase tells if it is in FAMILIES of the missed families and in OFTEN of them, and if its share of them is RATIO times its share of clean documents.
+    All windows of all chosen documents count. At most `words` telling phrases and as many others, and half as many again that come nearest, train the machine; only these
+    reach the driver. A quarter of the documents gives the line from margins to log odds.
+    """
+    family = T.StructField("family", T.LongType())
+    rows = cut(with_columns_by(score(chosen, machine), ["text"], lambda: lambda texts: [_families(texts)], [family]).where("toxic = 0 or predicted = 0"))
+    on_line = F.crc32(F.col("key").cast("string").cast("binary")) % 4 == 1
+    missed, clean = rows.where((F.col("toxic") == 1) & ~on_line), rows.where((F.col("toxic") == 0) & ~on_line)
+    n_missed, n_clean = missed.agg(F.count_distinct("family")).first()[0], clean.count()
+    if n_missed < FAMILIES or not n_clean:
+        return None
+
+    def windows(wanted: set[str] | None = None, smallest: int | None = None):
+        def make():
+            known: dict[str, str] = {}
+
+            def one(text, family):
+                for part in stretches(spoken(text, known)):
+                    found = set(phrases_in(part))
+                    found = found if wanted is None else found & wanted
+                    if smallest is not None and len(found) > smallest:
+                        found = heapq.nsmallest(smallest, found, key=lambda p: zlib.crc32(p.encode()))
+                    yield list(found), [family] * len(found)
+
+            return one
+
+        return make
+
+    counted = _phrase_rows(missed, windows(), "long").groupBy("phrase").agg(F.count_distinct("value").alias("n"))
+    counted = counted.where(F.col("n") >= max(FAMILIES, OFTEN * n_missed)).orderBy(F.desc("n"), "phrase").limit(10 * words)
+    seen = {r["phrase"]: r["n"] for r in counted.collect()}
+    if not seen:
+        return None
+    at = clean.withColumn("family", F.monotonically_increasing_id())  # clean documents count one by one
+    quoted = {r["phrase"]: r["n"] for r in _phrase_rows(at, windows(set(seen)), "long").groupBy("phrase").agg(F.count_distinct("value").alias("n")).collect()}
+    bad = [p for p, n in seen.items() if not quoted.get(p) or n / n_missed >= RATIO * (quoted[p] + 0.5) / (n_clean + 1)][:words]
+    if not bad:
+        return None
+    own = set(bad)
+    by_hash = [F.crc32(F.col("phrase").cast("binary")), "phrase"]
+    others = _phrase_rows(clean, windows(smallest=words), "long").select("phrase").distinct().orderBy(*by_hash).limit(words)
+    good = {r["phrase"] for r in others.collect()} - own
+    if not good:
+        return None
+    first = train(bad, sorted(good))
+
+    def highest():
+        known: dict[str, str] = {}
+
+        def one(text, family):
+            for part in stretches(spoken(text, known)):
+                margin, start, size = window_margins(first, part)
+                for i in np.argsort(-margin, kind="stable")[:8]:
+                    yield ["\x03\x02".join(part[start[i] : start[i] + size[i]])], [margin[i]]
+
+        return one
+
+    nearest = _phrase_rows(clean, highest, "double").groupBy("phrase").agg(F.max("value").alias("margin")).orderBy(F.desc("margin"), "phrase").limit(words // 2)
+    out = train(bad, sorted(good | ({r["phrase"] for r in nearest.collect()} - own)))
+    margin = T.StructField("margin", T.DoubleType())
+
+    def all_margins():
+        known: dict[str, str] = {}
+        return lambda texts: [phrase_margins(out, texts, known).tolist()]
+
+    line = with_columns_by(rows.where(on_line).select("toxic", "text"), ["text"], all_margins, [margin]).select("toxic", "margin").collect()
+    got = {kind: np.array([r["margin"] for r in line if r["toxic"] == kind]) for kind in (0, 1)}
+    if not len(got[0]) or not len(got[1]):
+        return None
+    out.slope, out.shift = sigmoid_line(got[1], got[0], odds * rows.where("toxic = 1").count() / max(1, chosen.where("toxic = 1").count()))
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, holdout: int = 5) -> Machine:
     """Fit on labelled documents whose CRC-32 of the key is not divisible by `holdout`.
 
     At most `sample` documents of each class, picked by a hash of the key, come to the driver as sets of
     words. Three quarters of them give words, the others the line from margins to probabilities, in which classes
-    weigh as in all labelled rows. The good words nearest to the bad ones are added in a second round of training.
+    weigh as in all labelled rows. The good words nearest to the bad ones are added in a second round of training. Toxic documents
+    that the words miss then teach phrases (`fit_phrases`).
     Without labelled documents of both kinds, and so with an empty table on either side, nothing is toxic. Labels of null keys count as those of an empty key;
-    where labels repeat a key the higher one counts. Of documents that repeat a key one is taken, whichever the shuffle meets first; rows that repeat as a
+    where labels repeat a key the higher one counts. Of documents that repeat a key the one with the smallest text is taken; rows that repeat as a
     whole make no difference.
     """
     name = F.coalesce(labels[key].cast("string"), F.lit(""))
@@ -254,7 +425,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     by_hash = [F.xxhash64(F.col("key").cast("string")), "key"]
     picked = known.where("toxic = 1").orderBy(*by_hash).limit(sample).unionByName(known.where("toxic = 0").orderBy(*by_hash).limit(sample))
     source = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    chosen = source.join(F.broadcast(picked), "key").dropDuplicates(["key"])  # at most twice `sample` keys
+    chosen = cut(source.join(F.broadcast(picked), "key").groupBy("key", "toxic").agg(F.min("text").alias("text")))  # at most twice `sample` keys
     rows = with_columns_by(chosen, ["text"], lambda: lambda texts: [[sorted(_bag(t)) for t in texts]], [T.StructField("words", T.ArrayType(T.StringType()))])
     table = rows.select("key", "toxic", "words").orderBy(*by_hash).select("toxic", "words").toArrow()
     pool: dict[str, str] = {}  # one string object per word, not per document
@@ -286,6 +457,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     margin = {kind: np.array([machine.margins(b).max() if b else machine.bias for b in own]) for kind, own in lines.items()}
     if len(margin[0]) and len(margin[1]):
         machine.slope, machine.shift = sigmoid_line(margin[1], margin[0], counts[1] / counts[0])
+        machine.phrases = fit_phrases(chosen, machine, counts[1] / counts[0])
     return machine
 
 
@@ -308,16 +480,18 @@ def sigmoid_line(bad: np.ndarray, good: np.ndarray, odds: float) -> tuple[float,
 def score(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
     """Add `score` (0 to 1) and `predicted` (1 from 0.5 on) to every row.
 
-    Whole texts count; a null or empty text has the score of a word without features. Columns named like
+    Whole texts count, by their worst word or, if phrases were learnt, their worst window of words; a null or empty text has the score of a word without features. Columns named like
     the new ones are replaced, others pass unchanged. Repeated rows have equal scores, an empty table gives no rows, and a text of
     any length is scored whole. Nothing is shuffled.
     """
 
     def make():
-        scorer = Scorer(machine)
+        scorer, plain = Scorer(machine), {}
 
         def run(texts: list[str | None]) -> list[list]:
             p = machine.probability(np.array(scorer.margins(texts)))
+            if machine.phrases is not None:
+                p = np.maximum(p, machine.phrases.probability(phrase_margins(machine.phrases, texts, plain)))
             return [p.tolist(), (p >= 0.5).astype(int).tolist()]
 
         return run

@@ -486,6 +486,47 @@ def test_toxicity_learns_held_out_documents(spark, odd, nothing):
     assert toxicity.toxicity_table(docs, labels.where("false")).where("predicted = 1").count() == 0
 
 
+def test_windows_of_words_equal_their_kernel(monkeypatch):
+    rng = np.random.default_rng(14)
+    machine = toxicity.Machine(rng.normal(size=64**3).astype(np.float32), 0.25)
+    machine.weights[::64] = 0  # features that end in padding
+    words = toxicity.spoken("Go! die-now, \u00fcber $$ 4 you " + "x" * 70 + " a b c d e f \U0001f600 end", {})
+    phrases = list(toxicity.phrases_in(words))
+    margin, first, size = toxicity.window_margins(machine, words)
+    assert ["\x03\x02".join(words[a : a + k]) for a, k in zip(first, size)] == phrases and "go\x03\x02dienow" in phrases
+    assert np.allclose(margin, machine.margins(phrases), atol=1e-4)
+    whole = toxicity.phrase_margins(machine, [" ".join(words), "one", None, ""], {})
+    assert np.isclose(whole[0], margin.max()) and (whole[1:] == 0.25).all()
+    monkeypatch.setattr(toxicity, "STRETCH", 6)
+    assert {p for part in toxicity.stretches(words) for p in toxicity.phrases_in(part)} == set(phrases)
+    assert np.allclose(toxicity.phrase_margins(machine, [" ".join(words)], {}), whole[:1])
+
+
+def test_insults_of_harmless_words_are_learnt(spark):
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choice(["ta", "lo", "ri", "me", "nu"]) for _ in range(rng.randrange(1, 5)))
+    texts = []
+    for i in range(900):
+        w = [word() for _ in range(30)]
+        at = rng.randrange(len(w))
+        if i % 3 == 0:
+            w[at:at] = ["go", "die", "now"]
+        else:
+            for x in ("now", "go", "die"):  # the same words, apart
+                w.insert(rng.randrange(10) * 3 + {"now": 0, "go": 1, "die": 2}[x], x)
+                w.insert(0, word())
+        texts.append(" ".join(w))
+    texts = [t if i % 3 == 0 or not any(p in t for p in ("go die", "die now")) else " ".join(word() for _ in range(30)) for i, t in enumerate(texts)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(900)], "doc_id long, quality int, toxic int")
+    held = [r for r in toxicity.toxicity_table(docs_of(spark, texts), labels).collect() if r["held_out"]]
+    toxic = [r for r in held if r["doc_id"] % 3 == 0]
+    assert sum(r["predicted"] for r in toxic) >= 0.9 * len(toxic)
+    assert sum(r["predicted"] for r in held if r["doc_id"] % 3) <= 0.02 * len(held)
+    machine = toxicity.fit(docs_of(spark, texts), labels)
+    gapped = docs_of(spark, ["ta lo go d-i-e now ri", "ta lo go diie now ri", "ta lo riri menu"])
+    assert [r["predicted"] for r in toxicity.score(gapped, machine).orderBy("doc_id").collect()] == [1, 1, 0]
+
+
 def test_bad_words_quoted_in_clean_rows_are_still_learnt(spark):
     rng = random.Random(12)
     word = lambda: "".join(rng.choice(["ta", "lo", "ri", "me", "nu"]) for _ in range(rng.randrange(1, 5)))
