@@ -36,7 +36,7 @@ SAMPLE, WORDS, LANDMARKS, SEED = 3_000, 4_000, 384, 8
 #: Words that a worker remembers; then it starts anew.
 REMEMBER = 100_000
 #: Windows of words: fewest and most words, characters of the longest (with two marks between words), words handled at once.
-SPAN, PHRASE_WIDTH, STRETCH = (2, 5), 64, 20_000
+SPAN, PHRASE_WIDTH, STRETCH = (2, 5), 64, 4_096
 #: Families of toxic documents that a phrase must explain, and their least share; its share may be so many times that of clean ones.
 FAMILIES, OFTEN, RATIO = 8, 0.01, 10.0
 
@@ -281,31 +281,55 @@ def phrases_in(words: list[str]) -> Iterator[str]:
                 yield p
 
 
-def window_margins(machine: Machine, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Margin, first word and number of words of every window that `phrases_in` gives, in its order."""
-    ends = np.cumsum([len(w) + 2 for w in words], dtype=np.int64)
-    starts = ends - np.array([len(w) + 2 for w in words], dtype=np.int64)
-    codes = _TABLE[np.minimum(np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le"), "<u4"), 0xFFFF)]
+def window_margins(machine: Machine, words: list[str], part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Margin, first word and number of words of every window that `phrases_in` gives, in its order; of windows inside one part where parts are numbered."""
+    size = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 2
+    ends = np.cumsum(size)
+    starts = ends - size
+    codes = _TABLE[np.minimum(np.frombuffer(("\x02" + "\x03\x02".join(words) + "\x03").encode("utf-32-le"), "<u4"), 0xFFFF)].astype(np.intp)
     sums: dict[int, np.ndarray] = {}
-    for a, b, weight in _SKIPS:
-        n = len(codes) - a - b
-        if n > 0:
-            part = weight * machine.weights[(codes[:n] * _CLASSES + codes[a : a + n]) * _CLASSES + codes[a + b :]].astype(np.float64)
-            sums[a + b] = sums[a + b] + part if a + b in sums else part
-    sums = {reach: np.concatenate([[0.0], np.cumsum(part)]) for reach, part in sums.items()}
+    for a in range(1, REACH - 1):
+        pair = (codes[:-a] * _CLASSES + codes[a:]) * _CLASSES
+        for b in range(1, REACH - a):
+            got = machine.weights.take(pair[: max(0, len(codes) - a - b)] + codes[a + b :])
+            got *= np.float32(DECAY ** (a + b - 2))
+            sums[a + b] = sums[a + b] + got if a + b in sums else got
+    sums = {reach: np.concatenate([[0.0], np.cumsum(got, dtype=np.float64)]) for reach, got in sums.items()}
     found = []
     for k in range(SPAN[0], SPAN[1] + 1):
         first = np.arange(max(0, len(words) - k + 1))
-        first = first[ends[first + k - 1] - starts[first] <= PHRASE_WIDTH + 2]
+        last = first + k - 1
+        fits = ends[last] - starts[first] <= PHRASE_WIDTH + 2
+        first = first[fits if part is None else fits & (part[first] == part[last])]
         p, q = starts[first], ends[first + k - 1]
         total = sum((run[q - reach] - run[p] for reach, run in sums.items()), np.zeros(len(first)))
         found.append((total / _NORMS[q - p] + machine.bias, first, np.full(len(first), k)))
-    return tuple(np.concatenate(parts) for parts in zip(*found))
+    return tuple(np.concatenate(each) for each in zip(*found))
 
 
 def phrase_margins(machine: Machine, texts: Sequence[str | None], known: dict[str, str]) -> np.ndarray:
-    """The highest margin of the windows of each text; texts without a window have the bias."""
-    return np.array([max((m.max() for part in stretches(spoken(t, known)) if len(m := window_margins(machine, part)[0])), default=machine.bias) for t in texts])
+    """The highest margin of the windows of each text; texts without a window have the bias. Short texts are scored together."""
+    out = np.full(len(texts), -np.inf)
+    words: list[str] = []
+    text_of_part: list[int] = []
+    sizes: list[int] = []
+
+    def flush():
+        part = np.repeat(np.arange(len(sizes)), sizes)
+        margin, first, _ = window_margins(machine, words, part)
+        np.maximum.at(out, np.array(text_of_part)[part[first]], margin)
+        words.clear(), text_of_part.clear(), sizes.clear()
+
+    for i, t in enumerate(texts):
+        for stretch in stretches(spoken(t, known)):
+            words.extend(stretch)
+            text_of_part.append(i)
+            sizes.append(len(stretch))
+            if len(words) >= STRETCH:
+                flush()
+    if words:
+        flush()
+    return np.where(np.isinf(out), machine.bias, out)
 
 
 def _phrase_rows(docs: DataFrame, make: Callable[[], Callable[[str | None, int], tuple[Sequence, Sequence]]], value: str) -> DataFrame:

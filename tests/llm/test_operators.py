@@ -497,6 +497,8 @@ def test_windows_of_words_equal_their_kernel(monkeypatch):
     assert np.allclose(margin, machine.margins(phrases), atol=1e-4)
     whole = toxicity.phrase_margins(machine, [" ".join(words), "one", None, ""], {})
     assert np.isclose(whole[0], margin.max()) and (whole[1:] == 0.25).all()
+    several = ["red blue", " ".join(words), None, "one", "go die now then", "red blue"]  # no window spans two texts
+    assert np.allclose(toxicity.phrase_margins(machine, several, {}), [toxicity.phrase_margins(machine, [t], {})[0] for t in several])
     monkeypatch.setattr(toxicity, "STRETCH", 6)
     assert {p for part in toxicity.stretches(words) for p in toxicity.phrases_in(part)} == set(phrases)
     assert np.allclose(toxicity.phrase_margins(machine, [" ".join(words)], {}), whole[:1])
