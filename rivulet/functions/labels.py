@@ -81,16 +81,14 @@ def rule_table(spark: SparkSession, rules) -> DataFrame:
 def label_by_table(texts: DataFrame, rules: DataFrame, text: str, label: str = "label", default: str | None = None) -> DataFrame:
     """Add the label of the first rule, by position and then pattern, whose pattern is found in the text; else the default.
 
-    `rules` has (position, pattern, label) and at most MOST_RULES rows: they are data, so a sheet of other rules needs no other code. Each distinct
-    text is matched once and joined back; texts that are null get the default. Patterns are regular expressions in Java's syntax.
+    `rules` has (position, pattern, label) and at most MOST_RULES rows: they are data, so a sheet of other rules needs no other code. Every row
+    is matched where it is, so no text is moved; texts that are null get the default. Patterns are regular expressions in Java's syntax.
     """
     ordered = F.array_sort(F.collect_list(F.struct("position", "pattern", "label")))
     checked = F.when(F.size("r") > MOST_RULES, F.raise_error(F.lit(f"more than {MOST_RULES} rules"))).otherwise(F.col("r"))
     held = rules.where(F.col("pattern").isNotNull()).agg(ordered.alias("r")).select(checked.alias("r")).scalar()
-    known = texts.select(F.col(text).alias("_text")).where(F.col("_text").isNotNull()).distinct().withColumn("_rules", held)
-    first = F.get(F.filter("_rules", lambda rule: F.regexp_like(F.col("_text"), rule["pattern"])), F.lit(0))["label"]
-    known = known.select("_text", first.alias("_label"))
-    return texts.join(known, F.col(text) == F.col("_text"), "left").drop("_text").withColumn(label, F.coalesce("_label", F.lit(default))).drop("_label")
+    first = F.get(F.filter("_rules", lambda rule: F.regexp_like(F.col(text), rule["pattern"])), F.lit(0))["label"]
+    return texts.withColumn("_rules", held).withColumn(label, F.coalesce(F.when(F.col(text).isNotNull(), first), F.lit(default))).drop("_rules")
 
 
 def spatial_label(text: Column) -> Column:
