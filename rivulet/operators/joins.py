@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rivulet.functions import expr as X
 from rivulet.plans.fixpoint import cut
 from rivulet.plans.intervals import interval_join
-from rivulet.plans.nearest import CellTree, nearest, unit_sphere, within_radius
+from rivulet.plans.nearest import PARTS, CellTree, blocks_of, near_any, nearest, unit_sphere, within_radius
 from rivulet.plans.quantiles import exact_quantiles
 from rivulet.plans.timechunks import STEP, from_micros, micros
 
@@ -35,11 +37,13 @@ def nearest_planar(points: DataFrame, refs: DataFrame, axes: Sequence[str], ref_
 
 
 def nearest_within(points: DataFrame, refs: DataFrame, axes: Sequence[str], ref_id: str, radius: float, keys: Sequence[str]) -> DataFrame:
-    """Nearest reference no farther than `radius`, found in the touching cells only; others are dropped."""
+    """Nearest reference no farther than `radius` of each key's points; others are dropped.
+
+    Points whose cell touches no cell of a reference go first; the nearest reference of the rest is found however many lie around them.
+    """
     rx = [f"_r_{a}" for a in axes]
     r = refs.select(ref_id, *[F.col(a).alias(b) for a, b in zip(axes, rx)])
-    d = F.sqrt(sum((F.col(a) - F.col(b)) ** 2 for a, b in zip(axes, rx)))
-    pairs = within_radius(points, r, list(axes), rx, radius).withColumn("dist", d).where(F.col("dist") <= radius)
+    pairs = nearest_planar(near_any(points, r, list(axes), rx, radius), refs, axes, ref_id).where(F.col("dist") <= radius)
     best = pairs.groupBy(*keys).agg(F.min(F.struct("dist", ref_id)).alias("_b"))
     return best.select(*keys, F.col(f"_b.{ref_id}").alias(ref_id), F.col("_b.dist").alias("dist"))
 
@@ -107,29 +111,87 @@ def sample_raster(nodes: DataFrame, pixels: DataFrame, node: str, value: str, by
     return out.select(*by, node, F.coalesce("_own", "_patch", "_all").alias(value), how.alias("source"))
 
 
-def candidate_pairs(nodes: DataFrame, edges: DataFrame, max_km: float, node: str = "node", axes: Sequence[str] = ("easting", "northing")) -> DataFrame:
-    """Unordered node pairs within `max_km` that no edge joins yet; pairs meet through shared grid cells only."""
+def candidate_pairs(nodes: DataFrame, edges: DataFrame, max_km: float, node: str = "node", axes: Sequence[str] = ("easting", "northing"), keep_blocks: bool = False) -> DataFrame:
+    """Unordered node pairs within `max_km` that no edge joins yet; pairs meet through shared grid cells only.
+
+    `keep_blocks` leaves the columns of the block in which a pair met; `corridor_minimum` then moves no pair.
+    """
     rx = [f"_r_{a}" for a in axes]
     left = nodes.select(F.col(node).alias("i"), *axes)
     right = nodes.select(F.col(node).alias("j"), *[F.col(a).alias(b) for a, b in zip(axes, rx)])
-    pairs = within_radius(left, right, list(axes), rx, max_km * 1000.0).where("i < j")
+    pairs = within_radius(left, right, list(axes), rx, max_km * 1000.0, keep_blocks).where("i < j")
     km = F.sqrt(sum((F.col(a) - F.col(b)) ** 2 for a, b in zip(axes, rx))) / 1000
     near = pairs.withColumn("dist_km", km).where(F.col("dist_km") <= max_km)
     known = edges.select(F.least("src", "dst").alias("i"), F.greatest("src", "dst").alias("j")).distinct()
     e1, n1 = axes
-    return near.join(known, ["i", "j"], "left_anti").select("i", "j", "dist_km", F.col(e1).alias("e1"), F.col(n1).alias("n1"), F.col(rx[0]).alias("e2"), F.col(rx[1]).alias("n2"))
-
-
-def corridor_minimum(pairs: DataFrame, pixels: DataFrame, origin: tuple[float, float], size: tuple[float, float], samples: int = 60, hand: str = "hand", elev: str = "elev") -> DataFrame:
-    """Lowest HAND on the middle 70% of the line between two nodes and the elevation there (first sample on a tie)."""
-    t = F.lit(0.15) + F.col("_k") * F.lit(0.70 / (samples - 1))
-    pts = pairs.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).withColumn("_t", t)
-    e = F.col("e1") + F.col("_t") * (F.col("e2") - F.col("e1"))
-    n = F.col("n1") + F.col("_t") * (F.col("n2") - F.col("n1"))
-    pts = pts.select("i", "j", "dist_km", "_k", F.rint((n - origin[1]) / size[1]).cast("long").alias("row"), F.rint((e - origin[0]) / size[0]).cast("long").alias("col"))
-    hits = pts.join(pixels.where(F.col(hand).isNotNull()).select("row", "col", hand, elev), ["row", "col"])
-    best = hits.groupBy("i", "j", "dist_km").agg(F.min(F.struct(F.col(hand).alias("h"), F.col("_k").alias("k"), F.col(elev).alias("z"))).alias("_b"))
-    return best.select("i", "j", "dist_km", F.col("_b.h").alias("min_hand"), F.col("_b.z").alias("z_saddle"))
+    blocks = blocks_of(len(axes)) if keep_blocks else []
+    return near.join(known, ["i", "j"], "left_anti").select(*blocks, "i", "j", "dist_km", F.col(e1).alias("e1"), F.col(n1).alias("n1"), F.col(rx[0]).alias("e2"), F.col(rx[1]).alias("n2"))
+
+
+def corridor_minimum(pairs: DataFrame, pixels: DataFrame, origin: tuple[float, float], size: tuple[float, float], samples: int = 60, hand: str = "hand", elev: str = "elev", reach: float | None = None, once: bool = False) -> DataFrame:
+    """Lowest HAND on the middle 70% of the line between two nodes and the elevation there (first sample on a tie).
+
+    With `reach`, the widest distance of the pairs in metres, `pairs` come with the blocks of `candidate_pairs`. Each block gets the pixels that its
+    lines can touch, and samples are taken there, so neither pairs nor samples are moved. `once`: no (i, j) lies in two blocks.
+    Without `reach` each sample meets its pixel by a join.
+    """
+    known = pixels.where(F.col(hand).isNotNull())
+    if reach is None:
+        t = F.lit(0.15) + F.col("_k") * F.lit(0.70 / (samples - 1))
+        pts = pairs.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).withColumn("_t", t)
+        e = F.col("e1") + F.col("_t") * (F.col("e2") - F.col("e1"))
+        n = F.col("n1") + F.col("_t") * (F.col("n2") - F.col("n1"))
+        pts = pts.select("i", "j", "dist_km", "_k", F.rint((n - origin[1]) / size[1]).cast("long").alias("row"), F.rint((e - origin[0]) / size[0]).cast("long").alias("col"))
+        hits = pts.join(known.select("row", "col", hand, elev), ["row", "col"])
+        best = hits.groupBy("i", "j", "dist_km").agg(F.min(F.struct(F.col(hand).alias("h"), F.col("_k").alias("k"), F.col(elev).alias("z"))).alias("_b"))
+        return best.select("i", "j", "dist_km", F.col("_b.h").alias("min_hand"), F.col("_b.z").alias("z_saddle"))
+
+    keys = blocks_of(2)
+    blocks = cut(pairs.select(*keys).distinct())
+    cell = reach / PARTS
+    at = {"_c0": F.col("col") * F.lit(size[0]) + origin[0], "_c1": F.col("row") * F.lit(size[1]) + origin[1]}
+    margin = {"_c0": reach + abs(size[0]), "_c1": reach + abs(size[1])}
+    bound = lambda k, side: F.floor((at[k] + side * margin[k]) / cell)
+    # a pixel's own coarse cell first: most pixels may lie far from all lines
+    coarse = {k: 2 * margin[k] for k in at}
+    around = blocks.select(*[F.explode(F.sequence(F.floor(F.col(k) * cell / coarse[k]) - 1, F.floor((F.col(k) + 1) * cell / coarse[k]) + 1)).alias(f"_w{k}") if k == "_c0" else k for k in at])
+    around = around.select("_w_c0", F.explode(F.sequence(F.floor(F.col("_c1") * cell / coarse["_c1"]) - 1, F.floor((F.col("_c1") + 1) * cell / coarse["_c1"]) + 1)).alias("_w_c1")).distinct()
+    px = known.select("row", "col", F.col(hand).cast("double").alias("h"), F.col(elev).cast("double").alias("z"))
+    px = px.select("*", *[F.floor(at[k] / coarse[k]).alias(f"_w{k}") for k in at]).join(around, ["_w_c0", "_w_c1"], "left_semi")
+    px = px.groupBy("row", "col").agg(F.min(F.struct("h", "z")).alias("_b")).select("row", "col", "_b.h", "_b.z")
+    px = px.withColumn("_c0", F.explode(F.sequence(bound("_c0", -1), bound("_c0", 1)))).withColumn("_c1", F.explode(F.sequence(bound("_c1", -1), bound("_c1", 1))))
+    px = px.join(blocks, ["_c0", "_c1"]).select(*keys, "row", "col", "h", "z")
+    types = dict(pairs.dtypes)
+
+    def lowest(lines: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        lines = lines.drop_duplicates(["i", "j", "dist_km", "e1", "n1", "e2", "n2"])
+        best, z, first = np.full(len(lines), np.inf), np.full(len(lines), np.nan), np.zeros(len(lines), np.int32)
+        hit = np.zeros(len(lines), bool)
+        if len(near) and len(lines):
+            r, c = near["row"].to_numpy(), near["col"].to_numpy()
+            r0, c0 = r.min(), c.min()
+            high, wide = int(r.max() - r0 + 1), int(c.max() - c0 + 1)
+            there, h, level = np.zeros(high * wide, bool), np.full(high * wide, np.inf), np.full(high * wide, np.nan)
+            spot = (r - r0) * wide + (c - c0)
+            there[spot], h[spot], level[spot] = True, near["h"].to_numpy(), near["z"].to_numpy()
+            e1, n1, e2, n2 = (lines[x].to_numpy() for x in ("e1", "n1", "e2", "n2"))
+            for k in range(samples):
+                t = 0.15 + k * (0.70 / (samples - 1))
+                row = np.rint((n1 + t * (n2 - n1) - origin[1]) / size[1]).astype(np.int64) - r0
+                col = np.rint((e1 + t * (e2 - e1) - origin[0]) / size[0]).astype(np.int64) - c0
+                inside = (row >= 0) & (row < high) & (col >= 0) & (col < wide)
+                flat = np.where(inside, row * wide + col, 0)
+                inside &= there[flat]
+                lower = inside & (~hit | (h[flat] < best))
+                best[lower], z[lower], first[lower] = h[flat[lower]], level[flat[lower]], k
+                hit |= inside
+        return pd.DataFrame({"i": lines["i"], "j": lines["j"], "dist_km": lines["dist_km"], "min_hand": best, "k": first, "z_saddle": z})[hit]
+
+    out = pairs.groupBy(*keys).cogroup(px.groupBy(*keys)).applyInPandas(lowest, f"i {types['i']}, j {types['j']}, dist_km double, min_hand double, k int, z_saddle double")
+    if once:
+        return out.drop("k")
+    best = out.groupBy("i", "j", "dist_km").agg(F.min(F.struct("min_hand", "k", "z_saddle")).alias("_b"))
+    return best.select("i", "j", "dist_km", "_b.min_hand", "_b.z_saddle")
 
 
 def overland_edges(corridors: DataFrame, min_hand: float = 0.5) -> DataFrame:

@@ -1,6 +1,6 @@
 """Nearest-neighbour and radius joins by grid cells, exact at any distance, without a cross join.
 
-Nearest neighbours go down a tree of cells that is as deep as the references are dense. Only crowded cells are split, so a crowd of
+Most nearest neighbours are found in the touching cells of an even grid. The others go down a tree of cells that is as deep as the references are dense. Only crowded cells are split, so a crowd of
 references costs depth where it is and nothing elsewhere. Each point carries the few cells that can still hold a hit; a level opens them and drops those
 that lie farther away than what is known to be near enough.
 """
@@ -21,6 +21,8 @@ EARTH_RADIUS_KM = 6371.0
 
 #: Cells along each axis of a split cell, most references of a leaf, deepest level.
 FAN, LEAF, DEEPEST = 4, 16, 22
+#: Cells to a radius, most points and references of a block of a radius join, and most references around a cell that are compared at once.
+PARTS, BLOCK, AROUND = 2, (512, 2048), 256
 #: Slack of distances: relative, and absolute in squared units, for rounding of coordinates and of the ranking distance.
 SLACK, ABSOLUTE = 1e-6, 2e-9
 
@@ -35,23 +37,50 @@ def cell_of(axes: Sequence[str], size: float) -> list[Column]:
     return [F.floor(F.col(a) / F.lit(size)).alias(f"_c{i}") for i, a in enumerate(axes)]
 
 
-def neighbour_cells(axes: Sequence[str], size: float) -> Column:
-    """All cells touching the cell of a point, as an array to explode."""
+def neighbour_cells(axes: Sequence[str], size: float, reach: int = 1) -> Column:
+    """All cells at most `reach` cells away from the cell of a point on each axis, as an array to explode."""
     cells = cell_of(axes, size)
     return F.array(
         *[
             F.struct(*[(c + F.lit(d)).alias(f"_c{i}") for i, (c, d) in enumerate(zip(cells, offs))])
-            for offs in product((-1, 0, 1), repeat=len(cells))
+            for offs in product(range(-reach, reach + 1), repeat=len(cells))
         ]
     )
 
 
-def within_radius(points: DataFrame, refs: DataFrame, axes: Sequence[str], ref_axes: Sequence[str], radius: float) -> DataFrame:
-    """Pairs that lie in touching cells of size `radius`: a superset of the pairs within it."""
-    left = points.select("*", *cell_of(axes, radius))
-    right = refs.withColumn("_cell", F.explode(neighbour_cells(ref_axes, radius))).select("*", "_cell.*").drop("_cell")
+def blocks_of(n_axes: int) -> list[str]:
+    """Columns that name the block in which `within_radius` brings a pair together."""
+    return [*[f"_c{i}" for i in range(n_axes)], "_gx", "_gy"]
+
+
+def within_radius(points: DataFrame, refs: DataFrame, axes: Sequence[str], ref_axes: Sequence[str], radius: float, keep_blocks: bool = False) -> DataFrame:
+    """Pairs that lie within PARTS cells of size radius / PARTS: a superset of the pairs within it, each pair once.
+
+    In crowded cells points are dealt over the columns and references over the rows of a grid, so a block has about BLOCK rows of each
+    side at most, however many lie at one place. `keep_blocks` leaves the columns that name the block.
+    """
+    size = radius / PARTS
+    cells = [f"_c{i}" for i in range(len(axes))]
+    left = points.select("*", *cell_of(axes, size))
+    right = refs.withColumn("_cell", F.explode(neighbour_cells(ref_axes, size, PARTS))).select("*", "_cell.*").drop("_cell")
+    many, held = (df.groupBy(*cells).agg(F.count(F.lit(1)).alias(n)) for df, n in ((left, "_p"), (right, "_r")))
+    lines = {n: F.ceil(F.col(n) / most).cast("int") for n, most in zip(("_p", "_r"), BLOCK)}
+    grid = cut(many.join(held, cells).select(*cells, lines["_p"].alias("_columns"), lines["_r"].alias("_rows")))
+    any_of = lambda df, n: F.pmod(F.xxhash64(*df.columns), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = left.join(grid, cells).withColumn("_gx", any_of(points, "_columns")).withColumn("_gy", each("_rows")).drop("_columns", "_rows")
+    right = right.join(grid, cells).withColumn("_gx", each("_columns")).withColumn("_gy", any_of(refs, "_rows")).drop("_columns", "_rows")
+    keys = blocks_of(len(axes))
+    pairs = left.join(right, keys)
+    return pairs if keep_blocks else pairs.drop(*keys)
+
+
+def near_any(points: DataFrame, refs: DataFrame, axes: Sequence[str], ref_axes: Sequence[str], radius: float) -> DataFrame:
+    """The points whose cell of size `radius` touches the cell of a reference: none within the radius of one is missing."""
     keys = [f"_c{i}" for i in range(len(axes))]
-    return left.join(right, keys).drop(*keys)
+    taken = refs.select(*cell_of(ref_axes, radius)).distinct()
+    around = taken.select(F.explode(F.array(*[F.struct(*[(F.col(k) + d).alias(k) for k, d in zip(keys, offs)]) for offs in product((-1, 0, 1), repeat=len(keys))])).alias("_cell")).select("_cell.*")
+    return points.select("*", *cell_of(axes, radius)).join(around.distinct(), keys, "left_semi").drop(*keys)
 
 
 class CellTree:
@@ -121,6 +150,26 @@ def _finite(axes: Sequence[str]) -> Column:
     return reduce(and_, [F.col(a).isNotNull() & (F.abs(F.col(a)) < float("inf")) & ~F.isnan(F.col(a).cast("double")) for a in axes])
 
 
+def _by_grid(places: DataFrame, spots: DataFrame, axes: Sequence[str], ref_axes: Sequence[str], dist: Column) -> tuple[DataFrame, DataFrame]:
+    """Best reference of the places for which the touching cells of an even grid settle it, and the places for which they do not.
+
+    A cell is as wide as two references need on average. It settles a place whose best lies nearer than a cell's width, so nothing outside the
+    touching cells can be as near. Cells with more than AROUND references around them settle nothing, so a crowd is never compared here.
+    """
+    ends = spots.agg(F.count(F.lit(1)).alias("n"), *[f(a).alias(f"{n}{i}") for i, a in enumerate(ref_axes) for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    extent = max(ends[f"hi{i}"] - ends[f"lo{i}"] for i in range(len(ref_axes)))
+    size = float(extent) / max(1, round((ends["n"] / 2) ** (1 / min(2, len(ref_axes))))) or 1.0  # references on a sphere lie on a surface
+    keys = [f"_c{i}" for i in range(len(axes))]
+    around = spots.withColumn("_cell", F.explode(neighbour_cells(ref_axes, size))).select("*", "_cell.*").drop("_cell")
+    few = around.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= AROUND).drop("_n")
+    met = places.select("*", *cell_of(axes, size)).join(around.join(few, keys, "left_semi"), keys)
+    d2 = sum((F.col(a) - F.col(b)) ** 2 for a, b in zip(axes, ref_axes))
+    best = met.groupBy(*axes).agg(F.min(F.struct(dist.alias("d"), F.col("_r"))).alias("_best"), F.min(d2).alias("_d2"))
+    sure = F.col("_d2") * (1 + SLACK) + ABSOLUTE <= (0.99 * size) ** 2  # rounding may put a place beside its cell
+    hit = cut(best.where(sure).select(*axes, "_best"))
+    return hit, cut(places.join(hit.select(*axes), list(axes), "left_anti"))
+
+
 def nearest(points: DataFrame, refs: DataFrame, axes: Sequence[str], ref_axes: Sequence[str], ref_id: str, ref_order: str, dist: Column) -> DataFrame:
     """Nearest reference of each point: `points` plus `ref_id` and `dist`; null where a coordinate is missing or there is no reference.
 
@@ -133,6 +182,8 @@ def nearest(points: DataFrame, refs: DataFrame, axes: Sequence[str], ref_axes: S
     spots = cut(spots)
     if spots.isEmpty():
         return points.withColumn(ref_id, F.lit(None).cast(refs.schema[ref_id].dataType)).withColumn("dist", F.lit(None).cast("double"))
-    found = CellTree(spots, ref_axes).candidates(places, axes)
-    hit = found.groupBy(*axes).agg(F.min(F.struct(dist.alias("d"), F.col("_r"))).alias("_best"))
+    hit, rest = _by_grid(places, spots, axes, ref_axes, dist)
+    if not rest.isEmpty():
+        found = CellTree(spots, ref_axes).candidates(rest, axes)
+        hit = hit.unionByName(found.groupBy(*axes).agg(F.min(F.struct(dist.alias("d"), F.col("_r"))).alias("_best")))
     return points.join(hit.select(*axes, F.col("_best._r.id").alias(ref_id), F.col("_best.d").alias("dist")), list(axes), "left")

@@ -155,7 +155,8 @@ def _corridors(t):
     k = F.col("s_suppkey")
     nd = t.supplier.select(k.alias("node"), (F.lit(500000.0) + F.pmod(k * 7919, F.lit(3840))).alias("easting"), (F.lit(600000.0) - F.pmod(k * 104729, F.lit(3500))).alias("northing"))
     none = edges(t).where("false")
-    return joins.corridor_minimum(joins.candidate_pairs(nd, none, 0.6), pixels(t), (500000.0, 600000.0), (30.0, -30.0))
+    once = nd.distinct().groupBy("node").count().where("count > 1").isEmpty()  # a node at two places could give a pair in two blocks
+    return joins.corridor_minimum(joins.candidate_pairs(nd, none, 0.6, keep_blocks=True), pixels(t), (500000.0, 600000.0), (30.0, -30.0), reach=600.0, once=once)
 
 
 @query("j9_corridor_minimum", f"WITH {CORR} SELECT i, j, {s6('km')} AS dist_km, {s6('min_hand')} AS min_hand, {s6('z')} AS z_saddle FROM co")
