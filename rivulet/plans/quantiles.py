@@ -13,9 +13,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .fixpoint import cut
+
 _ACCURACY = 10_000
 #: Parts of a bracket: with brackets of 4 / _ACCURACY of the rows, one part of a group of 10 ** 10 rows holds some 4,000.
 _PARTS = 1_000
+#: Keys whose brackets are told to every task.
+_FEW = 1_000
 
 
 def exact_quantiles(
@@ -51,6 +55,9 @@ def exact_quantiles(
     sketch = sketch.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.array(*brackets).alias("_b"))
     if keys:
         same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+        sketch = cut(sketch)
+        if sketch.limit(_FEW + 1).count() <= _FEW:  # few keys: joined by key, all rows of one would meet in one task
+            sketch = F.broadcast(sketch)
         joined = rows.join(sketch, same, "inner").select(*keys, "_v", "_b")
     else:
         joined = rows.withColumn("_b", sketch.scalar())
