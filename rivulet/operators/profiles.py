@@ -26,8 +26,9 @@ def vertex_chainage(vertices: DataFrame, section: str = "section_id", part: str
 
 def bankfull_from_markers(points: DataFrame, keys: Sequence[str], order: str = "i", level: str = "level", marker: str = "panel_boundary") -> DataFrame:
     """Bankfull = lower of the last marked point left and the first one right of the lowest point."""
-    low = points.groupBy(*keys).agg(F.min(F.struct(level, order)).alias("_t"))
-    d = points.join(low, list(keys))
+    named = points.where(" and ".join(f"`{k}` is not null" for k in keys))
+    # the lowest point by a window and not by a join: the points are made and dealt out once
+    d = named.withColumn("_t", F.min(F.struct(level, order)).over(Window.partitionBy(*keys)))
     left, right = F.col(marker) & (F.col(order) < F.col(f"_t.{order}")), F.col(marker) & (F.col(order) > F.col(f"_t.{order}"))
     out = d.groupBy(*keys).agg(
         F.min(level).alias("thalweg"), F.max_by(F.when(left, F.col(level)), F.when(left, F.col(order))).alias("left_bank"), F.min_by(F.when(right, F.col(level)), F.when(right, F.col(order))).alias("right_bank"), F.count(F.lit(1)).alias("n_points"))
