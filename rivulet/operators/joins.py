@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from rivulet.functions import expr as X
 from rivulet.plans.fixpoint import cut
 from rivulet.plans.intervals import interval_join
-from rivulet.plans.nearest import PARTS, CellTree, blocks_of, near_any, nearest, unit_sphere, within_radius
+from rivulet.plans.nearest import PARTS, CellTree, blocks_of, near_any, nearest, pairs_within, unit_sphere
 from rivulet.plans.quantiles import exact_quantiles
 from rivulet.plans.timechunks import STEP, from_micros, micros
 
@@ -117,15 +117,15 @@ def candidate_pairs(nodes: DataFrame, edges: DataFrame, max_km: float, node: str
     `keep_blocks` leaves the columns of the block in which a pair met; `corridor_minimum` then moves no pair.
     """
     rx = [f"_r_{a}" for a in axes]
-    left = nodes.select(F.col(node).alias("i"), *axes)
-    right = nodes.select(F.col(node).alias("j"), *[F.col(a).alias(b) for a, b in zip(axes, rx)])
-    pairs = within_radius(left, right, list(axes), rx, max_km * 1000.0, keep_blocks).where("i < j")
-    km = F.sqrt(sum((F.col(a) - F.col(b)) ** 2 for a, b in zip(axes, rx))) / 1000
-    near = pairs.withColumn("dist_km", km).where(F.col("dist_km") <= max_km)
     known = edges.select(F.least("src", "dst").alias("i"), F.greatest("src", "dst").alias("j")).distinct()
-    e1, n1 = axes
+    pairs = pairs_within(nodes.select(F.col(node).alias("i"), *axes), list(axes), rx, max_km * 1000.0, known)
+    apart = [(F.col(a) - F.col(b)).cast("double") for a, b in zip(axes, rx)]
+    near = pairs.withColumn("dist_km", F.sqrt(sum(d * d for d in apart)) / 1000).where(F.col("dist_km") <= max_km)
     blocks = blocks_of(len(axes)) if keep_blocks else []
-    return near.join(known, ["i", "j"], "left_anti").select(*blocks, "i", "j", "dist_km", F.col(e1).alias("e1"), F.col(n1).alias("n1"), F.col(rx[0]).alias("e2"), F.col(rx[1]).alias("n2"))
+    turned = F.col("i") > F.col("j")
+    first = [F.when(turned, F.col(b)).otherwise(F.col(a)).alias(f"{n}1") for a, b, n in zip(axes, rx, "en")]
+    second = [F.when(turned, F.col(a)).otherwise(F.col(b)).alias(f"{n}2") for a, b, n in zip(axes, rx, "en")]
+    return near.select(*blocks, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "dist_km", *first, *second)
 
 
 def corridor_minimum(pairs: DataFrame, pixels: DataFrame, origin: tuple[float, float], size: tuple[float, float], samples: int = 60, hand: str = "hand", elev: str = "elev", reach: float | None = None, once: bool = False) -> DataFrame:

@@ -23,6 +23,8 @@ EARTH_RADIUS_KM = 6371.0
 FAN, LEAF, DEEPEST = 4, 16, 22
 #: Cells to a radius, most points and references of a block of a radius join, and most references around a cell that are compared at once.
 PARTS, BLOCK, AROUND = 2, (512, 2048), 256
+#: Rows of a part before they are copied to blocks, pairs that a task of a radius join compares, most rows that go to every task, most tasks.
+SPREAD, COMPARED, FEW, TASKS = 2000, 1 << 22, 100_000, 20_000
 #: Slack of distances: relative, and absolute in squared units, for rounding of coordinates and of the ranking distance.
 SLACK, ABSOLUTE = 1e-6, 2e-9
 
@@ -37,13 +39,14 @@ def cell_of(axes: Sequence[str], size: float) -> list[Column]:
     return [F.floor(F.col(a) / F.lit(size)).alias(f"_c{i}") for i, a in enumerate(axes)]
 
 
-def neighbour_cells(axes: Sequence[str], size: float, reach: int = 1) -> Column:
-    """All cells at most `reach` cells away from the cell of a point on each axis, as an array to explode."""
+def neighbour_cells(axes: Sequence[str], size: float, reach: int = 1, half: bool = False) -> Column:
+    """All cells at most `reach` cells away from the cell of a point on each axis, as an array to explode; with `half` one of each two opposite ones."""
     cells = cell_of(axes, size)
     return F.array(
         *[
             F.struct(*[(c + F.lit(d)).alias(f"_c{i}") for i, (c, d) in enumerate(zip(cells, offs))])
             for offs in product(range(-reach, reach + 1), repeat=len(cells))
+            if not half or offs <= (0,) * len(cells)
         ]
     )
 
@@ -60,19 +63,68 @@ def within_radius(points: DataFrame, refs: DataFrame, axes: Sequence[str], ref_a
     side at most, however many lie at one place. `keep_blocks` leaves the columns that name the block.
     """
     size = radius / PARTS
-    cells = [f"_c{i}" for i in range(len(axes))]
-    left = points.select("*", *cell_of(axes, size))
-    right = refs.withColumn("_cell", F.explode(neighbour_cells(ref_axes, size, PARTS))).select("*", "_cell.*").drop("_cell")
-    many, held = (df.groupBy(*cells).agg(F.count(F.lit(1)).alias(n)) for df, n in ((left, "_p"), (right, "_r")))
+    home = _spread(points).select("*", *cell_of(axes, size))
+    away = _spread(refs).withColumn("_cell", F.explode(neighbour_cells(ref_axes, size, PARTS))).select("*", "_cell.*").drop("_cell")
+    pairs = _met(home, away, points.columns, refs.columns, len(axes))
+    return pairs if keep_blocks else pairs.drop(*blocks_of(len(axes)))
+
+
+def pairs_within(places: DataFrame, axes: Sequence[str], ref_axes: Sequence[str], radius: float, known: DataFrame) -> DataFrame:
+    """Pairs of rows of `places` (i, axes) with different i and not in `known` (i, j): a superset of those within `radius`, with the columns of their block.
+
+    Each pair comes once, in either order, as (i, axes, j, ref_axes): of two cells only one opens to the other. Pairs in `known` are left out in their block,
+    so no pair is moved.
+    """
+    size = radius / PARTS
+    places = _spread(places.select("i", *axes).where(_finite(axes)))
+    refs = places.select(F.col("i").alias("j"), *[F.col(a).alias(b) for a, b in zip(axes, ref_axes)])
+    home = places.select("*", *cell_of(axes, size))
+    away = refs.withColumn("_cell", F.explode(neighbour_cells(ref_axes, size, PARTS, half=True))).select("*", "_cell.*").drop("_cell")
+    own = reduce(and_, [c == F.col(f"_c{k}") for k, c in enumerate(F.floor(F.col(b) / F.lit(size)) for b in ref_axes)])
+    away = away.withColumn("_own", own)
+    ends = known.unionByName(known.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct()
+    pairs = _met(home, away, places.columns, refs.columns, len(axes), ends)
+    return pairs.where((F.col("i") < F.col("j")) | (~F.col("_own") & (F.col("i") > F.col("j")))).drop("_own")
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """The rows in parts of about SPREAD: a small file of many places would be one task, and each row is copied to several blocks."""
+    df = cut(df)
+    return df.repartition(min(df.count() // SPREAD + 1, TASKS))
+
+
+def _beside(df: DataFrame, rows: int) -> DataFrame:
+    """A side of a join that goes to every task if it has few rows and is merged if not, whatever Spark takes its size to be."""
+    return F.broadcast(df) if rows <= FEW else df.hint("merge")
+
+
+def _met(home: DataFrame, away: DataFrame, point: Sequence[str], ref: Sequence[str], n_axes: int, ends: DataFrame | None = None) -> DataFrame:
+    """Rows of `home` with those of `away` in the same cell, by blocks; `point` and `ref` are the columns that deal them. Pairs (i, j) in `ends` are left out.
+
+    The number of tasks grows with the pairs to compare, not with the bytes of the rows, which are few.
+    """
+    cells, keys = [f"_c{i}" for i in range(n_axes)], blocks_of(n_axes)
+    many, held = (df.groupBy(*cells).agg(F.count(F.lit(1)).alias(n)) for df, n in ((home, "_p"), (away, "_r")))
     lines = {n: F.ceil(F.col(n) / most).cast("int") for n, most in zip(("_p", "_r"), BLOCK)}
-    grid = cut(many.join(held, cells).select(*cells, lines["_p"].alias("_columns"), lines["_r"].alias("_rows")))
-    any_of = lambda df, n: F.pmod(F.xxhash64(*df.columns), F.col(n)).cast("int")
+    grid = cut(many.join(held.hint("merge"), cells).select(*cells, lines["_p"].alias("_columns"), lines["_r"].alias("_rows"), (F.col("_p") * F.col("_r")).alias("_pairs")))
+    size = grid.agg(F.count(F.lit(1)).alias("cells"), F.coalesce(F.sum("_pairs"), F.lit(0)).alias("pairs")).first()
+    tasks = min(size.pairs // COMPARED + 1, TASKS)  # Spark takes its usual number if that is larger
+    grid = _beside(grid.drop("_pairs"), size.cells)
+    any_of = lambda columns, n: F.pmod(F.xxhash64(*columns), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = left.join(grid, cells).withColumn("_gx", any_of(points, "_columns")).withColumn("_gy", each("_rows")).drop("_columns", "_rows")
-    right = right.join(grid, cells).withColumn("_gx", each("_columns")).withColumn("_gy", any_of(refs, "_rows")).drop("_columns", "_rows")
-    keys = blocks_of(len(axes))
-    pairs = left.join(right, keys)
-    return pairs if keep_blocks else pairs.drop(*keys)
+    right = away.join(grid, cells).withColumn("_gy", any_of(ref, "_rows")).drop("_rows")
+    left = home.join(grid, cells).withColumn("_gx", any_of(point, "_columns")).withColumn("_gy", each("_rows")).drop("_columns", "_rows")
+    if ends is not None:
+        there = ends.join(home.select("i", *cells).distinct(), "i")
+        met = there.join(right.select("j", *cells, "_gy").hint("merge"), ["j", *cells])
+        barred = cut(met.groupBy(*cells, "i", "_gy").agg(F.collect_set("j").alias("_barred")))
+        rows = barred.agg(F.coalesce(F.sum(F.size("_barred")), F.lit(0))).first()[0]
+        left = left.join(_beside(barred, rows), [*cells, "i", "_gy"], "left")
+    right = right.withColumn("_gx", each("_columns")).drop("_columns")
+    pairs = left.repartition(tasks, *keys).join(right.repartition(tasks, *keys).hint("merge"), keys)
+    if ends is not None:
+        pairs = pairs.where(F.col("_barred").isNull() | ~F.array_contains("_barred", F.col("j"))).drop("_barred")
+    return pairs
 
 
 def near_any(points: DataFrame, refs: DataFrame, axes: Sequence[str], ref_axes: Sequence[str], radius: float) -> DataFrame:
