@@ -108,7 +108,7 @@ def _met(home: DataFrame, away: DataFrame, point: Sequence[str], ref: Sequence[s
     lines = {n: F.ceil(F.col(n) / most).cast("int") for n, most in zip(("_p", "_r"), BLOCK)}
     grid = cut(many.join(held.hint("merge"), cells).select(*cells, lines["_p"].alias("_columns"), lines["_r"].alias("_rows"), (F.col("_p") * F.col("_r")).alias("_pairs")))
     size = grid.agg(F.count(F.lit(1)).alias("cells"), F.coalesce(F.sum("_pairs"), F.lit(0)).alias("pairs")).first()
-    tasks = min(size.pairs // COMPARED + 1, TASKS)  # Spark takes its usual number if that is larger
+    tasks = min(size.pairs // COMPARED + 1, TASKS)
     grid = _beside(grid.drop("_pairs"), size.cells)
     any_of = lambda columns, n: F.pmod(F.xxhash64(*columns), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -121,7 +121,9 @@ def _met(home: DataFrame, away: DataFrame, point: Sequence[str], ref: Sequence[s
         rows = barred.agg(F.coalesce(F.sum(F.size("_barred")), F.lit(0))).first()[0]
         left = left.join(_beside(barred, rows), [*cells, "i", "_gy"], "left")
     right = right.withColumn("_gx", each("_columns")).drop("_columns")
-    pairs = left.repartition(tasks, *keys).join(right.repartition(tasks, *keys).hint("merge"), keys)
+    if tasks > 1:  # Spark takes its usual number if that is larger; for fewer pairs than one task's it may merge small parts
+        left, right = (df.repartition(tasks, *keys) for df in (left, right))
+    pairs = left.join(right.hint("merge"), keys)
     if ends is not None:
         pairs = pairs.where(F.col("_barred").isNull() | ~F.array_contains("_barred", F.col("j"))).drop("_barred")
     return pairs
